@@ -6,8 +6,9 @@ chunk is indexed under all its ways of leaving one place out, and all such pairs
 are confirmed on full shingle sets.
 
 Rows with equal sets collapse to one representative first. In a bucket all members are first compared with
-the smallest one only; what that leaves in different components is then compared pair by pair, so a bucket of
-many near copies costs one comparison a member and no link between components is lost.
+the smallest one only. Documents of buckets that this leaves in different components are then compared with
+documents of other components only, found by prefix filtering, so a bucket of many near copies isn't
+expanded into its pairs and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import connected_components
 from .lineage import cut
@@ -115,6 +116,43 @@ def _confirm(num: int, den: int):
     return run
 
 
+def _incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, shingles, label) to a row for each shingle."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            sets = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
+            size = np.array([len(x) for x in sets])
+            wide = lambda k: pa.array(np.repeat(part.column(k).to_numpy(zero_copy_only=False), size))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), wide(0), wide(2), pa.array(np.repeat(size, size))], names=["shingle", "doc", "label", "n"])
+
+
+def cross_candidates(sets: DataFrame, open_: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of the labelled documents `open_` with different labels that can be similar enough; none is missed.
+
+    By prefix filtering: with shingles ordered from rare to frequent, two similar sets share one among their
+    first n - ceil(num * n / den) + 1. Shingles of one document only pair nothing, and shingles whose documents all
+    have one label are dropped, so a large group of near copies that is one component already costs nothing here.
+    """
+    rows = sets.join(open_, "doc_id").select("doc_id", "shingles", "label").mapInArrow(_incidence, "shingle long, doc long, label long, n long")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = rows.join(often, "shingle")
+    by_doc = Window.partitionBy("doc")
+    prefix = F.expr(f"n - (n * {num} + {den - 1}) div {den} + 1")
+    ranked = shared.withColumn("at", F.row_number().over(by_doc.orderBy("df", "shingle"))).withColumn("lone", F.col("n") - F.count("*").over(by_doc))
+    first = cut(ranked.filter(F.col("at") + F.col("lone") <= prefix).select("shingle", "doc", "label", "n"), "prefixes")
+    labels = first.select("shingle", "label").distinct()
+    mixed = labels.groupBy("shingle").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("shingle")
+    labels = labels.join(mixed, "shingle", "left_semi")
+    one, other = labels.withColumnRenamed("label", "la"), labels.withColumnRenamed("label", "lb")
+    both = one.join(other, "shingle").filter("la < lb")
+    left = first.select("shingle", F.col("label").alias("la"), F.col("doc").alias("x"), F.col("n").alias("nx"))
+    right = first.select("shingle", F.col("label").alias("lb"), F.col("doc").alias("y"), F.col("n").alias("ny"))
+    met = both.join(left, ["shingle", "la"]).join(right, ["shingle", "lb"])
+    met = met.filter(F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets share at least num / den of their union."""
     with_a = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
@@ -147,9 +185,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, num: int = 85, den: int = 1
     labels = connected_components(links)
     named = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("label", "doc").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    open_ = cut(named.join(mixed, "key", "left_semi"), "open")
-    one, other = open_.select("key", F.col("doc").alias("a"), F.col("label").alias("la")), open_.select("key", F.col("doc").alias("b"), F.col("label").alias("lb"))
-    rest = one.join(other, "key").filter("a < b AND la <> lb").select("a", "b").distinct()
+    open_ = cut(named.join(mixed, "key", "left_semi").select(F.col("doc").alias("doc_id"), "label").distinct(), "open")
+    rest = cross_candidates(sets, open_, num, den)
     rest = cut(rest.join(star.union(star.select("b", "a")), ["a", "b"], "left_anti"), "rest")
     if rest.limit(1).count():
         links = links.union(cut(confirmed(rest, sets, num, den), "links"))
