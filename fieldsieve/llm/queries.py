@@ -4,20 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe_codec import bpe_digests
 from .near_dedup import near_duplicates
+from .substring_dedup import substring_digests
+from .token_counts import token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, linked at a similarity of 0.85."""
     return near_duplicates(_table(spark, sf_dir, "documents"), words=3, num=85, den=100).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document."""
+    return bpe_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document against a limit of 2048."""
+    return token_counts(_table(spark, sf_dir, "documents"), tokenizer_path(), limit=2048)
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 20 words."""
+    return substring_digests(_table(spark, sf_dir, "documents"), window=20)
+
+
 QUERIES = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op5_bpe_codec": op5_bpe_codec,
+    "op9_token_counts": op9_token_counts,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
