@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import language_id, toxicity
 from .bpe_codec import bpe_digests
 from .near_dedup import near_duplicates
+from .packing import packed_documents
+from .pii import pii_digests
+from .quality_rules import line_frequency_rules
 from .substring_dedup import substring_digests
 from .token_counts import token_counts
+from .topk_search import top_k
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,16 +25,49 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of every hundredth vector."""
+    return top_k(_table(spark, sf_dir, "embeddings"), k=10, every=100, scale=1024)
+
+
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with surrogates."""
+    return pii_digests(_table(spark, sf_dir, "documents"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, linked at a similarity of 0.85."""
     return near_duplicates(_table(spark, sf_dir, "documents"), words=3, num=85, den=100).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and the line rule per source."""
+    out = line_frequency_rules(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document."""
     return bpe_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens."""
+    return packed_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), size=4096, end_id=1)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a lexicon learnt from two thirds of the labels."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.toxicity_scores(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")), threshold=0.7)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents by machines learnt from four fifths of them."""
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.predicted_languages(docs, language_id.fit(docs))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document against a limit of 2048."""
     return token_counts(_table(spark, sf_dir, "documents"), tokenizer_path(), limit=2048)
@@ -41,10 +79,50 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_segment_topk": op1_segment_topk,
+    "op2_pii_surrogates": op2_pii_surrogates,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_line_frequency": op4_line_frequency,
     "op5_bpe_codec": op5_bpe_codec,
+    "op6_bin_slack_packing": op6_bin_slack_packing,
+    "op7_toxicity": op7_toxicity,
+    "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_segment_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+             CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op3_minhash_near_dedup": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))
+                                          WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM i JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+t AS (SELECT a AS node, a AS seen FROM e UNION SELECT t.node, e.b FROM t JOIN e ON e.a = t.seen),
+m AS (SELECT node, min(seen) AS label FROM t GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.label, d.doc_id) AS component_id, coalesce(m.label, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.node = d.doc_id""",
+    "op10_substring_dedup": f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM w WHERE len(w) >= 20),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i:i+19], ' ')) AS h FROM g),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM h),
+x AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM r WHERE k > 1),
+x2 AS (SELECT doc_id, list(i) AS gone FROM x GROUP BY doc_id),
+k AS (SELECT w.doc_id, w, coalesce(gone, []) AS gone FROM w LEFT JOIN x2 ON x2.doc_id = w.doc_id),
+y AS (SELECT doc_id, w, gone, list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)) AS stay FROM k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(list_select(w, stay), ' '), '')) AS kept_sha256 FROM y""",
+}
