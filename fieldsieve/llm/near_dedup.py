@@ -140,16 +140,20 @@ def cross_candidates(sets: DataFrame, open_: DataFrame, num: int, den: int) -> D
     by_doc = Window.partitionBy("doc")
     prefix = F.expr(f"n - (n * {num} + {den - 1}) div {den} + 1")
     ranked = shared.withColumn("at", F.row_number().over(by_doc.orderBy("df", "shingle"))).withColumn("lone", F.col("n") - F.count("*").over(by_doc))
-    first = cut(ranked.filter(F.col("at") + F.col("lone") <= prefix).select("shingle", "doc", "label", "n"), "prefixes")
-    labels = first.select("shingle", "label").distinct()
+    # room: how many shingles are left from this one on; two sets that first meet here share no more than the smaller room
+    room = (F.col("n") - F.col("at") - F.col("lone") + 1).alias("room")
+    first = cut(ranked.filter(F.col("at") + F.col("lone") <= prefix).select("shingle", "doc", "label", "n", room), "prefixes")
+    enough = lambda rooms, sizes: F.least(*rooms) * (num + den) >= (F.col(sizes[0]) + F.col(sizes[1])) * num
+    labels = first.groupBy("shingle", "label").agg(F.max("room").alias("room"), F.min("n").alias("n"))
     mixed = labels.groupBy("shingle").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("shingle")
     labels = labels.join(mixed, "shingle", "left_semi")
-    one, other = labels.withColumnRenamed("label", "la"), labels.withColumnRenamed("label", "lb")
-    both = one.join(other, "shingle").filter("la < lb")
-    left = first.select("shingle", F.col("label").alias("la"), F.col("doc").alias("x"), F.col("n").alias("nx"))
-    right = first.select("shingle", F.col("label").alias("lb"), F.col("doc").alias("y"), F.col("n").alias("ny"))
-    met = both.join(left, ["shingle", "la"]).join(right, ["shingle", "lb"])
-    met = met.filter(F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num)
+    one, other = labels.select("shingle", F.col("label").alias("la"), F.col("room").alias("ra"), F.col("n").alias("na")), labels.select("shingle", F.col("label").alias("lb"), F.col("room").alias("rb"), F.col("n").alias("nb"))
+    both = one.join(other, (one.shingle == other.shingle) & (F.col("la") < F.col("lb")) & enough(["ra", "rb"], ["na", "nb"])).select(one.shingle, "la", "lb", "rb", "nb")
+    left = first.select("shingle", F.col("label").alias("la"), F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("room").alias("rx"))
+    right = first.select("shingle", F.col("label").alias("lb"), F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("room").alias("ry"))
+    met = both.join(left, (both.shingle == left.shingle) & (both.la == left.la) & enough(["rx", "rb"], ["nx", "nb"])).select(both.shingle, both.lb, "x", "nx", "rx")
+    alike = F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num
+    met = met.join(right, (met.shingle == right.shingle) & (met.lb == right.lb) & alike & enough(["rx", "ry"], ["nx", "ny"]))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
