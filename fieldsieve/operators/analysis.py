@@ -1,0 +1,230 @@
+"""Analysis of documents: text budgets, the mock analyzer, constraints on results, envelopes, evidence."""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from ..functions.text import OMITTED, for_evidence
+
+# Words of sections that matter, that matter in headings only, and that matter little.
+SECTIONS = "目的 背景 趣旨 現状 課題 事業概要 業務概要 業務内容 委託内容 実施内容 要求仕様 機能要件 非機能要件 提案内容 提案事項 企画提案 成果物 期待する効果 官民連携 オンライン手続".split()
+HEADINGS = "仕様 要件 成果 実証 構築 開発 運用 保守 改善 bpr dx ai データ システム web cms".split()
+MINOR = "参加資格 応募資格 提出方法 提出書類 スケジュール 質問方法 契約手続 支払 著作権 個人情報 様式 審査方法 評価基準 採点 問い合わせ先 問合せ先".split()
+# Closed vocabularies of an analysis, and labels in their order.
+DOCUMENT_TYPES = "rfi sounding private_proposal proposal bid pilot public_private_partnership plan council budget committee administrative_evaluation other".split()
+DOCUMENT_LABELS = "RFI サウンディング 民間提案 プロポーザル 入札 実証事業 官民連携 計画 議会 予算 審議会 行政評価 その他".split()
+NEED_CATEGORIES = "Web・CMS UI・UX サービスデザイン 行政DX BPR・業務改善 オンライン手続き AI・生成AI データ活用 デジタル広報 アプリ・LINE・チャットボット 官民連携・実証 その他".split()
+RELEVANCE = {"A": "A", "B": "B", "C": "C", "out_of_scope": "対象外"}
+CONTACT = {"high": "高", "medium": "中", "low": "低", "none": "不要"}
+STAGES = "duplicate_check html_fetch content_extract pdf_extraction ai_analysis ai_validation notion_schema notion_select_options notion_create".split()
+LEAD, RELEVANT, MOST_RUNS, LEAST_SHARE, LABEL = 1500, 1.5, 10, 0.25, 20
+# Fixed value: numbers that begin a heading.
+_NUMBER = re.compile(r"^(?:[0-9０-９]{1,2}[.．、)）]|[（(][0-9０-９]{1,2}[）)]|第[0-9０-９一二三四五六七八九十]{1,3}[章条項節]|[一二三四五六七八九十]{1,3}[.．、]|[0-9０-９]{1,2}[ 　]+|[一二三四五六七八九十]{1,3}[ 　]+)\s*")
+
+
+def _fold(s: str) -> str:
+    return unicodedata.normalize("NFKC", s).lower()
+
+
+def heading(line: str) -> str | None:
+    """The words of a line that looks like a heading, else None."""
+    line = line.strip()
+    m = _NUMBER.match(line)
+    label = re.split("[ 　\t]", line[m.end() :] if m else line)[0]
+    if not label or len(label) > LABEL or "。" in label or "、" in label:
+        return None
+    return label if m or not (len(line) > LABEL or line.endswith(("。", "、"))) else None
+
+
+def unit_score(unit: str) -> tuple[float, int]:
+    """(score, headings) of a page or paragraph."""
+    labels = [_fold(x) for line in unit.split("\n") if (x := heading(line)) is not None]
+    has = lambda text, words: any(_fold(w) in text for w in words)
+    body = _fold(unit)
+    good = sum(has(x, SECTIONS) or has(x, HEADINGS) for x in labels)
+    minor = sum(has(x, MINOR) for x in labels)
+    return 4 * min(good, 4) + min(sum(_fold(w) in body for w in SECTIONS), 5) - 3 * min(minor, 4) - 0.5 * min(sum(_fold(w) in body for w in MINOR), 5), len(labels)
+
+
+def cut_middle(text: str, most: int) -> str:
+    if len(text) <= most:
+        return text
+    room = most - len(OMITTED)
+    if room <= 0:
+        return text[:most]
+    head = -(-room * 7 // 10)
+    return text[:head] + OMITTED + (text[len(text) - (room - head) :] if room > head else "")
+
+
+def _joined(chosen: list[int], units: list[str]) -> tuple[str, int]:
+    """The chosen units in order, the marker where others are left out between, and the number of runs."""
+    runs: list[list[int]] = []
+    for k in chosen:
+        if runs and runs[-1][-1] == k - 1:
+            runs[-1].append(k)
+        else:
+            runs.append([k])
+    return OMITTED.join("\n\n".join(units[k] for k in r) for r in runs), len(runs)
+
+
+def choose_text(text: str, pages: list[str] | None, budget: int) -> tuple[str, str, int]:
+    """(text, strategy, runs): whole if it fits; else the units that matter; else head and tail."""
+    if budget < 1:
+        return "", "full", 0
+    if len(text) <= budget:
+        return text, "full", 1
+    units = list(pages) if pages and len(pages) > 1 and "\n\n".join(pages).strip() == text and max(map(len, pages)) <= budget else []
+    if not units:
+        units = [p for part in re.split("\n{2,}", text) if (p := part.strip())]
+    plain = (cut_middle(text, budget), "fallback_truncate", 2)
+    if len(units) < 2 or max(map(len, units)) > budget:
+        return plain
+    scores = [unit_score(u) for u in units]
+    if not any(h for _, h in scores) or max(s for s, _ in scores) < RELEVANT:
+        return plain
+    size, ranked, taken, used = [len(u) for u in units], sorted(range(len(units)), key=lambda k: (-scores[k][0], k)), set(), 0
+
+    def take(k: int) -> bool:
+        nonlocal used
+        if k >= len(units) or k in taken or used + size[k] > budget:
+            return False
+        taken.add(k)
+        used += size[k]
+        return True
+
+    lead = 0
+    while lead < len(units) and used + size[lead] <= LEAD and take(lead):
+        lead += 1
+    for k in ranked:
+        if scores[k][0] >= RELEVANT:
+            take(k)
+            take(k + 1)
+    while (near := next((k for k in ranked if k not in taken and (k - 1 in taken or k + 1 in taken) and used + size[k] <= budget), None)) is not None:
+        take(near)
+    chosen = sorted(taken)
+    while chosen and len(made := _joined(chosen, units)[0]) > budget:
+        if len(chosen) == 1:
+            return plain
+        chosen.remove(min(chosen, key=lambda k: (scores[k][0], k)))
+    if not chosen:
+        return plain
+    made, runs = _joined(chosen, units)
+    if runs > MOST_RUNS or sum(size[k] for k in chosen) < budget * LEAST_SHARE:
+        return plain
+    return made, "relevant_chunks", runs
+
+
+def chosen_texts(docs: DataFrame, text: str, budget: int, pages: str | None = None) -> DataFrame:
+    """`docs` with sent_text, strategy, chunk_count; only texts over the budget pass through Python."""
+
+    @F.pandas_udf("sent_text string, strategy string, chunk_count int")
+    def pick(t: pd.Series, p: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([choose_text(a or "", list(b) if b is not None else None, budget) for a, b in zip(t, p)], columns=["sent_text", "strategy", "chunk_count"])
+
+    short = docs.filter(F.length(text) <= budget).select("*", F.col(text).alias("sent_text"), F.lit("full").alias("strategy"), F.lit(1).alias("chunk_count"))
+    over = docs.filter(F.length(text) > budget)
+    of = F.col(pages) if pages else F.lit(None).cast("array<string>")
+    picked = over.withColumn("_c", pick(F.col(text), of)).select(*docs.columns, "_c.sent_text", "_c.strategy", "_c.chunk_count")
+    return short.unionByName(picked)
+
+
+def first_quote(c: Column) -> Column:
+    """The first line of ten characters or more, cut at 120; else the text's first 120."""
+    line = F.get(F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= 10), F.lit(0))
+    return F.left(F.coalesce(line, F.trim(c)), F.lit(120))
+
+
+def mock_analysis(docs: DataFrame, text: str = "text", url: str = "url") -> DataFrame:
+    """The deterministic analyzer, in SQL alone."""
+    quote = F.struct(F.lit("html").alias("source_type"), F.col(url).alias("source_url"), first_quote(F.col(text)).alias("quote"))
+    fields = {"is_target": F.lit(True), "document_type": F.lit("rfi"), "problem_summary": F.lit("mock"), "desired_state": F.lit("mock"), "request_to_private_sector": F.lit("mock"), "categories": F.array(F.lit("行政DX")), "company_relevance": F.lit("B"), "contact_recommendation": F.lit("medium"), "reason": F.lit("mock"), "evidence_quotes": F.array(quote)}
+    return docs.withColumns(fields)
+
+
+def analysis_issues(is_target: Column, categories: Column, relevance: Column, contact: Column, reason: Column) -> Column:
+    """Names of broken constraints, in a fixed order; an empty array is a valid analysis."""
+    size = F.size(categories)
+    checks = [
+        ("categories_missing", is_target & (size == 0)), ("categories_of_non_target", ~is_target & (size > 0)), ("too_many_categories", size > 3),
+        ("repeated_category", F.size(F.array_distinct(categories)) != size), ("other_is_exclusive", F.array_contains(categories, "その他") & (size > 1)),
+        ("relevance_of_non_target", ~is_target & (relevance != "out_of_scope")), ("contact_of_non_target", ~is_target & (contact != "none")),
+        ("contact_out_of_scope", (relevance == "out_of_scope") & (contact != "none")), ("high_needs_a_or_b", (contact == "high") & ~relevance.isin("A", "B")),
+        ("reason", (F.length(F.trim(reason)) < 1) | (F.length(F.trim(reason)) > 2000)),
+    ]
+    return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in checks]))
+
+
+def unfenced(c: Column) -> Column:
+    """What a code fence around the whole string holds; other strings trimmed."""
+    t = F.trim(c)
+    inner = F.regexp_extract(t, r"(?is)^```(?:json)?[ \t]*\r?\n(.*?)\r?\n[ \t]*```$", 1)
+    return F.when(inner != "", inner).otherwise(t)
+
+
+def envelope_stage(c: Column) -> Column:
+    """The stage at which an analyzer's envelope fails (1 to 5, 7), or 0."""
+    v = F.try_parse_json(c)
+    text = lambda path: F.try_variant_get(v, path, "string")
+    result = text("$.result")
+    kind = F.schema_of_variant(v)
+    return (
+        F.when(v.isNull() | ~F.startswith(kind, F.lit("OBJECT")), 1).when(~F.coalesce(text("$.type") == "result", F.lit(False)), 2).when(~F.coalesce(text("$.subtype") == "success", F.lit(False)), 3)
+        .when(~F.coalesce(~F.try_variant_get(v, "$.is_error", "boolean"), F.lit(False)), 4).when(result.isNull(), 5).when(F.try_parse_json(unfenced(result)).isNull(), 7).otherwise(0)
+    )
+
+
+def evidence_found(quotes: DataFrame, texts: DataFrame, keys: list[str], quote: str = "quote", text: str = "text") -> DataFrame:
+    """`quotes` with matched: whether the text of the same keys, and no other, holds the quote; both normalised."""
+    of = texts.select(*keys, for_evidence(F.col(text)).alias("_t"))
+    rows = quotes.withColumn("_q", for_evidence(F.col(quote))).join(of, keys, "left")
+    return rows.withColumn("matched", F.coalesce((F.col("_q") != "") & F.contains("_t", F.col("_q")), F.lit(False))).drop("_q", "_t")
+
+
+class Analyzers:
+    """Providers by name; a provider turns a DataFrame of inputs into one of analyses."""
+
+    def __init__(self) -> None:
+        self._known = {"mock": mock_analysis}
+
+    def register(self, name: str, provider) -> None:
+        self._known[name] = provider
+
+    def get(self, name: str, write: bool = False):
+        if name not in self._known:
+            raise KeyError(f"no analyzer {name!r}")
+        if write and name == "mock":
+            raise ValueError("the mock analyzer's results are never written")
+        return self._known[name]
+
+
+def exact_sum(values: Iterator[float]) -> float:
+    """The correctly rounded sum; infinities and NaN as in IEEE, of nothing -0.0."""
+    import math
+
+    v = list(values)
+    if not v or all(x == 0 and math.copysign(1, x) < 0 for x in v):
+        return -0.0
+    if any(x != x for x in v) or {math.inf, -math.inf} <= set(v):
+        return math.nan
+    if math.inf in v or -math.inf in v:
+        return math.inf if math.inf in v else -math.inf
+    try:
+        return math.fsum(v)
+    except OverflowError:
+        from fractions import Fraction
+
+        total = sum(map(Fraction, v))
+        try:
+            return float(total)
+        except OverflowError:
+            return math.inf if total > 0 else -math.inf
+
+
+@F.pandas_udf(T.DoubleType())
+def exact_sum_agg(v: pd.Series) -> float:
+    return exact_sum(x for x in v.tolist() if x is not None)

@@ -1,6 +1,507 @@
-"""Registered queries of the engine's own operators, with SQL that gives the same rows."""
+"""Registered queries of the engine's own operators over the tables, with SQL that gives the same rows.
+
+Timestamps of the tables have no zone and stay so. Every query runs over whole tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from ..functions import dates, text, urls
+from ..operators import analysis, dedup, hierarchy, rules, select
+from ..sources import feeds, html
+from . import catalog, collection
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+_WS = "' \t\n\r\f\x0b'"
+
+
+@query("""
+WITH l(c_mktsegment) AS (VALUES ('AUTOMOBILE'), ('BUILDING'), ('FURNITURE'), ('HOUSEHOLD'), ('MACHINERY')),
+g AS (SELECT r_name, c_mktsegment, count(DISTINCT n_nationkey) AS organizations, count(*) AS sources, count(*) FILTER (c_acctbal > 0) AS active
+      FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2)
+SELECT r.r_name, l.c_mktsegment, coalesce(organizations, 0) AS organizations, coalesce(sources, 0) AS sources, coalesce(active, 0) AS active
+FROM region r CROSS JOIN l LEFT JOIN g ON g.r_name = r.r_name AND g.c_mktsegment = l.c_mktsegment""")
+def catalog_region_grid(spark, d):
+    """Every region with every layer and its counts; customers are sources, nations organizations."""
+    dim = t(spark, d, "nation").join(F.broadcast(t(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = t(spark, d, "customer").join(F.broadcast(dim), F.col("c_nationkey") == F.col("n_nationkey"))
+    counts = rows.groupBy("r_name", "c_mktsegment").agg(F.count_distinct("n_nationkey").alias("organizations"), F.count("*").alias("sources"), F.count_if(F.col("c_acctbal") > 0).alias("active"))
+    layers = spark.createDataFrame([(s,) for s in SEGMENTS], "c_mktsegment string")
+    return catalog.grid(counts, t(spark, d, "region"), layers, ("r_name", "c_mktsegment"), ["organizations", "sources", "active"])
+
+
+@query("""
+SELECT n_name, count(*) AS n, md5(string_agg(s.status || ':' || c_name, ',' ORDER BY s.status, c_name)) AS sources_md5
+FROM (SELECT *, CASE WHEN c_acctbal > 0 THEN 'active' ELSE 'inactive' END AS status FROM customer) s JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
+def catalog_nested(spark, d):
+    """Sources in order below their organization."""
+    status = F.when(F.col("c_acctbal") > 0, "active").otherwise("inactive")
+    rows = t(spark, d, "customer").join(F.broadcast(t(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", F.struct(status.alias("status"), "c_name").alias("s"))
+    nested = rows.groupBy("n_name").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("s")).alias("sources"))
+    return nested.select("n_name", "n", F.md5(F.array_join(F.transform("sources", lambda x: F.concat(x["status"], F.lit(":"), x["c_name"])), ",")).alias("sources_md5"))
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0 AND s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 0)")
+def enabled_sources(spark, d):
+    """Enabled sources of enabled organizations."""
+    orgs = t(spark, d, "nation").filter("n_regionkey <> 0").select("n_nationkey")
+    return t(spark, d, "supplier").filter("s_acctbal > 0").join(F.broadcast(orgs), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select("s_suppkey", "s_name")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def fk_violations(spark, d):
+    return t(spark, d, "customer").select("c_custkey").join(t(spark, d, "orders").select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+
+
+_PRINT = f"sha256(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
+
+
+@query(f"SELECT doc_id, first_doc_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY {_PRINT}) AS first_doc_id FROM documents) WHERE doc_id > first_doc_id")
+def unique_violations(spark, d):
+    """Rows that repeat a value, with the first row that has it. The first is a map-side aggregate, so a value of very many rows is no hot window."""
+    rows = t(spark, d, "documents").select("doc_id", text.fingerprint(F.col("text")).alias("p"))
+    first = rows.groupBy("p").agg(F.min("doc_id").alias("first_doc_id"))
+    return rows.join(first, "p").filter("doc_id > first_doc_id").select("doc_id", "first_doc_id")
+
+
+_UP = """WITH RECURSIVE up(node, ancestor, parent, depth) AS (
+  SELECT s_suppkey, s_suppkey, CASE WHEN s_suppkey // 2 > 0 THEN s_suppkey // 2 END, 0 FROM supplier
+  UNION ALL SELECT u.node, s.s_suppkey, CASE WHEN s.s_suppkey // 2 > 0 THEN s.s_suppkey // 2 END, u.depth + 1 FROM up u JOIN supplier s ON s.s_suppkey = u.parent)"""
+
+
+def _tree(spark, d):
+    return t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.expr("CASE WHEN s_suppkey div 2 > 0 THEN s_suppkey div 2 END").alias("parent"), F.concat(F.lit("d"), (F.col("s_suppkey") % 7).cast("string")).alias("domain"))
+
+
+@query(_UP + " SELECT node, max_by(ancestor, depth) AS root, max(depth) AS depth FROM up GROUP BY node")
+def hierarchy_root(spark, d):
+    return hierarchy.roots(hierarchy.closure(_tree(spark, d), "id", "parent"))
+
+
+@query(_UP + """, a AS (SELECT node, 'd' || (ancestor % 7) AS dom, min(depth) AS depth FROM up WHERE depth > 0 GROUP BY 1, 2)
+SELECT s_suppkey AS node, coalesce((SELECT string_agg(dom, ',' ORDER BY depth) FROM a WHERE a.node = s_suppkey AND dom <> 'd' || (s_suppkey % 7)), '') AS domains FROM supplier""")
+def ancestor_domains(spark, d):
+    tree = _tree(spark, d)
+    found = hierarchy.ancestor_domains(hierarchy.closure(tree, "id", "parent"), tree.select("id", "domain"))
+    return found.select("node", F.array_join("domains", ",").alias("domains"))
+
+
+@query("""
+WITH u AS (SELECT page_id AS pos, url FROM pages UNION ALL SELECT page_id + 1000000000, url || '#again' FROM pages),
+r AS (SELECT pos, url, regexp_replace(url, '#.*$', '') AS canonical_url, row_number() OVER (PARTITION BY regexp_replace(url, '#.*$', '') ORDER BY pos) AS k FROM u)
+SELECT pos, url, canonical_url FROM r WHERE k = 1""")
+def first_wins_dedup(spark, d):
+    """First of each canonical URL; every page comes again with a fragment."""
+    pages = t(spark, d, "pages").select(F.col("page_id").alias("pos"), "url")
+    both = pages.union(pages.select(F.col("pos") + 1000000000, F.concat("url", F.lit("#again"))))
+    return dedup.first_wins(both.withColumn("canonical_url", urls.canonical(F.col("url"))), ["canonical_url"], ["pos"])
+
+
+@query("SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 AS input_duplicate FROM documents")
+def input_duplicate_flag(spark, d):
+    rows = t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("p"))
+    return dedup.flag_repeats(rows, ["p"], ["doc_id"]).drop("p")
+
+
+_HOST = r"lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]*)', 1))"
+
+
+@query(f"""
+WITH b AS (SELECT page_id AS pos, page_id % 5 AS source_id, CASE WHEN page_id % 11 = 3 THEN '' WHEN page_id % 13 = 4 THEN 'no url' ELSE url END AS url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages),
+e AS (SELECT *, CASE WHEN trim(title) = '' OR trim(url) = '' THEN '必須項目不足' WHEN regexp_extract(url, '^([A-Za-z]+):', 1) = '' THEN '不正なURL'
+   WHEN NOT ({_HOST} = 'example.com' OR ends_with({_HOST}, '.example.com') OR {_HOST} = 'site1.example.org') THEN '外部ドメインまたは非HTTP URL' END AS early FROM b),
+k AS (SELECT *, CASE WHEN early IS NULL AND row_number() OVER (PARTITION BY source_id, regexp_replace(url, '#.*$', ''), early IS NULL ORDER BY pos) > 1 THEN '重複URL' END AS late FROM e),
+r AS (SELECT source_id, pos, coalesce(early, late, CASE WHEN contains(lower(replace(title, ' ', '')), 'th') THEN 'title_excludesで除外' END) AS reason FROM k)
+SELECT source_id, reason, count(*) AS n, min(pos) AS first_pos FROM r WHERE reason IS NOT NULL GROUP BY 1, 2""")
+def exclusion_counts(spark, d):
+    """Reasons per source, first seen first."""
+    url = F.when(F.col("page_id") % 11 == 3, "").when(F.col("page_id") % 13 == 4, "no url").otherwise(F.col("url"))
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    rows = t(spark, d, "pages").select(
+        F.col("page_id").alias("pos"), (F.col("page_id") % 5).alias("source_id"), url.alias("url"), title.alias("title"), text.for_match(title).alias("norm_title"), F.lit("example.com").alias("domain"),
+        F.lit("https://example.com/none").alias("source_url"), F.array().cast("array<string>").alias("includes"), F.array(F.lit("th")).alias("excludes"),
+    )
+    return rules.exclusion_counts(rules.judged(rows))
+
+
+@query(f"SELECT page_id, {_HOST} AS host, ({_HOST} = 'example.com' OR ends_with({_HOST}, '.example.com')) AS allowed, starts_with(url, 'http://') AS plain, regexp_replace(url, '#.*$', '') AS canonical_url FROM pages")
+def host_suffix(spark, d):
+    host = urls.host(F.col("url"))
+    return t(spark, d, "pages").select("page_id", host.alias("host"), urls.allowed(host, F.array(F.lit("example.com"))).alias("allowed"), F.startswith("url", F.lit("http://")).alias("plain"), urls.canonical(F.col("url")).alias("canonical_url"))
+
+
+_RANGES = ", ".join(f"('{n}', {lo}, {hi})" for n, lo, hi in urls.ipv4_ranges())
+
+
+@query(f"""
+WITH b(network, lo, hi) AS (VALUES {_RANGES}), e AS (SELECT event_id, (event_id * 2654435761) % 4294967296 AS ip FROM events)
+SELECT event_id, network FROM e JOIN b ON ip BETWEEN lo AND hi""")
+def cidr_membership(spark, d):
+    """Addresses in blocked networks. The networks are a fixed list of 14, so it is an array to look in, not a join."""
+    ranges = F.array(*[F.struct(F.lit(n).alias("network"), F.lit(lo).cast("long").alias("lo"), F.lit(hi).cast("long").alias("hi")) for n, lo, hi in urls.ipv4_ranges()])
+    rows = t(spark, d, "events").select("event_id", ((F.col("event_id") * 2654435761) % 4294967296).alias("ip"))
+    hit = F.filter(ranges, lambda r: (F.col("ip") >= r["lo"]) & (F.col("ip") <= r["hi"]))
+    return rows.select("event_id", F.explode(hit).alias("r")).select("event_id", "r.network")
+
+
+@query("""
+SELECT page_id, CASE WHEN contains(t, 'the') THEN 'title_excludesで除外' WHEN NOT (contains(t, 'er') OR contains(t, 'an')) THEN 'title_includesで除外' END AS reason
+FROM (SELECT page_id, lower(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', '', 'g')) AS t FROM pages)""")
+def title_rules(spark, d):
+    rows = t(spark, d, "pages").select("page_id", text.for_match(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("t"))
+    return rows.select("page_id", rules.title_verdict(F.col("t"), F.array(F.lit("er"), F.lit("an")), F.array(F.lit("the"))).alias("reason"))
+
+
+_LAST = "(SELECT user_id, CAST(max(ts) AS DATE) AS last FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY user_id)"
+_PUB = "CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 19 = 0 THEN DATE '2099-01-01' ELSE CAST(ts AS DATE) END"
+
+
+@query(f"""
+SELECT event_id, CASE WHEN p IS NULL OR p > DATE '2024-01-28' THEN 'unknown' WHEN p >= since THEN 'in' ELSE 'out' END AS period
+FROM (SELECT event_id, {_PUB} AS p, coalesce(greatest(last - 3, DATE '2024-01-05'), DATE '2024-01-05') AS since FROM events e LEFT JOIN {_LAST} s ON s.user_id = e.user_id)""")
+def period_filter(spark, d):
+    """Three-way period with a three-day look-back per user."""
+    events = t(spark, d, "events")
+    last = events.filter(F.col("ts") < F.expr("TIMESTAMP_NTZ '2024-01-15'")).groupBy("user_id").agg(F.max("ts").cast("date").alias("last"))
+    since = dates.effective_since(F.col("last"), F.expr("DATE'2024-01-05'"), F.lit(None).cast("date"))
+    published = F.when(F.col("event_id") % 17 == 0, None).when(F.col("event_id") % 19 == 0, F.expr("DATE'2099-01-01'")).otherwise(F.col("ts").cast("date"))
+    return events.join(last, "user_id", "left").select("event_id", rules.period_state(published, since, F.expr("DATE'2024-01-28'")).alias("period"))
+
+
+@query("""
+WITH s AS (SELECT CASE WHEN page_id % 3 = 0 THEN replace(url, 'http://', 'https://') ELSE url END AS u FROM pages WHERE page_id % 2 = 1)
+SELECT page_id, url FROM pages WHERE url NOT IN (SELECT u FROM s) AND NOT (starts_with(url, 'http://') AND 'https://' || substr(url, 8) IN (SELECT u FROM s))""")
+def new_candidates_anti(spark, d):
+    """Pages that the sink has neither as they are nor with https."""
+    pages = t(spark, d, "pages").select("page_id", "url")
+    sink = pages.filter("page_id % 2 = 1").select(F.when(F.col("page_id") % 3 == 0, F.replace("url", F.lit("http://"), F.lit("https://"))).otherwise(F.col("url")).alias("official_url"))
+    return rules.new_candidates(pages, sink, "url", "official_url").select("page_id", "url")
+
+
+_AHEAD = "OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@query(f"""
+SELECT event_id, CASE WHEN event_type NOT IN ('view', 'purchase') THEN 'known' WHEN coalesce(sum(CAST(event_type IN ('view', 'purchase') AS INT)) {_AHEAD}, 0) < 5 THEN 'processed' ELSE 'remaining' END AS state FROM events""")
+def limit_after_anti(spark, d):
+    """Only new rows take up the limit of five."""
+    return select.limit_new(t(spark, d, "events"), ["user_id"], ["event_id"], F.col("event_type").isin("view", "purchase"), 5).select("event_id", "state")
+
+
+@query(f"SELECT event_id, coalesce(sum(CAST(event_type = 'error' AS INT)) {_AHEAD}, 0) = 0 AS started FROM events")
+def circuit_breaker(spark, d):
+    return select.breaker(t(spark, d, "events"), ["user_id"], ["event_id"], F.col("event_type") == "error").select("event_id", "started")
+
+
+@query(f"""
+WITH c AS (SELECT user_id, event_id, CAST(ts AS DATE) AS p, event_type IN ('view', 'purchase', 'error') AS is_new, event_type = 'error' AND value > 90 AS hit, event_type = 'error' AS bad FROM events),
+f AS (SELECT * FROM c WHERE p > DATE '2024-01-29' OR p >= DATE '2024-01-10'),
+l AS (SELECT *, CASE WHEN NOT is_new THEN 'known' WHEN coalesce(sum(CAST(is_new AS INT)) {_AHEAD}, 0) < 20 THEN 'processed' ELSE 'remaining' END AS state FROM f),
+b AS (SELECT *, coalesce(sum(CAST(state = 'processed' AND hit AS INT)) {_AHEAD}, 0) = 0 AS started FROM l),
+g AS (SELECT user_id AS source_id, count(*) AS in_period, count(*) FILTER (is_new) AS new, count(*) FILTER (state = 'processed' AND started) AS processed, count(*) FILTER (state = 'remaining') AS remaining,
+        count(*) FILTER (state = 'processed' AND started AND bad) AS failed, bool_or(state = 'processed' AND started AND hit) AS limit_hit FROM b GROUP BY user_id),
+r AS (SELECT * EXCLUDE (limit_hit), CASE WHEN limit_hit THEN '{rules.NOT_ADVANCED[0]}' WHEN failed > 0 THEN '{rules.NOT_ADVANCED[3]}' WHEN remaining > 0 THEN '{rules.NOT_ADVANCED[4]}' END AS reason FROM g)
+SELECT *, reason IS NULL AS advanced FROM r""")
+def commit_state(spark, d):
+    """A run over all users at once: funnel counts and whether the state advances."""
+    new = F.col("event_type").isin("view", "purchase", "error")
+    rows = t(spark, d, "events").select(
+        F.col("user_id").alias("source_id"), F.col("event_id").alias("pos"), F.col("event_id").cast("string").alias("url"), F.col("ts").cast("date").alias("published"), F.expr("DATE'2024-01-10'").alias("since"),
+        F.expr("DATE'2024-01-29'").alias("run_date"), new.alias("is_new"), ((F.col("event_type") == "error") & (F.col("value") > 90)).alias("limit_hit"), (F.col("event_type") == "error").alias("bad"),
+    )
+    return collection.funnel(collection.process(rows, 20), F.col("bad"))
+
+
+@query("""
+SELECT coalesce(event_type, 'total') AS outcome, count(*) AS n, count(DISTINCT user_id) AS sources FROM events GROUP BY ROLLUP (event_type)""")
+def batch_totals(spark, d):
+    """Counts by outcome with a grand total."""
+    return t(spark, d, "events").rollup("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("sources")).select(F.coalesce("event_type", F.lit("total")).alias("outcome"), "n", "sources")
+
+
+_WORDS = {"high": ["token", "licensed"], "medium": ["is ", "example"], "low": ["the", "de "]}
+_CLASS = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in ws) + f" THEN '{k}'" for k, ws in _WORDS.items()) + " ELSE 'other' END"
+_RANK = "CASE class WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'other' THEN 2 ELSE 3 END"
+
+
+@query(f"""
+WITH c AS (SELECT doc_id, source, {_CLASS} AS class FROM documents), k AS (SELECT *, max(CAST(class <> 'low' AS INT)) OVER (PARTITION BY source) AS other FROM c),
+r AS (SELECT doc_id, source, class, row_number() OVER (PARTITION BY source ORDER BY {_RANK}, doc_id) AS rank FROM k WHERE other = 0 OR class <> 'low')
+SELECT doc_id, source, class, rank FROM r WHERE rank <= 3""")
+def priority_topk(spark, d):
+    """The three most important attachments of each source; low ones only where there is nothing else.
+
+    Two aggregations of bounded state, no window over a whole source: the best three of each class and source are kept by a
+    ranked window whose rows Spark limits before the shuffle.
+    """
+    low = F.lower("text")
+    rows = t(spark, d, "documents").select("doc_id", "source", text.priority(low, high=_WORDS["high"], medium=_WORDS["medium"], low=_WORDS["low"]).alias("class"))
+    rank = F.when(F.col("class") == "high", 0).when(F.col("class") == "medium", 1).when(F.col("class") == "other", 2).otherwise(3)
+    best = rows.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(rank, "doc_id"))).filter("rank <= 3")
+    # low ones come last, so where a source has another one the lows among its best are just dropped
+    other = F.max((F.col("class") != "low").cast("int")).over(Window.partitionBy("source")) == 1
+    return best.withColumn("other", other).filter(~F.col("other") | (F.col("class") != "low")).drop("other").select("doc_id", "source", "class", "rank")
+
+
+@query(f"""
+WITH b AS (SELECT doc_id, source, {_PRINT} AS p, doc_id % 7 <> 0 AND length(text) >= 200 AS ok, doc_id % 7 = 0 AS bad FROM documents),
+f AS (SELECT *, ok AND row_number() OVER (PARTITION BY source, p, ok ORDER BY doc_id) = 1 AS first FROM b),
+u AS (SELECT *, coalesce(sum(CAST(first OR bad AS INT)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 4 AS attempted FROM f)
+SELECT doc_id, attempted, attempted AND first AS accepted FROM u""")
+def slot_selection(spark, d):
+    """Four slots a source: failures and first contents take one, repeats and short texts none."""
+    ok = (F.col("doc_id") % 7 != 0) & (F.col("len") >= 200)
+    rows = t(spark, d, "documents").select("doc_id", "source", text.fingerprint(F.col("text")).alias("p"), F.length("text").alias("len"))
+    return select.slot_selection(rows, ["source"], ["doc_id"], ok, F.col("doc_id") % 7 == 0, "p", 4).select("doc_id", "attempted", "accepted")
+
+
+@query("""
+WITH RECURSIVE d AS (SELECT doc_id, doc_id // 8 AS page, least(n_chars, 20000) AS cap FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY cap, doc_id) AS k, count(*) OVER (PARTITION BY page) AS n, sum(cap) OVER (PARTITION BY page) AS total FROM d),
+f AS (SELECT page, 1 AS k, n, CAST(6000 AS BIGINT) AS rest, true AS going, CAST(0 AS BIGINT) AS gone FROM o WHERE k = 1
+      UNION ALL SELECT f.page, f.k + 1, f.n, CASE WHEN f.going AND o.cap <= f.rest // (f.n - f.k + 1) THEN f.rest - o.cap ELSE f.rest END, f.going AND o.cap <= f.rest // (f.n - f.k + 1),
+        CASE WHEN f.going AND o.cap <= f.rest // (f.n - f.k + 1) THEN f.k ELSE f.gone END FROM f JOIN o ON o.page = f.page AND o.k = f.k),
+z AS (SELECT page, max_by(rest, k) AS rest, max(gone) AS gone FROM f GROUP BY page),
+y AS (SELECT o.*, z.rest, o.n - z.gone AS m, o.k <= z.gone AS fits, row_number() OVER (PARTITION BY o.page, o.k <= z.gone ORDER BY doc_id) AS i FROM o JOIN z ON z.page = o.page)
+SELECT doc_id, CAST(CASE WHEN total <= 6000 OR fits THEN cap ELSE rest // m + CASE WHEN i <= rest % m THEN 1 ELSE 0 END END AS BIGINT) AS budget FROM y""")
+def water_fill(spark, d):
+    """6,000 characters for each page of eight attachments."""
+    rows = t(spark, d, "documents").select("doc_id", F.expr("doc_id div 8").alias("page"), "n_chars")
+    return select.water_fill(rows, ["page"], ["doc_id"], "n_chars", 6000, 20000).select("doc_id", "budget")
+
+
+_HEAD = -(-(1000 - len(text.OMITTED)) * 7 // 10)
+
+
+@query(f"SELECT doc_id, sha256(CASE WHEN length(text) <= 1000 THEN text ELSE left(text, {_HEAD}) || chr(10) || chr(10) || '{text.OMITTED.strip()}' || chr(10) || chr(10) || right(text, {1000 - len(text.OMITTED) - _HEAD}) END) AS sent_sha256 FROM documents")
+def truncate_head_tail(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.sha2(text.head_tail(F.col("text"), 1000), 256).alias("sent_sha256"))
+
+
+@query("SELECT doc_id, CAST(i AS INTEGER) AS part, sha256(substr(text, i * 2000 + 1, 2000)) AS part_sha256 FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 2000.0) AS BIGINT))) AS i FROM documents)")
+def rich_text_chunks(spark, d):
+    rows = t(spark, d, "documents").select("doc_id", F.posexplode(text.chunks(F.col("text"))).alias("part", "x"))
+    return rows.select("doc_id", "part", F.sha2("x", 256).alias("part_sha256"))
+
+
+@query(f"SELECT doc_id, {_PRINT} AS fingerprint FROM documents")
+def content_fingerprint(spark, d):
+    return t(spark, d, "documents").select("doc_id", text.fingerprint(F.col("text")).alias("fingerprint"))
+
+
+@query("SELECT page_id, md5(trim(regexp_replace(html, '\\s+', ' ', 'g'))) AS squeezed_md5, md5(replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS escaped_md5 FROM pages")
+def whitespace_norm(spark, d):
+    return t(spark, d, "pages").select("page_id", F.md5(text.squeeze(F.col("html"))).alias("squeezed_md5"), F.md5(text.escaped(F.col("url"))).alias("escaped_md5"))
+
+
+@query("""
+SELECT user_id, min(g) AS first_at, max(g) AS last_at, count(*) AS length FROM (SELECT user_id, g, g - row_number() OVER (PARTITION BY user_id ORDER BY g) AS r FROM (SELECT DISTINCT user_id, event_id // 200 AS g FROM events)) GROUP BY user_id, r""")
+def islands(spark, d):
+    """Runs of consecutive blocks of events per user."""
+    rows = t(spark, d, "events").select("user_id", F.expr("event_id div 200").alias("g")).distinct()
+    return dedup.islands(rows, ["user_id"], "g")
+
+
+@query("""
+WITH b AS (SELECT o_orderkey, o_orderkey % 5 AS k, o_orderdate AS o FROM orders)
+SELECT o_orderkey, CAST(CASE WHEN k IN (0, 1) THEN CAST(o + INTERVAL 30 YEAR AS DATE) WHEN k = 2 AND year(o) >= 1994 THEN CAST(make_date(year(o) + 26, month(o), least(day(o), 28)) AS DATE) WHEN k = 3 AND NOT (month(o) = 2 AND day(o) > 28) THEN CAST(o + INTERVAL 30 YEAR AS DATE) END AS VARCHAR) AS published FROM b""")
+def parse_dates(spark, d):
+    """Dates written in several notations, and one that doesn't exist."""
+    o = F.col("o_orderdate")
+    later, k = F.add_months(o.cast("date"), 360), F.col("o_orderkey") % 5
+    y, m, day = F.year(later), F.month(o), F.dayofmonth(o)
+    era = F.when(F.year(o) >= 1994, F.concat(F.lit("（令和"), (F.year(o) + 26 - 2018).cast("string"), F.lit("年"), m.cast("string"), F.lit("月"), F.least(day, F.lit(28)).cast("string"), F.lit("日）")))
+    names = F.element_at(F.array(*[F.lit(x) for x in dates.MONTHS]), m)
+    mail = F.when(~((m == 2) & (day > 28)), F.concat(day.cast("string"), F.lit(" "), names, F.lit(" "), y.cast("string")))
+    written = (
+        F.when(k == 0, F.concat(F.lit("公開 "), y.cast("string"), F.lit("年"), m.cast("string"), F.lit("月"), F.dayofmonth(later).cast("string"), F.lit("日"))).when(k == 1, F.date_format(later, "yyyy/M/d"))
+        .when(k == 2, era).when(k == 3, mail).otherwise(F.concat(y.cast("string"), F.lit("-13-01 "), F.lit("令和5年1月1日")))
+    )
+    return t(spark, d, "orders").select("o_orderkey", dates.date_candidate(written).cast("string").alias("published"))
+
+
+_EV = "trim(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '([^0-9A-Za-z]) | ([^0-9A-Za-z])', '\\1\\2', 'g'))"
+
+
+@query("""
+WITH q AS (SELECT doc_id, left(text, 40) AS quote FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'no such words' FROM documents WHERE doc_id % 2 = 1)
+SELECT doc_id, doc_id % 2 = 0 AS matched FROM q WHERE trim(quote) <> ''""")
+def evidence_match(spark, d):
+    """Quotes against the text of their own document only; every other quote is made up."""
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    quotes = docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.left("text", F.lit(40))).otherwise("no such words").alias("quote")).filter("trim(quote) <> ''")
+    return analysis.evidence_found(quotes, docs, ["doc_id"]).select("doc_id", "matched")
+
+
+@query("""
+WITH w AS (SELECT user_id, CASE event_type WHEN 'view' THEN 'pdf_limit' WHEN 'click' THEN 'pdf_warning' WHEN 'error' THEN 'content_warning' ELSE 'pdf_failed' END AS code, CASE WHEN event_id % 2 = 0 THEN 'japanese_character_spacing' END AS detail FROM events),
+s AS (SELECT user_id, code = 'pdf_limit' OR (code = 'pdf_warning' AND coalesce(detail, '') = 'japanese_character_spacing') AS notice FROM w)
+SELECT user_id, count(*) FILTER (notice) AS notices, count(*) FILTER (NOT notice) AS warnings FROM s GROUP BY user_id""")
+def severity_counts(spark, d):
+    kind = F.col("event_type")
+    code = F.when(kind == "view", "pdf_limit").when(kind == "click", "pdf_warning").when(kind == "error", "content_warning").otherwise("pdf_failed")
+    level = rules.severity(code, F.when(F.col("event_id") % 2 == 0, "japanese_character_spacing"), F.lit("text"))
+    return t(spark, d, "events").select("user_id", level.alias("level")).groupBy("user_id").agg(F.count_if(F.col("level") == "notice").alias("notices"), F.count_if(F.col("level") == "warning").alias("warnings"))
+
+
+@query("""
+SELECT user_id, count(*) FILTER (event_type = 'view') AS ok, count(*) FILTER (event_type = 'click') AS warning, count(*) FILTER (event_type = 'error') AS error,
+  count(*) FILTER (event_type NOT IN ('view', 'click', 'error')) AS unsupported, bool_and(event_type <> 'error') AS ready, CASE WHEN bool_or(event_type = 'error') THEN 1 ELSE 0 END AS exit_code FROM events GROUP BY user_id""")
+def status_histogram(spark, d):
+    kind = F.col("event_type")
+    return t(spark, d, "events").groupBy("user_id").agg(
+        F.count_if(kind == "view").alias("ok"), F.count_if(kind == "click").alias("warning"), F.count_if(kind == "error").alias("error"), F.count_if(~kind.isin("view", "click", "error")).alias("unsupported"),
+        F.bool_and(kind != "error").alias("ready"), F.when(F.bool_or(kind == "error"), 1).otherwise(0).alias("exit_code"),
+    )
+
+
+@query("""
+SELECT c_custkey, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+WHERE contains(lower(c_name || ' ' || n_name || ' ' || r_name), 'customer') AND contains(lower(c_name || ' ' || n_name || ' ' || r_name), '1') AND contains(lower(c_name || ' ' || n_name || ' ' || r_name), 'a')""")
+def search_all_terms(spark, d):
+    dim = t(spark, d, "nation").join(F.broadcast(t(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = t(spark, d, "customer").join(F.broadcast(dim), F.col("c_nationkey") == F.col("n_nationkey"))
+    found = catalog.matches_all(F.lower(F.concat_ws(" ", "c_name", "n_name", "r_name")), "Customer 1  A")
+    return rows.filter(found).select("c_custkey", "c_name")
+
+
+@query("""
+SELECT o_custkey, o_orderkey, o_orderdate, latest FROM (SELECT *, max(o_orderdate) OVER (PARTITION BY o_custkey) AS latest, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) WHERE k <= 3""")
+def latest_and_topn(spark, d):
+    """The first three rows of each source, with its latest date."""
+    orders = t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    latest = orders.groupBy("o_custkey").agg(F.max("o_orderdate").alias("latest"))
+    k = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return orders.withColumn("k", k).filter("k <= 3").drop("k").join(latest, "o_custkey")
+
+
+@query("SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS VARCHAR) AS total, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def exact_sum(spark, d):
+    """Exact sums of prices in decimals: no order of addition changes them."""
+    return t(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("string").alias("total"), F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN '高' WHEN '2-HIGH' THEN '高' WHEN '3-MEDIUM' THEN '中' WHEN '4-NOT SPECIFIED' THEN '不要' WHEN '5-LOW' THEN '低' END AS label FROM orders")
+def enum_labels(spark, d):
+    codes = {"1-URGENT": "high", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "none", "5-LOW": "low"}
+    table = F.create_map(*[F.lit(x) for k, v in codes.items() for x in (k, analysis.CONTACT[v])])
+    return t(spark, d, "orders").select("o_orderkey", F.try_element_at(table, F.col("o_orderpriority")).alias("label"))
+
+
+EXPECTED = [("page_id", "bigint"), ("url", "string"), ("html", "binary"), ("title", "string")]
+
+
+@query("SELECT 'html' AS name, 'binary' AS expected, 'string' AS actual UNION ALL SELECT 'title', 'string', NULL")
+def schema_conformance(spark, d):
+    """Expected columns against those that are there; only differences come out."""
+    actual = spark.createDataFrame(t(spark, d, "pages").dtypes, "name string, actual string")
+    want = spark.createDataFrame(EXPECTED, "name string, expected string")
+    return want.join(actual, "name", "left").filter("actual IS NULL OR actual <> expected").select("name", "expected", "actual")
+
+
+@query("SELECT DISTINCT p_type AS option FROM part WHERE p_size > 40 AND p_type NOT IN (SELECT p_type FROM part WHERE p_size <= 2)")
+def missing_options(spark, d):
+    """Requested options that the sink doesn't offer."""
+    part = t(spark, d, "part")
+    return part.filter("p_size > 40").select(F.col("p_type").alias("option")).distinct().join(part.filter("p_size <= 2").select(F.col("p_type").alias("option")), "option", "left_anti")
+
+
+@query("""
+SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, hrefs[i] AS href FROM (SELECT page_id, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS hrefs, unnest(range(1, len(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) + 1)) AS i FROM pages)""")
+def page_links(spark, d):
+    """Anchors in document order, by the selector engine."""
+    pages = t(spark, d, "pages").select("page_id", "html")
+
+    @F.pandas_udf("array<string>")
+    def hrefs(s):
+        return s.map(lambda x: [a["href"] for a in html.links_of(x or "", "a[href]")[0]])
+
+    return pages.select("page_id", F.posexplode(hrefs("html")).alias("pos", "href"))
+
+
+@query("""
+SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages""")
+def page_title(spark, d):
+    return html.documents(t(spark, d, "pages").select("page_id", "html")).select("page_id", "title")
+
+
+@query()
+def page_body(spark, d):
+    """Body text by the fallback selectors; tests compare it with the pages' articles."""
+    return html.documents(t(spark, d, "pages").select("page_id", "html")).select("page_id", "content_selector_used", F.length("body_text").alias("body_length"), F.md5("body_text").alias("body_md5"))
+
+
+@query()
+def chunk_selection(spark, d):
+    """Texts of up to 3,000 characters from long ones; tests compare it with a sequential model."""
+    docs = t(spark, d, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
+    return analysis.chosen_texts(docs, "text", 3000).select("doc_id", "strategy", "chunk_count", F.length("sent_text").alias("sent_length"), F.md5("sent_text").alias("sent_md5"))
+
+
+@query("""
+WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 10) AS l, text FROM documents)
+SELECT doc_id, md5(left(coalesce(l[1], trim(text)), 120)) AS quote_md5, true AS is_target, 'B' AS company_relevance FROM l""")
+def mock_analysis(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", "text", F.lit("https://example.com").alias("url"))
+    made = analysis.mock_analysis(docs)
+    return made.select("doc_id", F.md5(F.get("evidence_quotes", F.lit(0))["quote"]).alias("quote_md5"), "is_target", "company_relevance")
+
+
+@query("""
+WITH a AS (SELECT doc_id, doc_id % 3 <> 0 AS is_target, doc_id % 5 AS n, CASE doc_id % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' ELSE 'out_of_scope' END AS rel, CASE doc_id % 7 WHEN 0 THEN 'none' WHEN 1 THEN 'high' ELSE 'low' END AS con FROM documents)
+SELECT doc_id, concat_ws(',', CASE WHEN is_target AND n = 0 THEN 'categories_missing' END, CASE WHEN NOT is_target AND n > 0 THEN 'categories_of_non_target' END, CASE WHEN n > 3 THEN 'too_many_categories' END,
+  CASE WHEN n > 2 THEN 'repeated_category' END, CASE WHEN n > 1 THEN 'other_is_exclusive' END, CASE WHEN NOT is_target AND rel <> 'out_of_scope' THEN 'relevance_of_non_target' END, CASE WHEN NOT is_target AND con <> 'none' THEN 'contact_of_non_target' END,
+  CASE WHEN rel = 'out_of_scope' AND con <> 'none' THEN 'contact_out_of_scope' END, CASE WHEN con = 'high' AND rel NOT IN ('A', 'B') THEN 'high_needs_a_or_b' END) AS issues FROM a""")
+def analysis_constraints(spark, d):
+    i = F.col("doc_id")
+    cats = F.transform(F.slice(F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4)), F.lit(1), (i % 5).cast("int")), lambda k: F.when(k == 1, "その他").otherwise("行政DX"))
+    rel = F.when(i % 4 == 0, "A").when(i % 4 == 1, "B").when(i % 4 == 2, "C").otherwise("out_of_scope")
+    con = F.when(i % 7 == 0, "none").when(i % 7 == 1, "high").otherwise("low")
+    issues = analysis.analysis_issues(i % 3 != 0, cats, rel, con, F.lit("because"))
+    return t(spark, d, "documents").select("doc_id", F.array_join(issues, ",").alias("issues"))
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 6 = 5 THEN 1 WHEN event_id % 6 = 4 THEN 2 WHEN event_id % 6 = 3 THEN 4 WHEN event_id % 6 = 2 THEN 7 ELSE 0 END AS stage, CASE WHEN event_id % 6 IN (0, 1) THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS k FROM events""")
+def json_envelope(spark, d):
+    """Envelopes of all kinds: the stage at which they fail, and a number from inside."""
+    k = F.col("event_id") % 6
+    inner = F.when(k == 1, F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))).when(k == 2, F.lit("{not json")).otherwise(F.col("props"))
+    body = F.to_json(F.struct(F.when(k == 4, "other").otherwise("result").alias("type"), F.lit("success").alias("subtype"), (k == 3).alias("is_error"), inner.alias("result")))
+    raw = F.when(k == 5, "oops").otherwise(body)
+    rows = t(spark, d, "events").select("event_id", raw.alias("raw"))
+    result = F.try_variant_get(F.try_parse_json("raw"), "$.result", "string")
+    value = F.try_variant_get(F.try_parse_json(analysis.unfenced(result)), "$.k", "double")
+    stage = analysis.envelope_stage(F.col("raw"))
+    return rows.select("event_id", stage.alias("stage"), F.when(stage == 0, value).alias("k"))
+
+
+@query("""
+SELECT p_partkey // 50 AS feed, CAST(row_number() OVER (PARTITION BY p_partkey // 50 ORDER BY p_partkey) - 1 AS INTEGER) AS pos, p_name AS title, 'https://example.com/' || p_partkey AS url, '2026-08-05' AS published_at, p_brand AS category FROM part""")
+def rss_items(spark, d):
+    """Feeds of fifty items, written as XML and read again."""
+    item = F.concat(F.lit("<item><title>"), text.escaped(F.col("p_name")), F.lit("</title><link>https://example.com/"), F.col("p_partkey").cast("string"), F.lit("</link><pubDate>Wed, 05 Aug 2026 09:00:00 +0900</pubDate><category>"), text.escaped(F.col("p_brand")), F.lit("</category></item>"))
+    rows = t(spark, d, "part").select(F.expr("p_partkey div 50").alias("feed"), F.struct("p_partkey", item.alias("x")).alias("s"))
+    xml = rows.groupBy("feed").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["x"]), ""), F.lit("</channel></rss>")).alias("xml"))
+    return feeds.items(xml).select("feed", "pos", "title", "url", F.col("published_at").cast("string").alias("published_at"), F.get("categories", F.lit(0)).alias("category"))
