@@ -150,12 +150,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, sample: int = SAMPLE) -> Lexicon:
-    rows = training_rows(docs, labels, folds, held, sample).toLocalIterator()
-    texts, toxic = [], []
-    for r in rows:
-        texts.append(r.text)
-        toxic.append(r.toxic)
-    return learn(texts, toxic)
+    rows = training_rows(docs, labels, folds, held, sample).toArrow()
+    return learn(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())
 
 
 def toxicity_scores(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held: int = 1) -> DataFrame:
