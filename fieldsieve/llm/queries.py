@@ -115,6 +115,22 @@ t AS (SELECT a AS node, a AS seen FROM e UNION SELECT t.node, e.b FROM t JOIN e
 m AS (SELECT node, min(seen) AS label FROM t GROUP BY node)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.label, d.doc_id) AS component_id, coalesce(m.label, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.node = d.doc_id""",
+    "op4_line_frequency": f"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) >= 3),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i+2], ' ')) AS n FROM g),
+r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM c WHERE n > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw FROM w),
+d AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n FROM l WHERE regexp_matches(raw, '[^ \t\n\x0B\f\r]') GROUP BY doc_id),
+m AS (SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(raw), '\\p{{N}}+', '0', 'g'), '[^\\p{{L}}0]+', ' ', 'g')) AS norm, length(raw) AS chars FROM l),
+x AS (SELECT doc_id, source, norm, sum(chars) AS chars FROM m WHERE norm <> '' GROUP BY 1, 2, 3),
+o AS (SELECT source, norm, min(doc_id) AS first FROM x GROUP BY 1, 2 HAVING count(*) > 20),
+j AS (SELECT x.doc_id, sum(chars) AS chars, sum(chars) FILTER (o.first IS NOT NULL AND o.first <> x.doc_id) AS gone FROM x LEFT JOIN o ON x.source IS NOT DISTINCT FROM o.source AND x.norm = o.norm GROUP BY x.doc_id),
+b AS (SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[ \t\n\x0B\f\r]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        coalesce(d.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(gone, 0) > 0 AND chars - gone < chars * 0.3 AS depleted
+      FROM w LEFT JOIN d ON d.doc_id = w.doc_id LEFT JOIN r ON r.doc_id = w.doc_id LEFT JOIN j ON j.doc_id = w.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(depleted, false) AS kept FROM b""",
     "op10_substring_dedup": f"""
 WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 g AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM w WHERE len(w) >= 20),
