@@ -29,6 +29,11 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACE + "+", " "))
 
 
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at the ends; Spark's own trim takes blanks only."""
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def for_match(c: Column) -> Column:
     """NFKC, lower case, no white space."""
     return F.regexp_replace(F.lower(nfkc(c)), SPACE + "+", "")
@@ -43,7 +48,7 @@ def for_evidence(c: Column) -> Column:
 def page_text(c: Column) -> Column:
     """Line ends as LF, blanks squeezed, no blanks before line ends, one empty line at most."""
     c = F.regexp_replace(F.regexp_replace(c, "\r\n?", "\n"), "[\t\f\x0b ]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(c, " +\n", "\n"), "\n{3,}", "\n\n"))
+    return stripped(F.regexp_replace(F.regexp_replace(c, " +\n", "\n"), "\n{3,}", "\n\n"))
 
 
 def fingerprint(c: Column) -> Column:

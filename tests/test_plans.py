@@ -1,0 +1,128 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from fieldsieve import cli
+from fieldsieve.operators import analysis, report, sink
+from fieldsieve.plans import analyze, catalog, check, collection, site
+from fieldsieve.sources import config, pdf, registry
+
+from .test_sources import REGISTRY
+
+CHECKED = """
+version: 1
+organizations:
+  - {id: o, name: O, organization_type: prefecture, official_domain: o.jp, enabled: true, prefecture: 東京都}
+sources:
+  - {id: feed, organization_id: o, name: Feed, url: "https://o.jp/f", collector_type: rss, source_category: rfi, priority: high, enabled: true, category_includes: [防災]}
+  - {id: list, organization_id: o, name: List, url: "https://o.jp/l", collector_type: list_page, source_category: rfi, priority: high, enabled: true, link_selector: "#m a", title_excludes: [終了]}
+  - {id: fix, organization_id: o, name: Fixed, url: "https://o.jp/x", collector_type: single_page, source_category: rfi, priority: high, enabled: true}
+  - {id: hand, organization_id: o, name: Hand, url: "https://o.jp/h", collector_type: manual, source_category: rfi, priority: high, enabled: false}
+  - {id: bare, organization_id: o, name: Bare, url: "https://o.jp/b", collector_type: list_page, source_category: rfi, priority: high, enabled: true, link_selector: ".none"}
+"""
+FEED = "<rss><channel>" + "".join(f"<item><title>T{k}</title><link>https://o.jp/{k}</link><pubDate>Wed, 05 Aug 2026 00:00:00 GMT</pubDate><category>{c}</category></item>" for k, c in enumerate(["防災・安全", "他", "防災"])) + "</channel></rss>"
+LIST = '<div id="m"><ul><li>2026年8月5日<a href="/a">One</a></li><li><a href="/a#x">One again</a></li><li><a href="https://else.com/">Out</a></li><li><a href="/c"> </a></li><li><a href="/l">Self</a></li><li><a href="/d">終 了</a></li></ul></div>'
+
+
+def test_source_check(spark):
+    orgs, sources = registry.load(spark, CHECKED)
+    fetched = spark.createDataFrame([("feed", "https://o.jp/f", FEED), ("list", "https://o.jp/l", LIST), ("bare", "https://o.jp/b", LIST)], "source_id string, base_url string, body string")
+    results = check.check(sources, orgs, fetched)
+    got = {r.source_id: (r.status, r.raw, r.valid, r.usable, r.latest) for r in results.collect()}
+    day = dt.date(2026, 8, 5)
+    assert got == {"feed": ("ok", 3, 3, 2, day), "list": ("ok", 6, 3, 1, day), "fix": ("ok", 1, 1, 1, None), "hand": ("unsupported", 0, 0, 0, None), "bare": ("error", 0, 0, 0, None)}
+    assert tuple(report.histogram(results).first()) == (3, 0, 1, 1) and sink.exit_code(results, False).first()[0] == 1
+    assert sink.exit_code(results.filter("source_id = 'hand'"), False).first()[0] == 0 and sink.exit_code(results.filter("source_id = 'hand'"), True).first()[0] == 1
+
+
+def test_analysis_of_a_page(spark):
+    docs = spark.createDataFrame([(1, "https://o.jp/1", "This page says enough about the need.")], "doc_id long, url string, text string")
+    links = spark.createDataFrame([(1, 0, "https://o.jp/a.pdf#1", "様式"), (1, 1, "https://o.jp/b.pdf", "仕様書"), (1, 2, "https://o.jp/b.pdf#p", "again"), (1, 3, "https://o.jp/c.pdf", "概要"), (1, 4, "https://o.jp/d.pdf", "資料"), (1, 5, "https://o.jp/e.pdf", "資料"), (1, 6, "https://o.jp/f.pdf", "x")], "doc_id long, pos int, url string, text string")
+    texts = spark.createDataFrame([("https://o.jp/b.pdf", "spec " * 30, None), ("https://o.jp/c.pdf", "spec  " * 30, None), ("https://o.jp/d.pdf", None, "password_protected"), ("https://o.jp/e.pdf", "other " * 30, None), ("https://o.jp/f.pdf", None, "parse_failed")], "url string, body string, error string")
+    limits = config.Limits(html=1000, pdf_total=200, per_pdf=120, max_pdfs=3)
+    accepted = analyze.attachments(links, texts, limits)
+    assert [(r.bare[-5:], r["class"], r.budget) for r in accepted.orderBy("rank").collect()] == [("b.pdf", "high", 100), ("e.pdf", "other", 100)]
+    row = analyze.analyzed(analyze.prepared(docs, accepted, limits)).first()
+    assert (row.matched, row.quotes, row.company_relevance, len(row.pdfs)) == (1, 1, "B", 2)
+    with pytest.raises(ValueError):
+        analysis.Analyzers().get("mock", write=True)
+
+
+def test_collection(spark):
+    sources = spark.createDataFrame([("a", None), ("b", "2026-08-01"), ("c", None)], "source_id string, initial_since string")
+    state = spark.createDataFrame([("c", dt.datetime(2026, 8, 5)), ("b", dt.datetime(2026, 8, 2))], "source_id string, last_successful_check_at timestamp")
+    got = {r.source_id: str(r.since) for r in collection.periods(sources, state).collect()}
+    assert got == {"a": "2026-07-01", "b": "2026-08-01", "c": "2026-08-02"}
+    day = lambda n: dt.date(2026, 8, n)
+    rows = [("a", 0, "u0", day(1), True), ("a", 1, "u0", day(1), True), ("a", 2, "u2", None, True), ("a", 3, "u3", day(9), False), ("b", 0, "x", day(2), True), ("b", 1, "y", day(3), True)]
+    df = spark.createDataFrame(rows, "source_id string, pos int, url string, published date, is_new boolean").withColumns({"since": F.lit(day(1)), "run_date": F.lit(day(7)), "limit_hit": F.lit(False)})
+    out = {r.source_id: (r.in_period, r.new, r.processed, r.remaining, r.advanced) for r in collection.funnel(collection.process(df, 2), F.lit(False)).collect()}
+    assert out == {"a": (3, 2, 2, 0, True), "b": (2, 2, 2, 0, True)}
+    out = {r.source_id: (r.processed, r.remaining, r.advanced) for r in collection.funnel(collection.process(df, 1), F.lit(False)).collect()}
+    assert out == {"a": (1, 1, False), "b": (1, 1, False)}
+
+
+def test_sink(spark, tmp_path):
+    made = analysis.mock_analysis(spark.createDataFrame([("https://o.jp/1", "A line that is long enough", "T", "O", "S"), ("https://o.jp/1", "A line that is long enough", "T", "O", "S")], "url string, text string, title string, organization string, source string"))
+    rows, path = sink.sink_rows(made), str(tmp_path / "sink")
+    assert rows.columns == [c for c in sink.COLUMNS if c != "登録日時"] and rows.first()["文書種別"] == "RFI" and rows.first()["根拠引用"] == ["・A line that is long enough"]
+    with pytest.raises(ValueError):
+        sink.append(rows, path, spark.createDataFrame([("x",)], "option string"))
+    assert [sink.append(rows, path), sink.append(rows, path)] == [1, 0]
+    kinds = spark.createDataFrame([(n, k if n != "分野" else "select") for n, k in sink.COLUMNS.items() if n != "確認状態"], "name string, kind string")
+    assert {(r.name, r.actual) for r in sink.mismatches(kinds).collect()} == {("分野", "select"), ("確認状態", None)}
+    with pytest.raises(Exception):
+        spark.range(1).select(sink.label(F.lit("zz"), {"a": "b"})).collect()
+
+
+def test_stages_ids_and_limits(spark):
+    assert sink.usage_limit('{"a": ["x", "You’ve hit your limit · resets 3pm"]}', "") == "You’ve hit your limit · resets 3pm"
+    assert sink.usage_limit("no", "rate limit") is None and sink.usage_limit("", " You've hit your limit ") == "You've hit your limit"
+    url = "https://host/a0a0a0a0a0a0a0a0a0a0a0a0a0a0a0a0/Name-0123456789ABCDEF0123456789abcdef?v=1"
+    assert spark.range(1).select(sink.table_id(F.lit(url))).first()[0] == "01234567-89ab-cdef-0123-456789abcdef"
+    df = spark.createDataFrame([("fetch", ""), ("content", ""), ("analyzer", "schema"), ("analyzer", "x")], "e string, m string")
+    assert [r[0] for r in df.select(sink.analysis_stage(F.col("e"), F.col("m"))).collect()] == ["html_fetch", "content_extract", "ai_validation", "ai_analysis"]
+
+
+def test_pdf_files(spark):
+    def parser(raw):
+        if b"lock" in raw:
+            raise pdf.PdfError("password_protected")
+        return [p.decode() for p in raw.split(b"\n", 1)[1].split(b"|")]
+
+    files = spark.createDataFrame([(1, b"%PDF-\nA  b|"), (2, b"x"), (3, b"%PDF-lock"), (4, b"%PDF-\n |"), (5, None), (6, b"%PDF-\n" + b"|" * 600), (7, b"%PDF-")], "k int, content binary")
+    got = {r.k: (r.error_code, r.text, r.warnings) for r in pdf.extracted(files, parser).collect()}
+    assert got[1] == (None, "A b", ["empty_pages"]) and [got[k][0] for k in (2, 3, 4, 5, 6, 7)] == ["invalid_pdf", "password_protected", "no_text", "invalid_pdf", "too_many_pages", "parse_failed"]
+
+
+def test_settings():
+    good = "version: 1\nname: n\n" + "".join(f"{k}: [a]\n" for k in config.LISTS)
+    assert config.criteria(good)["direct_fit"] == ["a"] and "- その他" in config.prompt("x {{CATEGORY_OPTIONS}}")
+    for bad in (good + "more: 1\n", good.replace("direct_fit: [a]", "direct_fit: []")):
+        with pytest.raises(ValueError):
+            config.criteria(bad)
+    with pytest.raises(ValueError):
+        config.prompt("x")
+    assert config.Limits.of({"AI_INPUT_MAX_PDFS": "2"}).max_pdfs == 2
+    with pytest.raises(ValueError):
+        config.bounded_int("0", 1, 1, 5)
+
+
+def test_site_and_commands(spark, tmp_path, capsys):
+    path = tmp_path / "r.yaml"
+    path.write_text(CHECKED, encoding="utf-8")
+    assert cli.main(["sources:validate", "--registry", str(path)], spark) == 0 and cli.main(["sources:list", "--registry", str(path), "--enabled"], spark) == 0
+    assert "feed" in capsys.readouterr().out and cli.main(["nothing"], spark) == 2 and cli.main(["sources:check", "--registry", str(path), "--all", "--enabled"], spark) == 2
+    assert cli.main(["site:build", "--registry", str(path), "--output", str(tmp_path / "site")], spark) == 0
+    page = (tmp_path / "site" / "index.html").read_text(encoding="utf-8")
+    assert page.count("<section") == 8 and page.index("Feed") < page.index("Hand")
+    path.write_text(REGISTRY, encoding="utf-8")
+    assert cli.main(["sources:validate", "--registry", str(path)], spark) == 1
+
+
+def test_search(spark):
+    df = spark.createDataFrame([("tokyo bid page",), ("osaka bid",)], "t string")
+    found = lambda q: df.filter(catalog.matches_all(F.col("t"), q)).count()
+    assert (found(""), found("BID"), found("bid tokyo"), found("none")) == (2, 2, 1, 0)
+    assert site.LAYERS["prefecture"] == "都道府県"
