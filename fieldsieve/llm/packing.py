@@ -106,7 +106,7 @@ def pack(pieces: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = shared.value
         wide = int(a["from_rank"].max(initial=0)) + 1
-        key = a["length"].astype(np.float64) * wide + a["from_rank"] if size * wide >= 1 << 62 else a["length"] * wide + a["from_rank"]
+        key = a["length"] * wide + a["from_rank"]
         for batch in batches:
             length = batch.column(at).to_numpy(zero_copy_only=False)
             rank = batch.column(len(keep)).to_numpy(zero_copy_only=False)

@@ -108,7 +108,7 @@ def scaled(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFra
     x = F.transform(F.col(vec_col), lambda v: v.cast("double"))
     good = vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).filter("vec_id IS NOT NULL AND x IS NOT NULL AND size(x) > 0")
     good = good.filter(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 1e300)))
-    return good.select("vec_id", F.transform("x", lambda v: F.floor(v * scale).cast("long")).alias("x"))
+    return good.select("vec_id", F.transform("x", lambda v: F.floor(F.greatest(F.least(v * scale, F.lit(9.0e18)), F.lit(-9.0e18))).cast("long")).alias("x"))
 
 
 def _searched(shared, k: int):
@@ -140,7 +140,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
 
     Ties go to the smaller id; queries with fewer than k others get all. Vectors that are null, empty, or hold
     nulls or components that are not finite take no part; vectors of different lengths aren't compared. Of repeated ids a
-    query takes the first vector in order, and equal (vec_id, score) count once. Scores beyond 64 bits are clipped.
+    query takes the first vector in order, and equal (vec_id, score) count once. Components and scores beyond 64 bits are clipped.
     No vectors, or no queries, give no rows. Other columns of `vectors` are not looked at.
     """
     spark = vectors.sparkSession
