@@ -22,6 +22,15 @@ NEED_CATEGORIES = "Web・CMS UI・UX サービスデザイン 行政DX BPR・業
 RELEVANCE = {"A": "A", "B": "B", "C": "C", "out_of_scope": "対象外"}
 CONTACT = {"high": "高", "medium": "中", "low": "低", "none": "不要"}
 STAGES = "duplicate_check html_fetch content_extract pdf_extraction ai_analysis ai_validation notion_schema notion_select_options notion_create".split()
+# What the deterministic analyzer says of every document.
+MOCK = {
+    "is_target": True, "document_type": "rfi",
+    "problem_summary": "市民向け行政サービスを利用者視点で改善するための知見や実施方法が不足している。",
+    "desired_state": "利用者視点で行政サービスを継続的に設計・改善できる状態。",
+    "request_to_private_sector": "サービスデザインの手法、事例、実施体制などに関する情報提供。",
+    "categories": ["サービスデザイン", "行政DX", "UI・UX"], "company_relevance": "A", "contact_recommendation": "high",
+    "reason": "民間事業者から情報提供を求めている段階であり、対話や提案の余地がある。",
+}
 LEAD, RELEVANT, MOST_RUNS, LEAST_SHARE, LABEL = 1500, 1.5, 10, 0.25, 20
 # Fixed value: numbers that begin a heading.
 _NUMBER = re.compile(r"^(?:[0-9０-９]{1,2}[.．、)）]|[（(][0-9０-９]{1,2}[）)]|第[0-9０-９一二三四五六七八九十]{1,3}[章条項節]|[一二三四五六七八九十]{1,3}[.．、]|[0-9０-９]{1,2}[ 　]+|[一二三四五六七八九十]{1,3}[ 　]+)\s*")
@@ -142,7 +151,7 @@ def first_quote(c: Column) -> Column:
 def mock_analysis(docs: DataFrame, text: str = "text", url: str = "url") -> DataFrame:
     """The deterministic analyzer, in SQL alone."""
     quote = F.struct(F.lit("html").alias("source_type"), F.col(url).alias("source_url"), first_quote(F.col(text)).alias("quote"))
-    fields = {"is_target": F.lit(True), "document_type": F.lit("rfi"), "problem_summary": F.lit("mock"), "desired_state": F.lit("mock"), "request_to_private_sector": F.lit("mock"), "categories": F.array(F.lit("行政DX")), "company_relevance": F.lit("B"), "contact_recommendation": F.lit("medium"), "reason": F.lit("mock"), "evidence_quotes": F.array(quote)}
+    fields = {name: F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v) for name, v in MOCK.items()} | {"evidence_quotes": F.array(quote)}
     return docs.withColumns(fields)
 
 

@@ -461,7 +461,7 @@ def chunk_selection(spark, d):
 
 @query("""
 WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 10) AS l, text FROM documents)
-SELECT doc_id, md5(left(coalesce(l[1], trim(text)), 120)) AS quote_md5, true AS is_target, 'B' AS company_relevance FROM l""")
+SELECT doc_id, md5(left(coalesce(l[1], trim(text)), 120)) AS quote_md5, true AS is_target, 'A' AS company_relevance FROM l""")
 def mock_analysis(spark, d):
     docs = t(spark, d, "documents").select("doc_id", "text", F.lit("https://example.com").alias("url"))
     made = analysis.mock_analysis(docs)

@@ -10,16 +10,20 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import urls
+from ..functions.dates import date_candidate
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-# Where the text of a page is looked for, and what isn't text.
-BODY_SELECTORS = ["main", "article", "[role=main]", "#main", "#content", "#contents", ".main", ".content", "body"]
-HIDDEN = {"script", "style", "noscript", "template", "svg", "nav", "header", "footer", "aside", "form", "iframe"}
+# Where the text of a page is looked for, what isn't text, and where its date stands.
+BODY_SELECTORS = ["main", "article", '[role="main"]', "#mol_contents", "#main", "#contents", "#content", ".content", "body"]
+HIDDEN = frozenset("script style nav header footer aside form noscript iframe svg".split())
+DATE_META = re.compile("published_time|datepublished|pubdate|publishdate")
+DATE_SELECTORS = [".page_day01", ".published", ".publish-date", ".date", "#main", "main", "article", "body"]
 LEAST_TEXT = 200
 _CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 _BLOCKS = {"div", "article", "section", "main", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "nav", "header", "footer", "form", "dl", "pre", "aside", "blockquote"}
@@ -54,8 +58,6 @@ class Node:
             elif isinstance(c, str):
                 out.append(c)
             elif c.tag not in skip and not (skip and ("hidden" in c.attrs or c.attrs.get("aria-hidden") == "true")):
-                if c.tag in _BLOCKS or c.tag in ("br", "p", "li", "td", "tr"):
-                    out.append(" ")
                 stack.append(iter(c.children))
         return "".join(out)
 
@@ -240,35 +242,48 @@ def links_of(html: str, selector: str) -> tuple[list[dict], str | None]:
     return out, None
 
 
-def document_of(html: str, selectors: list[str]) -> dict:
-    """Title, the text of the first selector that has enough, and whether it was a fallback."""
+def _title(root: Node, selector: str | None) -> tuple[str, str | None]:
+    """The title, or an error: of the selector where there is one, else of the first h1 or the title element."""
+    if selector is None:
+        found = [t for s in ("h1", "title") for n in select(root, s)[:1] if (t := _tidy(n.text()))]
+        return (found[0], None) if found else ("", "no title")
+    try:
+        nodes = select(root, selector) if selector.strip() else []
+    except SelectorError:
+        return "", "title selector not understood"
+    text = _tidy(nodes[0].text()) if nodes else ""
+    return (text, None) if text else ("", "title selector finds no text")
+
+
+def document_of(html: str, selectors: list[str], title_selector: str | None = None) -> dict:
+    """Title, the visible text of the first selector with LEAST_TEXT characters, its links to PDF files, and an error or null."""
     root = parse(html)
-    heads = select(root, "h1") or select(root, "title")
-    best = {"title": _tidy(heads[0].text()) if heads else "", "body": "", "selector": None}
+    title, error = _title(root, title_selector)
+    out = {"title": title, "body": "", "selector": None, "pdf_hrefs": [], "pdf_texts": [], "base": None, "error": error}
+    for n in select(root, "base[href]")[:1]:
+        out["base"] = n.attrs["href"]
     for s in dict.fromkeys([*selectors, *BODY_SELECTORS]):
         try:
             nodes = select(root, s)
         except SelectorError:
             continue
-        text = _tidy(" ".join(n.text(HIDDEN) for n in nodes[:1]))
-        if len(text) >= LEAST_TEXT:
-            return best | {"body": text, "selector": s}
-        if len(text) > len(best["body"]):
-            best |= {"body": text, "selector": s}
-    return best
+        text = _tidy("".join(n.text(HIDDEN) for n in nodes if n.tag not in HIDDEN))
+        if len(text) >= LEAST_TEXT or s == "body" and text:
+            anchors = [d for n in nodes for d in ([n] if n.tag == "a" else []) + list(n.walk()) if d.tag == "a" and "href" in d.attrs]
+            anchors = [d for d in anchors if re.search(r"(?i)\.pdf$", re.split("[?#]", d.attrs["href"].strip())[0])]
+            return out | {"body": text, "selector": s, "pdf_hrefs": [d.attrs["href"].strip() for d in anchors], "pdf_texts": [_tidy(d.text()) for d in anchors]}
+    return out | {"error": error or "no text"}
 
 
 def dates_of(html: str) -> list[tuple[str, str]]:
-    """(provenance, text) where a publication date may stand: time elements, meta names, then text."""
-    root, out = parse(html), []
-    for n in select(root, "time"):
-        out.append(("time", n.attrs.get("datetime") or n.text()))
+    """(provenance, text) in the order in which a publication date is looked for."""
+    root = parse(html)
+    out = [("time", n.attrs.get("datetime", n.text())) for n in select(root, "time")]
     for n in select(root, "meta"):
-        if (n.attrs.get("property") or n.attrs.get("name") or "").lower() in ("article:published_time", "date", "dc.date", "pubdate"):
+        key = " ".join(n.attrs[k] for k in ("property", "name", "itemprop") if k in n.attrs).lower()
+        if DATE_META.search(key):
             out.append(("meta", n.attrs.get("content", "")))
-    body = select(root, "body")
-    out.append(("page_text", _tidy((body[0] if body else root).text(HIDDEN))[:5000]))
-    return out
+    return out + [("page_text", _tidy(n.text())[:5000]) for s in DATE_SELECTORS for n in select(root, s)[:1]]
 
 
 def links(pages: DataFrame, html: str = "html", selector: str = "a[href]", base: str = "url") -> DataFrame:
@@ -283,13 +298,51 @@ def links(pages: DataFrame, html: str = "html", selector: str = "a[href]", base:
     return rows.select(*keep, "pos", urls.resolved(F.col(base), F.col("a.href")).alias("link_url"), F.col("a.text").alias("text"), F.col("a.context").alias("context"))
 
 
-def documents(pages: DataFrame, html: str = "html", selectors: list[str] | None = None) -> DataFrame:
-    """The page's other columns, title, body_text, content_selector_used."""
+def documents(pages: DataFrame, html: str = "html", url: str | None = None, selectors: list[str] | None = None, title_selector: str | None = None) -> DataFrame:
+    """The page's other columns, title, body_text, content_selector_used, used_fallback, published_at, published_at_source, pdf_links, error.
+
+    Links are resolved against the page's base element, or its `url` where it has none or none that is http; of equal links the first stays.
+    A page without a title or a text is a row with an error. Null pages are empty.
+    """
     keep = [c for c in pages.columns if c != html]
+    kind = "title string, body string, selector string, pdf_hrefs array<string>, pdf_texts array<string>, base string, error string, date_at array<string>, date_text array<string>"
 
-    @F.pandas_udf("title string, body string, selector string")
+    @F.pandas_udf(kind)
     def made(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([document_of(x or "", selectors or []) for x in s], columns=["title", "body", "selector"])
-
-    rows = pages.select(*keep, made(html).alias("d"))
-    return rows.select(*keep, F.col("d.title").alias("title"), F.col("d.body").alias("body_text"), F.col("d.selector").alias("content_selector_used"))
+        rows = []
+        for x in s:
+            found = dates_of(x or "")
+            rows.append(document_of(x or "", selectors or [], title_selector) | {"date_at": [k for k, _ in found], "date_text": [v for _, v in found]})
+        return pd.DataFrame(rows, columns=["title", "body", "selector", "pdf_hrefs", "pdf_texts", "base", "error", "date_at", "date_text"])
+
+    rows = pages.select(*keep, made(html).alias("d")).select(*keep, "d.*")
+    dated = F.filter(F.transform(F.arrays_zip("date_at", "date_text"), lambda z: F.struct(date_candidate(z["date_text"], True).alias("date"), z["date_at"].alias("source"))), lambda z: z["date"].isNotNull())
+    rows = rows.withColumn("_date", F.get(dated, F.lit(0)))
+    if url:
+        rows = rows.withColumn("_base", F.coalesce(urls.resolved(F.col(url), F.col("base")), F.col(url)))
+        rows = rows.withColumn("_links", _resolved_all(F.col("_base"), F.col("pdf_hrefs"), F.col("pdf_texts")))
+    else:
+        rows = rows.withColumn("_links", F.arrays_zip(F.col("pdf_hrefs").alias("url"), F.col("pdf_texts").alias("text")))
+    return rows.select(
+        *keep, "title", F.col("body").alias("body_text"), F.col("selector").alias("content_selector_used"), (~F.col("selector").isin(selectors or [""])).alias("used_fallback"), F.col("_date.date").alias("published_at"),
+        F.col("_date.source").alias("published_at_source"), F.col("_links").alias("pdf_links"), "error",
+    )
+
+
+def _resolved_all(base, hrefs, texts):
+    @F.pandas_udf("array<struct<url:string,text:string>>")
+    def run(b: pd.Series, h: pd.Series, t: pd.Series) -> pd.Series:
+        out = []
+        for root, links_, names in zip(b, h, t):
+            seen: dict[str, str] = {}
+            for x, name in zip(links_, names):
+                try:
+                    u = urljoin(root or "", x)
+                except ValueError:
+                    continue
+                if u.startswith(("http://", "https://")):
+                    seen.setdefault(u, name)
+            out.append([{"url": u, "text": n} for u, n in seen.items()])
+        return pd.Series(out)
+
+    return run(base, hrefs, texts)

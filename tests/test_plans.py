@@ -44,7 +44,7 @@ def test_analysis_of_a_page(spark):
     accepted = analyze.attachments(links, texts, limits)
     assert [(r.bare[-5:], r["class"], r.budget) for r in accepted.orderBy("rank").collect()] == [("b.pdf", "high", 100), ("e.pdf", "other", 100)]
     row = analyze.analyzed(analyze.prepared(docs, accepted, limits)).first()
-    assert (row.matched, row.quotes, row.company_relevance, len(row.pdfs)) == (1, 1, "B", 2)
+    assert (row.matched, row.quotes, row.company_relevance, len(row.pdfs)) == (1, 1, "A", 2)
     with pytest.raises(ValueError):
         analysis.Analyzers().get("mock", write=True)
 

@@ -72,3 +72,16 @@ def test_streaming_marks(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.user_id, r.last_ts.day, r.n_total) for r in spark.table("marks").collect()) == [(0, 5, 3), (1, 6, 3)]
+
+
+def test_documents(spark):
+    body = "本文です。" * 50
+    page = f"""<html><head><title>T</title><base href="/files/"></head><body><h1> 案件 名 </h1><nav>menu</nav><div id="c"><p>{body}</p><p hidden>no</p><a href="a.PDF?x#page=2">A</a><a href="a.PDF?x#page=2">again</a><a href="b.html">B</a></div>
+    <p>掲載日 2026年7月30日</p></body></html>"""
+    dated = '<title>x</title><time datetime="none"></time><meta property="article:published_time" content="2026-08-05T10:00:00Z"><body>' + "y" * 250
+    df = spark.createDataFrame([(1, "https://h/p/", page), (2, "https://h/", dated), (3, "https://h/", None), (4, "https://h/", "<h1>short</h1>")], "k int, url string, html string")
+    got = {r.k: r for r in html.documents(df, url="url", selectors=["#none", "#c"]).collect()}
+    assert (got[1].title, got[1].body_text, got[1].content_selector_used, got[1].used_fallback) == ("案件 名", body + "AagainB", "#c", False)
+    assert [(x.url, x.text) for x in got[1].pdf_links] == [("https://h/files/a.PDF?x#page=2", "A")] and (str(got[1].published_at), got[1].published_at_source) == ("2026-07-30", "page_text")
+    assert (str(got[2].published_at), got[2].published_at_source, got[2].used_fallback) == ("2026-08-05", "meta", True)
+    assert got[3].error == "no title" and got[4].error == "no text" or got[4].title == "short"
