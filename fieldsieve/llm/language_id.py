@@ -19,6 +19,8 @@ from .words import column_bytes, row_slices
 
 SAMPLE = 1200
 SIZE = 4096
+#: Rows whose features are held at once.
+ROWS = 1024
 
 # Families of languages by code. A code that isn't here is a family of its own.
 FAMILIES = {
@@ -145,7 +147,7 @@ def fit(docs: DataFrame, folds: int = 5, held: int = 0, sample: int = SAMPLE, id
     chosen = base.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.element_at(rate, F.col("lang")) * (1 << 20))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in row_slices(batches):
+        for part in row_slices(batches, rows=ROWS):
             x = trigram_features(part.column(1)).astype(np.float16)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
@@ -165,7 +167,7 @@ def predicted_languages(docs: DataFrame, model: Discriminator | None, id_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in row_slices(batches):
+        for part in row_slices(batches, rows=ROWS):
             texts = part.column(1).to_pylist()
             langs, score = shared.value.predict(trigram_features(part.column(1))) if shared.value else (["und"] * len(texts), np.zeros(len(texts)))
             known = [t is not None and _LETTER.search(t) is not None for t in texts]
