@@ -19,12 +19,13 @@ import os
 import re
 import tempfile
 import unicodedata
+import uuid
 from collections.abc import Iterable
 
 import numpy as np
 import regex
 
-MEMO = 150_000
+MEMO = 300_000
 _NONE = 1 << 30
 _SPREAD, _MASK = 0x1E3779B97F4A7C15, (1 << 62) - 1
 #: Characters whose class is the same for every Unicode version: ASCII and Latin letters with marks.
@@ -154,9 +155,10 @@ class WordBpe:
     def merge_many(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many pieces: all ids in order of the pieces, and len + 1 offsets. The same merges as merge(), a round for all pieces at once."""
         size = np.array([len(p) for p in pieces], np.int64)
-        out: list = [None] * len(pieces)
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # of some pieces: their indices, numbers of ids, and ids
         for k in np.flatnonzero(size > 48).tolist():
-            out[k] = self.merge(pieces[k].decode())
+            ids = np.array(self.merge(pieces[k].decode()), np.int64)
+            parts.append((np.array([k]), np.array([len(ids)]), ids))
         order = np.argsort(size, kind="stable")
         order = order[(size[order] > 0) & (size[order] <= 48)]
         inner, last = self._letters
@@ -193,10 +195,15 @@ class WordBpe:
                 back = np.flatnonzero(at > 0)
                 r[back, at[back] - 1] = self._look_up(s[back, at[back] - 1], s[back, at[back]])[0]
                 rank[live], sym[live] = r, s
-            for k, ids, m in zip(some.tolist(), sym.tolist(), n.tolist()):
-                out[k] = ids[:m]
-        lengths = [len(x) if x else 0 for x in out]
-        return np.array([i for x in out if x for i in x], np.int64), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+            parts.append((some, n, sym[cols < n[:, None]]))
+        lengths = np.zeros(len(pieces), np.int64)
+        for some, n, _ in parts:
+            lengths[some] = n
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        out = np.zeros(int(ends[-1]), np.int64)
+        for some, n, ids in parts:
+            out[np.repeat(ends[some] - np.cumsum(n) + n, n) + np.arange(len(ids))] = ids
+        return out, ends
 
     def whole_words(self) -> list[bytes]:
         """The pieces that the vocabulary's whole words stand for, as bytes in order."""
@@ -419,3 +426,24 @@ class Memo:
                 self.known, new = {}, list(all_)
             self.find(self.known, new)
         return self.known
+
+
+_LIVE: dict = {}
+
+
+class Shared:
+    """A broadcast value under a name by which workers tell it from others."""
+
+    def __init__(self, spark, value) -> None:
+        self.name, self.broadcast = uuid.uuid4().hex, spark.sparkContext.broadcast(value)
+
+    @property
+    def value(self):
+        return self.broadcast.value
+
+
+def live(kind, shared: Shared):
+    """`kind(*shared.value)`, kept by a worker from task to task, as it is a pure function of the broadcast; one of a kind at a time."""
+    if _LIVE.get(kind, (None, None))[0] != shared.name:
+        _LIVE[kind] = (shared.name, kind(*shared.value))
+    return _LIVE[kind][1]

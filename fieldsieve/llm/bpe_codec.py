@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .bpe import Lexicon, Memo, WordBpe, compile_lexicon, load
+from .bpe import Lexicon, Memo, Shared, WordBpe, compile_lexicon, live, load
 from .words import row_slices
 
 
@@ -70,6 +70,18 @@ class IdMemo(Codec):
     def form(self, ids: list[int], token: dict[int, str]):
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _find(self, known: dict, new: list[str]) -> None:
+        raw = [p.encode() for p in new]
+        number = self.lexicon.numbers(raw)
+        unseen = np.flatnonzero(number < 0)
+        ids, ends = self.model.merge_many([raw[k] for k in unseen.tolist()])
+        blob = self.lexicon.out.astype("<u4").tobytes() + ids.astype("<u4").tobytes()
+        # where each piece's ids are in the lexicon's outputs with the merged ones behind them
+        at = np.asarray(self.lexicon.out_at, np.int64) * 4
+        lo, hi = at[number], at[number + 1]
+        lo[unseen], hi[unseen] = (len(self.lexicon.out) + ends[:-1]) * 4, (len(self.lexicon.out) + ends[1:]) * 4
+        known.update(zip(new, [blob[a:b] for a, b in zip(lo.tolist(), hi.tolist())]))
+
     def id_arrays(self, texts: list[str]) -> Iterator[np.ndarray]:
         for rows in self.found(texts):
             yield np.frombuffer(b"".join(rows), "<u4")
@@ -78,7 +90,7 @@ class IdMemo(Codec):
 def shared_model(docs: DataFrame, path: str):
     """The tokenizer file and the compiled lexicon, broadcast: a few megabytes that depend on the vocabulary alone."""
     raw = load(path)
-    return docs.sparkSession.sparkContext.broadcast((raw, compile_lexicon(WordBpe(raw))))
+    return Shared(docs.sparkSession, (raw, compile_lexicon(WordBpe(raw))))
 
 
 def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,7 +102,7 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     shared = shared_model(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(*shared.value)
+        codec = live(Codec, shared)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for part in row_slices(batches):
             rows = codec.spelled([t or "" for t in part.column(1).to_pylist()])
@@ -113,7 +125,7 @@ def bpe_pieces(docs: DataFrame, path: str, size: int, end_id: int, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        codec, part_id, seen = IdMemo(*shared.value), TaskContext.get().partitionId(), [0] * (size + 1)
+        codec, part_id, seen = live(IdMemo, shared), TaskContext.get().partitionId(), [0] * (size + 1)
         for part in row_slices(batches):
             rows = []
             for doc, ids in zip(part.column(0).to_pylist(), codec.id_arrays([t or "" for t in part.column(1).to_pylist()])):

@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .bpe import CountTransducer, Memo, WordBpe, compile_counts, load
+from .bpe import CountTransducer, Memo, Shared, WordBpe, compile_counts, live, load
 from .words import row_slices
 
 CHUNK = 1 << 16
@@ -88,10 +88,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     Repeated rows and null ids give their row each. Other columns of `docs` are not looked at.
     """
     raw = load(path)
-    shared = docs.sparkSession.sparkContext.broadcast((raw, compile_counts(WordBpe(raw))))
+    shared = Shared(docs.sparkSession, (raw, compile_counts(WordBpe(raw))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(*shared.value)
+        counter = live(Counter, shared)
         for part in row_slices(batches):
             texts = [t or "" for t in part.column(1).to_pylist()]
             n = counter.count(texts)
