@@ -34,7 +34,9 @@ LOOK_ALIKES = {
 }
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
 
-_UNUSUAL = re.compile("[^\x00-\x7f\xa0-ʯ]")
+# Letters of U+00A0 to U+02AF that folding leaves as they are; all others beyond ASCII call for it. (A no-break space is split at as any space.)
+_KEPT = "".join(c for c in map(chr, range(0xA0, 0x2B0)) if c == "\xa0" or c not in LOOK_ALIKES and unicodedata.normalize("NFKC", c).lower() == c)
+_UNUSUAL = re.compile(f"[^\x00-\x7f{_KEPT}]")
 _SIGN = re.compile(r"[@$](?=[^\W\d_])")
 _SPACES = bytes(ord(SIGNS[chr(b)]) if chr(b) in SIGNS else b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 _LOOK = str.maketrans(LOOK_ALIKES)

@@ -264,6 +264,18 @@ def test_toxicity():
     assert score(plain() + " zonk street") < 0.7
 
 
+def test_toxicity_folds_each_look_alike_alone():
+    for c, plain in toxicity.LOOK_ALIKES.items():
+        assert toxicity.folded(f"x{c}x") == f" x{plain}x ", c
+    # folding a text doesn't hang on what else is in it
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x30000)]):
+        assert toxicity.folded(f"x{c}x") + "x " == toxicity.folded(f"x{c}x х"), c
+    lexicon = toxicity.Lexicon({" disgusting ": 5.0, " trash ": 5.0}, [], (-4.0, 2.0, 1.0))
+    a = lexicon.automaton()
+    assert all(toxicity.score(lexicon, a, t) > 0.7 for t in ("so dısgusting", "so trɑsh", "so disɡusting", "so dɩsgusting", "so traſh"))
+    assert toxicity.score(lexicon, a, "so naïve, été") < 0.1
+
+
 def test_languages(spark):
     rng = random.Random(2)
     sounds = {"en": "th ing and er the wh".split(), "de": "ich sch ung ein ver".split(), "fr": "eau oux ment que le".split(), "es": "cion ado los que ez".split()}
