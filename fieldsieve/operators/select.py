@@ -26,6 +26,12 @@ def breaker(df: DataFrame, keys: list[str], order: list[str], hit: Column) -> Da
     return df.withColumn("started", before(hit, keys, order) == 0)
 
 
+def group_breaker(df: DataFrame, place: str, hit: Column) -> DataFrame:
+    """started: false as well for all rows of groups whose place is behind the first place with a hit. One minimum, no window over all rows."""
+    first = df.filter(hit).agg(F.min(place).alias("_first"))
+    return df.crossJoin(F.broadcast(first)).withColumn("started", F.col("started") & (F.col("_first").isNull() | (F.col(place) <= F.col("_first")))).drop("_first")
+
+
 def drop_low_if_any(df: DataFrame, keys: list[str], class_: str) -> DataFrame:
     other = F.max((F.col(class_) != "low").cast("int")).over(Window.partitionBy(*keys)) == 1
     return df.withColumn("_other", other).filter(~F.col("_other") | (F.col(class_) != "low")).drop("_other")

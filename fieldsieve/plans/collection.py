@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import effective_since
 from ..operators.dedup import first_wins
-from ..operators.rules import commit_reason, period_state
-from ..operators.select import breaker, limit_new
+from ..operators.rules import NOT_ADVANCED, commit_reason, period_state
+from ..operators.select import breaker, group_breaker, limit_new
 
 
 def periods(sources: DataFrame, state: DataFrame, manual: Column | None = None) -> DataFrame:
@@ -17,19 +17,22 @@ def periods(sources: DataFrame, state: DataFrame, manual: Column | None = None)
     return sources.join(last, "source_id", "left").withColumn("since", since)
 
 
-def process(candidates: DataFrame, limit: int) -> DataFrame:
+def process(candidates: DataFrame, limit: int, place: str | None = None) -> DataFrame:
     """Candidates (source_id, pos, url, published, since, run_date, is_new, limit_hit) with period, state and started.
 
-    The breaker looks at rows that are handed to the analyzer only.
+    The breaker looks at rows that are handed to the analyzer only. `place` names the column of the source's place in a
+    batch: no source behind the first one that hits the limit is started. Without it each source is a run of its own.
     """
     rows = first_wins(candidates, ["source_id", "url"], ["pos"])
     rows = rows.withColumn("period", period_state(F.col("published"), F.col("since"), F.col("run_date")))
     rows = limit_new(rows.filter("period <> 'out'"), ["source_id"], ["pos"], F.col("is_new"), limit)
-    return breaker(rows, ["source_id"], ["pos"], (F.col("state") == "processed") & F.col("limit_hit"))
+    hit = (F.col("state") == "processed") & F.col("limit_hit")
+    rows = breaker(rows, ["source_id"], ["pos"], hit)
+    return rows if place is None else group_breaker(rows, place, hit & F.col("started"))
 
 
 def funnel(processed: DataFrame, failed: Column, write: bool = True, manual: bool = False) -> DataFrame:
-    """source_id, in_period, new, processed, remaining, failed, reason, advanced."""
+    """source_id, in_period, new, processed, remaining, failed, reason, advanced of sources with a row in the period, each a run of its own; `batch` takes all sources."""
     worked = (F.col("state") == "processed") & F.col("started")
     rows = processed.groupBy("source_id").agg(
         F.count("*").alias("in_period"), F.count_if("is_new").alias("new"), F.count_if(worked).alias("processed"), F.count_if(F.col("state") == "remaining").alias("remaining"),
@@ -37,3 +40,34 @@ def funnel(processed: DataFrame, failed: Column, write: bool = True, manual: boo
     )
     reason = commit_reason(F.col("limit_hit"), F.lit(write), F.lit(manual), F.col("failed"), F.col("remaining"))
     return rows.withColumn("reason", reason).withColumn("advanced", reason.isNull()).drop("limit_hit")
+
+
+def batch(sources: DataFrame, candidates: DataFrame, limit: int, failed: Column, write: bool = True, manual: bool = False) -> DataFrame:
+    """source_id, place, in_period, new, processed, created, previewed, duplicates, failed, remaining, state, reason, advanced of each source that a batch runs.
+
+    `sources` (source_id, place, failure) are run in the order of their places, which differ. One with a `failure` gives no
+    candidates and keeps its state; one without candidates in the period is finalized as any other. The first usage limit
+    ends the batch: later candidates and sources aren't looked at, and such sources have no row.
+    """
+    rows = process(candidates.join(sources.filter("failure IS NULL").select("source_id"), "source_id", "left_semi"), limit)
+    started, state = F.col("started"), F.col("state")
+    worked = started & (state == "processed")
+    bad = F.coalesce(failed, F.lit(False)) | (worked & F.coalesce("limit_hit", F.lit(False)))
+    counts = rows.groupBy("source_id").agg(
+        F.count("*").alias("in_period"), F.count_if(started & F.col("is_new")).alias("new"), F.count_if(worked).alias("processed"), F.count_if(worked & ~bad & F.lit(write)).alias("created"),
+        F.count_if(worked & ~bad & F.lit(not write)).alias("previewed"), F.count_if(started & (state == "known") & ~bad).alias("duplicates"),
+        F.count_if(started & (state != "remaining") & bad).alias("failed"), F.count_if(started & (state == "remaining")).alias("remaining"), F.max(worked & F.col("limit_hit")).alias("limit_hit"),
+    )
+    numbers = [c for c in counts.columns if c not in ("source_id", "limit_hit")]
+    out = sources.select("source_id", "place", "failure").join(counts, "source_id", "left").fillna(0, numbers).fillna(False, ["limit_hit"]).withColumn("started", F.lit(True))
+    out = group_breaker(out, "place", F.col("limit_hit")).filter("started")
+    reason = F.coalesce("failure", commit_reason(F.col("limit_hit"), F.lit(write), F.lit(manual), F.col("failed"), F.col("remaining")))
+    status = F.when(F.col("failure").isNotNull(), "Failed").when(reason.isNull(), "Advanced").otherwise("Not advanced")
+    return out.select("source_id", "place", *numbers, status.alias("state"), reason.alias("reason"), reason.isNull().alias("advanced"))
+
+
+def batch_totals(sources: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """selected, run, stopped and the sums of what `batch` gives, in one row."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("created", "previewed", "duplicates", "failed", "remaining")]
+    stopped = F.coalesce(F.max(F.coalesce(F.col("reason") == NOT_ADVANCED[0], F.lit(False)) & (F.col("state") != "Failed")), F.lit(False))
+    return sources.agg(F.count("*").alias("selected")).crossJoin(outcomes.agg(F.count("*").alias("run"), stopped.alias("stopped"), *sums))

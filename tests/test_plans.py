@@ -63,6 +63,28 @@ def test_collection(spark):
     assert out == {"a": (1, 1, False), "b": (1, 1, False)}
 
 
+def test_batch(spark):
+    day = dt.date(2026, 8, 5)
+    # source b hits the limit at its second new row; a and last come behind it in the list
+    sources = spark.createDataFrame([("z", 0, None), ("f", 1, "no feed"), ("none", 2, None), ("old", 3, None), ("b", 4, None), ("a", 5, None), ("last", 6, None)], "source_id string, place int, failure string")
+    rows = [("z", 0, True, False, False), ("z", 1, False, False, False), ("z", 2, False, False, True), ("f", 0, True, True, False), ("b", 0, True, False, False), ("b", 1, True, True, False), ("b", 2, True, False, False), ("b", 3, True, False, False), ("a", 0, True, True, False)]
+    df = spark.createDataFrame(rows, "source_id string, pos int, is_new boolean, limit_hit boolean, bad boolean").selectExpr("*", "concat(source_id, pos) AS url", "DATE'2026-08-05' AS published")
+    df = df.union(spark.createDataFrame([("old", 0, True, False, False, "o", dt.date(2026, 7, 1))], df.schema)).withColumns({"since": F.lit(day), "run_date": F.lit(day)})
+    out = collection.batch(sources, df, 3, F.col("bad"))
+    got = {r.source_id: (r.in_period, r.new, r.processed, r.created, r.duplicates, r.failed, r.remaining, r.state) for r in out.collect()}
+    assert got == {
+        "z": (3, 1, 1, 1, 1, 1, 0, "Not advanced"), "f": (0, 0, 0, 0, 0, 0, 0, "Failed"), "none": (0, 0, 0, 0, 0, 0, 0, "Advanced"), "old": (0, 0, 0, 0, 0, 0, 0, "Advanced"), "b": (4, 2, 2, 1, 0, 1, 0, "Not advanced"),
+    }
+    assert {r.source_id: r.reason for r in out.collect() if r.reason} == {"z": "One or more candidates failed.", "f": "no feed", "b": "Claude CLI usage limit reached."}
+    assert collection.batch_totals(sources, out).first().asDict() == {"selected": 7, "run": 5, "stopped": True, "created": 2, "previewed": 0, "duplicates": 1, "failed": 2, "remaining": 0}
+    placed = collection.process(df.join(sources.select("source_id", "place"), "source_id").filter("source_id <> 'f'"), 3, "place")
+    assert {(r.source_id, r.pos) for r in placed.filter("started").collect()} == {("z", 0), ("z", 1), ("z", 2), ("b", 0), ("b", 1)}
+    # nobody hits a limit: all run, a preview advances nothing
+    calm = collection.batch(sources, df.withColumn("limit_hit", F.lit(False)), 3, F.col("bad"), write=False)
+    assert calm.count() == 7 and calm.filter("advanced").count() == 0 and {r.source_id: r.remaining for r in calm.collect()}["b"] == 1
+    assert collection.batch_totals(sources, calm).first().asDict() == {"selected": 7, "run": 7, "stopped": False, "created": 0, "previewed": 5, "duplicates": 1, "failed": 1, "remaining": 1}
+
+
 def test_sink(spark, tmp_path):
     made = analysis.mock_analysis(spark.createDataFrame([("https://o.jp/1", "A line that is long enough", "T", "O", "S"), ("https://o.jp/1", "A line that is long enough", "T", "O", "S")], "url string, text string, title string, organization string, source string"))
     rows, path = sink.sink_rows(made), str(tmp_path / "sink")
