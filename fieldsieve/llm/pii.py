@@ -3,9 +3,10 @@
 A surrogate is a keyed permutation of the values of an entity's shape (a Feistel network over the positions' alphabets,
 after format-preserving encryption): letters stay letters of their script and case, digits digits, and what the type
 prescribes stays (a country code, an exchange of 555, a valid check digit, octets below 256, a domain of the
-reserved kind). A permutation has no collisions, so different entities keep different surrogates and one entity has
-the same everywhere, without a table of entities. Names are drawn by the honorific's gender from syllables of the
-name's script. `collisions` checks distinctness over a corpus.
+reserved kind). A permutation has no collisions and this one no fixed points, so different entities keep different
+surrogates and one entity has the same everywhere, without a table of entities. Names are drawn by the honorific's
+gender from syllables of the name's script; one without a gender takes that of the same surname in its text. The
+operators fail where two entities of a corpus share a surrogate (`distinct`); `collisions` lists such.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ import hmac
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -54,6 +55,11 @@ _SOUNDS = {
 }
 
 
+_RESERVED = re.compile(r"(?:^|\.)example\.(?:com|org|net)$")
+#: Hexadecimal numbers of one case with a letter at least.
+_HEXES = re.compile("(?=[0-9]*[a-f])[0-9a-f]+|(?=[0-9]*[A-F])[0-9A-F]+")
+
+
 @dataclass(frozen=True)
 class Entity:
     kind: str
@@ -140,6 +146,39 @@ def permuted(key: bytes, tweak: str, digits: list[int], radices: list[int]) -> l
     return digits
 
 
+def _restored(key: bytes, tweak: str, digits: list[int], radices: list[int]) -> list[int]:
+    """The inverse of `permuted` for two digits or more."""
+    half = len(digits) // 2
+    spans = (range(half), range(half, len(digits)))
+    for r in reversed(range(ROUNDS)):
+        to, by = spans[r % 2], spans[1 - r % 2]
+        add = _number(key, (tweak, str(r), ",".join(str(digits[k]) for k in by)), math.prod(radices[k] for k in to))
+        for k in to:
+            add, step = divmod(add, radices[k])
+            digits[k] = (digits[k] - step) % radices[k]
+    return digits
+
+
+def moved(key: bytes, tweak: str, digits: list[int], radices: list[int], kept: Callable[[list[int]], bool] | None = None) -> list[int]:
+    """A keyed permutation in a single cycle, hence without fixed points: the number is permuted, one is added, and it is permuted back.
+
+    With `kept` the cycle is followed to the next number that it holds for; numbers that it holds for are permuted among themselves.
+    """
+    n = len(digits)
+    if not n:
+        return digits
+    order = sorted(range(radices[0]), key=lambda k: _number(key, (tweak, "one", str(k)))) if n == 1 else []
+    at = [order.index(digits[0])] if n == 1 else permuted(key, tweak, list(digits), radices)
+    while True:
+        for k in range(n):
+            at[k] = (at[k] + 1) % radices[k]
+            if at[k]:
+                break
+        new = [order[at[0]]] if n == 1 else _restored(key, tweak, list(at), radices)
+        if kept is None or new == digits or kept(new):
+            return new
+
+
 def _alphabet(c: str) -> str:
     if c in _DIGITS:
         return _DIGITS
@@ -150,17 +189,19 @@ def _alphabet(c: str) -> str:
     return c
 
 
-def same_shape(key: bytes, tweak: str, value: str, alphabet=_alphabet) -> str:
-    """The permutation over values of the same shape; characters without an alphabet of their own stay."""
+def same_shape(key: bytes, tweak: str, value: str, alphabet=_alphabet, kept: Callable[[str], bool] | None = None) -> str:
+    """The permutation over values of the same shape, or of those among them that `kept` holds for; characters without an alphabet of their own stay."""
     sets = [alphabet(c) for c in value]
     at = [k for k, s in enumerate(sets) if len(s) > 1]
     shape = "".join(c if len(s) == 1 else s[0] for c, s in zip(value, sets))
-    new = permuted(key, f"{tweak}\x1e{shape}", [sets[k].index(value[k]) for k in at], [len(sets[k]) for k in at])
-    out = list(value)
-    for k, d in zip(at, new):
-        out[k] = sets[k][d]
-    made = "".join(out)
-    return made if made != value or not at else same_shape(key, tweak + "\x1d", made, alphabet)
+
+    def spelt(digits: list[int]) -> str:
+        out = list(value)
+        for k, d in zip(at, digits):
+            out[k] = sets[k][d]
+        return "".join(out)
+
+    return spelt(moved(key, f"{tweak}\x1e{shape}", [sets[k].index(value[k]) for k in at], [len(sets[k]) for k in at], kept and (lambda digits: kept(spelt(digits)))))
 
 
 def _luhn(digits: str) -> int:
@@ -196,6 +237,10 @@ def _name(key: bytes, value: str, gender: str) -> str:
     return "".join(out)
 
 
+def _ascii_digits(value: str) -> str:
+    return re.sub(r"\d", lambda m: str(int(m[0])), value)
+
+
 def surrogate(e: Entity, key: bytes = KEY) -> str:
     """The replacement of an entity; equal values of one kind get equal ones, upper and lower case apart."""
     v = e.value
@@ -206,25 +251,33 @@ def surrogate(e: Entity, key: bytes = KEY) -> str:
         new = iter(body + str((_luhn(body) + off) % 10))
         return re.sub(r"\d", lambda m: next(new), v)
     if e.kind == "ip":
-        parts = permuted(key, "ip", [int(x) for x in v.split(".")], [256] * 4)
+        parts = moved(key, "ip", [int(x) for x in v.split(".")], [256] * 4)
         return ".".join(map(str, parts))
     if e.kind == "phone":
+        v = _ascii_digits(v)
         head = re.match(r"\+\d{1,3}", v)
         keep = head.end() if head else 0
         fixed = v.find("555", keep)
         digits = [k for k, c in enumerate(v) if c.isdigit() and k >= keep and not (fixed >= 0 and fixed <= k < fixed + 3)]
-        new = permuted(key, "phone\x1e" + re.sub(r"\d", "0", v), [int(v[k]) for k in digits], [10] * len(digits))
-        out = list(v)
-        for k, d in zip(digits, new):
-            out[k] = str(d)
-        return "".join(out)
+
+        def spelt(new: list[int]) -> str:
+            out = list(v)
+            for k, d in zip(digits, new):
+                out[k] = str(d)
+            return "".join(out)
+
+        # a 555 stays where it is, so none may come up before it
+        return spelt(moved(key, "phone\x1e" + re.sub(r"\d", "0", v), [int(v[k]) for k in digits], [10] * len(digits), lambda new: spelt(new).find("555", keep) == fixed))
     if e.kind == "email":
         local, _, domain = v.rpartition("@")
-        host = domain if re.search(r"(?:^|\.)example\.(?:com|org|net)$", domain) else same_shape(key, "host", domain.rpartition(".")[0]) + "." + domain.rpartition(".")[2]
+        name, _, top = domain.rpartition(".")
+        host = domain if _RESERVED.search(domain) else same_shape(key, "host", name, kept=lambda x: not _RESERVED.search(f"{x}.{top}")) + "." + top
         return same_shape(key, "email\x1e" + domain, local) + "@" + host
-    if e.kind in ("hex", "secret") and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", v) and re.search("[a-fA-F]", v):
+    if e.kind in ("hex", "secret"):
+        if not _HEXES.fullmatch(v):
+            return same_shape(key, e.kind, v, kept=lambda x: not _HEXES.fullmatch(x))
         digits = _HEX.upper() if re.search("[A-F]", v) else _HEX
-        return same_shape(key, "hex", v, lambda c: digits)
+        return same_shape(key, "hex", v, lambda c: digits, _HEXES.fullmatch)
     if e.kind == "iban":
         return v[:2] + same_shape(key, "iban", v[2:])
     if e.kind == "name":
@@ -232,12 +285,24 @@ def surrogate(e: Entity, key: bytes = KEY) -> str:
     return same_shape(key, e.kind, v)
 
 
+def _gendered(found: list[Entity]) -> list[Entity]:
+    """Names without a gender get that of the same surname elsewhere in the text, where it is only one."""
+    if all(e.gender for e in found if e.kind == "name"):
+        return found
+    surname = lambda e: re.split("[ -]", e.value)[-1].casefold()
+    known: dict[str, set[str]] = {}
+    for e in found:
+        if e.gender:
+            known.setdefault(surname(e), set()).add(e.gender)
+    return [replace(e, gender=min(g)) if e.kind == "name" and not e.gender and len(g := known.get(surname(e), ())) == 1 else e for e in found]
+
+
 def replaced(text: str | None, key: bytes = KEY) -> tuple[str | None, list[tuple[Entity, str]]]:
     """The text with surrogates, and what was replaced by what."""
     if not text or not (found := find(text)):
         return text, []
     out, at, pairs = [], 0, []
-    for e in found:
+    for e in _gendered(found):
         s = surrogate(e, key)
         out += [text[at : e.begin], s]
         at = e.end
@@ -259,7 +324,7 @@ def replace_entities(docs: DataFrame, key: bytes = KEY, text_col: str = "text")
             columns[at] = pa.array([replaced(t, key)[0] for t in part.column(at).to_pylist()], part.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return distinct(docs.mapInArrow(run, schema), docs, key, text_col)
 
 
 def pii_digests(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,7 +348,31 @@ def pii_digests(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_
             )
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(run, "doc_id long, text string, n_entities long, kinds array<string>")
+    return distinct(base.mapInArrow(run, "doc_id long, text string, n_entities long, kinds array<string>"), docs, key, text_col)
+
+
+def _identity(e: Entity) -> bytes:
+    """What makes an entity: case doesn't count in names, leading zeros don't in addresses, nor the script of digits in phones."""
+    same = {"name": str.casefold, "ip": lambda v: ".".join(str(int(x)) for x in v.split(".")), "phone": _ascii_digits}
+    v = same[e.kind](e.value) if e.kind in same else e.value
+    return v.encode("utf-8", "replace")
+
+
+def distinct(out: DataFrame, docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
+    """`out`, which fails when it is read if a surrogate stands for more than one entity of `docs`.
+
+    A second pass over the texts; each surrogate is a 16-byte hash, with the least and the greatest hash of its entities.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in row_slices(batches):
+            rows = list({(hashlib.blake2b(f"{e.kind}\x1f{s}".encode("utf-8", "replace"), digest_size=16).digest(), int.from_bytes(hashlib.blake2b(_identity(e), digest_size=8).digest(), "big", signed=True)) for t in part.column(0).to_pylist() for e, s in replaced(t, key)[1]})
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64())], names=["_surrogate", "_entity"])
+
+    pairs = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "_surrogate binary, _entity long")
+    shared = pairs.groupBy("_surrogate").agg(F.min("_entity").alias("_least"), F.max("_entity").alias("_most")).filter("_least <> _most").agg(F.count("*").alias("_shared"))
+    failed = F.concat(F.col("_shared").cast("string"), F.lit(" surrogates stand for more than one entity; pii.collisions lists them"))
+    return out.crossJoin(F.broadcast(shared)).filter(F.assert_true(F.col("_shared") == 0, failed).isNull()).drop("_shared")
 
 
 def collisions(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
@@ -291,7 +380,7 @@ def collisions(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in row_slices(batches):
-            rows = {(e.kind, s, hashlib.sha256(e.value.casefold().encode() if e.kind == "name" else e.value.encode()).hexdigest()) for t in part.column(0).to_pylist() for e, s in replaced(t, key)[1]}
+            rows = {(e.kind, s, hashlib.sha256(_identity(e)).hexdigest()) for t in part.column(0).to_pylist() for e, s in replaced(t, key)[1]}
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["kind", "surrogate", "entity"])
 
     pairs = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "kind string, surrogate string, entity string").distinct()

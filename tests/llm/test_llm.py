@@ -305,6 +305,45 @@ def test_surrogates():
     assert pii.replaced(None) == (None, []) and pii.replaced("") == ("", [])
 
 
+def test_surrogates_are_distinct_and_new():
+    for values in ([f"{k:04d}" for k in range(10000)], [f"{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"], list("0123456789")):
+        shaped = [pii.same_shape(pii.KEY, "t", v) for v in values]
+        assert set(shaped) == set(values) and not any(a == b for a, b in zip(values, shaped))
+    new = lambda kind, values: [pii.surrogate(pii.Entity(kind, 0, 0, v)) for v in values]
+    for kind, values in (
+        ("email", [f"{a}{b}@corp.io" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]),
+        ("phone", [f"555-12{k:02d}" for k in range(100)] + [f"{k:03d}-5550" for k in range(1000) if k != 555]),
+        ("secret", [f"1{k:07x}" for k in range(0, 1 << 16, 7)] + [f"{k:08d}" for k in range(9000)]),
+    ):
+        made = new(kind, values)
+        assert len(set(made)) == len(set(values)) and not any(a == b for a, b in zip(values, made))
+    assert all(x.startswith("555-") for x in new("phone", [f"555-12{k:02d}" for k in range(100)]))
+    # one name whatever its honorific; both genders at once leave a name without one
+    names = lambda t: [s for _, s in pii.replaced(t)[1]]
+    assert len(set(names("Mr Smith, then Dr Smith"))) == 1 and names("Dr Smith said, Mr Smith") == names("Mr Smith. Mr Smith") and len(set(names("Mr Smith, Mrs Smith, Dr Smith"))) == 3
+
+
+def test_shared_surrogates_fail_the_operators(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "Mail bob@corp.io"), (2, "Mail bob@corp.io"), (3, None)], "doc_id long, text string")
+    assert pii.pii_digests(df).count() == pii.replace_entities(df).count() == 3
+    from pyspark import cloudpickle
+
+    def shared(text, key=pii.KEY):
+        found = pii.find(text or "")
+        return text, [(e, "same") for e in found]
+
+    cloudpickle.register_pickle_by_value(pii)  # so that workers see the surrogates below
+    try:
+        monkeypatch.setattr(pii, "replaced", shared)
+        two = df.union(spark.createDataFrame([(4, "Mail eve@corp.io")], df.schema))
+        for operator in (pii.pii_digests, pii.replace_entities):
+            assert operator(df).count() == 3
+            with pytest.raises(Exception, match="more than one entity"):
+                operator(two).collect()
+    finally:
+        cloudpickle.unregister_pickle_by_value(pii)
+
+
 def test_pii_queries(docs):
     assert pii.pii_digests(docs).count() == len(corpus()) and pii.replace_entities(docs).columns == docs.columns and pii.collisions(docs).count() == 0
 
