@@ -29,12 +29,16 @@ def scan(sources: DataFrame, fetched: DataFrame) -> DataFrame:
     links = pages.select("source_id", "base_url", F.posexplode(found("body", "link_selector")).alias("pos", "a"))
     from ..functions.urls import resolved
 
-    links = links.select("source_id", "pos", F.col("a.text").alias("title"), resolved("base_url", F.col("a.href")).alias("url"), date_candidate(F.col("a.context")).alias("published_at"), none.alias("categories"))
+    links = links.select("source_id", "pos", F.col("a.text").alias("title"), F.when(F.trim("a.href") != "", F.coalesce(resolved("base_url", F.col("a.href")), F.trim("a.href"))).alias("url"), date_candidate(F.col("a.context")).alias("published_at"), none.alias("categories"))
     return fixed.unionByName(xml).unionByName(links)
 
 
 def check(sources: DataFrame, orgs: DataFrame, fetched: DataFrame) -> DataFrame:
-    """A row per source: status, counts at each step, latest date. Sources of other collector types are unsupported; no usable row is an error unless allowed."""
+    """A row per source: status, counts at each step, latest date, what is missing, warnings. Sources of other collector types are unsupported; no usable row is an error unless allowed.
+
+    `full_status` is 'ok' only without warnings (missing titles or URLs, external, self and repeated links, more than half
+    of a feed's dates missing). `status` is the same but for list pages, where only an empty list or no date at all warns.
+    """
     of = orgs.select(F.col("id").alias("organization_id"), F.col("official_domain").alias("domain"))
     src = sources.join(F.broadcast(of), "organization_id").select(
         F.col("id").alias("source_id"), "collector_type", "domain", F.col("url").alias("source_url"), "category_includes", F.col("title_includes").alias("includes"), F.col("title_excludes").alias("excludes"),
@@ -45,10 +49,26 @@ def check(sources: DataFrame, orgs: DataFrame, fetched: DataFrame) -> DataFrame:
     is_list = F.col("collector_type") == "list_page"
     judged = rules.judged(rows.filter(is_list)).unionByName(rules.judged(rows.filter(~is_list), list_page=False))
     sound = F.col("exclude_reason").isNull() | ~F.col("exclude_reason").isin(rules.MISSING, rules.BAD_URL, rules.EXTERNAL, rules.SELF)
-    counts = judged.groupBy("source_id").agg(F.count("*").alias("raw"), F.count_if(sound).alias("valid"), F.count_if(F.col("exclude_reason").isNull()).alias("usable"), F.max(F.when(F.col("exclude_reason").isNull(), F.col("published_at"))).alias("latest"))
-    all_ = src.join(counts, "source_id", "left").fillna(0, ["raw", "valid", "usable"])
-    status = (
-        F.when(~F.col("collector_type").isin("rss", "list_page", "single_page"), "unsupported").when(F.col("usable") > 0, F.when(F.col("latest").isNull() & (F.col("collector_type") != "single_page"), "warning").otherwise("ok"))
-        .when(F.col("empty_ok") & (F.col("collector_type") == "list_page") & (F.col("raw") == 0), "warning").otherwise("error")
+    why, lacks = F.col("exclude_reason"), lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    counts = judged.groupBy("source_id").agg(
+        F.count("*").alias("raw"), F.count_if(sound).alias("valid"), F.count_if(why.isNull()).alias("usable"), F.max(F.when(why.isNull(), F.col("published_at"))).alias("latest"),
+        F.count_if(lacks("title")).alias("missing_title"), F.count_if(lacks("url")).alias("missing_url"), F.count_if(F.col("published_at").isNull()).alias("missing_date"),
+        F.count_if(why == rules.EXTERNAL).alias("external"), F.count_if(why == rules.SELF).alias("self_links"), F.count_if(why == rules.REPEAT).alias("repeats"),
+    )
+    all_ = src.join(counts, "source_id", "left").fillna(0, [c for c in counts.columns if c not in ("source_id", "latest")])
+    feed, empty = F.col("collector_type") == "rss", F.col("empty_ok") & is_list & (F.col("raw") == 0)
+    found = {
+        "missing": (F.col("missing_title") > 0) | (F.col("missing_url") > 0), "dates": feed & (F.col("missing_date") > F.col("raw") / 2), "external": F.col("external") > 0,
+        "self_links": F.col("self_links") > 0, "repeats": F.col("repeats") > 0, "empty": empty,
+    }
+    warnings = F.when(F.col("collector_type").isin("rss", "list_page"), F.array_compact(F.array(*[F.when(c, k) for k, c in found.items()]))).otherwise(F.array().cast("array<string>"))
+
+    def status(warned):
+        return F.when(~F.col("collector_type").isin("rss", "list_page", "single_page"), "unsupported").when((F.col("usable") == 0) & ~empty, "error").when(warned, "warning").otherwise("ok")
+
+    all_ = all_.withColumn("warnings", warnings)
+    warned = F.size("warnings") > 0
+    return all_.select(
+        "source_id", "enabled", status(F.when(is_list, empty | F.col("latest").isNull()).otherwise(warned)).alias("status"), "raw", "valid", "usable", "latest",
+        status(warned).alias("full_status"), "missing_title", "missing_url", "missing_date", "external", "self_links", "repeats", "warnings",
     )
-    return all_.select("source_id", "enabled", status.alias("status"), "raw", "valid", "usable", "latest")

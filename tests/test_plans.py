@@ -49,6 +49,26 @@ def test_analysis_of_a_page(spark):
         analysis.Analyzers().get("mock", write=True)
 
 
+def test_source_check_warnings(spark):
+    orgs, sources = registry.load(spark, CHECKED)
+    item = lambda k, dated: f"<item><title>T{k}</title><link>https://o.jp/{k}</link>{'<pubDate>Wed, 05 Aug 2026 00:00:00 GMT</pubDate>' if dated else ''}<category>防災</category></item>"
+    feed = lambda n, dated, more="": "<rss><channel>" + "".join(item(k, k < dated) for k in range(n)) + more + "</channel></rss>"
+    mail = LIST.replace("</ul>", '<li><a href="mailto:a@o.jp">Mail</a></li><li><a href="">No link</a></li></ul>')
+
+    def got(xml, page):
+        fetched = spark.createDataFrame([("feed", "https://o.jp/f", xml), ("list", "https://o.jp/l", page)], "source_id string, base_url string, body string")
+        return {r.source_id: r for r in check.check(sources, orgs, fetched).collect()}
+
+    r = got(feed(5, 2), mail)
+    assert (r["feed"].status, r["feed"].full_status, r["feed"].warnings, r["feed"].missing_date) == ("warning", "warning", ["dates"], 3)
+    x = r["list"]
+    assert (x.full_status, x.warnings, x.missing_title, x.missing_url, x.external, x.self_links, x.repeats) == ("warning", ["missing", "external", "self_links", "repeats"], 1, 1, 2, 1, 1)
+    r = got(feed(4, 2), '<div id="m"><a href="/a">One</a></div>')  # half of the dates is not more than half
+    assert [(r[k].full_status, r[k].warnings) for k in ("feed", "list", "fix", "hand")] == [("ok", []), ("ok", []), ("ok", []), ("unsupported", [])]
+    r = got(feed(4, 4, "<item><title>E</title><link>https://else.com/</link></item>" + item(0, True)), LIST)
+    assert (r["feed"].status, r["feed"].warnings) == ("warning", ["external", "repeats"])
+
+
 def test_collection(spark):
     sources = spark.createDataFrame([("a", None), ("b", "2026-08-01"), ("c", None)], "source_id string, initial_since string")
     state = spark.createDataFrame([("c", dt.datetime(2026, 8, 5)), ("b", dt.datetime(2026, 8, 2))], "source_id string, last_successful_check_at timestamp")
