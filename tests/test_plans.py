@@ -49,6 +49,24 @@ def test_analysis_of_a_page(spark):
         analysis.Analyzers().get("mock", write=True)
 
 
+def test_pages_of_a_long_pdf(spark):
+    # by paragraphs the second page's heading would come along without its text
+    pages = ["表紙\n\n" + "あ" * 300, "1. 業務内容\n\n" + "い" * 300, "2. 提出方法\n\n" + "う" * 300]
+    body = "\n\n".join(pages)
+    docs = spark.createDataFrame([(1, "https://o.jp/1", "page")], "doc_id long, url string, text string")
+    links = spark.createDataFrame([(1, 0, "https://o.jp/a.pdf", "仕様書")], "doc_id long, pos int, url string, text string")
+    limits = config.Limits(html=1000, pdf_total=400, per_pdf=400, max_pdfs=1)
+
+    def sent(page_texts):
+        texts = spark.createDataFrame([("https://o.jp/a.pdf", body, None, page_texts)], "url string, body string, error string, page_texts array<string>")
+        return analyze.prepared(docs, analyze.attachments(links, texts, limits), limits).first().pdfs[0]
+
+    for known in (pages, None):
+        want = analysis.choose_text(body, known, 400)
+        assert (sent(known).text, sent(known).strategy) == want[:2]
+    assert analysis.choose_text(body, pages, 400) != analysis.choose_text(body, None, 400) and sent(pages).text == pages[0]
+
+
 def test_source_check_warnings(spark):
     orgs, sources = registry.load(spark, CHECKED)
     item = lambda k, dated: f"<item><title>T{k}</title><link>https://o.jp/{k}</link>{'<pubDate>Wed, 05 Aug 2026 00:00:00 GMT</pubDate>' if dated else ''}<category>防災</category></item>"
