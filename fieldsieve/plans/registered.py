@@ -354,6 +354,20 @@ def evidence_match(spark, d):
     return analysis.evidence_found(quotes, docs, ["doc_id"]).select("doc_id", "matched")
 
 
+@query("""
+WITH q AS (SELECT d.doc_id, p.place, d.text, CASE p.place WHEN 'middle' THEN substr(d.text, length(d.text) // 2 + 1, 40) WHEN 'end' THEN right(d.text, 40) ELSE substr(o.text, length(o.text) // 2 + 1, 40) END AS quote
+  FROM documents d LEFT JOIN documents o ON o.doc_id = d.doc_id + 1 CROSS JOIN (VALUES ('middle'), ('end'), ('other')) p(place))
+SELECT doc_id, place, contains(text, quote) AS matched FROM q WHERE regexp_matches(quote, '[0-9A-Za-z]{3}')""")
+def evidence_places(spark, d):
+    """Quotes from the middle and the end of every document, and from the middle of the next one, against the document's own text."""
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    middle = F.substring("text", F.floor(F.length("text") / 2).cast("int") + 1, F.lit(40))
+    own = docs.select("doc_id", F.explode(F.array(F.struct(F.lit("middle").alias("place"), middle.alias("quote")), F.struct(F.lit("end").alias("place"), F.right("text", F.lit(40)).alias("quote")))).alias("q")).select("doc_id", "q.*")
+    other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.lit("other").alias("place"), middle.alias("quote")).join(docs.select("doc_id"), "doc_id", "left_semi")
+    quotes = own.unionByName(other).filter(F.col("quote").rlike("[0-9A-Za-z]{3}"))
+    return analysis.evidence_found(quotes, docs, ["doc_id"]).select("doc_id", "place", "matched")
+
+
 @query("""
 WITH w AS (SELECT user_id, CASE event_type WHEN 'view' THEN 'pdf_limit' WHEN 'click' THEN 'pdf_warning' WHEN 'error' THEN 'content_warning' ELSE 'pdf_failed' END AS code, CASE WHEN event_id % 2 = 0 THEN 'japanese_character_spacing' END AS detail FROM events),
 s AS (SELECT user_id, code = 'pdf_limit' OR (code = 'pdf_warning' AND coalesce(detail, '') = 'japanese_character_spacing') AS notice FROM w)

@@ -118,3 +118,22 @@ def test_constraints_and_envelopes(spark):
     raw = ["x", "[1]", '{"type":"a"}', '{"type":"result","subtype":"x"}', '{"type":"result","subtype":"success","is_error":true}', '{"type":"result","subtype":"success","is_error":false}', '{"type":"result","subtype":"success","is_error":false,"result":"{"}', '{"type":"result","subtype":"success","is_error":false,"result":"```json\\n{}\\n```"}']
     rows = spark.createDataFrame([(k, r) for k, r in enumerate(raw)], "k int, raw string")
     assert [r.s for r in rows.withColumn("s", analysis.envelope_stage(F.col("raw"))).orderBy("k").collect()] == [1, 1, 2, 3, 4, 5, 7, 0]
+
+
+def test_evidence_of_benchmark_passages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").filter("text IS NOT NULL")
+    passages = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").select("item_id", F.col("text").alias("quote"))
+    found = {(r.doc_id, r.item_id) for r in analysis.evidence_found(docs.select("doc_id").crossJoin(passages), docs, ["doc_id"]).filter("matched").select("doc_id", "item_id").collect()}
+    texts, quotes = docs.collect(), passages.collect()
+    where = {(x.doc_id, q.item_id): x.text.find(q.quote) for x in texts for q in quotes if q.quote in x.text}
+    assert found >= set(where) and max(where.values()) > 1000 and len({item for _, item in where}) > 10
+
+
+def test_evidence_is_searched_in_the_whole_text(spark, monkeypatch):
+    from fieldsieve.plans import registered
+
+    whole = analysis.evidence_found
+    monkeypatch.setattr(analysis, "evidence_found", lambda quotes, texts, keys: whole(quotes, texts.withColumn("text", F.left("text", F.lit(40))), keys))
+    short = registered.evidence_places(spark, "/root/testdata/sf0.001").filter("place <> 'other' AND NOT matched").count()
+    monkeypatch.undo()
+    assert short > 0 and registered.evidence_places(spark, "/root/testdata/sf0.001").filter("place <> 'other' AND NOT matched").count() == 0
