@@ -64,8 +64,11 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 class FMIndex:
     """Backward search over texts that are laid end to end, each closed by the symbol 0."""
 
-    def __init__(self, texts: np.ndarray, ends: np.ndarray, depth: int) -> None:
-        """texts: 64-bit words of all texts; ends: where each text ends in them. Matches are right up to `depth` words."""
+    def __init__(self, texts: np.ndarray, ends: np.ndarray, depth: int, weights: np.ndarray | None = None) -> None:
+        """texts: 64-bit words of all texts; ends: where each text ends in them. Matches are right up to `depth` words.
+
+        `weights` tells how often each text counts; without it each counts once.
+        """
         starts = np.concatenate([[0], ends[:-1]])
         self.shift = np.arange(len(ends))
         self.starts = starts + self.shift
@@ -76,6 +79,8 @@ class FMIndex:
         body[mark] = ids + 1
         self.text = body
         self.order = suffix_order(body, depth)
+        each = np.ones(len(ends), np.int64) if weights is None else weights.astype(np.int64)
+        self.weight = np.concatenate([[0], np.cumsum(np.repeat(each, np.diff(np.concatenate([[-1], ends + self.shift])))[self.order])])
         self.levels = max(1, int(len(self.words)).bit_length())
         self.bwt = WaveletMatrix(body[self.order - 1], self.levels)
         counts = np.bincount(body, minlength=len(self.words) + 1)
@@ -88,20 +93,19 @@ class FMIndex:
         lo, hi = self.bwt.ranks(symbol, lo, hi)
         return self.first[symbol] + lo - self.base[symbol], self.first[symbol] + hi - self.base[symbol]
 
-    def matching(self, at: np.ndarray, length: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Backward search of the `length` words from each place `at` of the indexed text.
+    def matching(self, at: np.ndarray, length: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Backward search of as many words as `length` tells from each place `at` of the indexed text.
 
-        Returns for each its matching statistic (how many of its last words occur `least` times or more) and
-        the suffix interval; a pattern stops where fewer occurrences are left.
+        Returns for each its matching statistic (how many of its last words occur with a weight of `least` or more) and
+        the suffix interval; a pattern stops where less weight is left.
         """
         lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(self.text))
-        matched, live = np.zeros(len(at), np.int32), np.arange(len(at))
-        for back in range(length - 1, -1, -1):
-            a, b = self.step(self.text[at[live] + back], lo[live], hi[live])
-            enough = b - a >= least
+        matched, live = np.zeros(len(at), np.int64), np.flatnonzero(length > 0)
+        while len(live):
+            a, b = self.step(self.text[at[live] + length[live] - 1 - matched[live]], lo[live], hi[live])
+            enough = self.weight[b] - self.weight[a] >= least
             live = live[enough]
             lo[live], hi[live] = a[enough], b[enough]
             matched[live] += 1
-            if not len(live):
-                break
+            live = live[matched[live] < length[live]]
         return matched, lo, hi

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import connected_components
-from .lineage import cut
+from .lineage import cut, unused
+from .skew import with_value
 from .words import column_bytes, hashed_words, row_slices, shingle_sets
 
 WIDTH = 5
@@ -136,7 +137,8 @@ def cross_candidates(sets: DataFrame, open_: DataFrame, num: int, den: int) -> D
     """
     rows = sets.join(open_, "doc_id").select("doc_id", "shingles", "label").mapInArrow(_incidence, "shingle long, doc long, label long, n long")
     often = rows.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = rows.join(often, "shingle")
+    often = cut(often.withColumn("times", F.col("df")), "often")
+    shared = with_value(rows, often, ["shingle"], "df", "times", ["doc", "shingle"]).filter("df IS NOT NULL")
     by_doc = Window.partitionBy("doc")
     prefix = F.expr(f"n - (n * {num} + {den - 1}) div {den} + 1")
     ranked = shared.withColumn("at", F.row_number().over(by_doc.orderBy("df", "shingle"))).withColumn("lone", F.col("n") - F.count("*").over(by_doc))
@@ -208,6 +210,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, num: int = 85, den: int = 1
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that are kept, one document of each group, with their columns unchanged."""
-    gone = near_duplicates(docs, words, num, den, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """The rows of `docs` that are kept, one document of each group, with their columns unchanged.
+
+    Nulls, empty texts and repeated rows are as in `near_duplicates`. No name of a column of `docs` is taken.
+    """
+    own = unused(docs, "gone")
+    gone = near_duplicates(docs, words, num, den, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias(own))
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(own), "left_anti")

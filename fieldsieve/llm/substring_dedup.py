@@ -1,16 +1,19 @@
 """Substring dedup: words covered by a window of words that also starts earlier are removed.
 
-Windows are dealt to shards by content. Of the short grams in a window the one with the least hash is its
-anchor; consecutive windows with the same anchor make a segment, and equal windows have equal anchors, so
-all occurrences of a window meet in its anchor's shard although no shard sees whole documents. Then
-
-1. anchors that occur once are dropped after a map-side count of hashes;
-2. equal segments collapse to the first of them, again map-side; all others are repeats as a whole;
-3. the distinct segments of an anchor go to its shard, whose FM-index (suffix order, wavelet matrix) is
-   searched backward for the windows of each segment; intervals with more than one row are repeats, and
-   the smallest (document, place) in the interval is the one that stays;
-4. an anchor with more than HOT distinct segments (a line that very many documents share, each with other
-   neighbours) doesn't go to a shard: its windows are counted one by one by hash, which has no hot task.
+Windows are dealt to shards by content. Each window has an anchor, the least of its short grams in an order that puts
+grams which the corpus holds very often last, and a key: the anchor with the words on its longer side within the
+window, more than half of the window. Consecutive windows of one anchor and side make a segment. Equal windows have
+equal anchors and keys, so all occurrences of a window meet in its key's shard although no shard sees whole documents.
+
+1. Short grams are counted in a table of CELLS cells; those of cells far above the mean count as frequent. An anchor that isn't
+   frequent has at most HEAVY / CELLS of all windows, and the windows of a frequent one lie within frequent passages only.
+2. Equal segments are laid together, in each task before the shuffle and for the corpus after it, with their number and
+   their first place; keys that occur once are dropped.
+3. The segments of a key go to its shard, whose FM-index (suffix order, wavelet matrix) holds each different segment once, with its
+   number as a weight. It is searched backward for the words of every segment; intervals that weigh two or more are
+   repeats, and the smallest (document, place) of an interval is the one that stays.
+4. Further copies of segments that the index reports are found in a second pass over the documents. Segments of very many
+   copies, at most 65,536 of them, are broadcast; the others are joined by (key, content).
 """
 
 from __future__ import annotations
@@ -20,64 +23,108 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .fm_index import FMIndex
-from .lineage import cut
-from .words import column_bytes, gram_hashes, hashed_words, range_hashes, row_slices
+from .lineage import cut, unused
+from .skew import with_value
+from .words import Ranges, column_bytes, gram_hashes, hashed_words, row_slices
 
 GRAM = 5
-HOT = 2000
-SHARD_WORDS = 400_000
+CELLS = 1 << 18
+HEAVY = 4
+#: Words at which a shard is closed, between keys.
+SHARD_WORDS = 1 << 16
 
 
-def segments_of(h: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """Row, first window (from the row's start), number of windows, anchor and content hash of every segment."""
+def _cells(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def segments_of(h: np.ndarray, at: np.ndarray, window: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Row, first window (from the row's start), number of windows, key and content hash of every segment. `frequent` has a bit for each cell."""
     gram = min(GRAM, window)
     n = len(h) - window + 1
     if n <= 0:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     grams = gram_hashes(h, gram)
+    order = grams >> np.uint64(1)
+    if frequent is not None:
+        order |= frequent[_cells(grams)].astype(np.uint64) << np.uint64(63)
     best, span = np.arange(len(grams)), 1
     width = window - gram + 1
     while span < width:  # the leftmost least gram of `span` grams, doubled
         shift = min(span, width - span)
         ahead = best[shift:]
         here = best[: len(ahead)]
-        best = np.where(grams[ahead] < grams[here], ahead, here)
+        best = np.where(order[ahead] < order[here], ahead, here)
         span += shift
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    fits = np.arange(n) + window <= at[row[:n] + 1]
-    start = np.flatnonzero(fits)
+    start = np.flatnonzero(np.arange(n) + window <= at[row[:n] + 1])
     anchor = best[:n][start]
+    half = (window - gram + 1) // 2
+    left = anchor - start >= half
     new = np.ones(len(start), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (np.diff(start) != 1)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (np.diff(start) != 1) | (left[1:] != left[:-1])
     lead = np.flatnonzero(new)
     count = np.diff(np.concatenate([lead, [len(start)]]))
-    first = start[lead]
-    content = range_hashes(h, first, first + count + window - 1) ^ (anchor[lead] - first).astype(np.uint64)
-    return row[first], first - at[row[first]], count, grams[anchor[lead]], content
+    first, middle, side = start[lead], anchor[lead], left[lead]
+    ranges = Ranges(h)
+    begin = np.where(side, middle - half, middle)
+    key = ranges.hashes(begin, begin + gram + half) ^ side.astype(np.uint64)
+    content = ranges.hashes(first, first + count + window - 1) + (middle - first).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+    return row[first], first - at[row[first]], count, key, content
+
+
+def _counted(gram: int):
+    """(cell, n) of the task's cells that have twice their mean or more, and (-1, number of all grams).
 
+    A cell that has HEAVY times the mean of the corpus has half of it at least in tasks where it has half that multiple.
+    """
 
-def _segments(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in row_slices(batches):
-            row, start, count, anchor, content = segments_of(*hashed_words(*column_bytes(part.column(1))), window)
-            ids = part.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(ids[row].astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
-                names=["anchor", "content", "doc_id", "start", "windows"],
-            )
+        counts = np.zeros(CELLS, np.int64)
+        for part in row_slices(batches, "text"):
+            h, at = hashed_words(*column_bytes(part.column(0)))
+            grams = gram_hashes(h, gram)
+            row = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(grams)]
+            counts += np.bincount(_cells(grams[np.arange(len(grams)) + gram <= at[row + 1]]), minlength=CELLS)
+        total = int(counts.sum())
+        cells = np.flatnonzero(counts * CELLS * 2 >= HEAVY * max(1, total))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(cells, -1).astype(np.int32)), pa.array(np.append(counts[cells], total))], names=["cell", "n"])
 
     return run
 
 
-def _anchors(window: int):
+def frequent_cells(docs: DataFrame, window: int) -> np.ndarray:
+    """Whether each cell of the gram counts is far above the mean; at most CELLS / HEAVY * 2 numbers come to the driver, whatever the corpus."""
+    counts = cut(docs.select("text").mapInArrow(_counted(min(GRAM, window)), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")), "cells")
+    total = counts.filter("cell < 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    cells = counts.filter((F.col("cell") >= 0) & (F.col("n") * CELLS * 2 >= HEAVY * total)).select("cell").toArrow().column(0).to_numpy()
+    out = np.zeros(CELLS, bool)
+    out[cells] = True
+    return out
+
+
+def _segments(window: int, shared, together: bool):
+    """Segments of each document; `together` lays equal ones of a part of the task together."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = np.unpackbits(shared.value, bitorder="little").astype(bool)
         for part in row_slices(batches):
-            anchor = segments_of(*hashed_words(*column_bytes(part.column(1))), window)[3]
-            seen, times = np.unique(anchor.view(np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(np.minimum(times, 2).astype(np.int32))], names=["anchor", "times"])
+            row, start, count, key, content = segments_of(*hashed_words(*column_bytes(part.column(1))), window, frequent)
+            doc = part.column(0).to_numpy(zero_copy_only=False)[row].astype(np.int64)
+            columns = [key.view(np.int64), content.view(np.int64), doc, start.astype(np.int32), count.astype(np.int32)]
+            if together and len(doc):
+                order = np.lexsort((start, doc, content, key))
+                new = np.ones(len(order), bool)
+                new[1:] = (key[order[1:]] != key[order[:-1]]) | (content[order[1:]] != content[order[:-1]])
+                lead = np.flatnonzero(new)
+                columns = [c[order[lead]] for c in columns] + [np.diff(np.append(lead, len(order))).astype(np.int64)]
+            elif together:
+                columns.append(np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "content", "doc_id", "start", "windows", "n"][: len(columns)])
 
     return run
 
@@ -88,118 +135,121 @@ def _with_words(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in row_slices(batches):
             h, at = hashed_words(*column_bytes(part.column(1)))
-            wanted = part.column(2)
-            doc, anchor, start, words = [], [], [], []
-            for i, one in enumerate(part.column(0).to_pylist()):
-                for x in wanted[i].as_py():
-                    a = int(at[i]) + x["start"]
-                    doc.append(one)
-                    anchor.append(x["anchor"])
-                    start.append(x["start"])
-                    words.append(h[a : a + x["windows"] + window - 1].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(words, pa.binary())], names=["anchor", "doc_id", "start", "words"])
+            lists = part.column(2)
+            of = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            flat = lists.flatten()
+            first = at[of] + flat.field(2).to_numpy(zero_copy_only=False)
+            size = flat.field(3).to_numpy(zero_copy_only=False) + window - 1
+            fits = np.flatnonzero(first + size <= at[of + 1])  # all, but where rows of one id have different texts
+            of, first, size, flat = of[fits], first[fits], size[fits], flat.take(pa.array(fits))
+            key, content, start, _, n = (flat.field(k) for k in range(5))
+            words = [h[a:b].tobytes() for a, b in zip(first.tolist(), (first + size).tolist())]
+            doc = part.column(0).to_numpy(zero_copy_only=False)[of]
+            yield pa.RecordBatch.from_arrays([key, content, pa.array(doc, pa.int64()), start, n, pa.array(words, pa.binary())], names=["key", "content", "doc_id", "start", "n", "words"])
 
     return run
 
 
-_GONE = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.int32())])
+_FOUND = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.int32()), ("n", pa.int64())])
 
 
-def repeats_in_shard(docs: np.ndarray, starts: np.ndarray, texts: list[bytes], window: int) -> pa.RecordBatch:
-    """Runs of windows that also start earlier, of a shard's segments, by its FM-index."""
+def repeats_in_shard(keys: np.ndarray, contents: np.ndarray, docs: np.ndarray, starts: np.ndarray, weights: np.ndarray, texts: list[bytes], window: int) -> pa.RecordBatch:
+    """What a shard's FM-index finds of its different segments: those that occur again as a whole, with their number `n`, and, with n = 0, runs of windows that start earlier in others."""
     sizes = np.array([len(x) // 8 for x in texts])
-    ends = np.cumsum(sizes)
-    index = FMIndex(np.frombuffer(b"".join(texts), np.uint64), ends, window)
-    per = sizes - window + 1
-    seg = np.repeat(np.arange(len(texts)), per)
+    index = FMIndex(np.frombuffer(b"".join(texts), np.uint64), np.cumsum(sizes), int(sizes.max()), weights)
+    matched, _, _ = index.matching(index.starts, sizes, 2)
+    whole = np.flatnonzero(matched == sizes)
+    copied = whole[weights[whole] > 1]
+    # keys of several segments: each window by itself
+    _, which, times = np.unique(keys, return_inverse=True, return_counts=True)
+    open_ = np.flatnonzero(times[which] > 1)
+    per = sizes[open_] - window + 1
+    seg = np.repeat(open_, per)
     inner = np.arange(len(seg)) - np.repeat(np.cumsum(per) - per, per)
     place = index.starts[seg] + inner
-    matched, lo, hi = index.matching(place, window, 2)
+    matched, lo, hi = index.matching(place, np.full(len(place), window), 2)
     found = np.flatnonzero(matched == window)
-    if not len(found):
-        return pa.RecordBatch.from_arrays([pa.array([], t) for t in _GONE.types], schema=_GONE)
-    # of each suffix row: the order of (document, place) of the window there
-    at = np.zeros(len(index.text), np.int64)
-    by = np.lexsort((starts[seg] + inner, docs[seg]))
-    when = np.empty(len(seg), np.int64)
-    when[by] = np.arange(len(seg))
-    at[place] = when
-    rows = at[index.order]
-    intervals, which = np.unique(lo[found], return_inverse=True)
-    tops = np.zeros(len(intervals), np.int64)
-    tops[which] = hi[found]
-    bounds = np.ravel(np.column_stack([intervals, tops]))
-    least = np.minimum.reduceat(np.append(rows, len(seg)), bounds)[::2]
-    later = found[when[found] != least[which]]
-    # equal rows of one document and place (repeated rows of a table) are one occurrence
-    first = by[least[which[when[found] != least[which]]]]
-    later = later[(docs[seg[later]] != docs[seg[first]]) | (starts[seg[later]] + inner[later] != starts[seg[first]] + inner[first])]
-    if not len(later):
-        return pa.RecordBatch.from_arrays([pa.array([], t) for t in _GONE.types], schema=_GONE)
-    new = np.ones(len(later), bool)
-    new[1:] = (np.diff(later) != 1) | (seg[later[1:]] != seg[later[:-1]])
-    lead = np.flatnonzero(new)
-    run = np.diff(np.concatenate([lead, [len(later)]]))
-    x = later[lead]
-    return pa.RecordBatch.from_arrays([pa.array(docs[seg[x]]), pa.array((starts[seg[x]] + inner[x]).astype(np.int32)), pa.array((run + window - 1).astype(np.int32))], schema=_GONE)
+    columns = [keys[copied], contents[copied], docs[copied], starts[copied], sizes[copied], weights[copied]]
+    if len(found):
+        # of each suffix row: the order of (document, place) of the window there; rows of other texts don't come up in these intervals
+        by = np.lexsort((starts[seg] + inner, docs[seg]))
+        when = np.empty(len(seg), np.int64)
+        when[by] = np.arange(len(seg))
+        at = np.full(len(index.text), len(seg), np.int64)
+        at[place] = when
+        rows = np.append(at[index.order], len(seg))
+        intervals, of = np.unique(lo[found], return_inverse=True)
+        tops = np.zeros(len(intervals), np.int64)
+        tops[of] = hi[found]
+        least = np.minimum.reduceat(rows, np.ravel(np.column_stack([intervals, tops])))[::2][of]
+        first = by[least]
+        # equal rows of one document and place (repeated rows of a table) are one occurrence
+        later = (docs[seg[found]] != docs[seg[first]]) | (starts[seg[found]] + inner[found] != starts[seg[first]] + inner[first])
+        later = found[later]
+        new = np.ones(len(later), bool)
+        new[1:] = (np.diff(later) != 1) | (seg[later[1:]] != seg[later[:-1]])
+        lead = np.flatnonzero(new)
+        run = np.diff(np.append(lead, len(later)))
+        x = later[lead]
+        more = [keys[seg[x]], contents[seg[x]], docs[seg[x]], starts[seg[x]] + inner[x], run + window - 1, np.zeros(len(x), np.int64)]
+        columns = [np.concatenate(c) for c in zip(columns, more)]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _FOUND.types)], schema=_FOUND)
 
 
 def _shards(window: int):
-    """Rows in the order of anchors to removed ranges; a shard is closed between anchors once it has SHARD_WORDS."""
+    """Rows in the order of keys to what their shards find; a shard is closed between keys once it has SHARD_WORDS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, starts, texts, words, last = [], [], [], 0, None
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            anchors, ids, begins = (batch.column(k).to_pylist() for k in range(3))
-            for anchor, one, begin, text in zip(anchors, ids, begins, batch.column(3).to_pylist()):
-                if words >= SHARD_WORDS and anchor != last:
-                    yield repeats_in_shard(np.array(docs), np.array(starts), texts, window)
-                    docs, starts, texts, words = [], [], [], 0
-                last = anchor
-                docs.append(one)
-                starts.append(begin)
-                texts.append(text)
-                words += len(text) // 8
-        if texts:
-            yield repeats_in_shard(np.array(docs), np.array(starts), texts, window)
+            held.append(batch)
+            if sum(b.column(5).nbytes for b in held) < 8 * SHARD_WORDS:
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks()
+            key = rows.column(0).to_numpy()
+            edges = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            words = np.append(0, np.cumsum(pa.compute.binary_length(rows.column(5)).to_numpy() // 8))
+            at = 0
+            while True:  # parts of whole keys; the last key may go on in the next batch
+                ahead = edges[(words[edges] >= words[at] + SHARD_WORDS) & (edges > at)]
+                if not len(ahead):
+                    break
+                yield _shard(rows.slice(at, ahead[0] - at), window)
+                at = int(ahead[0])
+            held = rows.slice(at).to_batches()
+        if held:
+            rows = pa.Table.from_batches(held)
+            if rows.num_rows:
+                yield _shard(rows, window)
 
     return run
 
 
-def _windows(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                h = np.frombuffer(batch.column(3)[k].as_buffer(), np.uint64)
-                grams = gram_hashes(h, window, 1).view(np.int64)
-                start = batch.column(2)[k].as_py() + np.arange(len(grams), dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(np.full(len(grams), batch.column(1)[k].as_py())), pa.array(start.astype(np.int32))], names=["gram", "doc_id", "start"])
-
-    return run
+def _shard(rows: pa.Table, window: int) -> pa.RecordBatch:
+    key, content, doc, start, n = (rows.column(k).to_numpy() for k in range(5))
+    return repeats_in_shard(key, content, doc, start, n, rows.column(5).to_pylist(), window)
 
 
 def repeated_ranges(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, start, words): ranges of words of `docs` (doc_id, text) that earlier windows repeat; ranges may overlap."""
     docs = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    often = docs.mapInArrow(_anchors(window), "anchor long, times int").groupBy("anchor").agg(F.sum("times").alias("times")).filter("times > 1").select("anchor")
-    rows = docs.mapInArrow(_segments(window), "anchor long, content long, doc_id long, start int, windows int")
-    rows = cut(rows.join(often, "anchor", "left_semi"), "segments")
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent_cells(docs, window), bitorder="little"))
+    some = docs.mapInArrow(_segments(window, shared, True), "key long, content long, doc_id long, start int, windows int, n long")
     place = F.struct("doc_id", "start", "windows")
-    firsts = cut(rows.groupBy("anchor", "content").agg(F.min(place).alias("at"), F.count("*").alias("times")), "firsts")
-    copied = rows.join(firsts.filter("times > 1"), ["anchor", "content"]).filter("doc_id <> at.doc_id OR start <> at.start")
-    whole = copied.select("doc_id", "start", (F.col("windows") + window - 1).alias("words"))
-    several = firsts.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    parts = firsts.join(several, "anchor").select("anchor", "at.*", "kinds")
-    by_doc = parts.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("wanted"))
-    texts = docs.join(by_doc, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_with_words(window), "anchor long, doc_id long, start int, words binary")
-    texts = cut(texts.join(several, "anchor"), "parts")
-    calm = texts.filter(F.col("kinds") <= HOT).select("anchor", "doc_id", "start", "words")
-    sharded = calm.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards(window), "doc_id long, start int, words int")
-    grams = texts.filter(F.col("kinds") > HOT).select("anchor", "doc_id", "start", "words").mapInArrow(_windows(window), "gram long, doc_id long, start int")
-    spot = F.struct("doc_id", "start")
-    again = grams.groupBy("gram").agg(F.min(spot).alias("at"), F.max(spot).alias("to")).filter("at <> to")
-    hot = grams.join(again, "gram").filter("doc_id <> at.doc_id OR start <> at.start").select("doc_id", "start", F.lit(window).alias("words"))
-    return whole.union(sharded).union(hot)
+    kinds = some.repartition("key").groupBy("key", "content").agg(F.min(place).alias("at"), F.sum("n").alias("n"))
+    kinds = kinds.withColumn("times", F.sum("n").over(Window.partitionBy("key"))).filter("times > 1").select("key", "content", "at.*", "n")
+    kinds = cut(kinds, "segments")
+    by_doc = kinds.groupBy("doc_id").agg(F.collect_list(F.struct("key", "content", "start", "windows", "n")).alias("wanted"))
+    parts = docs.join(by_doc, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_with_words(window), "key long, content long, doc_id long, start int, n long, words binary")
+    found = parts.repartition("key").sortWithinPartitions("key", "content").mapInArrow(_shards(window), "key long, content long, doc_id long, start int, words int, n long")
+    found = cut(found, "found")
+    inner = found.filter("n = 0").select("doc_id", "start", "words")
+    # repeated rows of one id bring a segment to its shard more than once
+    copied = cut(found.filter("n > 0").groupBy("key", "content").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("n").alias("n")), "copied")
+    rows = docs.mapInArrow(_segments(window, shared, False), "key long, content long, doc_id long, start int, windows int")
+    rows = with_value(rows, copied, ["key", "content"], "first", "n", ["doc_id", "start"])
+    again = rows.filter("first IS NOT NULL AND (doc_id <> first.doc_id OR start <> first.start)").select("doc_id", "start", (F.col("windows") + window - 1).alias("words"))
+    return again.union(inner)
 
 
 def _kept_words(ranges, text: str | None) -> tuple[list[bytes], np.ndarray | None]:
@@ -261,10 +311,14 @@ def _cut_text(text: str | None, ranges) -> str | None:
 
 
 def drop_repeats(docs: DataFrame, window: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with repeated words cut out of the text; the columns stay as they are, and so do rows without repeats."""
+    """`docs` with repeated words cut out of the text; the columns stay as they are, and so do rows without repeats.
+
+    Nulls, repeated rows and short texts are as in `substring_digests`. No name of a column of `docs` is taken.
+    """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ranges = ranges_by_document(base, window).select(F.col("doc_id").alias("_doc"), F.col("gone").alias("_gone"))
-    joined = docs.join(ranges, F.col(id_col).cast("long") == F.col("_doc"), "left").drop("_doc")
+    own, gone = unused(docs, "own"), unused(docs, "gone")
+    ranges = ranges_by_document(base, window).select(F.col("doc_id").alias(own), F.col("gone").alias(gone))
+    joined = docs.join(ranges, F.col(id_col).cast("long") == F.col(own), "left").drop(own)
     place, schema = docs.columns.index(text_col), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ nothing but themselves, so no text is decoded. All work is done in blocks of bou
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,11 +14,10 @@ import pyarrow as pa
 
 BLOCK = 1 << 18
 ROWS_BYTES = 4 << 20
+#: Longer words, of which there are few, are hashed one by one.
+LONG = 256
 
-_rng = np.random.Generator(np.random.PCG64(20240131))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _P = 0x9E3779B97F4A7C15 | 1
-_PINV = pow(_P, -1, 1 << 64)
 _Q = 0xD1342543DE82EF95
 _QINV = pow(_Q, -1, 1 << 64)
 _WORD = np.ones(256, bool)
@@ -85,6 +85,37 @@ def _next_cut(data: np.ndarray, offs: np.ndarray, hi: int) -> int:
     return limit
 
 
+def _word_hashes(block: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words block[s:e]: eight bytes of all words at a time, mixed into two numbers each.
+
+    Words of up to eight bytes and one length have different hashes. No sum over places is formed, so words that are
+    made of the same letters in a regular order don't meet.
+    """
+    padded = np.zeros(len(block) + 8, np.uint8)
+    padded[: len(block)] = block
+    eight = np.ndarray(len(block) + 1, "<u8", padded, strides=(1,))
+    size = e - s
+    x = mix(size.astype(np.uint64) * np.uint64(_P))
+    y = np.zeros(len(s), np.uint64)
+    live, at, left = np.arange(len(s)), s, np.minimum(size, LONG + 1)
+    long_ = np.flatnonzero(size > LONG)
+    if len(long_):
+        live = np.flatnonzero(size <= LONG)
+        at, left = s[live], size[live]
+    first = True
+    while len(live):
+        lane = eight[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - np.minimum(left, 8)) * 8).astype(np.uint64))
+        x[live] = mix(x[live] ^ lane)
+        if not first:
+            y[live] = mix(y[live] + lane * np.uint64(_Q)) ^ x[live]
+        first = False
+        go = left > 8
+        live, at, left = live[go], at[go] + 8, left[go] - 8
+    for k in long_.tolist():
+        x[k] = int.from_bytes(hashlib.blake2b(block[s[k] : e[k]].tobytes(), digest_size=8).digest(), "little")
+    return mix(x + mix(y))
+
+
 def hashed_words(data: np.ndarray, offs: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and for each row the place of its first word among them (rows + 1 places)."""
     n, lo, starts, hashes = len(data), 0, [], []
@@ -99,10 +130,7 @@ def hashed_words(data: np.ndarray, offs: np.ndarray, lower: bool = False) -> tup
         last = word.copy()
         last[:-1] &= ~word[1:] | first[1:]
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-        sums = np.zeros(len(block) + 1, np.uint64)
-        np.cumsum(_BYTE[_LOWER[block] if lower else block] * powers(_P, len(block)), out=sums[1:])
-        h = (sums[e] - sums[s]) * powers(_PINV, len(block))[s]
-        hashes.append(mix(h ^ ((e - s).astype(np.uint64) * np.uint64(_Q))))
+        hashes.append(_word_hashes(_LOWER[block] if lower else block, s, e))
         starts.append(s + lo)
         lo = hi
     if not starts:
@@ -121,11 +149,16 @@ def gram_hashes(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     return mix(out)
 
 
-def range_hashes(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hashes of the word sequences h[a:b]."""
-    sums = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * powers(_Q, len(h)), out=sums[1:])
-    return mix((sums[b] - sums[a]) * powers(_QINV, len(h) + 1)[a] ^ ((b - a).astype(np.uint64) * np.uint64(_P)))
+class Ranges:
+    """Hashes of word sequences h[a:b] of a few dozen words, all from one pass over h."""
+
+    def __init__(self, h: np.ndarray) -> None:
+        self.sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * powers(_Q, len(h)), out=self.sums[1:])
+        self.back = powers(_QINV, len(h) + 1)
+
+    def hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix((self.sums[b] - self.sums[a]) * self.back[a] ^ ((b - a).astype(np.uint64) * np.uint64(_P)))
 
 
 def shingle_sets(h: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldsieve.llm import bpe, bpe_codec, fm_index, language_id, near_dedup, packing, pii, quality_rules, substring_dedup, token_counts, topk_search, toxicity, words
+from fieldsieve.llm import bpe, bpe_codec, fm_index, language_id, near_dedup, packing, pii, quality_rules, skew, substring_dedup, token_counts, topk_search, toxicity, words
 from fieldsieve.llm.queries import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -78,10 +78,39 @@ def test_near_duplicates(docs, k, num):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), root(r.doc_id), root(r.doc_id) == r.doc_id)
 
 
-@pytest.mark.parametrize("hot,shard", [(2000, 400_000), (1, 50)])
-def test_substring_dedup(docs, monkeypatch, hot, shard):
-    monkeypatch.setattr(substring_dedup, "HOT", hot)
+def thue_morse(n):
+    """Two words of n letters that meet in any hash that sums letters times powers of an odd number modulo 2**64."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_regular_letters_differ(spark):
+    for n in (1024, 2048):
+        x, y = thue_morse(n)
+        around = [f"v{k}" for k in range(30)]
+        df = spark.createDataFrame([(k, " ".join(around[:15] + [w] + around[15:])) for k, w in enumerate((x, y))], "doc_id long, text string")
+        assert [r.n_removed for r in substring_dedup.substring_digests(df, 20).collect()] == [0, 0]
+        both = spark.createDataFrame([(0, x), (1, y)], "doc_id long, text string")
+        assert near_dedup.near_duplicates(both).filter("kept").count() == 2
+
+
+@pytest.mark.parametrize("cells,share,shard", [(1 << 18, skew.SHARE, 1 << 16), (256, 0.01, 50)])
+def test_substring_dedup(docs, monkeypatch, cells, share, shard):
+    monkeypatch.setattr(substring_dedup, "CELLS", cells)
     monkeypatch.setattr(substring_dedup, "SHARD_WORDS", shard)
+    monkeypatch.setattr(substring_dedup, "with_value", lambda *a: skew.with_value(*a, share))
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(substring_dedup)  # so that workers see these numbers
+    try:
+        substring_against_a_scan(docs)
+    finally:
+        cloudpickle.unregister_pickle_by_value(substring_dedup)
+
+
+def substring_against_a_scan(docs):
     seen, want = set(), {}
     for i, t in sorted(texts_by_id().items()):
         w = WORD.findall(t)
@@ -115,7 +144,7 @@ def test_fm_index_counts_as_a_scan():
     begin = {0: 0, 1: 100, 2: 130}
     for seg, k in ((0, 10), (1, 105), (2, 200), (2, 390)):
         place = np.array([index.starts[seg] + k - begin[seg]])
-        matched, lo, hi = index.matching(place, 4, 1)
+        matched, lo, hi = index.matching(place, np.array([4]), 1)
         want = sum((text[a : a + 4] == text[k : k + 4]).all() for s, e in ((0, 100), (100, 130), (130, 400)) for a in range(s, e - 3))
         assert matched[0] == 4 and hi[0] - lo[0] == want
 
