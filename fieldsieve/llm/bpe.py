@@ -1,10 +1,9 @@
-"""Exact BPE of a tokenizer file: splitting into pieces, merging a piece, and two compiled lexicons.
+"""Exact BPE of a tokenizer file: splitting into pieces, merging a piece, and a compiled lexicon.
 
 `Lexicon` is a minimal acyclic automaton with shared suffixes whose words are numbered by the count of words
 before them; the numbers lead to id outputs. It is built from sorted words, kept in flat arrays, and
-memory-mapped by the workers. `CountTransducer` is a deterministic trie transducer whose transitions
-are annotated with differences of token counts. Both hold the whole words of the vocabulary, which are the
-frequent words of the text that the vocabulary was made from; any other piece is merged exactly.
+memory-mapped by the workers. It holds the pieces that it is given, such as the most frequent ones of a corpus or the
+vocabulary's whole words, each with all its ids; any other piece is merged exactly.
 
 Covered: files of the `tokenizers` library with normalizers NFC, whitespace replacement and Lowercase, one
 Split pre-tokenizer with a pattern, byte-level pieces, and BPE with or without an end-of-word suffix.
@@ -57,6 +56,7 @@ class WordBpe:
             raise ValueError("this kind of tokenizer file is not covered")
         self.nfc, self.lower = "NFC" in kinds, "Lowercase" in kinds
         pattern = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")["pattern"]["Regex"]
+        self.pattern = pattern
         self.split_any = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
         # for texts of _PLAIN characters only, the same classes spelt out, for a faster engine
         letters, space = "a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-ɏ", "\\x09-\\x0d\\x20"
@@ -227,13 +227,12 @@ def _is_text(raw: bytes) -> bool:
         return False
 
 
-def compile_lexicon(model: WordBpe) -> dict[str, np.ndarray]:
-    """Flat arrays of the minimal acyclic automaton of the model's whole words, with the ids of each word.
+def compile_lexicon(model: WordBpe, words: list[bytes]) -> dict[str, np.ndarray]:
+    """Flat arrays of the minimal acyclic automaton of `words`, with the ids of each word.
 
     Words come sorted; what lies behind the path shared with the next word can't change any more, so it is
     replaced by an equal state that is already there (Daciuk and others, 2000).
     """
-    words = model.whole_words()
     edges: list[dict[int, int]] = [{}]
     final: list[bool] = [False]
     known: dict[tuple, int] = {}
@@ -345,65 +344,6 @@ class Lexicon:
         return [self.out[self.out_at[n] : self.out_at[n + 1]].tolist() if n >= 0 else None for n in self.numbers(words).tolist()]
 
 
-def compile_counts(model: WordBpe) -> dict[str, np.ndarray]:
-    """The trie transducer of the model's whole words.
-
-    `emit` of a state is what its incoming transition emits, the token count of the word so far less that of
-    its parent; `close` is what the transition out of a word's last state emits where the word ends. Their sum
-    along a path is the token count of the word. States with no word end emit nothing.
-    """
-    words = model.whole_words()
-    states: dict[bytes, int] = {b"": 0}
-    parent, byte, total = [0], [0], [0]
-    for w, n in zip(words, np.diff(model.merge_many(words)[1]).tolist()):
-        for k in range(1, len(w) + 1):
-            if w[:k] not in states:
-                states[w[:k]] = len(parent)
-                parent.append(states[w[: k - 1]])
-                byte.append(w[k - 1])
-                total.append(total[parent[-1]])
-        total[states[w]] = n
-    parent_, byte_, total_ = np.array(parent), np.array(byte), np.array(total)
-    key = parent_[1:] * 256 + byte_[1:]
-    order = np.argsort(key)
-    ends = np.zeros(len(parent), np.int8)
-    ends[[states[w] for w in words]] = 1
-    emit = np.zeros(len(parent), np.int32)
-    base = np.zeros(len(parent), np.int64)
-    for s in range(1, len(parent)):  # parents come first
-        base[s] = total_[s] if ends[s] else base[parent[s]]
-        emit[s] = base[s] - base[parent[s]]
-    return {"key": key[order], "state": np.arange(1, len(parent))[order].astype(np.int32), "emit": emit, "ends": ends}
-
-
-class CountTransducer:
-    """Runs many words side by side, one byte of all of them a step."""
-
-    def __init__(self, arrays: dict[str, np.ndarray]) -> None:
-        self.key, self.state, self.emit, self.ends = arrays["key"], arrays["state"], arrays["emit"], arrays["ends"]
-
-    def counts(self, words: list[bytes]) -> np.ndarray:
-        """The emitted token count of each word, or -1 where the transducer has no such path."""
-        size = np.array([len(w) for w in words], np.int64)
-        raw, at = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size
-        state, out = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        live, k = np.flatnonzero(size > 0), 0
-        while len(live):
-            key = state[live] * 256 + raw[at[live] + k]
-            slot = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-            hit = self.key[slot] == key
-            out[live[~hit]] = -1
-            live = live[hit]
-            state[live] = self.state[slot[hit]]
-            out[live] += self.emit[state[live]]
-            k += 1
-            over = size[live] == k
-            done = live[over]
-            out[done[self.ends[state[done]] == 0]] = -1
-            live = live[~over]
-        return out
-
-
 def load(path: str) -> str:
     """The text of a tokenizer file, read on the driver."""
     with open(path, encoding="utf-8") as f:

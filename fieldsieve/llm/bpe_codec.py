@@ -1,4 +1,8 @@
-"""BPE encoding and decoding through a minimal acyclic transducer lexicon."""
+"""BPE encoding and decoding through a minimal acyclic transducer lexicon.
+
+The pieces of the corpus are counted, and the most frequent compiled with all their ids into the automaton; each worker maps
+it into memory and takes the ids of pieces from it. Pieces that it doesn't hold are merged exactly.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import Lexicon, Memo, Shared, WordBpe, compile_lexicon, live, load
+from .piece_counts import frequent_pieces
 from .words import row_slices
 
 
@@ -22,21 +27,23 @@ class Codec:
         self.model, self.lexicon = WordBpe(raw), Lexicon(arrays)
         self.memo = Memo(self._find)
 
-    def many_ids(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of distinct pieces: from the lexicon, and the unseen ones merged together."""
+    def _bytes(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces, four bytes each: from the lexicon, and the unseen ones merged together."""
         raw = [p.encode() for p in pieces]
-        out = self.lexicon.ids(raw)
-        unseen = [k for k, ids in enumerate(out) if ids is None]
-        ids, at = self.model.merge_many([raw[k] for k in unseen])
-        flat, ends = ids.tolist(), at.tolist()
-        for n, k in enumerate(unseen):
-            out[k] = flat[ends[n] : ends[n + 1]]
-        return out
+        number = self.lexicon.numbers(raw)
+        unseen = np.flatnonzero(number < 0)
+        ids, ends = self.model.merge_many([raw[k] for k in unseen.tolist()])
+        blob = self.lexicon.out.astype("<u4").tobytes() + ids.astype("<u4").tobytes()
+        # where each piece's ids are in the lexicon's outputs with the merged ones behind them
+        at = np.asarray(self.lexicon.out_at, np.int64) * 4
+        lo, hi = at[number], at[number + 1]
+        lo[unseen], hi[unseen] = (len(self.lexicon.out) + ends[:-1]) * 4, (len(self.lexicon.out) + ends[1:]) * 4
+        return [blob[a:b] for a, b in zip(lo.tolist(), hi.tolist())]
 
     def _find(self, known: dict, new: list[str]) -> None:
         token = self.model.token
-        for piece, ids in zip(new, self.many_ids(new)):
-            known[piece] = self.form(ids, token)
+        for piece, ids in zip(new, self._bytes(new)):
+            known[piece] = self.form(struct.unpack(f"<{len(ids) // 4}I", ids), token)
 
     def form(self, ids: list[int], token: dict[int, str]):
         """What is kept of a piece."""
@@ -71,26 +78,25 @@ class IdMemo(Codec):
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _find(self, known: dict, new: list[str]) -> None:
-        raw = [p.encode() for p in new]
-        number = self.lexicon.numbers(raw)
-        unseen = np.flatnonzero(number < 0)
-        ids, ends = self.model.merge_many([raw[k] for k in unseen.tolist()])
-        blob = self.lexicon.out.astype("<u4").tobytes() + ids.astype("<u4").tobytes()
-        # where each piece's ids are in the lexicon's outputs with the merged ones behind them
-        at = np.asarray(self.lexicon.out_at, np.int64) * 4
-        lo, hi = at[number], at[number + 1]
-        lo[unseen], hi[unseen] = (len(self.lexicon.out) + ends[:-1]) * 4, (len(self.lexicon.out) + ends[1:]) * 4
-        known.update(zip(new, [blob[a:b] for a, b in zip(lo.tolist(), hi.tolist())]))
+        known.update(zip(new, self._bytes(new)))
 
     def id_arrays(self, texts: list[str]) -> Iterator[np.ndarray]:
         for rows in self.found(texts):
             yield np.frombuffer(b"".join(rows), "<u4")
 
 
-def shared_model(docs: DataFrame, path: str):
-    """The tokenizer file and the compiled lexicon, broadcast: a few megabytes that depend on the vocabulary alone."""
+def vocabulary_model(docs: DataFrame, path: str) -> Shared:
+    """The tokenizer file and a lexicon of the vocabulary's whole words, broadcast: a few megabytes that depend on the vocabulary alone."""
     raw = load(path)
-    return Shared(docs.sparkSession, (raw, compile_lexicon(WordBpe(raw))))
+    model = WordBpe(raw)
+    return Shared(docs.sparkSession, (raw, compile_lexicon(model, model.whole_words())))
+
+
+def corpus_model(docs: DataFrame, path: str) -> tuple[Shared, float]:
+    """The tokenizer file and a lexicon of the most frequent pieces of `docs` (text), broadcast, and their share of all occurrences; at most MOST pieces of LONGEST bytes."""
+    raw = load(path)
+    pieces, share = frequent_pieces(docs, raw)
+    return Shared(docs.sparkSession, (raw, compile_lexicon(WordBpe(raw), pieces))), share
 
 
 def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,7 +105,8 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     Empty texts have no tokens and the digest of nothing. Repeated rows and null ids give their row each. Other
     columns of `docs` are not looked at.
     """
-    shared = shared_model(docs, path)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    shared, _ = corpus_model(base, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = live(Codec, shared)
@@ -111,7 +118,6 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return base.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
@@ -120,7 +126,7 @@ def bpe_pieces(docs: DataFrame, path: str, size: int, end_id: int, id_col: str =
 
     `part` is the task that made the row and `nth` counts the task's pieces of that length before it.
     """
-    shared = shared_model(docs, path)
+    shared = vocabulary_model(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -116,26 +116,38 @@ def _word_hashes(block: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return mix(x + mix(y))
 
 
-def hashed_words(data: np.ndarray, offs: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and for each row the place of its first word among them (rows + 1 places)."""
-    n, lo, starts, hashes = len(data), 0, [], []
+def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begins and ends of all words in order, and for each row the place of its first word among them (rows + 1 places)."""
+    n, lo, starts, ends = len(data), 0, [], []
     while lo < n:
         hi = _next_cut(data, offs, lo + BLOCK) if lo + BLOCK < n else n
-        block = data[lo:hi]
-        word = _WORD[block]
+        word = _WORD[data[lo:hi]]
         first = word.copy()
         first[1:] &= ~word[:-1]
         rows = offs[np.searchsorted(offs, lo) : np.searchsorted(offs, hi)] - lo
         first[rows] = word[rows]
         last = word.copy()
         last[:-1] &= ~word[1:] | first[1:]
-        s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-        hashes.append(_word_hashes(_LOWER[block] if lower else block, s, e))
-        starts.append(s + lo)
+        starts.append(np.flatnonzero(first) + lo)
+        ends.append(np.flatnonzero(last) + lo + 1)
         lo = hi
     if not starts:
-        return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offs)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
+    s = np.concatenate(starts)
+    return s, np.concatenate(ends), np.searchsorted(s, offs)
+
+
+def hashed_words(data: np.ndarray, offs: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and for each row the place of its first word among them (rows + 1 places)."""
+    s, e, at = word_spans(data, offs)
+    hashes = np.zeros(len(s), np.uint64)
+    lo = 0
+    while lo < len(s):  # blocks of words that keep the arrays small
+        hi = max(lo + 1, int(np.searchsorted(e, s[lo] + BLOCK, "right")))
+        block = data[s[lo] : e[hi - 1]]
+        hashes[lo:hi] = _word_hashes(_LOWER[block] if lower else block, s[lo:hi] - s[lo], e[lo:hi] - s[lo])
+        lo = hi
+    return hashes, at
 
 
 def gram_hashes(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
