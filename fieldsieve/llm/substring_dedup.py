@@ -5,26 +5,26 @@ grams which the corpus holds very often last, and a key: the anchor with the wor
 window, more than half of the window. Consecutive windows of one anchor and side make a segment. Equal windows have
 equal anchors and keys, so all occurrences of a window meet in its key's shard although no shard sees whole documents.
 
-1. Short grams are counted in a table of CELLS cells; those of cells far above the mean count as frequent. An anchor that isn't
-   frequent has at most HEAVY / CELLS of all windows, and the windows of a frequent one lie within frequent passages only.
-2. Equal segments are laid together, in each task before the shuffle and for the corpus after it, with their number and
-   their first place; keys that occur once are dropped.
+1. Short and long grams are counted in tables of CELLS cells; those of cells far above the mean count as frequent. An anchor or key
+   that isn't frequent has at most HEAVY / CELLS of all places, and windows with a frequent anchor lie within frequent passages.
+2. Segments meet by key; keys that occur once are dropped. Equal segments of a frequent key are laid together before that, with
+   their number and their first place.
 3. The segments of a key go to its shard, whose FM-index (suffix order, wavelet matrix) holds each different segment once, with its
    number as a weight. It is searched backward for the words of every segment; intervals that weigh two or more are
    repeats, and the smallest (document, place) of an interval is the one that stays.
-4. Further copies of segments that the index reports are found in a second pass over the documents. Segments of very many
-   copies, at most 65,536 of them, are broadcast; the others are joined by (key, content).
+4. Copies of segments that the index reports are joined by (key, content); those of frequent keys come from one more pass over the
+   documents. Of these, segments of very many copies, at most 65,536 of them, are broadcast.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .fm_index import FMIndex
 from .lineage import cut, unused
@@ -33,6 +33,7 @@ from .words import Ranges, column_bytes, gram_hashes, hashed_words, row_slices
 
 GRAM = 5
 CELLS = 1 << 18
+PART = 1 << 13
 HEAVY = 4
 #: Words at which a shard is closed, between keys.
 SHARD_WORDS = 1 << 16
@@ -42,12 +43,22 @@ def _cells(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
 
 
+def _half(window: int) -> int:
+    """How many words a key has beside its anchor: all windows with an anchor have as many on one side of it."""
+    return (window - min(GRAM, window) + 1) // 2
+
+
+def _long_grams(h: np.ndarray, size: int) -> np.ndarray:
+    """The hashes that keys of `size` words are made of, at every place."""
+    begin = np.arange(max(0, len(h) - size + 1))
+    return Ranges(h).hashes(begin, begin + size)
+
+
 def segments_of(h: np.ndarray, at: np.ndarray, window: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Row, first window (from the row's start), number of windows, key and content hash of every segment. `frequent` has a bit for each cell."""
-    gram = min(GRAM, window)
-    n = len(h) - window + 1
+    """Row, first window (from the row's start), number of windows, key, content hash and the key's cell of every segment. `frequent` tells of each cell of short grams."""
+    gram, n = min(GRAM, window), len(h) - window + 1
     if n <= 0:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
     grams = gram_hashes(h, gram)
     order = grams >> np.uint64(1)
     if frequent is not None:
@@ -63,7 +74,7 @@ def segments_of(h: np.ndarray, at: np.ndarray, window: int, frequent: np.ndarray
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
     start = np.flatnonzero(np.arange(n) + window <= at[row[:n] + 1])
     anchor = best[:n][start]
-    half = (window - gram + 1) // 2
+    half = _half(window)
     left = anchor - start >= half
     new = np.ones(len(start), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (np.diff(start) != 1) | (left[1:] != left[:-1])
@@ -72,63 +83,119 @@ def segments_of(h: np.ndarray, at: np.ndarray, window: int, frequent: np.ndarray
     first, middle, side = start[lead], anchor[lead], left[lead]
     ranges = Ranges(h)
     begin = np.where(side, middle - half, middle)
-    key = ranges.hashes(begin, begin + gram + half) ^ side.astype(np.uint64)
+    key = ranges.hashes(begin, begin + gram + half)
+    cell = _cells(key)
+    key ^= side.astype(np.uint64)
     content = ranges.hashes(first, first + count + window - 1) + (middle - first).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
-    return row[first], first - at[row[first]], count, key, content
-
+    return row[first], first - at[row[first]], count, key, content, cell
 
-def _counted(gram: int):
-    """(cell, n) of the task's cells that have twice their mean or more, and (-1, number of all grams).
 
-    A cell that has HEAVY times the mean of the corpus has half of it at least in tasks where it has half that multiple.
-    """
+def _counted(sizes: tuple[int, ...]):
+    """(part, counts): a task's counts of the cells of grams of each size, PART cells a row, zipped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CELLS, np.int64)
-        for part in row_slices(batches, "text"):
+        counts = np.zeros((len(sizes), CELLS), np.int64)
+        for part in row_slices(batches):
             h, at = hashed_words(*column_bytes(part.column(0)))
-            grams = gram_hashes(h, gram)
-            row = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(grams)]
-            counts += np.bincount(_cells(grams[np.arange(len(grams)) + gram <= at[row + 1]]), minlength=CELLS)
-        total = int(counts.sum())
-        cells = np.flatnonzero(counts * CELLS * 2 >= HEAVY * max(1, total))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(cells, -1).astype(np.int32)), pa.array(np.append(counts[cells], total))], names=["cell", "n"])
+            row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            for k, gram in enumerate(sizes):
+                grams = _long_grams(h, gram) if k else gram_hashes(h, gram)
+                counts[k] += np.bincount(_cells(grams[np.arange(len(grams)) + gram <= at[row[: len(grams)] + 1]]), minlength=CELLS)
+        flat = counts.reshape(-1, PART)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array([zlib.compress(x.tobytes(), 1) for x in flat], pa.binary())], names=["part", "counts"])
 
     return run
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(raw), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
+
+
 def frequent_cells(docs: DataFrame, window: int) -> np.ndarray:
-    """Whether each cell of the gram counts is far above the mean; at most CELLS / HEAVY * 2 numbers come to the driver, whatever the corpus."""
-    counts = cut(docs.select("text").mapInArrow(_counted(min(GRAM, window)), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")), "cells")
-    total = counts.filter("cell < 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    cells = counts.filter((F.col("cell") >= 0) & (F.col("n") * CELLS * 2 >= HEAVY * total)).select("cell").toArrow().column(0).to_numpy()
-    out = np.zeros(CELLS, bool)
-    out[cells] = True
-    return out
+    """Whether each cell of short grams, and of the grams that make keys, is far above the mean of its table. The two tables, 4 MB, come to the driver, whatever the corpus."""
+    gram = min(GRAM, window)
+    kind = "part int, counts binary"
+    parts = docs.select("text").mapInArrow(_counted((gram, gram + _half(window))), kind).repartition("part").mapInArrow(_summed, kind).toArrow()
+    rows = dict(zip(parts.column(0).to_pylist(), parts.column(1).to_pylist()))
+    counts = np.frombuffer(b"".join(rows[k] for k in sorted(rows)), np.int64).reshape(2, CELLS) if rows else np.zeros((2, CELLS), np.int64)
+    return counts * CELLS > HEAVY * counts.sum(1, keepdims=True)
+
 
+_ROWS = "key long, content long, doc_id long, start int, windows int, n long"
 
-def _segments(window: int, shared, together: bool):
-    """Segments of each document; `together` lays equal ones of a part of the task together."""
+
+def _segments(window: int, shared, again: bool):
+    """Segments of each document; those of frequent keys are laid together in each part of a task, with n below zero. `again`: the segments of frequent keys alone, each by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = np.unpackbits(shared.value, bitorder="little").astype(bool)
+        frequent = np.unpackbits(shared.value, bitorder="little").astype(bool).reshape(2, -1)
         for part in row_slices(batches):
-            row, start, count, key, content = segments_of(*hashed_words(*column_bytes(part.column(1))), window, frequent)
+            row, start, count, key, content, cell = segments_of(*hashed_words(*column_bytes(part.column(1))), window, frequent[0])
             doc = part.column(0).to_numpy(zero_copy_only=False)[row].astype(np.int64)
-            columns = [key.view(np.int64), content.view(np.int64), doc, start.astype(np.int32), count.astype(np.int32)]
-            if together and len(doc):
-                order = np.lexsort((start, doc, content, key))
+            often = frequent[1][cell]
+            n = np.ones(len(doc), np.int64)
+            if again:
+                take = np.flatnonzero(often)
+            else:
+                some = np.flatnonzero(often)
+                order = some[np.lexsort((start[some], doc[some], content[some], key[some]))]
                 new = np.ones(len(order), bool)
                 new[1:] = (key[order[1:]] != key[order[:-1]]) | (content[order[1:]] != content[order[:-1]])
                 lead = np.flatnonzero(new)
-                columns = [c[order[lead]] for c in columns] + [np.diff(np.append(lead, len(order))).astype(np.int64)]
-            elif together:
-                columns.append(np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "content", "doc_id", "start", "windows", "n"][: len(columns)])
+                n[order[lead]] = -np.diff(np.append(lead, len(order)))
+                take = np.concatenate([np.flatnonzero(~often), order[lead]])
+            columns = [key.view(np.int64), content.view(np.int64), doc, start.astype(np.int32), count.astype(np.int32), n]
+            yield pa.RecordBatch.from_arrays([pa.array(c[take]) for c in columns], names=["key", "content", "doc_id", "start", "windows", "n"])
 
     return run
 
 
+def _whole_keys(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
+    """Rows that come in the order of `key`, the first column, in tables of whole keys; a table is closed once it has `least` bytes of rows."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size < least:
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks()
+        key = rows.column(0).to_numpy()
+        last = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
+        if last:
+            yield rows.slice(0, last)
+        held = rows.slice(last).to_batches()
+        size = sum(b.nbytes for b in held)
+    if held and (rows := pa.Table.from_batches(held)).num_rows:
+        yield rows
+
+
+_CANDIDATE = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("n", pa.int64()), ("first", pa.bool_()), ("frequent", pa.bool_())])
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of keys to those of keys that occur more than once; of each content the first place is marked and gets the number of all its rows."""
+    for rows in _whole_keys(batches, 16 << 20):
+        key, n = rows.column(0).to_numpy(), np.abs(rows.column(5).to_numpy())
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(begin, len(key)))
+        take = np.flatnonzero(np.repeat(np.add.reduceat(n, begin) > 1, size))
+        key, content, doc, start, windows, n = (rows.column(k).to_numpy()[take] for k in range(6))
+        order = np.lexsort((start, doc, content, key))
+        key, content, doc, start, windows, n = (c[order] for c in (key, content, doc, start, windows, n))
+        first = np.ones(len(key), bool)
+        first[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
+        frequent, n = n < 0, np.abs(n)
+        lead = np.flatnonzero(first)
+        if len(lead):
+            n[lead] = np.add.reduceat(n, lead)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((key, content, doc, start, windows, n, first, frequent), _CANDIDATE.types)], schema=_CANDIDATE)
+
+
 def _with_words(window: int):
     """Texts with lists of segments to rows of segments with their words, as 64-bit hashes."""
 
@@ -197,30 +264,12 @@ def repeats_in_shard(keys: np.ndarray, contents: np.ndarray, docs: np.ndarray, s
 
 
 def _shards(window: int):
-    """Rows in the order of keys to what their shards find; a shard is closed between keys once it has SHARD_WORDS."""
+    """Rows in the order of keys to what their shards find; a shard is closed between keys once it has about SHARD_WORDS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(b.column(5).nbytes for b in held) < 8 * SHARD_WORDS:
-                continue
-            rows = pa.Table.from_batches(held).combine_chunks()
-            key = rows.column(0).to_numpy()
-            edges = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            words = np.append(0, np.cumsum(pa.compute.binary_length(rows.column(5)).to_numpy() // 8))
-            at = 0
-            while True:  # parts of whole keys; the last key may go on in the next batch
-                ahead = edges[(words[edges] >= words[at] + SHARD_WORDS) & (edges > at)]
-                if not len(ahead):
-                    break
-                yield _shard(rows.slice(at, ahead[0] - at), window)
-                at = int(ahead[0])
-            held = rows.slice(at).to_batches()
-        if held:
-            rows = pa.Table.from_batches(held)
-            if rows.num_rows:
-                yield _shard(rows, window)
+        small = (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256))
+        for rows in _whole_keys(small, 9 * SHARD_WORDS):
+            yield _shard(rows, window)
 
     return run
 
@@ -233,23 +282,22 @@ def _shard(rows: pa.Table, window: int) -> pa.RecordBatch:
 def repeated_ranges(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, start, words): ranges of words of `docs` (doc_id, text) that earlier windows repeat; ranges may overlap."""
     docs = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent_cells(docs, window), bitorder="little"))
-    some = docs.mapInArrow(_segments(window, shared, True), "key long, content long, doc_id long, start int, windows int, n long")
-    place = F.struct("doc_id", "start", "windows")
-    kinds = some.repartition("key").groupBy("key", "content").agg(F.min(place).alias("at"), F.sum("n").alias("n"))
-    kinds = kinds.withColumn("times", F.sum("n").over(Window.partitionBy("key"))).filter("times > 1").select("key", "content", "at.*", "n")
-    kinds = cut(kinds, "segments")
-    by_doc = kinds.groupBy("doc_id").agg(F.collect_list(F.struct("key", "content", "start", "windows", "n")).alias("wanted"))
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent_cells(docs, window).ravel(), bitorder="little"))
+    rows = docs.mapInArrow(_segments(window, shared, False), _ROWS).repartition("key").sortWithinPartitions("key")
+    rows = cut(rows.mapInArrow(_candidates, _ROWS + ", first boolean, frequent boolean"), "segments")
+    by_doc = rows.filter("first").groupBy("doc_id").agg(F.collect_list(F.struct("key", "content", "start", "windows", "n")).alias("wanted"))
     parts = docs.join(by_doc, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_with_words(window), "key long, content long, doc_id long, start int, n long, words binary")
-    found = parts.repartition("key").sortWithinPartitions("key", "content").mapInArrow(_shards(window), "key long, content long, doc_id long, start int, words int, n long")
+    found = parts.repartition("key").sortWithinPartitions("key").mapInArrow(_shards(window), "key long, content long, doc_id long, start int, words int, n long")
     found = cut(found, "found")
     inner = found.filter("n = 0").select("doc_id", "start", "words")
     # repeated rows of one id bring a segment to its shard more than once
-    copied = cut(found.filter("n > 0").groupBy("key", "content").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("n").alias("n")), "copied")
-    rows = docs.mapInArrow(_segments(window, shared, False), "key long, content long, doc_id long, start int, windows int")
-    rows = with_value(rows, copied, ["key", "content"], "first", "n", ["doc_id", "start"])
-    again = rows.filter("first IS NOT NULL AND (doc_id <> first.doc_id OR start <> first.start)").select("doc_id", "start", (F.col("windows") + window - 1).alias("words"))
-    return again.union(inner)
+    copied = cut(found.filter("n > 0").groupBy("key", "content").agg(F.min(F.struct("doc_id", "start")).alias("earliest"), F.max("n").alias("n")), "copied")
+    other = F.col("doc_id") != F.col("earliest.doc_id")
+    later = lambda df: df.filter(other | (F.col("start") != F.col("earliest.start"))).select("doc_id", "start", (F.col("windows") + window - 1).alias("words"))
+    place = ["key", "content", "doc_id", "start", "windows"]
+    copies = rows.filter("NOT frequent").select(*place).join(copied.drop("n"), ["key", "content"])
+    again = with_value(docs.mapInArrow(_segments(window, shared, True), _ROWS).select(*place), copied, ["key", "content"], "earliest", "n", ["doc_id", "start"])
+    return inner.union(later(copies)).union(later(again.filter("earliest IS NOT NULL")))
 
 
 def _kept_words(ranges, text: str | None) -> tuple[list[bytes], np.ndarray | None]:

@@ -99,6 +99,7 @@ def test_words_of_regular_letters_differ(spark):
 @pytest.mark.parametrize("cells,share,shard", [(1 << 18, skew.SHARE, 1 << 16), (256, 0.01, 50)])
 def test_substring_dedup(docs, monkeypatch, cells, share, shard):
     monkeypatch.setattr(substring_dedup, "CELLS", cells)
+    monkeypatch.setattr(substring_dedup, "PART", 128)
     monkeypatch.setattr(substring_dedup, "SHARD_WORDS", shard)
     monkeypatch.setattr(substring_dedup, "with_value", lambda *a: skew.with_value(*a, share))
     from pyspark import cloudpickle
