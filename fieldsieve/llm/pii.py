@@ -2,17 +2,20 @@
 
 A surrogate is a keyed permutation of the values of an entity's shape (a Feistel network over the positions' alphabets,
 after format-preserving encryption): letters stay letters of their script and case, digits digits, and what the type
-prescribes stays (a country code, an exchange of 555, a valid check digit, octets below 256, a domain of the
+prescribes stays (a country code, an exchange of 555, valid check digits, octets below 256, a domain of the
 reserved kind). A permutation has no collisions and this one no fixed points, so different entities keep different
-surrogates and one entity has the same everywhere, without a table of entities. Names are drawn by the honorific's
-gender from syllables of the name's script; one without a gender takes that of the same surname in its text. The
+surrogates and one entity has the same everywhere, without a table of entities. Names are spelt in syllables of their
+script; a surname has one form whatever the honorific, a given name an ending of the gender that honorifics in the text
+tell. Other mentions of a name's words in the same text are replaced as well. Case doesn't tell addresses apart. The
 operators fail where two entities of a corpus share a surrogate (`distinct`); `collisions` lists such.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
+import ipaddress
 import math
 import re
 import unicodedata
@@ -22,6 +25,7 @@ from dataclasses import dataclass, replace
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .lineage import unused
 from .words import row_slices
 
 KEY = b"fieldsieve surrogates"
@@ -31,27 +35,31 @@ _HEX, _DIGITS = "0123456789abcdef", "0123456789"
 
 PATTERNS = {
     "email": r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}(?![\w-])",
+    "key": r"(?<![\w-])(?P<prefix>AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|AIza)(?P<key>[A-Za-z0-9_-]{16,})(?!\w)",
     "secret": r"(?i:\b(?:api[_-]?key|access[_-]?key|token|secret|password|passwd|pwd)\b\s*[=:]\s*[\"']?)(?P<secret>[A-Za-z0-9+/_-]{8,})",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\w.])(?:\d{16}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})(?!\w|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
+    "ip6": r"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])",
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|(?<=[\d .-])\d{2,4}[ .-]\d{3,4}[ .-]\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w|\.\d)",
     "hex": r"(?<!\w)(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{32,64}(?!\w)",
-    "name": r"\b(?P<honorific>Mr|Mister|Mrs|Ms|Miss|Madam|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr)\b(?P<gap>\.? +)(?P<name>[^\W\d_a-z]\w+(?:[ -][^\W\d_a-z]\w+)?)",
+    "name": r"\b(?P<honorific>Mr|Mister|Mrs|Ms|Miss|Madam|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr)\b(?P<gap>\.? +)(?P<name>[^\W\d_a-z](?:\w|['’](?=[^\W\d_a-z]))+(?:[ -][^\W\d_a-z](?:\w|['’](?=[^\W\d_a-z]))+)?)",
 }
 _EACH = {k: re.compile(p) for k, p in PATTERNS.items()}
-#: Every entity but a name holds one of these; a name begins with a honorific.
+#: Every entity but a name or a key holds one of these; a name begins with a honorific.
 _MARKS = "0123456789@=:"
 _MARK = re.compile("[0-9@=:]+")
 _HONORIFIC = [f"{x}{y}" for x in "Mr Mister Mrs Ms Miss Madam Dr Prof Herr Frau Monsieur Madame Mme Señora Señor Sra Sr".split() for y in " ."]
+#: Keys may hold no mark.
+_PREFIXES = ["AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox", "AIza"]
 _REACH = 80
 _MALE, _FEMALE = {"mr", "mister", "herr", "monsieur", "señor", "sr"}, {"mrs", "ms", "miss", "madam", "frau", "madame", "mme", "señora", "sra"}
 #: Onsets, vowels and endings of surrogate names by script.
 _SOUNDS = {
-    "LATIN": ("bcdfghklmnprstvz", "aeiou", {"m": "ornelk", "f": "ai"}),
-    "CYRILLIC": ("бвгдзклмнпрст", "аеиоу", {"m": "нрвк", "f": "ая"}),
-    "GREEK": ("βγδζκλμνπρστ", "αεηιο", {"m": "ςν", "f": "αη"}),
+    "LATIN": ("bcdfghjklmnprstvwz", "aeiou", {"m": "nr", "f": "ae"}),
+    "CYRILLIC": ("бвгджзклмнпрстхш", "аеиоу", {"m": "нр", "f": "ая"}),
+    "GREEK": ("βγδζθκλμνπρστφχ", "αεηιο", {"m": "νσ", "f": "αη"}),
 }
 
 
@@ -72,7 +80,7 @@ class Entity:
 def _places(text: str) -> list[tuple[int, int]]:
     """Parts of the text where an entity can be: _REACH characters around each mark or honorific, up to white space."""
     at = [m.span() for m in _MARK.finditer(text)] if any(c in text for c in _MARKS) else []
-    for h in _HONORIFIC:
+    for h in (*_HONORIFIC, *_PREFIXES):
         k = text.find(h)
         while k >= 0:
             at.append((k, k + len(h)))
@@ -108,7 +116,9 @@ def find(text: str) -> list[Entity]:
             if kind == "email" and text.find("@", a, b) < 0:
                 continue
             for m in pattern.finditer(text, a, b):
-                group, gender = {"secret": "secret", "name": "name"}.get(kind, 0), ""
+                group, gender = {"secret": "secret", "key": "key", "name": "name"}.get(kind, 0), ""
+                if kind == "ip6" and not _is_ip6(m[0]):
+                    continue
                 if kind == "name":
                     h = m["honorific"].lower()
                     gender = "m" if h in _MALE else "f" if h in _FEMALE else ""
@@ -122,6 +132,14 @@ def find(text: str) -> list[Entity]:
     return out
 
 
+def _is_ip6(value: str) -> bool:
+    try:
+        ipaddress.IPv6Address(value)
+        return True
+    except ValueError:
+        return False
+
+
 def _number(key: bytes, parts: tuple[str, ...], least: int = 1) -> int:
     """A keyed number far above `least`, so that its remainders are even."""
     message, raw = "\x1f".join(parts).encode(), b""
@@ -179,14 +197,27 @@ def moved(key: bytes, tweak: str, digits: list[int], radices: list[int], kept: C
             return new
 
 
+#: Letters that are common in names and addresses, by script and case, without the final sigma.
+_LETTERS = [
+    "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "".join(chr(k) for k in range(0xDF, 0x100) if k != 0xF7), "".join(chr(k) for k in range(0xC0, 0xDF) if k != 0xD7),
+    "".join(map(chr, range(0x430, 0x450))), "".join(map(chr, range(0x410, 0x430))), "".join(chr(k) for k in range(0x3B1, 0x3CA) if k != 0x3C2), "".join(chr(k) for k in range(0x391, 0x3AA) if k != 0x3A2),
+]
+_COMMON = {c: letters for letters in _LETTERS for c in letters}
+
+
+@functools.cache
 def _alphabet(c: str) -> str:
-    if c in _DIGITS:
-        return _DIGITS
-    if "a" <= c <= "z":
-        return "abcdefghijklmnopqrstuvwxyz"
-    if "A" <= c <= "Z":
-        return "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return c
+    """What a character is permuted among: digits, common letters of its script and case, or letters of its kind and script near it; itself, if it is none of these."""
+    if c in _COMMON:
+        return _COMMON[c]
+    kind, script = unicodedata.category(c), lambda x: unicodedata.name(x, "").split(" ")[0]
+    if kind == "Nd":
+        zero = ord(c) - unicodedata.digit(c)
+        return "".join(map(chr, range(zero, zero + 10)))
+    if kind not in ("Ll", "Lu", "Lo"):
+        return c
+    begin = ord(c) & ~0x3F
+    return "".join(x for x in map(chr, range(begin, begin + 64)) if x not in _COMMON and unicodedata.category(x) == kind and script(x) == script(c))
 
 
 def same_shape(key: bytes, tweak: str, value: str, alphabet=_alphabet, kept: Callable[[str], bool] | None = None) -> str:
@@ -212,29 +243,60 @@ def _luhn(digits: str) -> int:
     return -total % 10
 
 
+def _word_name(key: bytes, word: str, gender: str) -> str:
+    """A name for a word of one: its letters are a number among all words of its alphabet, which is permuted within its length and spelt in pairs of letters.
+
+    Plain and accented words get even and odd numbers, and numbers begin at two pairs, so different words stay different and none
+    is spelt as itself. An ending makes the length odd: a consonant for a man's given name, a vowel for a woman's. Words with
+    other letters keep their shape.
+    """
+    low, script = word.lower(), unicodedata.name(word[0], "LATIN").split(" ")[0]
+    plain, accented = {"LATIN": (_LETTERS[0], _LETTERS[2]), "CYRILLIC": (_LETTERS[4], "ё"), "GREEK": (_LETTERS[6], "άέήίόύώς")}.get(script, ("", ""))
+    wide = any(c not in plain for c in low)
+    table = plain + accented if wide else plain
+    if any(c not in table for c in low):
+        return _cased(word, same_shape(key, "name", low) if len(low) == len(word) else same_shape(key, "name", word))
+    onsets, vowels, ends = _SOUNDS[script]
+    n, radix, base = len(low), len(table), len(onsets) * len(vowels)
+    number = sum(radix**k for k in range(1, n))
+    for k, d in enumerate(moved(key, f"name\x1e{script}{radix}\x1e{n}", [table.index(c) for c in low], [radix] * n)):
+        number += d * radix**k
+    number, made = 2 * number + wide + base, []
+    while number >= 0:  # pairs as digits, each number of pairs after the fewer ones
+        number, d = divmod(number, base)
+        number -= 1
+        made.append(onsets[d // len(vowels)] + vowels[d % len(vowels)])
+    out = "".join(made)
+    if gender:
+        out += next(c for c in ends[gender] if c != out[-1])
+    return out.upper() if word.isupper() and len(word) > 1 else out.capitalize()
+
+
+def _cased(pattern: str, value: str) -> str:
+    """`value` with upper case where `pattern` has it, for letters that have one of their own."""
+    return "".join(u if p.isupper() and len(u := v.upper()) == 1 else v for p, v in zip(pattern, value))
+
+
 def _name(key: bytes, value: str, gender: str) -> str:
-    """Each word's letters are a number; it is permuted and spelt in syllables of the script, as many as letters, so different words stay different."""
-    out = []
-    for word in re.split(r"([ -])", value):
-        if word in (" ", "-", ""):
-            out.append(word)
-            continue
-        low = word.casefold()
-        script = unicodedata.name(low[0], "LATIN").split()[0]
-        onsets, vowels, ends = _SOUNDS.get(script, _SOUNDS["LATIN"])
-        first, radix = next(((a, n) for a, n in ((0x61, 26), (0x430, 40), (0x3B1, 25)) if all(a <= ord(c) < a + n for c in low)), (0, 0x110000))
-        digits = permuted(key, f"name\x1e{script}{radix}\x1e{len(low)}", [ord(c) - first for c in low], [radix] * len(low))
-        number, made, base = 0, [], len(onsets) * len(vowels)
-        for d in digits:
-            number = number * radix + d
-        while number or len(made) < len(low):
-            number, d = divmod(number, base)
-            made.append(onsets[d // len(vowels)] + vowels[d % len(vowels)])
-        if gender:
-            made.append(onsets[len(low) % len(onsets)] + ends[gender][0])
-        made_word = "".join(made)
-        out.append(made_word.upper() if word.isupper() and len(word) > 1 else made_word.capitalize())
-    return "".join(out)
+    """Each word by itself; the last is the surname, which has no gender."""
+    words = re.split(r"([ -])", value)
+    return "".join(w if w in (" ", "-", "") else _word_name(key, w, gender if k + 1 < len(words) else "") for k, w in enumerate(words))
+
+
+def _iban(key: bytes, value: str) -> str:
+    """The account is permuted; check digits that are right stay so, and wrong ones stay as far from the right ones."""
+    flat = value.replace(" ", "")
+    right = lambda account: 98 - int("".join(str(int(c, 36)) for c in account + flat[:2] + "00")) % 97
+    account, check = same_shape(key, "iban" + flat[:2], flat[4:]), int(flat[2:4])
+    if 2 <= check <= 98:
+        check = (right(account) - 2 + check - right(flat[4:])) % 97 + 2
+    new = iter(f"{flat[:2]}{check:02d}{account}")
+    return "".join(c if c == " " else next(new) for c in value)
+
+
+def _small(value: str) -> str:
+    """Small letters, each for itself, with one kind of sigma."""
+    return "".join(low if len(low := c.lower()) == 1 else c for c in value).replace("ς", "σ")
 
 
 def _ascii_digits(value: str) -> str:
@@ -269,17 +331,24 @@ def surrogate(e: Entity, key: bytes = KEY) -> str:
         # a 555 stays where it is, so none may come up before it
         return spelt(moved(key, "phone\x1e" + re.sub(r"\d", "0", v), [int(v[k]) for k in digits], [10] * len(digits), lambda new: spelt(new).find("555", keep) == fixed))
     if e.kind == "email":
-        local, _, domain = v.rpartition("@")
+        low = _small(v)
+        local, _, domain = low.rpartition("@")
         name, _, top = domain.rpartition(".")
         host = domain if _RESERVED.search(domain) else same_shape(key, "host", name, kept=lambda x: not _RESERVED.search(f"{x}.{top}")) + "." + top
-        return same_shape(key, "email\x1e" + domain, local) + "@" + host
+        return _cased(v, same_shape(key, "email\x1e" + domain, local) + "@" + host)
+    if e.kind == "ip6":
+        number = int(ipaddress.IPv6Address(v))
+        groups = moved(key, "ip6", [number >> 16 * k & 0xFFFF for k in range(8)], [1 << 16] * 8)
+        new = ipaddress.IPv6Address(sum(g << 16 * k for k, g in enumerate(groups)))
+        text = str(new) if "::" in v else new.exploded
+        return text.upper() if any(c in "ABCDEF" for c in v) else text
     if e.kind in ("hex", "secret"):
         if not _HEXES.fullmatch(v):
             return same_shape(key, e.kind, v, kept=lambda x: not _HEXES.fullmatch(x))
         digits = _HEX.upper() if re.search("[A-F]", v) else _HEX
         return same_shape(key, "hex", v, lambda c: digits, _HEXES.fullmatch)
     if e.kind == "iban":
-        return v[:2] + same_shape(key, "iban", v[2:])
+        return _iban(key, v)
     if e.kind == "name":
         return _name(key, v, e.gender)
     return same_shape(key, e.kind, v)
@@ -287,8 +356,6 @@ def surrogate(e: Entity, key: bytes = KEY) -> str:
 
 def _gendered(found: list[Entity]) -> list[Entity]:
     """Names without a gender get that of the same surname elsewhere in the text, where it is only one."""
-    if all(e.gender for e in found if e.kind == "name"):
-        return found
     surname = lambda e: re.split("[ -]", e.value)[-1].casefold()
     known: dict[str, set[str]] = {}
     for e in found:
@@ -297,16 +364,34 @@ def _gendered(found: list[Entity]) -> list[Entity]:
     return [replace(e, gender=min(g)) if e.kind == "name" and not e.gender and len(g := known.get(surname(e), ())) == 1 else e for e in found]
 
 
+def _mentions(text: str, found: list[Entity], key: bytes) -> list[tuple[Entity, str]]:
+    """All entities with their surrogates, and other mentions of the words of names, in order; the first name that has a word tells its surrogate."""
+    pairs = [(e, surrogate(e, key)) for e in found]
+    words: dict[str, str] = {}
+    for e, s in pairs:
+        if e.kind == "name":
+            for w, x in zip(re.split("[ -]", e.value), re.split("[ -]", s)):
+                if len(w) > 1:
+                    words.setdefault(w, x)
+    if not words:
+        return pairs
+    taken, at, out = [(e.begin, e.end) for e in found], 0, []
+    for m in re.finditer(r"(?<![\w@.-])(?:" + "|".join(map(re.escape, sorted(words, key=len, reverse=True))) + r")(?![\w@])", text):
+        while at < len(taken) and taken[at][1] <= m.start():
+            at += 1
+        if at == len(taken) or taken[at][0] >= m.end():
+            out.append((Entity("name", m.start(), m.end(), m[0]), words[m[0]]))
+    return sorted(pairs + out, key=lambda x: x[0].begin)
+
+
 def replaced(text: str | None, key: bytes = KEY) -> tuple[str | None, list[tuple[Entity, str]]]:
     """The text with surrogates, and what was replaced by what."""
     if not text or not (found := find(text)):
         return text, []
-    out, at, pairs = [], 0, []
-    for e in _gendered(found):
-        s = surrogate(e, key)
+    out, at, pairs = [], 0, _mentions(text, _gendered(found), key)
+    for e, s in pairs:
         out += [text[at : e.begin], s]
         at = e.end
-        pairs.append((e, s))
     out.append(text[at:])
     return "".join(out), pairs
 
@@ -314,14 +399,19 @@ def replaced(text: str | None, key: bytes = KEY) -> tuple[str | None, list[tuple
 def replace_entities(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
     """`docs` with surrogates in the text; columns and rows stay as they are, nulls and empty texts too.
 
-    A column n_chars of the table is set to the new text's length where it was the old one's.
+    A column n_chars of the table is set to the new text's length where it was the old one's. No name of a column of `docs` is taken.
     """
     at, schema = docs.columns.index(text_col), docs.schema
+    size_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in row_slices(batches, text_col):
-            columns = list(part.columns)
-            columns[at] = pa.array([replaced(t, key)[0] for t in part.column(at).to_pylist()], part.schema.field(at).type)
+            columns, old = list(part.columns), part.column(at).to_pylist()
+            new = [replaced(t, key)[0] for t in old]
+            columns[at] = pa.array(new, part.schema.field(at).type)
+            if size_at >= 0:
+                sizes = [len(y) if x is not None and str(n) == str(len(x)) else n for x, y, n in zip(old, new, part.column(size_at).to_pylist())]
+                columns[size_at] = pa.array(sizes, part.schema.field(size_at).type)
             yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
     return distinct(docs.mapInArrow(run, schema), docs, key, text_col)
@@ -352,12 +442,17 @@ def pii_digests(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_
 
 
 def _identity(e: Entity) -> bytes:
-    """What makes an entity: case doesn't count in names, leading zeros don't in addresses, nor the script of digits in phones."""
-    same = {"name": str.casefold, "ip": lambda v: ".".join(str(int(x)) for x in v.split(".")), "phone": _ascii_digits}
+    """What makes an entity: case doesn't count in names and mail addresses, leading zeros don't in addresses, nor the script of digits in phones."""
+    same = {"name": str.casefold, "email": _small, "ip6": lambda v: ipaddress.IPv6Address(v).exploded, "ip": lambda v: ".".join(str(int(x)) for x in v.split(".")), "phone": _ascii_digits}
     v = same[e.kind](e.value) if e.kind in same else e.value
     return v.encode("utf-8", "replace")
 
 
+def _spelling(e: Entity, s: str) -> str:
+    """A surrogate as far as it tells entities apart."""
+    return _small(s) if e.kind in ("email", "ip6", "name") else s
+
+
 def distinct(out: DataFrame, docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
     """`out`, which fails when it is read if a surrogate stands for more than one entity of `docs`.
 
@@ -366,13 +461,14 @@ def distinct(out: DataFrame, docs: DataFrame, key: bytes = KEY, text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in row_slices(batches):
-            rows = list({(hashlib.blake2b(f"{e.kind}\x1f{s}".encode("utf-8", "replace"), digest_size=16).digest(), int.from_bytes(hashlib.blake2b(_identity(e), digest_size=8).digest(), "big", signed=True)) for t in part.column(0).to_pylist() for e, s in replaced(t, key)[1]})
+            rows = list({(hashlib.blake2b(f"{e.kind}\x1f{_spelling(e, s)}".encode("utf-8", "replace"), digest_size=16).digest(), int.from_bytes(hashlib.blake2b(_identity(e), digest_size=8).digest(), "big", signed=True)) for t in part.column(0).to_pylist() for e, s in replaced(t, key)[1]})
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64())], names=["_surrogate", "_entity"])
 
     pairs = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "_surrogate binary, _entity long")
-    shared = pairs.groupBy("_surrogate").agg(F.min("_entity").alias("_least"), F.max("_entity").alias("_most")).filter("_least <> _most").agg(F.count("*").alias("_shared"))
-    failed = F.concat(F.col("_shared").cast("string"), F.lit(" surrogates stand for more than one entity; pii.collisions lists them"))
-    return out.crossJoin(F.broadcast(shared)).filter(F.assert_true(F.col("_shared") == 0, failed).isNull()).drop("_shared")
+    name = unused(out, "shared")
+    shared = pairs.groupBy("_surrogate").agg(F.min("_entity").alias("_least"), F.max("_entity").alias("_most")).filter("_least <> _most").agg(F.count("*").alias(name))
+    failed = F.concat(F.col(name).cast("string"), F.lit(" surrogates stand for more than one entity; pii.collisions lists them"))
+    return out.crossJoin(F.broadcast(shared)).filter(F.assert_true(F.col(name) == 0, failed).isNull()).drop(name)
 
 
 def collisions(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
@@ -380,7 +476,7 @@ def collisions(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in row_slices(batches):
-            rows = {(e.kind, s, hashlib.sha256(_identity(e)).hexdigest()) for t in part.column(0).to_pylist() for e, s in replaced(t, key)[1]}
+            rows = {(e.kind, _spelling(e, s), hashlib.sha256(_identity(e)).hexdigest()) for t in part.column(0).to_pylist() for e, s in replaced(t, key)[1]}
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["kind", "surrogate", "entity"])
 
     pairs = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "kind string, surrogate string, entity string").distinct()
