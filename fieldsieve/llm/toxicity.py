@@ -20,12 +20,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .lineage import cut
 from .words import row_slices
 
 SAMPLE = 6000
 STEMS = (4, 5, 6, 7, 8)
 LEAST_DOCS = 4
 LEAST_ODDS = 3.0
+LEAST_SPARED = 3
+#: Letters of a word that can be learnt, and patterns that are learnt at most.
+LONGEST = 64
+PATTERNS = 50_000
 
 # Letters that look like a Latin one, and signs written for letters.
 LOOK_ALIKES = {
@@ -86,46 +91,73 @@ def _features(automaton, text: str) -> tuple[float, float]:
     return np.log1p(total), np.log1p(100 * total / max(1, text.count(" ") - 1))
 
 
-def learn(texts: list[str], toxic: list[int]) -> Lexicon:
-    """A lexicon, its exceptions and its scale from labelled texts; without toxic texts it is empty and scores are low."""
-    folded_ = [folded(t or "") for t in texts]
-    y = np.array(toxic)
-    n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    if not n1 or not n0:
-        return Lexicon({}, [], (-4.0 if not n1 else 4.0, 0.0, 0.0))
-    seen = (Counter(), Counter())
-    for t, c in zip(folded_, y.tolist()):
-        words = set(t.split())
-        seen[c].update({f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in STEMS if len(w) >= k})
-    odds = {p: np.log((c + 0.5) / (n1 + 1)) - np.log((seen[0][p] + 0.5) / (n0 + 1)) for p, c in seen[1].items() if c >= LEAST_DOCS}
+def patterns_of(text: str) -> set[str]:
+    """Words and beginnings of words of a folded text, each once; words of more than LONGEST letters are left out."""
+    words = {w for w in text.split() if len(w) <= LONGEST}
+    return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in STEMS if len(w) >= k}
+
+
+def phrases_of(automaton, text: str) -> set[str]:
+    """Each hit with the word before it, and with the word after it."""
+    out = set()
+    for a, b, _ in hits(automaton, text):
+        word_end = text.find(" ", a + 1)
+        before, after = text.rfind(" ", 0, a), text.find(" ", word_end + 1)
+        if before >= 0:
+            out.add(text[before : word_end + 1])
+        if after >= 0:
+            out.add(text[a : after + 1])
+    return {p for p in out if len(p) <= 3 * LONGEST}
+
+
+def _odds(c1: float, c0: float, n1: int, n0: int) -> float:
+    return float(np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1)))
+
+
+def chosen_weights(odds: dict[str, float]) -> dict[str, float]:
+    """Of patterns with their log odds, the shortest that are strong already; they stand for the longer ones."""
     weights: dict[str, float] = {}
-    # the shortest pattern that is strong already stands for the longer ones; it must not be much weaker
     for p in sorted(odds, key=lambda p: (len(p.rstrip()), p)):
         if odds[p] >= LEAST_ODDS and not any(p[:k] in weights for k in range(3, len(p))):
-            weights[p] = float(odds[p])
-    lexicon = Lexicon(weights)
-    automaton = lexicon.automaton()
-    around = (Counter(), Counter())
-    for t, c in zip(folded_, y.tolist()):
-        phrases = set()
-        for a, b, _ in hits(automaton, t):
-            word_end = t.find(" ", a + 1)
-            before = t.rfind(" ", 0, a)
-            after = t.find(" ", word_end + 1)
-            if before >= 0:
-                phrases.add(t[before : word_end + 1])
-            if after >= 0:
-                phrases.add(t[a : after + 1])
-        around[c].update(phrases)
-    lexicon.exceptions = sorted(p for p, c in around[0].items() if c >= 3 and not around[1][p])
-    automaton = lexicon.automaton()
-    x = np.array([(1.0, *_features(automaton, t)) for t in folded_])
-    w, balance = np.zeros(3), np.where(y == 1, len(y) / (2 * n1), len(y) / (2 * n0))
-    for _ in range(30):  # Newton steps of a logistic regression with a small ridge
+            weights[p] = odds[p]
+    return weights
+
+
+def scale(features: np.ndarray, toxic: np.ndarray) -> tuple[float, ...]:
+    """Bias and weights of a logistic regression on (total, density), classes balanced, by Newton steps with a small ridge."""
+    x, n1 = np.hstack([np.ones((len(features), 1)), features]), int(toxic.sum())
+    w, balance = np.zeros(3), np.where(toxic == 1, len(toxic) / (2 * n1), len(toxic) / (2 * (len(toxic) - n1)))
+    for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         hessian = (x * (balance * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3)
-        w += np.linalg.solve(hessian, x.T @ (balance * (y - p)) - 1e-2 * w)
-    lexicon.model = tuple(w.tolist())
+        w += np.linalg.solve(hessian, x.T @ (balance * (toxic - p)) - 1e-2 * w)
+    return tuple(w.tolist())
+
+
+def _one_class(n1: int) -> Lexicon:
+    return Lexicon({}, [], (-4.0 if not n1 else 4.0, 0.0, 0.0))
+
+
+def learn(texts: list[str], toxic: list[int]) -> Lexicon:
+    """A lexicon, its exceptions and its scale from labelled texts; without toxic texts it is empty and scores are low. `fit` does the same for a table."""
+    texts, y = [folded(t or "") for t in texts], np.array(toxic)
+    n1, n0 = int(y.sum()), int(len(y) - y.sum())
+    if not n1 or not n0:
+        return _one_class(n1)
+
+    def counted(of) -> tuple[Counter, Counter]:
+        seen = (Counter(), Counter())
+        for t, c in zip(texts, y.tolist()):
+            seen[c].update(of(t))
+        return seen
+
+    seen = counted(patterns_of)
+    lexicon = Lexicon(chosen_weights({p: _odds(c, seen[0][p], n1, n0) for p, c in seen[1].items() if c >= LEAST_DOCS}))
+    automaton = lexicon.automaton()
+    around = counted(lambda t: phrases_of(automaton, t))
+    lexicon.exceptions = sorted(p for p, c in around[0].items() if c >= LEAST_SPARED and not around[1][p])
+    automaton = lexicon.automaton()
+    lexicon.model = scale(np.array([_features(automaton, t) for t in texts]), y)
     return lexicon
 
 
@@ -141,19 +173,65 @@ def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int
     Rows are chosen by a hash of their id, at a rate that the counts of labels give, so nothing is sorted. Rows
     without an id, a label or a text teach nothing; where an id is labelled twice, each label counts.
     """
-    known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
-    known = known.filter(F.crc32(F.col("_id").cast("string")) % folds != held)
+    known = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).filter("label_id IS NOT NULL AND toxic IN (0, 1)")
+    known = known.filter(F.crc32(F.col("label_id").cast("string")) % folds != held)
     n = {int(r.toxic): r["count"] for r in known.groupBy("toxic").count().collect()}
-    part = F.pmod(F.xxhash64("_id"), F.lit(1 << 20))
+    part = F.pmod(F.xxhash64("label_id"), F.lit(1 << 20))
     rate = F.when(F.col("toxic") == 1, min(1.0, sample / max(1, n.get(1, 0)))).otherwise(min(1.0, sample / max(1, n.get(0, 0))))
     known = known.filter(part < rate * (1 << 20))
     # at most about 2 * sample ids whatever the input: the bound of the broadcast
-    return docs.filter("text IS NOT NULL").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("text", "toxic")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    return texts.join(F.broadcast(known), F.col("doc_id") == F.col("label_id")).select("text", "toxic")
+
+
+def _counts(rows: DataFrame, of) -> DataFrame:
+    """(pattern, c0, c1): in how many texts of each class `of` a folded text gives the pattern."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = of()
+        for part in row_slices(batches):
+            seen = (Counter(), Counter())
+            for text, c in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                seen[c].update(find(folded(text)))
+            names = list(seen[0] | seen[1])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([x[p] for p in names], pa.int64()) for x in seen)], names=["pattern", "c0", "c1"])
+
+    return rows.mapInArrow(run, "pattern string, c0 long, c1 long").groupBy("pattern").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, sample: int = SAMPLE) -> Lexicon:
-    rows = training_rows(docs, labels, folds, held, sample).toArrow()
-    return learn(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())
+    """Learns as `learn` does, from a bounded sample of labelled rows, whose texts stay on the executors.
+
+    To the driver come patterns and phrases, PATTERNS of each at most (the strongest), and two numbers a row.
+    """
+    rows = cut(training_rows(docs, labels, folds, held, sample), "training")
+    n = {int(r.toxic): r["count"] for r in rows.groupBy("toxic").count().collect()}
+    n1, n0 = n.get(1, 0), n.get(0, 0)
+    if not n1 or not n0:
+        return _one_class(n1)
+    strong = F.log((F.col("c1") + 0.5) / (n1 + 1)) - F.log((F.col("c0") + 0.5) / (n0 + 1))
+    found = _counts(rows, lambda: patterns_of).filter(F.col("c1") >= LEAST_DOCS).withColumn("odds", strong).filter(F.col("odds") >= LEAST_ODDS - 1e-6)
+    found = found.orderBy(F.desc("odds"), "pattern").limit(PATTERNS).collect()
+    lexicon = Lexicon(chosen_weights({r.pattern: _odds(r.c1, r.c0, n1, n0) for r in found}))
+    bare = Lexicon(lexicon.weights)
+
+    def spared():
+        automaton = bare.automaton()
+        return lambda text: phrases_of(automaton, text)
+
+    calm = _counts(rows, spared).filter((F.col("c0") >= LEAST_SPARED) & (F.col("c1") == 0)).orderBy(F.desc("c0"), "pattern").limit(PATTERNS)
+    lexicon.exceptions = sorted(r.pattern for r in calm.collect())
+    whole = Lexicon(lexicon.weights, lexicon.exceptions)
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = whole.automaton()
+        for part in row_slices(batches):
+            x = [_features(automaton, folded(t)) for t in part.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in x], pa.float64()), pa.array([b for _, b in x], pa.float64()), part.column(1)], names=["total", "density", "toxic"])
+
+    x = rows.mapInArrow(features, "total double, density double, toxic int").toArrow()
+    lexicon.model = scale(np.column_stack([x.column(0).to_numpy(), x.column(1).to_numpy()]), x.column(2).to_numpy())
+    return lexicon
 
 
 def toxicity_scores(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held: int = 1) -> DataFrame:
