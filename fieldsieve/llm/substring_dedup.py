@@ -179,7 +179,7 @@ _CANDIDATE = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("doc_id",
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in the order of keys to those of keys that occur more than once; of each content the first place is marked and gets the number of all its rows."""
-    for rows in _whole_keys(batches, 16 << 20):
+    for rows in _whole_keys(batches, 4 << 20):
         key, n = rows.column(0).to_numpy(), np.abs(rows.column(5).to_numpy())
         begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(begin, len(key)))

@@ -260,24 +260,41 @@ def test_top_k(spark):
     rng = np.random.default_rng(2)
     rows = [(k, [float(x) for x in rng.normal(0, 0.2, 16)], 1) for k in range(700)]
     rows += [(700, None, 1), (701, [1.0, None] * 8, 1), (702, [float("nan")] * 16, 1), (703, [float("inf")] * 16, 1), (705, [], 1), (706, [0.5] * 3, 1), (710, [0.25] * 3, 1), *[(800 + k, rows[20][1], 1) for k in range(15)]]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int").repartition(4)
-    x = {i: np.floor(1024 * np.array(v, np.float32).astype(np.float64)).astype(np.int64) for i, v, _ in rows if v and None not in v and np.isfinite(v).all()}
+    # components beyond 64 bits whose products cancel, or aren't met; repeated rows
+    rows += [(720, [1e301, -1e301] + [0.5] * 14, 1), (730, [3e16, 3e16] + [0.25] * 14, 1), (731, [1e301, 1e301] + [0.0] * 14, 1), (740, [-1e308] * 2 + [0.0] * 14, 1), rows[20], rows[20]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int").repartition(4)
+    x = {i: [topk_search.whole(c, 1024) for c in v] for i, v, _ in rows if v and None not in v and np.isfinite(v).all()}
+    assert x[720][0] == 1024 * int(1e301) and x[0] == np.floor(1024 * np.array(rows[0][1])).astype(int).tolist()
     got = collections.defaultdict(list)
     for r in topk_search.top_k(df, 10, 10).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
+    clip = lambda n: min(max(n, -(1 << 63)), (1 << 63) - 1)
     for q in [i for i in x if i % 10 == 0]:
-        best = sorted(((-int(x[q] @ x[c]), c) for c in x if c != q and len(x[c]) == len(x[q])))[:10]
-        assert got[q] == [(c, -s) for s, c in best]
+        best = sorted(((-clip(sum(a * b for a, b in zip(x[q], x[c]))), c) for c in x if c != q and len(x[c]) == len(x[q])))[:10]
+        assert got[q] == [(c, -s) for s, c in best], q
     assert topk_search.top_k(df.limit(0)).count() == 0
+    assert topk_search.top_k(df.filter("vec_id < 3").selectExpr("*", "'s' AS score", "1 AS part", "1 AS kind", "1 AS x"), 10, 1).count() == 6
 
 
-def test_bounds_hold():
+def test_bounds_hold_and_spare_products():
     rng = np.random.default_rng(3)
     a, b = rng.integers(-500, 500, (20, 37)), rng.integers(-500, 500, (30, 37))
     sa, sb = topk_search.Statistics(a), topk_search.Statistics(b)
     true = ((a[:, None] - b[None]) ** 2).sum(2)
     low = [topk_search.lower_bounds(x, sa.norm, y, sb.norm) for x, y in zip(sa.levels, sb.levels)]
     assert all((x <= true).all() for x in low)
+    # smooth vectors: segments tell most of their distances
+    smooth = np.cumsum(rng.normal(0, 0.1, (3000, 64)), 1)
+    smooth /= np.linalg.norm(smooth, axis=1)[:, None]
+    q, c = (topk_search.Vectors.of(np.arange(lo, hi), smooth[lo:hi], 1024) for lo, hi in ((0, 200), (200, 3000)))
+    for sparse in (1, 16, 1 << 30):
+        topk_search.SPARSE, best = sparse, topk_search.Best(np.full(200, -np.inf), 10)
+        head, rest = (topk_search.Vectors.of(c.ids[x], c.raw[x], 1024) for x in (slice(0, 500), slice(500, None)))
+        topk_search.search_block(best, q, head, 1024)
+        products = topk_search.search_block(best, q, rest, 1024)
+        assert products < 0.3 * 200 * 2300
+        assert (best.score == np.sort(q.x @ c.x.T, 1)[:, ::-1][:, :10]).all()
+    topk_search.SPARSE = 16
 
 
 def test_quality_rules(docs):
