@@ -8,8 +8,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-#: ECMAScript's white space, for Java's engine: Unicode white space without U+0085, with U+FEFF.
-SPACE = r"(?:(?U)[\s&&[^\x{85}]]|\x{FEFF})"
+# ECMAScript's white space, for Java's engine: Unicode white space without U+0085, with U+FEFF. One class, as Java matches alternatives by recursion.
+_BLANK = r"[\s\x{FEFF}&&[^\x{85}]]"
+SPACE = "(?U)" + _BLANK
 OMITTED = "\n\n[...中間部分を省略...]\n\n"
 
 # What makes an attachment's name important, fairly important, or not.
@@ -31,7 +32,8 @@ def squeeze(c: Column) -> Column:
 
 def stripped(c: Column) -> Column:
     """Without white space of any kind at the ends; Spark's own trim takes blanks only."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    # a run in the middle is tried once only, at its beginning
+    return F.regexp_replace(c, f"(?U)^{_BLANK}++|(?<!{_BLANK}){_BLANK}++$", "")
 
 
 def for_match(c: Column) -> Column:
@@ -39,9 +41,21 @@ def for_match(c: Column) -> Column:
     return F.regexp_replace(F.lower(nfkc(c)), SPACE + "+", "")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfkc_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in batches:
+        yield s.map(lambda x: None if x is None else [unicodedata.normalize("NFKC", p) for p in x if p is not None])
+
+
+def normal_patterns(c: Column) -> Column:
+    """An array of patterns, each as `for_match` makes it, without empty ones."""
+    return F.filter(F.transform(_nfkc_all(c), lambda p: F.regexp_replace(F.lower(p), SPACE + "+", "")), lambda p: p != "")
+
+
 def for_evidence(c: Column) -> Column:
     """NFKC, straight quotes, and spaces only between ASCII letters or digits."""
-    plain = F.translate(nfkc(c), "‘’ʼ“”", "'''\"\"")
+    # Quotes that are taken for straight ones.
+    plain = F.translate(nfkc(c), "“”„‟〝〞〟‘’‚‛", '"' * 7 + "'" * 4)
     return F.regexp_replace(squeeze(plain), r"(?<![0-9A-Za-z]) | (?![0-9A-Za-z])", "")
 
 
@@ -108,6 +122,30 @@ def _or(parts: list[Column]) -> Column:
     return out
 
 
+def link_label(text: Column, path: Column, most: int = 30) -> Column:
+    """What a link is called in a report: its text, or else the decoded last part of its path, cut."""
+    name = decoded(F.regexp_extract(path, "([^/]*)$", 1))
+    label = F.coalesce(F.nullif(squeeze(text), F.lit("")), F.nullif(squeeze(name), F.lit("")), path)
+    return preview(label, most)
+
+
+def decoded(c: Column) -> Column:
+    """Percent-decoded, or as it is where it can't be."""
+    return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+
+
+@F.pandas_udf(T.StringType())
+def lossy_utf8(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Bytes as text, what isn't UTF-8 as U+FFFD; Spark's own decoding fails there."""
+    for s in batches:
+        yield s.map(lambda x: None if x is None else x.decode("utf-8", "replace").removeprefix("\ufeff"))
+
+
+def strict_utf8(c: Column) -> Column:
+    """Bytes as text, null where they aren't UTF-8."""
+    return F.try_validate_utf8(c.cast("string"))
+
+
 def japanese_spacing(c: Column, least: int = 10) -> Column:
     """Whether a blank stands between Japanese letters `least` times."""
     j = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"

@@ -3,15 +3,82 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from urllib.parse import urljoin, urlsplit
+import re
+from urllib.parse import quote, urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from .text import decoded  # noqa: F401
+
+#: URLs in normal form already, of the common kind.
+_PLAIN = re.compile(r"(?!.*/\.)https?://[a-z0-9-]+(?:\.[a-z0-9-]+)*/[A-Za-z0-9._~!$&()*+,;=:@/-]*(?:\?[A-Za-z0-9._~!$&()*+,;=:@/?-]*)?")
+_PORTS = {"http": "80", "https": "443"}
+
+
+def domain_of(host: str) -> str:
+    """A host in lower case and ASCII, without a dot at its end; ValueError where it is none."""
+    host = host.strip().rstrip(".").lower()
+    if not host.isascii():
+        host = host.encode("idna").decode()
+    if not host or any(c in host for c in " \t\n\r#%/<>?@\\^|"):
+        raise ValueError(host)
+    return host
+
+
+def normal_url(url: str) -> str:
+    """An absolute http(s) URL as browsers write it, without its fragment: ports, case, dots and escapes made alike. ValueError for what is none."""
+    if _PLAIN.fullmatch(url):
+        return url
+    url = re.sub("[\t\n\r]", "", url.strip("".join(map(chr, range(33)))))
+    m = re.fullmatch(r"(?i)(https?):[/\\]*([^/\\?#]*)([^?#]*)(\?[^#]*)?(#.*)?", url, re.S)
+    if not m:
+        raise ValueError(url)
+    scheme, (login, at, place) = m[1].lower(), m[2].rpartition("@")
+    if place.startswith("["):
+        host, _, port = place.partition("]")
+        host, port = host.lower() + "]", port.removeprefix(":")
+    else:
+        host, _, port = place.partition(":")
+        ended = host.endswith(".")
+        host = domain_of(re.sub("%([0-9A-Fa-f]{2})", lambda x: chr(int(x[1], 16)), host)) + ("." if ended else "")
+    if port and not (port.isdigit() and int(port) < 65536):
+        raise ValueError(url)
+    port = "" if not port or port.lstrip("0") == _PORTS[scheme] else ":" + str(int(port))
+    out: list[str] = []
+    parts = m[3].replace("\\", "/").split("/")[1:]
+    for k, part in enumerate(parts):
+        dots = part.lower().replace("%2e", ".")
+        if dots in (".", ".."):
+            if dots == ".." and out:
+                out.pop()
+            if k == len(parts) - 1:
+                out.append("")
+        else:
+            out.append(quote(part, "!$&'()*+,;=:@%[]|^~"))
+    query = quote(m[4] or "", "!$&()*+,;=:@%[]|^~?/\\`{}")
+    return f"{scheme}://{login}{at}{host}{port}/{'/'.join(out)}{query}"
+
+
+def _or_null(f, x):
+    try:
+        return None if x is None else f(x)
+    except (ValueError, UnicodeError):
+        return None
 
-def canonical(c: Column) -> Column:
-    """An absolute URL without its fragment."""
-    return F.regexp_replace(c, "#.*$", "")
+
+@F.pandas_udf(T.StringType())
+def canonical(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """An absolute http(s) URL in its normal form, without its fragment; null for what is none."""
+    for s in batches:
+        yield s.map(lambda x: _or_null(normal_url, x))
+
+
+@F.pandas_udf(T.StringType())
+def normal_domain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """A domain in lower case and ASCII, without a dot at its end; null for what is none."""
+    for s in batches:
+        yield s.map(lambda x: _or_null(domain_of, x))
 
 
 def scheme(c: Column) -> Column:
@@ -36,11 +103,6 @@ def allowed(host_: Column, domains: Column) -> Column:
     return F.exists(domains, lambda d: (host_ == d) | F.endswith(host_, F.concat(F.lit("."), d)))
 
 
-def decoded(c: Column) -> Column:
-    """Percent-decoded, or as it is where it can't be."""
-    return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
-
-
 @F.pandas_udf(T.StringType())
 def resolved(base: pd.Series, link: pd.Series) -> pd.Series:
     """The link against its base, http and https only; null where it is no URL."""
@@ -51,7 +113,10 @@ def resolved(base: pd.Series, link: pd.Series) -> pd.Series:
         try:
             made = urljoin(b, x.strip())
             parts = urlsplit(made)
-            return made if parts.scheme in ("http", "https") and parts.hostname else None
+            if parts.scheme not in ("http", "https") or not parts.hostname:
+                return None
+            fragment = made.partition("#")
+            return normal_url(made) + fragment[1] + fragment[2]
         except ValueError:
             return None
 

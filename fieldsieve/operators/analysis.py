@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import OMITTED, for_evidence
+from ..tables import unused
 
 # Words of sections that matter, that matter in headings only, and that matter little.
 SECTIONS = "目的 背景 趣旨 現状 課題 事業概要 業務概要 業務内容 委託内容 実施内容 要求仕様 機能要件 非機能要件 提案内容 提案事項 企画提案 成果物 期待する効果 官民連携 オンライン手続".split()
@@ -31,6 +32,7 @@ MOCK = {
     "categories": ["サービスデザイン", "行政DX", "UI・UX"], "company_relevance": "A", "contact_recommendation": "high",
     "reason": "民間事業者から情報提供を求めている段階であり、対話や提案の余地がある。",
 }
+# Characters of the beginning that is kept, the score that counts as relevant, runs at most, the least share of the budget, characters of a heading.
 LEAD, RELEVANT, MOST_RUNS, LEAST_SHARE, LABEL = 1500, 1.5, 10, 0.25, 20
 # Fixed value: numbers that begin a heading.
 _NUMBER = re.compile(r"^(?:[0-9０-９]{1,2}[.．、)）]|[（(][0-9０-９]{1,2}[）)]|第[0-9０-９一二三四五六七八九十]{1,3}[章条項節]|[一二三四五六七八九十]{1,3}[.．、]|[0-9０-９]{1,2}[ 　]+|[一二三四五六七八九十]{1,3}[ 　]+)\s*")
@@ -129,16 +131,17 @@ def choose_text(text: str, pages: list[str] | None, budget: int) -> tuple[str, s
 
 
 def chosen_texts(docs: DataFrame, text: str, budget: int, pages: str | None = None) -> DataFrame:
-    """`docs` with sent_text, strategy, chunk_count; only texts over the budget pass through Python."""
+    """`docs` with sent_text, strategy, chunk_count; only texts over the budget pass through Python. A null text is sent as it is. Columns of these names are replaced."""
 
     @F.pandas_udf("sent_text string, strategy string, chunk_count int")
     def pick(t: pd.Series, p: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([choose_text(a or "", list(b) if b is not None else None, budget) for a, b in zip(t, p)], columns=["sent_text", "strategy", "chunk_count"])
 
-    short = docs.filter(F.length(text) <= budget).select("*", F.col(text).alias("sent_text"), F.lit("full").alias("strategy"), F.lit(1).alias("chunk_count"))
-    over = docs.filter(F.length(text) > budget)
+    fits, name = F.coalesce(F.length(text) <= budget, F.lit(True)), unused(docs, "c")
+    docs = docs.drop("sent_text", "strategy", "chunk_count")
+    short = docs.filter(fits).select("*", F.col(text).alias("sent_text"), F.lit("full").alias("strategy"), F.lit(1).alias("chunk_count"))
     of = F.col(pages) if pages else F.lit(None).cast("array<string>")
-    picked = over.withColumn("_c", pick(F.col(text), of)).select(*docs.columns, "_c.sent_text", "_c.strategy", "_c.chunk_count")
+    picked = docs.filter(~fits).withColumn(name, pick(F.col(text), of)).select(*docs.columns, *[f"{name}.{x}" for x in ("sent_text", "strategy", "chunk_count")])
     return short.unionByName(picked)
 
 
@@ -160,7 +163,7 @@ def analysis_issues(is_target: Column, categories: Column, relevance: Column, co
     size = F.size(categories)
     checks = [
         ("categories_missing", is_target & (size == 0)), ("categories_of_non_target", ~is_target & (size > 0)), ("too_many_categories", size > 3),
-        ("repeated_category", F.size(F.array_distinct(categories)) != size), ("other_is_exclusive", F.array_contains(categories, "その他") & (size > 1)),
+        ("unknown_category", F.exists(categories, lambda c: ~F.coalesce(c.isin(NEED_CATEGORIES), F.lit(False)))), ("repeated_category", F.size(F.array_distinct(categories)) != size), ("other_is_exclusive", F.array_contains(categories, "その他") & (size > 1)),
         ("relevance_of_non_target", ~is_target & (relevance != "out_of_scope")), ("contact_of_non_target", ~is_target & (contact != "none")),
         ("contact_out_of_scope", (relevance == "out_of_scope") & (contact != "none")), ("high_needs_a_or_b", (contact == "high") & ~relevance.isin("A", "B")),
         ("reason", (F.length(F.trim(reason)) < 1) | (F.length(F.trim(reason)) > 2000)),
@@ -168,6 +171,21 @@ def analysis_issues(is_target: Column, categories: Column, relevance: Column, co
     return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in checks]))
 
 
+def output_issues(analysis: DataFrame) -> Column:
+    """Names of broken rules of an analysis's texts, closed vocabularies and quotes, in a fixed order; `analysis_issues` has the rest."""
+    short = lambda c, least, most: F.coalesce(~F.length(F.trim(c)).between(least, most), F.lit(True))
+    outside = lambda c, words: ~F.coalesce(F.col(c).isin(list(words)), F.lit(False))
+    url = lambda c: ~F.coalesce(F.regexp_like(c, F.lit("^https?://[^/ ]+")), F.lit(False))
+    quotes = F.coalesce("evidence_quotes", F.expr("CAST(array() AS array<struct<source_type:string,source_url:string,quote:string>>)"))
+    bad_quote = F.exists(quotes, lambda q: ~F.coalesce(q["source_type"].isin("html", "pdf"), F.lit(False)) | url(q["source_url"]) | short(q["quote"], 1, 500))
+    checks = [
+        ("is_target", F.col("is_target").isNull()), ("document_type", outside("document_type", DOCUMENT_TYPES)), *[(c, short(F.col(c), 0, 2000)) for c in ("problem_summary", "desired_state", "request_to_private_sector")],
+        ("company_relevance", outside("company_relevance", RELEVANCE)), ("contact_recommendation", outside("contact_recommendation", CONTACT)), ("reason", short(F.col("reason"), 1, 2000)),
+        ("evidence_quotes", ~F.size(quotes).between(1, 5)), ("evidence_quote", bad_quote),
+    ]
+    return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in checks]))
+
+
 def unfenced(c: Column) -> Column:
     """What a code fence around the whole string holds; other strings trimmed."""
     t = F.trim(c)
@@ -187,11 +205,37 @@ def envelope_stage(c: Column) -> Column:
     )
 
 
+def input_tokens(envelope: Column) -> Column:
+    """The number of input tokens that an analyzer's envelope tells, or null; never an error."""
+    return F.try_variant_get(F.try_parse_json(envelope), "$.usage.input_tokens", "double")
+
+
+# Names whose assignments are hidden in reports.
+SECRET_NAMES = ["NOTION_TOKEN", "ANTHROPIC_API_KEY", "OPENAI_API_KEY", "CLAUDE_API_KEY", "API_KEY", "ACCESS_TOKEN", "AUTH_TOKEN", "TOKEN"]
+
+
+def redacted(c: Column) -> Column:
+    """A text for a report: line ends as LF, control characters as U+FFFD, bearer tokens, keys and assignments of secrets hidden."""
+    c = F.regexp_replace(F.regexp_replace(c, "\r\n?", "\n"), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "\ufffd")
+    c = F.regexp_replace(c, r"(?i)((?<![0-9A-Za-z_])Bearer\s+)[A-Za-z0-9._~+/-]+={0,2}", "$1[REDACTED]")
+    c = F.regexp_replace(c, r"(?i)(?<![0-9A-Za-z_])(?:sk-(?:ant-)?[A-Za-z0-9_-]{10,}|secret_[A-Za-z0-9_-]{10,}|ntn_[A-Za-z0-9_-]{10,})(?![0-9A-Za-z_])", "[REDACTED]")
+    for name in SECRET_NAMES:
+        c = F.regexp_replace(c, rf"""(?i)(["']?{name}["']?\s*[:=]\s*)(?:"[^"\r\n]*"|'[^'\r\n]*'|[^\s,}}\]]+)""", "$1[REDACTED]")
+    return c
+
+
+def error_context(text: Column, at: Column, around: int = 200) -> Column:
+    """What stands around a place (from 0) of a text, `around` characters on each side."""
+    begin = F.greatest(at - around, F.lit(0))
+    return F.substring(text, (begin + 1).cast("int"), (at - begin + around).cast("int"))
+
+
 def evidence_found(quotes: DataFrame, texts: DataFrame, keys: list[str], quote: str = "quote", text: str = "text") -> DataFrame:
     """`quotes` with matched: whether the text of the same keys, and no other, holds the quote; both normalised."""
-    of = texts.select(*keys, for_evidence(F.col(text)).alias("_t"))
-    rows = quotes.withColumn("_q", for_evidence(F.col(quote))).join(of, keys, "left")
-    return rows.withColumn("matched", F.coalesce((F.col("_q") != "") & F.contains("_t", F.col("_q")), F.lit(False))).drop("_q", "_t")
+    t, q = unused(quotes, "own_text"), unused(quotes, "own_quote")
+    of = texts.select(*keys, for_evidence(F.col(text)).alias(t))
+    rows = quotes.withColumn(q, for_evidence(F.col(quote))).join(of, keys, "left")
+    return rows.withColumn("matched", F.coalesce((F.col(q) != "") & F.contains(t, F.col(q)), F.lit(False))).drop(q, t)
 
 
 class Analyzers:
@@ -234,6 +278,61 @@ def exact_sum(values: Iterator[float]) -> float:
             return math.inf if total > 0 else -math.inf
 
 
-@F.pandas_udf(T.DoubleType())
-def exact_sum_agg(v: pd.Series) -> float:
-    return exact_sum(x for x in v.tolist() if x is not None)
+_SCALE = 1074  # every finite double is a whole number of 2**-1074
+
+
+def _partial(values) -> tuple[bytes, str]:
+    """The exact sum of the finite values, as a whole number of 2**-1074, and a letter for each other kind of value that is there."""
+    import math
+
+    total, kinds = 0, set()
+    for x in values:
+        if x != x:
+            kinds.add("n")
+        elif math.isinf(x):
+            kinds.add("p" if x > 0 else "m")
+        else:
+            if x or math.copysign(1, x) > 0:
+                kinds.add("z")
+            a, b = x.as_integer_ratio()
+            total += a * ((1 << _SCALE) // b)
+    return total.to_bytes(total.bit_length() // 8 + 1, "little", signed=True), "".join(sorted(kinds))
+
+
+def exact_sums(df: DataFrame, keys: list[str], value: str, name: str = "total") -> DataFrame:
+    """keys and the correctly rounded sum of `value` of each, nulls apart; infinities and NaN as in IEEE, of nothing -0.0.
+
+    Each task adds exactly and hands on one number of some hundred bytes a key and batch, so no task holds the rows of a key.
+    """
+    import math
+
+    parts = T.StructType([*(df.schema[k] for k in keys), T.StructField("part", T.BinaryType()), T.StructField("kinds", T.StringType())])
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(*(k if isinstance(k, tuple) else (k,)), *_partial(x for x in g[value].tolist() if x is not None and not (x is pd.NA))) for k, g in b.groupby(keys, dropna=False)]
+            yield pd.DataFrame(rows, columns=[*keys, "part", "kinds"])
+
+    def whole(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        kinds, total = set("".join(g["kinds"])), sum(int.from_bytes(x, "little", signed=True) for x in g["part"])
+        if "n" in kinds or {"p", "m"} <= kinds:
+            out = math.nan
+        elif kinds & {"p", "m"}:
+            out = math.inf if "p" in kinds else -math.inf
+        elif not total:
+            out = 0.0 if "z" in kinds else -0.0
+        else:
+            try:
+                out = total / (1 << _SCALE)
+            except OverflowError:
+                out = math.inf if total > 0 else -math.inf
+        return pd.DataFrame([(*key, out)], columns=[*keys, name])
+
+    out = T.StructType([*(df.schema[k] for k in keys), T.StructField(name, T.DoubleType())])
+    found = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias(value)).mapInPandas(add, parts)
+    return found.groupBy(*keys).applyInPandas(whole, out)
+
+
+def decimal_sum(c: Column, scale: int = 2) -> Column:
+    """The exact sum of values of a bounded scale: no order of addition changes it."""
+    return F.sum(c.cast(f"decimal(18,{scale})"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import preview
 
@@ -22,6 +22,32 @@ def histogram(results: DataFrame) -> DataFrame:
     return results.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("ok", "warning", "error", "unsupported")])
 
 
+def bad_outcome(single: Column | None = None) -> Column:
+    """Whether a result asks for an exit code of 1: an error, or an unsupported source that is enabled or was asked for by itself."""
+    return (F.col("status") == "error") | ((F.col("status") == "unsupported") & (F.col("enabled") | (F.lit(False) if single is None else single)))
+
+
+def status_summary(results: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ok, warning, error, unsupported, ready (no bad outcome), exit_code of results (status, enabled)."""
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in ("ok", "warning", "error", "unsupported")]
+    bad = F.coalesce(bad_outcome(), F.lit(False))
+    return results.groupBy(*keys).agg(*counts, F.bool_and(~bad).alias("ready"), F.max(bad.cast("int")).alias("exit_code"))
+
+
+def verification_summary(items: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and how many of the verified items (status, stage) got through content and analysis; `ready` where all succeeded."""
+    ok, stage = F.col("status") == "succeeded", F.col("stage")
+    return items.groupBy(*keys).agg(
+        F.count_if(ok | (stage == "ai")).alias("content_succeeded"), F.count_if(~ok & (stage == "content")).alias("content_failed"), F.count_if(ok).alias("ai_succeeded"), F.count_if(~ok & (stage == "ai")).alias("ai_failed"),
+        F.bool_and(ok).alias("ready"),
+    )
+
+
+def outcome_counts(results: DataFrame, keys: list[str], status: str, outcomes: list[str]) -> DataFrame:
+    """keys and a count of each outcome."""
+    return results.groupBy(*keys).agg(*[F.count_if(F.col(status) == o).alias(o) for o in outcomes])
+
+
 def wide(s: str) -> int:
     return sum(2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import urls
+from ..functions.text import normal_patterns
+from ..tables import unused
 
 # Reasons in the order in which they apply.
 MISSING, BAD_URL, EXTERNAL, SELF, REPEAT = "必須項目不足", "不正なURL", "外部ドメインまたは非HTTP URL", "情報源ページ自身へのリンク", "重複URL"
@@ -17,36 +19,48 @@ NOTICES = ["pdf_limit", "pdf_truncated", "ai_json_parse_retry", "pdf_empty_text"
 
 
 def title_matches(title: Column, patterns: Column) -> Column:
-    """Whether any pattern is part of the title; both normalised. No patterns match nothing."""
+    """Whether any pattern is part of the title; both are normalised already. No patterns match nothing."""
     return F.exists(F.coalesce(patterns, F.array().cast("array<string>")), lambda p: (p != "") & F.contains(title, p))
 
 
+def normalised(rows: DataFrame, patterns: list[str]) -> DataFrame:
+    """`rows` with the named arrays of patterns or categories normalised as titles are, without empty ones."""
+    return rows.withColumns({c: normal_patterns(F.col(c)) for c in patterns if c in rows.columns})
+
+
 def title_verdict(title: Column, includes: Column, excludes: Column) -> Column:
     """A reason or null; excludes go first, and without includes every title is included."""
     none = F.coalesce(F.size(includes), F.lit(0)) <= 0
     return F.when(title_matches(title, excludes), EXCLUDED).when(~none & ~title_matches(title, includes), NOT_INCLUDED)
 
 
-def judged(candidates: DataFrame, list_page: bool = True) -> DataFrame:
+def judged(candidates: DataFrame, list_page: bool | Column = True) -> DataFrame:
     """`exclude_reason` of rows (source_id, pos, title, url, norm_title, domain, source_url, includes, excludes, categories, category_includes).
 
-    Repeats are found among rows that pass what comes before; categories count for feeds only.
+    Patterns and categories are normalised here as `norm_title` is. Repeats are found among rows that pass what comes before; others
+    meet in no window. Links to the source's own page are a rule of list pages, categories one of the others; `list_page` tells which a row is.
     """
+    lists = F.lit(list_page) if isinstance(list_page, bool) else list_page
     blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
-    early = (
-        F.when(blank(F.col("title")) | blank(F.col("url")), MISSING).when(urls.scheme(F.col("url")) == "", BAD_URL)
-        .when(~urls.scheme(F.col("url")).isin("http", "https") | ~urls.allowed(urls.host(F.col("url")), F.array("domain")), EXTERNAL)
+    early, own, page, domain, k = (unused(candidates, x) for x in ("early", "own_url", "is_list", "own_domain", "k"))
+    rows = normalised(candidates, ["includes", "excludes", "categories", "category_includes"])
+    rows = rows.withColumns({"canonical_url": urls.canonical(F.col("url")), own: urls.canonical(F.col("source_url")), domain: urls.normal_domain(F.col("domain")), page: lists})
+    scheme = urls.scheme(F.trim("url"))
+    wrong = (
+        F.when(blank(F.col("title")) | blank(F.col("url")), MISSING).when((scheme == "") | (scheme.isin("http", "https") & F.col("canonical_url").isNull()), BAD_URL)
+        .when(~scheme.isin("http", "https") | ~urls.allowed(urls.host(F.col("canonical_url")), F.array(domain)), EXTERNAL)
+        .when(F.col(page) & (F.col("canonical_url") == F.col(own)), SELF)
     )
-    if list_page:
-        early = early.when(urls.canonical(F.col("url")) == urls.canonical(F.col("source_url")), SELF)
-    rows = candidates.withColumn("_early", early).withColumn("canonical_url", urls.canonical(F.col("url")))
-    rn = F.row_number().over(Window.partitionBy("source_id", "canonical_url", F.col("_early").isNull()).orderBy("pos"))
-    late = F.when(rn > 1, REPEAT)
-    if not list_page:
+    rows = rows.withColumn(early, wrong)
+    # rows with a reason already are dealt by their place, as many may share a blank URL
+    key = F.when(F.col(early).isNull(), F.col("canonical_url")).otherwise(F.concat(F.lit("#"), F.col("pos").cast("string")))
+    rows = rows.withColumn(k, F.row_number().over(Window.partitionBy("source_id", key).orderBy("pos")))
+    late = F.when(F.col(k) > 1, REPEAT)
+    if "category_includes" in candidates.columns:
         wanted = F.coalesce(F.size("category_includes"), F.lit(0)) > 0
-        late = late.when(wanted & ~F.exists("categories", lambda c: title_matches(c, F.col("category_includes"))), CATEGORY)
-    reason = F.coalesce("_early", late, title_verdict(F.col("norm_title"), F.col("includes"), F.col("excludes")))
-    return rows.withColumn("exclude_reason", reason).drop("_early")
+        late = late.when(~F.col(page) & wanted & ~F.coalesce(F.exists("categories", lambda c: title_matches(c, F.col("category_includes"))), F.lit(False)), CATEGORY)
+    reason = F.coalesce(F.col(early), late, title_verdict(F.col("norm_title"), F.col("includes"), F.col("excludes")))
+    return rows.withColumn("exclude_reason", reason).drop(early, own, page, domain, k)
 
 
 def exclusion_counts(rows: DataFrame) -> DataFrame:
@@ -73,6 +87,7 @@ def commit_reason(limit_hit: Column, write: Column, manual: Column, failed: Colu
 
 def new_candidates(probe: DataFrame, sink: DataFrame, url: str, sink_url: str) -> DataFrame:
     """Rows of `probe` that the sink has neither by their URL nor by its https form. One equality join on exploded keys."""
-    hit = probe.select(url, F.explode(F.array_compact(F.array(F.col(url), urls.https_of(F.col(url))))).alias("_key")).distinct()
-    known = hit.join(sink.select(F.col(sink_url).alias("_key")).distinct(), "_key", "left_semi").select(url).distinct()
-    return probe.join(known, url, "left_anti")
+    hit = probe.select(F.col(url).alias("probe"), F.explode(F.array_compact(F.array(F.col(url), urls.https_of(F.col(url))))).alias("key")).distinct()
+    known = hit.join(sink.select(F.col(sink_url).alias("key")).distinct(), "key", "left_semi").select("probe").distinct()
+    name = unused(probe, "probe")
+    return probe.join(known.withColumnRenamed("probe", name), F.col(url) == F.col(name), "left_anti")

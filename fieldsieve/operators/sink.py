@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..functions.text import chunks
 from .analysis import CONTACT, DOCUMENT_LABELS, DOCUMENT_TYPES, RELEVANCE
+from .dedup import first_wins
+from .report import bad_outcome
 
 # The sink's columns and their kinds.
 COLUMNS = {
@@ -34,30 +36,42 @@ def sink_rows(results: DataFrame) -> DataFrame:
     return results.select(*[(chunks(text[n]) if n in text else one[n]).alias(n) for n in COLUMNS if n != "登録日時"])
 
 
-def mismatches(actual: DataFrame) -> DataFrame:
-    """(name, expected, actual) where (name, kind) of a sink differ from COLUMNS."""
-    want = actual.sparkSession.createDataFrame(list(COLUMNS.items()), "name string, expected string")
-    return want.join(actual.select("name", F.col("kind").alias("actual")), "name", "left").filter("actual IS NULL OR actual <> expected")
+def mismatches(actual: DataFrame, expected: dict[str, str] = COLUMNS) -> DataFrame:
+    """(name, expected, actual) where (name, kind) of a sink differ from what is expected."""
+    want = actual.sparkSession.createDataFrame(list(expected.items()), "name string, expected string")
+    return want.join(actual.select("name", F.col("kind").alias("actual")), "name", "left").filter("actual IS NULL OR actual <> expected").select("name", "expected", "actual")
+
+
+def missing_options(wanted: DataFrame, options: DataFrame) -> DataFrame:
+    """(option) of `wanted` that `options` doesn't have, each once."""
+    return wanted.select("option").distinct().join(options.select("option").distinct(), "option", "left_anti")
+
+
+def only_table(tables: list[str]) -> str:
+    """The sink's one table; none or several are an error."""
+    if len(tables) != 1:
+        raise ValueError(f"one table is expected, {len(tables)} are there")
+    return tables[0]
 
 
 def appendable(new: DataFrame, sink: DataFrame, key: str = "公式URL") -> DataFrame:
-    """Rows whose URL the sink doesn't have, each URL once: what an append may write. Running it again gives nothing."""
-    return new.dropDuplicates([key]).join(sink.select(key), key, "left_anti").select(new.columns)
+    """Rows whose URL the sink doesn't have, each URL once, the first in order of all columns: what an append may write. Running it again gives nothing."""
+    return first_wins(new, [key], new.columns).join(sink.select(key).distinct(), key, "left_anti").select(new.columns)
 
 
 def append(new: DataFrame, path: str, options: DataFrame | None = None) -> int:
     """Appends new rows to a Parquet sink; refused where a category isn't among the sink's `options` (option). Returns the number of rows."""
     spark = new.sparkSession
     if options is not None:
-        missing = new.select(F.explode("分野").alias("option")).distinct().join(options, "option", "left_anti")
+        missing = missing_options(new.select(F.explode("分野").alias("option")), options)
         if names := [r.option for r in missing.limit(20).collect()]:
             raise ValueError(f"options are missing: {names}")
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    rows = (appendable(new, spark.read.parquet(path)) if there else new.dropDuplicates(["公式URL"])).withColumn("登録日時", F.current_timestamp())
-    before = spark.read.parquet(path).count() if there else 0
-    rows.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    rows = appendable(new, spark.read.parquet(path) if there else new.limit(0)).withColumn("登録日時", F.current_timestamp())
+    written = Observation()
+    rows.observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return written.get["n"]
 
 
 def analysis_stage(error: Column, message: Column) -> Column:
@@ -71,8 +85,7 @@ def preparation_stage(error: Column, message: Column) -> Column:
 
 def exit_code(statuses: DataFrame, single: bool) -> DataFrame:
     """One row, exit_code: 1 with any error, or with an unsupported row that is enabled or was asked for."""
-    bad = (F.col("status") == "error") | ((F.col("status") == "unsupported") & (F.col("enabled") | F.lit(single)))
-    return statuses.agg(F.coalesce(F.max(bad.cast("int")), F.lit(0)).alias("exit_code"))
+    return statuses.agg(F.coalesce(F.max(bad_outcome(F.lit(single)).cast("int")), F.lit(0)).alias("exit_code"))
 
 
 _LIMIT = re.compile("you've hit your limit", re.I)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.dates import effective_since
 from ..operators.dedup import first_wins
-from ..operators.rules import NOT_ADVANCED, commit_reason, period_state
+from ..operators.rules import NOT_ADVANCED, commit_reason, new_candidates, period_state
 from ..operators.select import breaker, group_breaker, limit_new
+from ..sources.files import upsert_state
+from .check import judged_candidates
+
+WRITE_FAILED = "Failed to write collection state."
 
 
 def periods(sources: DataFrame, state: DataFrame, manual: Column | None = None) -> DataFrame:
@@ -71,3 +75,50 @@ def batch_totals(sources: DataFrame, outcomes: DataFrame) -> DataFrame:
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("created", "previewed", "duplicates", "failed", "remaining")]
     stopped = F.coalesce(F.max(F.coalesce(F.col("reason") == NOT_ADVANCED[0], F.lit(False)) & (F.col("state") != "Failed")), F.lit(False))
     return sources.agg(F.count("*").alias("selected")).crossJoin(outcomes.agg(F.count("*").alias("run"), stopped.alias("stopped"), *sums))
+
+
+def collected(sources: DataFrame, orgs: DataFrame, fetched: DataFrame, state: DataFrame, sink: DataFrame, run_at: Column, manual: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sources, candidates) for `batch`: what a run reads, without what the sink has.
+
+    Sources (id, place and their settings) come with `failure` where their scan failed or no row is usable, and with `collected` and
+    `unique` counts; candidates with period bounds and is_new. The sink (official_url) is looked up by URL, and by https for http.
+    """
+    judged = judged_candidates(sources, orgs, fetched)
+    usable = judged.filter("pos IS NOT NULL AND exclude_reason IS NULL").select("source_id", "pos", "title", "url", F.col("published_at").alias("published"))
+    counts = judged.groupBy("source_id").agg(F.max("scan_error").alias("scan_error"), F.count_if(F.col("pos").isNotNull() & F.col("exclude_reason").isNull()).alias("collected"))
+    named = periods(sources.withColumn("source_id", F.col("id")), state, manual)
+    unique = usable.groupBy("source_id").agg(F.count_distinct("url").alias("unique"))
+    out = named.join(counts, "source_id", "left").join(unique, "source_id", "left").fillna(0, ["collected", "unique"])
+    empty = F.coalesce("allow_empty_candidates", F.lit(False)) & (F.coalesce("scan_error", F.lit("")) == "no match")
+    failure = F.when(~empty & F.col("scan_error").isNotNull(), F.col("scan_error")).when(~empty & (F.col("collected") == 0), "no usable candidate")
+    new = new_candidates(usable.select("url").distinct(), sink, "url", "official_url").withColumn("is_new", F.lit(True))
+    rows = usable.join(new, "url", "left").join(out.select("source_id", "since"), "source_id")
+    rows = rows.withColumns({"is_new": F.coalesce("is_new", F.lit(False)), "run_date": F.to_date(run_at)})
+    return out.select("source_id", "place", failure.alias("failure"), "since", "collected", "unique"), rows
+
+
+def run(sources: DataFrame, candidates: DataFrame, results: DataFrame, limit: int, write: bool = True, manual: bool = False) -> DataFrame:
+    """What `batch` gives of `collected` sources and candidates, with collected and unique.
+
+    `results` (source_id, url, ok, limit_hit) is what the analyzer and the sink say of candidates; one that isn't there went well.
+    """
+    said = results.select("source_id", "url", (~F.col("ok")).alias("bad"), "limit_hit")
+    rows = candidates.join(said, ["source_id", "url"], "left").fillna(False, ["bad", "limit_hit"])
+    return batch(sources, rows, limit, F.col("bad"), write, manual).join(sources.select("source_id", "collected", "unique"), "source_id")
+
+
+def commit(spark: SparkSession, path: str, outcomes: DataFrame, run_at: Column) -> tuple[DataFrame, int]:
+    """Writes the start of the run as the state of advanced sources. Returns the outcomes and the exit code.
+
+    Where the state can't be written, no outcome is advanced and the code is 1, as it is with any failed candidate or source.
+    """
+    advanced = outcomes.filter("advanced").select("source_id", run_at.cast("timestamp").alias("last_successful_check_at"))
+    code = outcomes.agg(F.coalesce(F.max(((F.col("failed") > 0) | (F.col("state") == "Failed")).cast("int")), F.lit(0)).alias("code")).first().code
+    if not advanced.limit(1).count():
+        return outcomes, code
+    try:
+        upsert_state(spark, path, advanced)
+    except Exception:  # whatever keeps the state from being written is the outcome of each source
+        lost = F.col("advanced")
+        return outcomes.withColumns({"reason": F.when(lost, WRITE_FAILED).otherwise(F.col("reason")), "state": F.when(lost, "Not advanced").otherwise(F.col("state")), "advanced": F.lit(False)}), 1
+    return outcomes, code

@@ -23,26 +23,32 @@ def selected_urls(texts: DataFrame, content: str = "value", most: int = 20) -> D
     return flag_repeats(rows, ["url"], ["line"])
 
 
-def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """The state table; a path that isn't there is an empty state, a broken one an error."""
+def _paths(spark: SparkSession, *names: str):
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return spark.createDataFrame([], STATE)
-    return spark.read.schema(STATE).option("mode", "FAILFAST").json(path)
+    paths = [jvm.org.apache.hadoop.fs.Path(n) for n in names]
+    return paths[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), *paths
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    """The state table; a path that isn't there is an empty state, a broken one an error. A swap that was cut short left the old state beside its place."""
+    fs, at, old = _paths(spark, path, path + ".old")
+    there = path if fs.exists(at) else path + ".old" if fs.exists(old) else None
+    return spark.createDataFrame([], STATE) if there is None else spark.read.schema(STATE).option("mode", "FAILFAST").json(there)
 
 
 def upsert_state(spark: SparkSession, path: str, new: DataFrame) -> None:
-    """Rows of `new` replace those of their source; written beside and swapped in, for a single writer."""
+    """Rows of `new` replace those of their source. Written beside, then the old state is renamed away and the new one into place, for a single writer; at no time is there no whole state."""
     old = read_state(spark, path)
     merged = old.join(new.select("source_id"), "source_id", "left_anti").unionByName(new.select("source_id", "last_successful_check_at"))
     merged.coalesce(1).write.mode("overwrite").json(path + ".new")
-    jvm = spark.sparkContext._jvm
-    at, made = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".new")
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, at, made, aside = _paths(spark, path, path + ".new", path + ".old")
     if fs.exists(at):
-        fs.delete(at, True)
-    fs.rename(made, at)
+        fs.delete(aside, True)
+        if not fs.rename(at, aside):
+            raise OSError(f"{path} can't be moved")
+    if not fs.rename(made, at):
+        raise OSError(f"{path}.new can't be moved into place")
+    fs.delete(aside, True)
 
 
 def write_json_atomic(path: str, text: str) -> None:
@@ -58,7 +64,41 @@ def is_pdf(content: Column) -> Column:
     return F.locate("%PDF-", F.decode(F.substring(content, 1, 1024), "ISO-8859-1")) > 0
 
 
-def fetch_errors(fetched: DataFrame, most: int = 5 << 20) -> DataFrame:
-    """`error` of fetched rows (http_status, content, content_type): status, empty, too large, or null."""
+def media_type(content_type: Column) -> Column:
+    """The media type of a header, without parameters, in lower case."""
+    return F.lower(F.trim(F.substring_index(content_type, ";", 1)))
+
+
+def content_type_warning(kind: Column, content_type: Column) -> Column:
+    """'no content type' or 'content type' where the header of a feed or page doesn't fit its kind (rss, list_page, single_page), else null."""
+    c = F.lower(content_type)
+    has = lambda x: F.contains(c, F.lit(x))
+    feed, page = (kind == "rss") & ~has("xml") & ~has("rss"), kind.isin("list_page", "single_page") & ~has("text/html") & ~has("application/xhtml+xml")
+    return F.when(content_type.isNull(), "no content type").when(feed | page, "content type")
+
+
+def fetch_errors(fetched: DataFrame, most: int = 5 << 20, media: list[str] | None = None) -> DataFrame:
+    """`error` of fetched rows (http_status, content, content_type): status, empty, too large, content_type (where `media` lists what is allowed), or null."""
     size = F.coalesce(F.length("content"), F.lit(0))
-    return fetched.withColumn("error", F.when(~F.col("http_status").between(200, 299), "http_status").when(size == 0, "empty").when(size > most, "too_large"))
+    error = F.when(~F.col("http_status").between(200, 299), "http_status").when(size == 0, "empty").when(size > most, "too_large")
+    if media:
+        error = error.when(~F.coalesce(media_type(F.col("content_type")).isin(media), F.lit(False)), "content_type")
+    return fetched.withColumn("error", error)
+
+
+def default_output(kind: str, key: str) -> str:
+    """Where the latest report of a check is written; a key of other characters is an error."""
+    import re
+
+    if not re.fullmatch(r"[a-z0-9]+(?:-[a-z0-9]+)*", key):
+        raise ValueError(f"{key!r} can't name a file")
+    return f"data/logs/{kind}/{key}.json"
+
+
+def access_gaps(accesses: DataFrame, least_ms: int = 1000) -> DataFrame:
+    """`accesses` (host, at) with gap_ms to the host's access before, and early: whether that is less than `least_ms`."""
+    from pyspark.sql import Window
+
+    before = F.lag("at").over(Window.partitionBy("host").orderBy("at"))
+    gap = F.unix_millis("at") - F.unix_millis(before)
+    return accesses.withColumns({"gap_ms": gap, "early": F.coalesce(gap < least_ms, F.lit(False))})

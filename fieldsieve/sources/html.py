@@ -6,6 +6,7 @@ The tree is built with the standard library's parser. Selectors: type, #id, .cla
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import urls
 from ..functions.dates import date_candidate
+from ..tables import unused
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 # Where the text of a page is looked for, what isn't text, and where its date stands.
@@ -25,6 +27,7 @@ HIDDEN = frozenset("script style nav header footer aside form noscript iframe sv
 DATE_META = re.compile("published_time|datepublished|pubdate|publishdate")
 DATE_SELECTORS = [".page_day01", ".published", ".publish-date", ".date", "#main", "main", "article", "body"]
 LEAST_TEXT = 200
+NO_MATCH = "no match"
 _CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 _BLOCKS = {"div", "article", "section", "main", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "nav", "header", "footer", "form", "dl", "pre", "aside", "blockquote"}
 
@@ -142,6 +145,7 @@ def _compound(text: str, at: int) -> tuple[list, int]:
     return tests, at
 
 
+@functools.lru_cache(512)
 def compiled(selector: str) -> list[list[tuple[str, list]]]:
     """A list of chains of (combinator, tests)."""
     out = []
@@ -232,7 +236,7 @@ def links_of(html: str, selector: str) -> tuple[list[dict], str | None]:
     except SelectorError as e:
         return [], f"selector not understood: {e}"
     if not nodes:
-        return [], "no match"
+        return [], NO_MATCH
     out = []
     for n in nodes:
         around = n.parent
@@ -255,11 +259,12 @@ def _title(root: Node, selector: str | None) -> tuple[str, str | None]:
     return (text, None) if text else ("", "title selector finds no text")
 
 
-def document_of(html: str, selectors: list[str], title_selector: str | None = None) -> dict:
-    """Title, the visible text of the first selector with LEAST_TEXT characters, its links to PDF files, and an error or null."""
-    root = parse(html)
+def document_of(root: Node, selectors: list[str], title_selector: str | None = None, body: bool = True) -> dict:
+    """Title, the visible text of the first selector with LEAST_TEXT characters, its links to PDF files, and an error or null; without `body` the title alone."""
     title, error = _title(root, title_selector)
     out = {"title": title, "body": "", "selector": None, "pdf_hrefs": [], "pdf_texts": [], "base": None, "error": error}
+    if not body:
+        return out
     for n in select(root, "base[href]")[:1]:
         out["base"] = n.attrs["href"]
     for s in dict.fromkeys([*selectors, *BODY_SELECTORS]):
@@ -275,9 +280,8 @@ def document_of(html: str, selectors: list[str], title_selector: str | None = No
     return out | {"error": error or "no text"}
 
 
-def dates_of(html: str) -> list[tuple[str, str]]:
+def dates_of(root: Node) -> list[tuple[str, str]]:
     """(provenance, text) in the order in which a publication date is looked for."""
-    root = parse(html)
     out = [("time", n.attrs.get("datetime", n.text())) for n in select(root, "time")]
     for n in select(root, "meta"):
         key = " ".join(n.attrs[k] for k in ("property", "name", "itemprop") if k in n.attrs).lower()
@@ -298,34 +302,49 @@ def links(pages: DataFrame, html: str = "html", selector: str = "a[href]", base:
     return rows.select(*keep, "pos", urls.resolved(F.col(base), F.col("a.href")).alias("link_url"), F.col("a.text").alias("text"), F.col("a.context").alias("context"))
 
 
+def titles(pages: DataFrame, html: str = "html", title_selector: str | None = None) -> DataFrame:
+    """The page's other columns, title and error: what `documents` says of them, without a look at texts, links and dates."""
+    keep = [c for c in pages.columns if c not in (html, "title", "error")]
+
+    @F.pandas_udf("title string, error string")
+    def made(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([{k: d[k] for k in ("title", "error")} for d in (document_of(parse(x or ""), [], title_selector, False) for x in s)], columns=["title", "error"])
+
+    return pages.select(*keep, made(html).alias("made")).select(*keep, "made.*")
+
+
 def documents(pages: DataFrame, html: str = "html", url: str | None = None, selectors: list[str] | None = None, title_selector: str | None = None) -> DataFrame:
     """The page's other columns, title, body_text, content_selector_used, used_fallback, published_at, published_at_source, pdf_links, error.
 
     Links are resolved against the page's base element, or its `url` where it has none or none that is http; of equal links the first stays.
-    A page without a title or a text is a row with an error. Null pages are empty.
+    A page without a title or a text is a row with an error. Null pages are empty. Columns of the page that have a name of these are replaced.
     """
-    keep = [c for c in pages.columns if c != html]
+    made_names = {"title", "body_text", "content_selector_used", "used_fallback", "published_at", "published_at_source", "pdf_links", "error"}
+    keep = [c for c in pages.columns if c != html and c.lower() not in made_names]
+    where, base_of, when, links_at = (unused(pages.select(*keep), x) for x in ("page", "base_url", "date", "links"))
     kind = "title string, body string, selector string, pdf_hrefs array<string>, pdf_texts array<string>, base string, error string, date_at array<string>, date_text array<string>"
 
     @F.pandas_udf(kind)
     def made(s: pd.Series) -> pd.DataFrame:
         rows = []
         for x in s:
-            found = dates_of(x or "")
-            rows.append(document_of(x or "", selectors or [], title_selector) | {"date_at": [k for k, _ in found], "date_text": [v for _, v in found]})
+            root = parse(x or "")
+            found = dates_of(root)
+            rows.append(document_of(root, selectors or [], title_selector) | {"date_at": [k for k, _ in found], "date_text": [v for _, v in found]})
         return pd.DataFrame(rows, columns=["title", "body", "selector", "pdf_hrefs", "pdf_texts", "base", "error", "date_at", "date_text"])
 
-    rows = pages.select(*keep, made(html).alias("d")).select(*keep, "d.*")
-    dated = F.filter(F.transform(F.arrays_zip("date_at", "date_text"), lambda z: F.struct(date_candidate(z["date_text"], True).alias("date"), z["date_at"].alias("source"))), lambda z: z["date"].isNotNull())
-    rows = rows.withColumn("_date", F.get(dated, F.lit(0)))
+    rows = pages.select(*keep, made(html).alias(where))
+    of = lambda x: F.col(f"{where}.{x}")
+    dated = F.filter(F.transform(F.arrays_zip(of("date_at").alias("date_at"), of("date_text").alias("date_text")), lambda z: F.struct(date_candidate(z["date_text"], True).alias("date"), z["date_at"].alias("source"))), lambda z: z["date"].isNotNull())
+    rows = rows.withColumn(when, F.get(dated, F.lit(0)))
     if url:
-        rows = rows.withColumn("_base", F.coalesce(urls.resolved(F.col(url), F.col("base")), F.col(url)))
-        rows = rows.withColumn("_links", _resolved_all(F.col("_base"), F.col("pdf_hrefs"), F.col("pdf_texts")))
+        rows = rows.withColumn(base_of, F.coalesce(urls.resolved(F.col(url), of("base")), F.col(url)))
+        rows = rows.withColumn(links_at, _resolved_all(F.col(base_of), of("pdf_hrefs"), of("pdf_texts")))
     else:
-        rows = rows.withColumn("_links", F.arrays_zip(F.col("pdf_hrefs").alias("url"), F.col("pdf_texts").alias("text")))
+        rows = rows.withColumn(links_at, F.arrays_zip(of("pdf_hrefs").alias("url"), of("pdf_texts").alias("text")))
     return rows.select(
-        *keep, "title", F.col("body").alias("body_text"), F.col("selector").alias("content_selector_used"), (~F.col("selector").isin(selectors or [""])).alias("used_fallback"), F.col("_date.date").alias("published_at"),
-        F.col("_date.source").alias("published_at_source"), F.col("_links").alias("pdf_links"), "error",
+        *keep, of("title").alias("title"), of("body").alias("body_text"), of("selector").alias("content_selector_used"), (~of("selector").isin(selectors or [""])).alias("used_fallback"), F.col(f"{when}.date").alias("published_at"),
+        F.col(f"{when}.source").alias("published_at_source"), F.col(links_at).alias("pdf_links"), of("error").alias("error"),
     )
 
 
