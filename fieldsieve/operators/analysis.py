@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import OMITTED, for_evidence
@@ -313,8 +314,8 @@ def exact_sums(df: DataFrame, keys: list[str], value: str, name: str = "total")
             rows = [(*(k if isinstance(k, tuple) else (k,)), *_partial(x for x in g[value].tolist() if x is not None and not (x is pd.NA))) for k, g in b.groupby(keys, dropna=False)]
             yield pd.DataFrame(rows, columns=[*keys, "part", "kinds"])
 
-    def whole(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        kinds, total = set("".join(g["kinds"])), sum(int.from_bytes(x, "little", signed=True) for x in g["part"])
+    def whole(key: tuple, g: pa.Table) -> pa.Table:
+        kinds, total = set("".join(g.column("kinds").to_pylist())), sum(int.from_bytes(x, "little", signed=True) for x in g.column("part").to_pylist())
         if "n" in kinds or {"p", "m"} <= kinds:
             out = math.nan
         elif kinds & {"p", "m"}:
@@ -326,11 +327,11 @@ def exact_sums(df: DataFrame, keys: list[str], value: str, name: str = "total")
                 out = total / (1 << _SCALE)
             except OverflowError:
                 out = math.inf if total > 0 else -math.inf
-        return pd.DataFrame([(*key, out)], columns=[*keys, name])
+        return pa.table([*[pa.array([k.as_py()], k.type) for k in key], pa.array([out], pa.float64())], names=[*keys, name])  # pandas would take NaN for a null
 
     out = T.StructType([*(df.schema[k] for k in keys), T.StructField(name, T.DoubleType())])
     found = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias(value)).mapInPandas(add, parts)
-    return found.groupBy(*keys).applyInPandas(whole, out)
+    return found.groupBy(*keys).applyInArrow(whole, out)
 
 
 def decimal_sum(c: Column, scale: int = 2) -> Column:

@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import dates, text, urls
-from ..operators import analysis, dedup, hierarchy, rules, select
-from ..sources import feeds, html
-from . import catalog, collection
+from ..operators import analysis, dedup, hierarchy, report, rules, select, sink
+from ..sources import feeds, html, registry
+from . import catalog, collection, register
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -57,21 +57,43 @@ FROM (SELECT *, CASE WHEN c_acctbal > 0 THEN 'active' ELSE 'inactive' END AS sta
 def catalog_nested(spark, d):
     """Sources in order below their organization."""
     status = F.when(F.col("c_acctbal") > 0, "active").otherwise("inactive")
-    rows = t(spark, d, "customer").join(F.broadcast(t(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", F.struct(status.alias("status"), "c_name").alias("s"))
-    nested = rows.groupBy("n_name").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("s")).alias("sources"))
-    return nested.select("n_name", "n", F.md5(F.array_join(F.transform("sources", lambda x: F.concat(x["status"], F.lit(":"), x["c_name"])), ",")).alias("sources_md5"))
+    rows = t(spark, d, "customer").join(F.broadcast(t(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", status.alias("status"), F.col("c_name").alias("name"), F.lit("").alias("url"))
+    nested = catalog.nested_sources(rows, "n_name")
+    return nested.select("n_name", "n", F.md5(F.array_join(F.transform("sources", lambda x: F.concat(x["status"], F.lit(":"), x["name"])), ",")).alias("sources_md5"))
 
 
 @query("SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0 AND s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 0)")
 def enabled_sources(spark, d):
     """Enabled sources of enabled organizations."""
-    orgs = t(spark, d, "nation").filter("n_regionkey <> 0").select("n_nationkey")
-    return t(spark, d, "supplier").filter("s_acctbal > 0").join(F.broadcast(orgs), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select("s_suppkey", "s_name")
+    orgs = t(spark, d, "nation").select(F.col("n_nationkey").alias("id"), (F.col("n_regionkey") != 0).alias("enabled"))
+    sources = t(spark, d, "supplier").withColumns({"organization_id": F.col("s_nationkey"), "enabled": F.col("s_acctbal") > 0})
+    return registry.enabled_sources(orgs, sources).select("s_suppkey", "s_name")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 0)")
 def fk_violations(spark, d):
-    return t(spark, d, "customer").select("c_custkey").join(t(spark, d, "orders").select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    """Orders whose customer is none of those with a balance."""
+    return registry.unknown_references(t(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", t(spark, d, "customer").filter("c_acctbal > 0"), "c_custkey")
+
+
+@query("""
+WITH s AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'c' || CAST(c_custkey % 3 AS VARCHAR) || ' x' ELSE lower(replace(c_name, '#', '-')) END AS id, c_mktsegment FROM customer)
+SELECT c_custkey AS pos, CASE WHEN NOT regexp_matches(id, '^[a-z0-9]+(-[a-z0-9]+)*$') THEN 'id' END AS id_issue, CASE WHEN c_mktsegment NOT IN ('AUTOMOBILE', 'BUILDING') THEN 'enum' END AS priority_issue
+FROM s WHERE NOT regexp_matches(id, '^[a-z0-9]+(-[a-z0-9]+)*$') OR c_mktsegment NOT IN ('AUTOMOBILE', 'BUILDING')""")
+def registry_violations(spark, d):
+    """Field rules of a registry: the form of ids, and a closed vocabulary."""
+    c = F.col
+    ids = F.when(c("c_custkey") % 7 == 0, F.concat(F.lit("c"), (c("c_custkey") % 3).cast("string"), F.lit(" x"))).otherwise(F.lower(F.replace("c_name", F.lit("#"), F.lit("-"))))
+    given = {
+        "pos": c("c_custkey"), "id": ids, "organization_id": F.lit("o"), "name": c("c_name"), "url": F.concat(F.lit("https://example.com/"), c("c_custkey").cast("string")), "collector_type": F.lit("rss"), "source_category": F.lit("rfi"),
+        "priority": F.when(c("c_mktsegment").isin("AUTOMOBILE", "BUILDING"), "high").otherwise(c("c_mktsegment")), "enabled": F.lit(True),
+    }
+    rest = {f.name: F.lit(None).cast(f.dataType) for f in registry.SOURCE.fields if f.name not in given}
+    sources = t(spark, d, "customer").select(*[v.alias(k) for k, v in (given | rest).items()])
+    org = {"pos": 0, "id": "o", "name": "O", "organization_type": "prefecture", "official_domain": "example.com", "enabled": True}
+    orgs = spark.createDataFrame([tuple(org.get(f.name) for f in registry.ORGANIZATION.fields)], registry.ORGANIZATION)
+    found = registry.violations(orgs, sources).filter("coll = 'sources' AND issue IN ('id', 'enum')").groupBy("pos")
+    return found.agg(F.max(F.when(c("field") == "id", c("issue"))).alias("id_issue"), F.max(F.when(c("field") == "priority", c("issue"))).alias("priority_issue"))
 
 
 _PRINT = f"sha256(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
@@ -81,8 +103,7 @@ _PRINT = f"sha256(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
 def unique_violations(spark, d):
     """Rows that repeat a value, with the first row that has it. The first is a map-side aggregate, so a value of very many rows is no hot window."""
     rows = t(spark, d, "documents").select("doc_id", text.fingerprint(F.col("text")).alias("p"))
-    first = rows.groupBy("p").agg(F.min("doc_id").alias("first_doc_id"))
-    return rows.join(first, "p").filter("doc_id > first_doc_id").select("doc_id", "first_doc_id")
+    return registry.repeated(rows, "p", "doc_id")
 
 
 _UP = """WITH RECURSIVE up(node, ancestor, parent, depth) AS (
@@ -170,7 +191,9 @@ SELECT page_id, CASE WHEN contains(t, 'the') THEN 'title_excludesで除外' WHEN
 FROM (SELECT page_id, lower(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', '', 'g')) AS t FROM pages)""")
 def title_rules(spark, d):
     rows = t(spark, d, "pages").select("page_id", text.for_match(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("t"))
-    return rows.select("page_id", rules.title_verdict(F.col("t"), F.array(F.lit("er"), F.lit("an")), F.array(F.lit("the"))).alias("reason"))
+    # patterns in full width, in upper case and with blanks; normalised they are er, an and the
+    rows = rules.normalised(rows.withColumns({"includes": F.array(F.lit("ＥＲ"), F.lit("A n"), F.lit(" ")), "excludes": F.array(F.lit("Ｔ H E"))}), ["includes", "excludes"])
+    return rows.select("page_id", rules.title_verdict(F.col("t"), F.col("includes"), F.col("excludes")).alias("reason"))
 
 
 _LAST = "(SELECT user_id, CAST(max(ts) AS DATE) AS last FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY user_id)"
@@ -233,11 +256,96 @@ def commit_state(spark, d):
     return collection.funnel(collection.process(rows, 20), F.col("bad"))
 
 
-@query("""
-SELECT coalesce(event_type, 'total') AS outcome, count(*) AS n, count(DISTINCT user_id) AS sources FROM events GROUP BY ROLLUP (event_type)""")
+_BATCH = f"""
+WITH c AS (SELECT user_id, event_id, event_type IN ('view', 'purchase', 'error') AS is_new, event_type = 'error' AND value > 99 AND user_id % 4 = 3 AS hit, event_type = 'error' AS bad FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-10'),
+l AS (SELECT *, CASE WHEN NOT is_new THEN 'known' WHEN coalesce(sum(CAST(is_new AS INT)) {_AHEAD}, 0) < 20 THEN 'processed' ELSE 'remaining' END AS state FROM c),
+b AS (SELECT *, state = 'processed' AND hit AND coalesce(sum(CAST(state = 'processed' AND hit AS INT)) {_AHEAD}, 0) = 0 AS stops, coalesce(sum(CAST(state = 'processed' AND hit AS INT)) {_AHEAD}, 0) = 0 AS started FROM l),
+u AS (SELECT DISTINCT user_id FROM events), e AS (SELECT min(user_id) AS last FROM b WHERE stops),
+g AS (SELECT user_id, count(*) AS in_period, count(*) FILTER (started AND is_new) AS new, count(*) FILTER (started AND state = 'processed') AS processed, count(*) FILTER (started AND state = 'processed' AND NOT bad) AS created,
+        count(*) FILTER (started AND state = 'known' AND NOT bad) AS duplicates, count(*) FILTER (started AND state <> 'remaining' AND bad) AS failed, count(*) FILTER (started AND state = 'remaining') AS remaining, bool_or(stops) AS limit_hit FROM b GROUP BY user_id),
+r AS (SELECT u.user_id AS source_id, coalesce(in_period, 0) AS in_period, coalesce(new, 0) AS new, coalesce(processed, 0) AS processed, coalesce(created, 0) AS created, coalesce(duplicates, 0) AS duplicates, coalesce(failed, 0) AS failed, coalesce(remaining, 0) AS remaining,
+        CASE WHEN limit_hit THEN '{rules.NOT_ADVANCED[0]}' WHEN coalesce(failed, 0) > 0 THEN '{rules.NOT_ADVANCED[3]}' WHEN coalesce(remaining, 0) > 0 THEN '{rules.NOT_ADVANCED[4]}' END AS reason
+      FROM u LEFT JOIN g ON g.user_id = u.user_id WHERE u.user_id <= coalesce((SELECT last FROM e), u.user_id))"""
+
+
+def _batch(spark, d):
+    """Users as sources in the order of their ids, events as candidates."""
+    events = t(spark, d, "events")
+    sources = events.select(F.col("user_id").alias("source_id"), F.col("user_id").alias("place"), F.lit(None).cast("string").alias("failure")).distinct()
+    kind = F.col("event_type")
+    rows = events.select(
+        F.col("user_id").alias("source_id"), F.col("event_id").alias("pos"), F.col("event_id").cast("string").alias("url"), F.col("ts").cast("date").alias("published"), F.expr("DATE'2024-01-10'").alias("since"), F.expr("DATE'2099-01-01'").alias("run_date"),
+        kind.isin("view", "purchase", "error").alias("is_new"), ((kind == "error") & (F.col("value") > 99) & (F.col("user_id") % 4 == 3)).alias("limit_hit"), (kind == "error").alias("bad"),
+    )
+    return sources, collection.batch(sources, rows, 20, F.col("bad"))
+
+
+@query(_BATCH + " SELECT source_id, in_period, new, processed, created, duplicates, failed, remaining, reason, reason IS NULL AS advanced FROM r")
+def collection_run(spark, d):
+    """A batch over all users, in order: the first used-up limit ends it, and users behind it have no row."""
+    return _batch(spark, d)[1].select("source_id", "in_period", "new", "processed", "created", "duplicates", "failed", "remaining", "reason", "advanced")
+
+
+@query(_BATCH + """ SELECT (SELECT count(*) FROM u) AS selected, count(*) AS run, coalesce(bool_or(reason LIKE '%usage limit%'), false) AS stopped, coalesce(sum(created), 0) AS created, CAST(0 AS BIGINT) AS previewed, coalesce(sum(duplicates), 0) AS duplicates,
+  coalesce(sum(failed), 0) AS failed, coalesce(sum(remaining), 0) AS remaining FROM r""")
 def batch_totals(spark, d):
-    """Counts by outcome with a grand total."""
-    return t(spark, d, "events").rollup("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("sources")).select(F.coalesce("event_type", F.lit("total")).alias("outcome"), "n", "sources")
+    """The totals of such a batch, in one row."""
+    return collection.batch_totals(*_batch(spark, d))
+
+
+_OF_SINK = "(SELECT replace(url, 'http://', 'https://') AS official_url FROM pages WHERE page_id % 3 = 0)"
+
+
+@query(f"""
+WITH s AS {_OF_SINK}, p AS (SELECT page_id, url, url IN (SELECT official_url FROM s) OR (starts_with(url, 'http://') AND 'https://' || substr(url, 8) IN (SELECT official_url FROM s)) AS known FROM pages),
+a AS (SELECT *, page_id % 5 = 1 AS bad, CASE WHEN page_id % 7 = 2 THEN 'https://example.com/final' ELSE url END AS final_url, page_id % 11 = 4 AS lacks FROM p),
+f AS (SELECT *, final_url IN (SELECT official_url FROM s) OR final_url = 'https://example.com/final' AS again FROM a)
+SELECT url, CASE WHEN known THEN 'duplicate' WHEN bad THEN 'failed' WHEN again THEN 'duplicate' WHEN lacks THEN 'failed' ELSE 'created' END AS status, CASE WHEN known THEN 'preflight' WHEN NOT bad AND again THEN 'before_create' END AS phase,
+  CASE WHEN known THEN NULL WHEN bad THEN 'content_extract' WHEN again THEN NULL WHEN lacks THEN 'notion_select_options' END AS stage FROM f""")
+def register_status(spark, d):
+    """Registration of all pages: what the sink has already, what fails at which stage, and what is created."""
+    pages = t(spark, d, "pages").select("page_id", "url")
+    i = F.col("page_id")
+    known = pages.filter("page_id % 3 = 0").select(F.replace("url", F.lit("http://"), F.lit("https://")).alias("official_url")).union(spark.createDataFrame([("https://example.com/final",)], "official_url string"))
+    said = pages.select(
+        "url", F.when(i % 7 == 2, "https://example.com/final").otherwise(F.col("url")).alias("final_url"), F.when(i % 11 == 4, F.array(F.lit("行政DX"), F.lit("その他"))).otherwise(F.array(F.lit("行政DX"))).alias("categories"),
+        F.when(i % 5 == 1, "content").alias("error_class"), F.lit("m").alias("message"),
+    )
+    options = spark.createDataFrame([("行政DX",)], "option string")
+    return register.registered(pages.select("url"), said, known, options, True, "external").select("url", "status", "phase", "stage")
+
+
+@query("""
+WITH c AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), s AS (SELECT user_id, CASE WHEN event_type = 'error' THEN 'content' WHEN event_type = 'click' THEN 'ai' END AS stage FROM c WHERE k <= 3)
+SELECT user_id AS source_id, count(*) FILTER (stage IS NULL OR stage = 'ai') AS content_succeeded, count(*) FILTER (stage = 'content') AS content_failed, count(*) FILTER (stage IS NULL) AS ai_succeeded, count(*) FILTER (stage = 'ai') AS ai_failed, bool_and(stage IS NULL) AS ready FROM s GROUP BY user_id""")
+def verify_summary(spark, d):
+    """The first three candidates of each source, and how far they get."""
+    events = t(spark, d, "events").select(F.col("user_id").alias("source_id"), F.col("event_id").alias("pos"), F.col("event_id").cast("string").alias("url"), "event_type")
+    items = register.verified(events.drop("event_type"), events.filter("event_type <> 'error'"), events.filter("event_type NOT IN ('error', 'click')"), 3)
+    return report.verification_summary(items, ["source_id"])
+
+
+@query("""
+SELECT user_id, count(*) FILTER (event_type = 'view') AS previewed, count(*) FILTER (event_type = 'purchase') AS created, count(*) FILTER (event_type = 'click') AS duplicate, count(*) FILTER (event_type = 'signup') AS input_duplicate, count(*) FILTER (event_type = 'error') AS failed
+FROM events GROUP BY user_id""")
+def list_counts(spark, d):
+    """Outcomes of lists of URLs."""
+    names = {"view": "previewed", "purchase": "created", "click": "duplicate", "signup": "input_duplicate", "error": "failed"}
+    table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    return register.list_summary(t(spark, d, "events").select("user_id", table[F.col("event_type")].alias("status")), ["user_id"])
+
+
+@query("""
+WITH p AS (SELECT page_id, string_split(regexp_extract(url, '^https?://([^/]*)', 1), ':')[1] AS host, TIMESTAMP '2024-01-01' + to_seconds(page_id * page_id % 977) AS ts FROM pages),
+g AS (SELECT page_id, epoch_ms(ts) - epoch_ms(lag(ts) OVER (PARTITION BY host ORDER BY ts, page_id)) AS gap_ms FROM p)
+SELECT page_id, coalesce(gap_ms, -1) AS gap_ms, coalesce(gap_ms < 3000, false) AS early FROM g""")
+def host_gaps(spark, d):
+    """Time between accesses to a host."""
+    from ..sources import files
+
+    at = F.expr("TIMESTAMP'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, page_id * page_id % 977)")
+    rows = t(spark, d, "pages").select("page_id", urls.host(F.col("url")).alias("host"), at.alias("at"))
+    return files.access_gaps(rows, 3000, ["page_id"]).select("page_id", F.coalesce("gap_ms", F.lit(-1)).alias("gap_ms"), "early")
 
 
 _WORDS = {"high": ["token", "licensed"], "medium": ["is ", "example"], "low": ["the", "de "]}
@@ -250,18 +358,10 @@ WITH c AS (SELECT doc_id, source, {_CLASS} AS class FROM documents), k AS (SELEC
 r AS (SELECT doc_id, source, class, row_number() OVER (PARTITION BY source ORDER BY {_RANK}, doc_id) AS rank FROM k WHERE other = 0 OR class <> 'low')
 SELECT doc_id, source, class, rank FROM r WHERE rank <= 3""")
 def priority_topk(spark, d):
-    """The three most important attachments of each source; low ones only where there is nothing else.
-
-    Two aggregations of bounded state, no window over a whole source: the best three of each class and source are kept by a
-    ranked window whose rows Spark limits before the shuffle.
-    """
+    """The three most important attachments of each source; low ones only where there is nothing else."""
     low = F.lower("text")
     rows = t(spark, d, "documents").select("doc_id", "source", text.priority(low, high=_WORDS["high"], medium=_WORDS["medium"], low=_WORDS["low"]).alias("class"))
-    rank = F.when(F.col("class") == "high", 0).when(F.col("class") == "medium", 1).when(F.col("class") == "other", 2).otherwise(3)
-    best = rows.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(rank, "doc_id"))).filter("rank <= 3")
-    # low ones come last, so where a source has another one the lows among its best are just dropped
-    other = F.max((F.col("class") != "low").cast("int")).over(Window.partitionBy("source")) == 1
-    return best.withColumn("other", other).filter(~F.col("other") | (F.col("class") != "low")).drop("other").select("doc_id", "source", "class", "rank")
+    return select.best_by_class(rows, ["source"], "class", ["doc_id"], 3).select("doc_id", "source", "class", "rank")
 
 
 @query(f"""
@@ -381,13 +481,12 @@ def severity_counts(spark, d):
 
 @query("""
 SELECT user_id, count(*) FILTER (event_type = 'view') AS ok, count(*) FILTER (event_type = 'click') AS warning, count(*) FILTER (event_type = 'error') AS error,
-  count(*) FILTER (event_type NOT IN ('view', 'click', 'error')) AS unsupported, bool_and(event_type <> 'error') AS ready, CASE WHEN bool_or(event_type = 'error') THEN 1 ELSE 0 END AS exit_code FROM events GROUP BY user_id""")
+  count(*) FILTER (event_type NOT IN ('view', 'click', 'error')) AS unsupported, bool_and(event_type NOT IN ('error', 'signup')) AS ready, CASE WHEN bool_or(event_type IN ('error', 'signup')) THEN 1 ELSE 0 END AS exit_code FROM events GROUP BY user_id""")
 def status_histogram(spark, d):
+    """Results of sources by status; unsupported ones count as bad where they are enabled."""
     kind = F.col("event_type")
-    return t(spark, d, "events").groupBy("user_id").agg(
-        F.count_if(kind == "view").alias("ok"), F.count_if(kind == "click").alias("warning"), F.count_if(kind == "error").alias("error"), F.count_if(~kind.isin("view", "click", "error")).alias("unsupported"),
-        F.bool_and(kind != "error").alias("ready"), F.when(F.bool_or(kind == "error"), 1).otherwise(0).alias("exit_code"),
-    )
+    status = F.when(kind == "view", "ok").when(kind == "click", "warning").when(kind == "error", "error").otherwise("unsupported")
+    return report.status_summary(t(spark, d, "events").select("user_id", status.alias("status"), (kind == "signup").alias("enabled")), ["user_id"])
 
 
 @query("""
@@ -405,40 +504,51 @@ SELECT o_custkey, o_orderkey, o_orderdate, latest FROM (SELECT *, max(o_orderdat
 def latest_and_topn(spark, d):
     """The first three rows of each source, with its latest date."""
     orders = t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
-    latest = orders.groupBy("o_custkey").agg(F.max("o_orderdate").alias("latest"))
-    k = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    return orders.withColumn("k", k).filter("k <= 3").drop("k").join(latest, "o_custkey")
+    return select.with_latest(select.first_rows(orders, ["o_custkey"], ["o_orderkey"], 3), orders, "o_custkey", "o_orderdate")
 
 
 @query("SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS VARCHAR) AS total, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def exact_sum(spark, d):
     """Exact sums of prices in decimals: no order of addition changes them."""
-    return t(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("string").alias("total"), F.count("*").alias("n"))
+    return t(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(analysis.decimal_sum(F.col("l_extendedprice")).cast("string").alias("total"), F.count("*").alias("n"))
+
+
+@query("""
+WITH v AS (SELECT l_returnflag, l_linestatus, CAST(CAST(l_extendedprice * 64 AS BIGINT) AS DOUBLE) / 64 AS v, CAST(l_extendedprice * 64 AS BIGINT) AS n FROM lineitem)
+SELECT l_returnflag, l_linestatus, CAST(CAST(sum(CAST(n AS HUGEINT)) AS DOUBLE) / 64 AS DOUBLE) AS total FROM v GROUP BY 1, 2""")
+def exact_float_sum(spark, d):
+    """Sums of doubles, rounded once; each task's part is exact, so the order of rows and tasks doesn't matter. Huge values that cancel are put in."""
+    v = F.expr("CAST(round(l_extendedprice * 64) AS BIGINT) / 64D")
+    rows = t(spark, d, "lineitem").select("l_returnflag", "l_linestatus", v.alias("v"))
+    huge = rows.select("l_returnflag", "l_linestatus").distinct().select("l_returnflag", "l_linestatus", F.explode(F.array(F.lit(1e300), F.lit(-1e300))).alias("v"))
+    return analysis.exact_sums(rows.unionByName(huge), ["l_returnflag", "l_linestatus"], "v")
 
 
 @query("SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN '高' WHEN '2-HIGH' THEN '高' WHEN '3-MEDIUM' THEN '中' WHEN '4-NOT SPECIFIED' THEN '不要' WHEN '5-LOW' THEN '低' END AS label FROM orders")
 def enum_labels(spark, d):
     codes = {"1-URGENT": "high", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "none", "5-LOW": "low"}
-    table = F.create_map(*[F.lit(x) for k, v in codes.items() for x in (k, analysis.CONTACT[v])])
-    return t(spark, d, "orders").select("o_orderkey", F.try_element_at(table, F.col("o_orderpriority")).alias("label"))
+    code = F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])[F.col("o_orderpriority")]
+    return t(spark, d, "orders").select("o_orderkey", sink.label(code, analysis.CONTACT).alias("label"))
 
 
-EXPECTED = [("page_id", "bigint"), ("url", "string"), ("html", "binary"), ("title", "string")]
+EXPECTED = {"page_id": "bigint", "url": "string", "html": "binary", "title": "string"}
 
 
-@query("SELECT 'html' AS name, 'binary' AS expected, 'string' AS actual UNION ALL SELECT 'title', 'string', NULL")
+@query("""
+WITH w(name, expected) AS (VALUES ('page_id', 'bigint'), ('url', 'string'), ('html', 'binary'), ('title', 'string')),
+a AS (SELECT column_name AS name, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'BLOB' THEN 'binary' ELSE lower(column_type) END AS actual FROM (DESCRIBE SELECT * FROM pages))
+SELECT w.name, w.expected, a.actual FROM w LEFT JOIN a ON a.name = w.name WHERE a.actual IS NULL OR a.actual <> w.expected""")
 def schema_conformance(spark, d):
     """Expected columns against those that are there; only differences come out."""
-    actual = spark.createDataFrame(t(spark, d, "pages").dtypes, "name string, actual string")
-    want = spark.createDataFrame(EXPECTED, "name string, expected string")
-    return want.join(actual, "name", "left").filter("actual IS NULL OR actual <> expected").select("name", "expected", "actual")
+    return sink.mismatches(spark.createDataFrame(t(spark, d, "pages").dtypes, "name string, kind string"), EXPECTED)
 
 
-@query("SELECT DISTINCT p_type AS option FROM part WHERE p_size > 40 AND p_type NOT IN (SELECT p_type FROM part WHERE p_size <= 2)")
+@query("SELECT DISTINCT p_brand || '/' || p_size AS option FROM part WHERE p_size > 10 AND p_brand || '/' || p_size NOT IN (SELECT p_brand || '/' || p_size FROM part WHERE p_partkey % 2 = 0)")
 def missing_options(spark, d):
     """Requested options that the sink doesn't offer."""
+    option = F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string")).alias("option")
     part = t(spark, d, "part")
-    return part.filter("p_size > 40").select(F.col("p_type").alias("option")).distinct().join(part.filter("p_size <= 2").select(F.col("p_type").alias("option")), "option", "left_anti")
+    return sink.missing_options(part.filter("p_size > 10").select(option), part.filter("p_partkey % 2 = 0").select(option))
 
 
 @query("""
@@ -457,7 +567,7 @@ def page_links(spark, d):
 @query("""
 SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages""")
 def page_title(spark, d):
-    return html.documents(t(spark, d, "pages").select("page_id", "html")).select("page_id", "title")
+    return html.titles(t(spark, d, "pages").select("page_id", "html")).select("page_id", "title")
 
 
 @query()

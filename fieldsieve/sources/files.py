@@ -95,10 +95,10 @@ def default_output(kind: str, key: str) -> str:
     return f"data/logs/{kind}/{key}.json"
 
 
-def access_gaps(accesses: DataFrame, least_ms: int = 1000) -> DataFrame:
-    """`accesses` (host, at) with gap_ms to the host's access before, and early: whether that is less than `least_ms`."""
+def access_gaps(accesses: DataFrame, least_ms: int = 1000, ties: list[str] | None = None) -> DataFrame:
+    """`accesses` (host, at) with gap_ms to the host's access before, and early: whether that is less than `least_ms`; `ties` orders accesses of one time."""
     from pyspark.sql import Window
 
-    before = F.lag("at").over(Window.partitionBy("host").orderBy("at"))
+    before = F.lag("at").over(Window.partitionBy("host").orderBy("at", *(ties or [])))
     gap = F.unix_millis("at") - F.unix_millis(before)
     return accesses.withColumns({"gap_ms": gap, "early": F.coalesce(gap < least_ms, F.lit(False))})

@@ -59,3 +59,50 @@ def test_resolving_and_addresses(spark):
     df = spark.createDataFrame([("https://h/a/b", "../c"), ("https://h/", "mailto:x"), ("https://h/", "//o/p"), (None, "x")], "b string, x string")
     assert [r[0] for r in df.select(urls.resolved("b", "x")).collect()] == ["https://h/c", None, "https://o/p", None]
     assert values(spark, ["::1", "2001:db8::5", "::ffff:8.8.8.8", "2600::1", "no"], urls.blocked_ipv6) == [True, True, True, False, None]
+
+
+def test_long_runs_of_blanks(spark):
+    n = 1 << 20
+    long_ = ["a" + " " * n + "b", " " * n + "x" + "\u3000\n" * (n // 2), "\ufeff" * n, "a\x85b"]
+    assert values(spark, long_, text.squeeze) == ["a b", "x", "", "a\x85b"]
+    assert values(spark, long_, text.stripped)[1:] == ["x", "", "a\x85b"] and len(values(spark, long_, text.stripped)[0]) == n + 2
+    assert values(spark, long_, text.for_match)[0] == "ab" and values(spark, long_, text.for_evidence)[0] == "a b" and values(spark, long_, text.page_text)[0] == "a b"
+    assert len(values(spark, long_, text.fingerprint)[0]) == 64
+
+
+def test_quotes_that_are_taken_for_straight_ones(spark):
+    assert values(spark, ["“x”„‟〝〞〟", "‘’‚‛ʼ"], text.for_evidence) == ['"x"""' + '"' * 3, "'" * 4 + "ʼ"]
+
+
+def test_platform_dates(spark):
+    rows = {
+        "August 5, 2026": dt.date(2026, 8, 5), "Wed Aug 05 2026 10:00:00": dt.date(2026, 8, 5), "5 August 1999": dt.date(1999, 8, 5), "12/31/1999": dt.date(1999, 12, 31), "1999-12-31": dt.date(1999, 12, 31), "1999-12-31T23:00:00-05:00": dt.date(2000, 1, 1),
+        "1999-12-31T23:00:00+0900": dt.date(1999, 12, 31), "1999-12-31T23:00:00Z": dt.date(1999, 12, 31), "1999-12-31T01:00:00": dt.date(1999, 12, 31), "August 32, 2026": None, "13/31/1999": None, "about August": None,
+    }
+    assert values(spark, list(rows), dates.date_candidate) == list(rows.values())
+
+
+def test_normal_urls(spark):
+    rows = {
+        "HTTP://Example.COM:80/a/../b/./c#x": "http://example.com/b/c", "https://例え.jp": "https://xn--r8jz45g.jp/", "https://a.jp:443/x y?q=あ": "https://a.jp/x%20y?q=%E3%81%82", "http://a.jp:8080": "http://a.jp:8080/", "https://a.jp/a/..": "https://a.jp/",
+        "https://a.jp/%2e%2E/b": "https://a.jp/b", "https://[::1]:443/x": "https://[::1]/x", "mailto:a@b": None, "https://": None, "https://a b/": None, "https://a.jp:99999/": None, None: None, " https://a.jp/x\n": "https://a.jp/x",
+    }
+    assert values(spark, list(rows), urls.canonical) == list(rows.values())
+    assert values(spark, ["例え.JP.", "a.jp", ""], urls.normal_domain) == ["xn--r8jz45g.jp", "a.jp", None]
+
+
+def test_labels_bytes_and_secrets(spark):
+    from fieldsieve.operators import analysis
+    from fieldsieve.sources import files
+
+    df = spark.createDataFrame([(" 仕様書 ", "/a/b.pdf"), ("", "/a/%E3%81%82.pdf"), (None, "/" + "x" * 40)], "t string, p string")
+    assert [r[0] for r in df.select(text.link_label(F.col("t"), F.col("p"))).collect()] == ["仕様書", "あ.pdf", "x" * 30 + "…"]
+    raw = spark.createDataFrame([(b"a\xff",), ("é".encode(),), (None,)], "b binary")
+    assert [tuple(r) for r in raw.select(text.lossy_utf8("b"), text.strict_utf8(F.col("b"))).collect()] == [("a\ufffd", None), ("é", "é"), (None, None)]
+    secret = 'x\x01 Authorization: Bearer abc.def== and API_KEY="k k", sk-ant-0123456789ab token: zz'
+    assert values(spark, [secret], analysis.redacted) == ['x\ufffd Authorization: Bearer [REDACTED] and API_KEY=[REDACTED], [REDACTED] token: [REDACTED]']
+    assert values(spark, ['{"usage": {"input_tokens": 12}}', "{", "{}"], analysis.input_tokens) == [12.0, None, None]
+    assert values(spark, ["0123456789"], lambda c: analysis.error_context(c, F.lit(5), 2)) == ["3456"]
+    assert files.default_output("pdf", "a-1") == "data/logs/pdf/a-1.json"
+    with pytest.raises(ValueError):
+        files.default_output("pdf", "../x")

@@ -137,3 +137,59 @@ def test_evidence_is_searched_in_the_whole_text(spark, monkeypatch):
     short = registered.evidence_places(spark, "/root/testdata/sf0.001").filter("place <> 'other' AND NOT matched").count()
     monkeypatch.undo()
     assert short > 0 and registered.evidence_places(spark, "/root/testdata/sf0.001").filter("place <> 'other' AND NOT matched").count() == 0
+
+
+def test_long_chains_and_broken_ones(spark):
+    n = 300
+    orgs = spark.createDataFrame([(f"n{k}", f"n{k - 1}" if k else None) for k in range(n)] + [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("lost", "nobody"), ("self", "self")], "id string, parent string")
+    closed = hierarchy.closure(orgs, "id", "parent")
+    assert closed.filter("node LIKE 'n%'").count() == n * (n + 1) // 2
+    assert {r.ancestor: r.depth for r in closed.filter(f"node = 'n{n - 1}'").collect()} == {f"n{k}": n - 1 - k for k in range(n)}
+    assert {r.ancestor: r.depth for r in closed.filter("node = 'd'").collect()} == {"d": 0, "a": 1, "b": 2, "c": 3}
+    assert {(r.node, r.issue) for r in hierarchy.problems(orgs, "id", "parent").collect()} == {("a", "cycle"), ("b", "cycle"), ("c", "cycle"), ("d", "cycle"), ("self", "cycle"), ("lost", "unknown parent")}
+
+
+def test_null_texts_and_clashing_names(spark):
+    from fieldsieve.sources import html
+
+    df = spark.createDataFrame([(1, None, "x"), (2, "short", "y"), (3, "long " * 50, "z")], "doc_id long, text string, c string").selectExpr("*", "1 AS _c", "'old' AS strategy")
+    out = {r.doc_id: (r.sent_text, r.strategy) for r in analysis.chosen_texts(df, "text", 20).collect()}
+    assert set(out) == {1, 2, 3} and out[1] == (None, "full") and out[2] == ("short", "full") and len(out[3][0]) <= 20
+    names = "rn run least least_0 ok first seen slots slots_0 own cap sum fits left m k other early own_url is_list own_domain probe own_text own_quote title error date links page base_url".split()
+    rows = spark.createDataFrame([("s", k, "a", f"https://a.jp/{k % 3}") for k in range(5)], "source_id string, pos int, p string, url string").withColumns({n: F.lit("mine") for n in names if n != "title"} | {"title": F.lit("T")})
+    calls = {
+        "first_wins": lambda df: dedup.first_wins(df, ["url"], ["pos"]), "flag_repeats": lambda df: dedup.flag_repeats(df, ["url"], ["pos"]), "slots": lambda df: select.slot_selection(df, ["source_id"], ["pos"], F.lit(True), F.lit(False), "p", 2),
+        "fill": lambda df: select.water_fill(df, ["source_id"], ["pos"], "pos", 3, 2), "low": lambda df: select.drop_low_if_any(df, ["source_id"], "p"), "best": lambda df: select.best_by_class(df, ["source_id"], "p", ["pos"], 2),
+        "first_rows": lambda df: select.first_rows(df, ["source_id"], ["pos"], 2), "new": lambda df: rules.new_candidates(df, df.limit(0).select(F.col("url").alias("u")), "url", "u"),
+        "judged": lambda df: rules.judged(df.withColumns({"norm_title": F.lit("t"), "domain": F.lit("a.jp"), "source_url": F.lit("https://a.jp/"), "includes": F.array().cast("array<string>"), "excludes": F.array().cast("array<string>")})),
+        "breaker": lambda df: select.group_breaker(df.withColumn("started", F.lit(True)), "pos", F.col("pos") > 3), "evidence": lambda df: analysis.evidence_found(df.withColumn("quote", F.lit("q")), spark.createDataFrame([(0, "q")], "pos int, text string"), ["pos"]),
+        "documents": lambda df: html.documents(df.withColumn("html", F.lit("<title>T</title>" + "x" * 300)), url="url"), "titles": lambda df: html.titles(df.withColumn("html", F.lit("<title>T</title>"))),
+    }
+    for name, call in calls.items():
+        got = call(rows)
+        assert got.count() > 0 and all(r.rn == "mine" and r.own == "mine" for r in got.collect()), name
+
+
+def test_null_and_hot_keys_of_repeats(spark):
+    df = spark.createDataFrame([(0, None), (1, "a"), (2, None), (3, "a"), (4, "b")], "pos int, p string")
+    assert {r.pos for r in dedup.flag_repeats(df, ["p"], ["pos"]).filter("input_duplicate").collect()} == {2, 3}
+
+
+def test_exact_sums_of_groups(spark):
+    rows = [("a", 1e100), ("a", 1.0), ("a", -1e100), ("b", math.nan), ("c", math.inf), ("c", -math.inf), ("d", 1e308), ("d", 1e308), ("d", -1e308), ("e", math.inf), ("f", -0.0), ("f", None), (None, 0.5), (None, 5e-324), ("g", 1e308), ("g", 1e308)]
+    got = {r.k: r.total for r in analysis.exact_sums(spark.createDataFrame(rows, "k string, v double").repartition(3), ["k"], "v").collect()}
+    assert got["a"] == 1.0 and math.isnan(got["b"]) and math.isnan(got["c"]) and got["d"] == 1e308 and got["e"] == got["g"] == math.inf and math.copysign(1, got["f"]) == -1 and got[None] == 0.5
+    assert all(math.isnan(got[k]) if math.isnan(w) else got[k] == w for k in "abcdefg" for w in [analysis.exact_sum([v for x, v in rows if x == k and v is not None])])
+
+
+def test_rules_of_an_analysis(spark):
+    good = {"is_target": True, "document_type": "rfi", "problem_summary": "", "desired_state": "", "request_to_private_sector": "", "company_relevance": "A", "contact_recommendation": "high", "reason": "r"}
+    df = spark.createDataFrame([tuple(good.values())], ", ".join(f"{k} {'boolean' if k == 'is_target' else 'string'}" for k in good))
+    df = df.withColumn("evidence_quotes", F.array(F.struct(F.lit("html").alias("source_type"), F.lit("https://a.jp/").alias("source_url"), F.lit("q").alias("quote"))))
+    issues = lambda d: d.select(analysis.output_issues(d)).first()[0]
+    assert issues(df) == []
+    bad = df.withColumns({"is_target": F.lit(None).cast("boolean"), "document_type": F.lit("x"), "desired_state": F.repeat(F.lit("a"), 2001), "company_relevance": F.lit("Z"), "reason": F.lit(" "), "evidence_quotes": F.expr("CAST(array() AS array<struct<source_type:string,source_url:string,quote:string>>)")})
+    assert issues(bad) == ["is_target", "document_type", "desired_state", "company_relevance", "reason", "evidence_quotes"]
+    assert issues(df.withColumn("evidence_quotes", F.array(F.struct(F.lit("doc").alias("source_type"), F.lit("https://a.jp/").alias("source_url"), F.lit("q").alias("quote"))))) == ["evidence_quote"]
+    known = spark.range(1).select(analysis.analysis_issues(F.lit(True), F.array(F.lit("行政DX"), F.lit("nothing")), F.lit("A"), F.lit("high"), F.lit("r"))).first()[0]
+    assert known == ["unknown_category"]

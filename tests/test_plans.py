@@ -186,3 +186,86 @@ def test_search(spark):
     found = lambda q: df.filter(catalog.matches_all(F.col("t"), q)).count()
     assert (found(""), found("BID"), found("bid tokyo"), found("none")) == (2, 2, 1, 0)
     assert site.LAYERS["prefecture"] == "都道府県"
+
+
+def test_source_check_settings(spark):
+    def got(extra, page, kind="list_page", header=None):
+        text = CHECKED.replace("url: \"https://o.jp/l\", collector_type: list_page", f'url: "https://o.jp/l", collector_type: {kind}').replace('link_selector: "#m a", title_excludes: [終了]', extra)
+        orgs, sources = registry.load(spark, text)
+        fetched = spark.createDataFrame([("list", "https://o.jp/l", page, header)], "source_id string, base_url string, body string, content_type string")
+        return check.check(sources.filter("id = 'list'"), orgs, fetched if header else fetched.drop("content_type")).first()
+
+    page = '<div id="m"><a href="/a">RFI notice</a><a href="/b">ＦＡＱ　一覧</a><a href="/c">Other F A Q</a></div>'
+    r = got('link_selector: "#m a", title_includes: [RFI]', page)
+    assert (r.status, r.usable) == ("ok", 1) and [x.title for x in r.samples] == ["RFI notice"]
+    for pattern in ("FAQ", "ＦＡＱ", "f aq"):
+        assert got(f'link_selector: "#m a", title_excludes: ["{pattern}"]', page).usable == 1
+    r = got('link_selector: "a:hover", allow_empty_candidates: true', page)
+    assert r.status == "error" and r.error.startswith("selector not understood")
+    assert got("title_excludes: [x]", page).error == check.NO_SELECTOR
+    r = got('link_selector: ".none", allow_empty_candidates: true', page)
+    assert (r.status, r.warnings, r.error) == ("warning", ["empty"], None) and got('link_selector: ".none"', page).error == "no match"
+    assert got('link_selector: "#m a"', page, header="application/pdf").warnings == ["content type"] and got('link_selector: "#m a"', page, header="text/html").status == "ok"
+    feed = "<rss><channel><item><title>T</title><link>https://o.jp/1</link><category>防災 情報</category></item></channel></rss>"
+    assert got("category_includes: [防災情報]", feed, "rss").usable == 1 and got("category_includes: [ＲＦＩ]", feed, "rss").usable == 0
+    assert got("title_excludes: [x]", "<rss>", "rss").error.startswith("not well formed")
+    orgs, sources = registry.load(spark, CHECKED)
+    lost = check.check(sources.withColumn("organization_id", F.lit("nobody")), orgs, spark.createDataFrame([("feed", "https://o.jp/f", FEED)], "source_id string, base_url string, body string"))
+    assert {(r.source_id, r.error) for r in lost.filter("status = 'error'").collect()} == {(s, "unknown organization") for s in ("feed", "list", "fix", "bare")}
+
+
+def test_collection_from_registry_to_state(spark, tmp_path):
+    from fieldsieve.sources import files
+
+    orgs, sources = registry.load(spark, CHECKED)
+    fetched = spark.createDataFrame([("feed", "https://o.jp/f", FEED), ("list", "https://o.jp/l", LIST), ("bare", "https://o.jp/b", LIST)], "source_id string, base_url string, body string")
+    chosen = registry.selected(spark, orgs, sources, ids=["feed", "list", "fix", "bare"])
+    path, at = str(tmp_path / "state"), F.expr("TIMESTAMP'2026-08-07 03:00:00'")
+    known = spark.createDataFrame([("https://o.jp/0",)], "official_url string")
+    named, candidates = collection.collected(chosen, orgs, fetched, files.read_state(spark, path), known, at)
+    said = spark.createDataFrame([("list", "https://o.jp/a", False, False)], "source_id string, url string, ok boolean, limit_hit boolean")
+    got = {r.source_id: (r.collected, r.unique, r.in_period, r.new, r.created, r.duplicates, r.failed, r.state) for r in collection.run(named, candidates, said, 5).collect()}
+    assert got == {"feed": (2, 2, 2, 1, 1, 1, 0, "Advanced"), "list": (1, 1, 1, 1, 0, 0, 1, "Not advanced"), "fix": (1, 1, 1, 1, 1, 0, 0, "Advanced"), "bare": (0, 0, 0, 0, 0, 0, 0, "Failed")}
+    out, code = collection.commit(spark, path, collection.run(named, candidates, said, 5), at)
+    assert code == 1 and {r.source_id for r in files.read_state(spark, path).collect()} == {"feed", "fix"}
+    later = {r.source_id: str(r.since) for r in collection.collected(chosen, orgs, fetched, files.read_state(spark, path), known, at)[0].collect()}
+    assert later == {"feed": "2026-08-04", "fix": "2026-08-04", "list": "2026-07-01", "bare": "2026-07-01"}
+    # a state that can't be written
+    (tmp_path / "file").write_text("x")
+    out, code = collection.commit(spark, str(tmp_path / "file" / "state"), collection.run(named, candidates, said.limit(0), 5).filter("source_id = 'fix'"), at)
+    assert code == 1 and tuple(out.select("state", "reason", "advanced").first()) == ("Not advanced", collection.WRITE_FAILED, False)
+
+
+def test_lists_of_urls_and_snapshots(spark):
+    from fieldsieve.plans import register
+
+    entries = spark.createDataFrame([(1, "a", False), (2, "b", False), (3, "a", True), (5, "c", False), (6, "d", False)], "line int, url string, input_duplicate boolean")
+    outcomes = spark.createDataFrame([("a", "created"), ("b", "duplicate"), ("c", "created"), ("d", "created")], "url string, status string")
+    rows = register.listed(entries, outcomes, F.col("url") == "c")
+    assert [(r.line, r.status) for r in rows.orderBy("line").collect()] == [(1, "created"), (2, "duplicate"), (3, "input_duplicate"), (5, "failed")]
+    assert register.list_summary(rows.withColumn("all", F.lit(1)), ["all"]).drop("all").first().asDict() == {"previewed": 0, "created": 1, "duplicate": 1, "input_duplicate": 1, "failed": 1}
+    docs = spark.createDataFrame([("u", 10, ["https://a/x.pdf#1", "https://a/x.pdf", "https://a/y.pdf"]), ("v", 5, [])], "url string, body_length int, pdf_urls array<string>")
+    pdfs = spark.createDataFrame([("u", 100), ("u", 50)], "url string, characters long")
+    assert {tuple(r) for r in register.content_snapshot(docs, pdfs, "url").collect()} == {("u", 10, 2, 2, 150), ("v", 5, 0, 0, 0)}
+    pages = spark.createDataFrame([("https://a/1",), ("http://a/2",), ("https://a/3",)], "url string")
+    said = spark.createDataFrame([("https://a/1", "https://a/1", ["行政DX"], None, None)], "url string, final_url string, categories array<string>, error_class string, message string")
+    known = spark.createDataFrame([("https://a/2",)], "official_url string")
+    options = spark.createDataFrame([("行政DX",)], "option string")
+    status = lambda write, provider: {r.url[-1]: (r.status, r.phase, r.stage) for r in register.registered(pages, said, known, options, write, provider).collect()}
+    assert status(False, "mock") == {"1": ("previewed", None, None), "2": ("duplicate", "preflight", None), "3": ("failed", None, "ai_analysis")}
+    assert status(True, "mock")["1"] == ("failed", None, "ai_analysis") and status(True, "other")["1"] == ("created", None, None)
+    with pytest.raises(ValueError):
+        register.verified(pages, pages, pages, 6)
+
+
+def test_catalogue_problems_and_search(spark):
+    orgs, sources = registry.load(spark, CHECKED.replace("organizations:", "organizations:\n  - {id: x, name: X, organization_type: public_agency, official_domain: x.jp, enabled: true, prefecture: 東京都}\n  - {id: y, name: Y, organization_type: prefecture, official_domain: y.jp, enabled: true}\n  - {id: z, name: Z, organization_type: prefecture, official_domain: z.jp, enabled: true, prefecture: 江戸}"))
+    from fieldsieve.operators import hierarchy, sink
+
+    roots = hierarchy.roots(hierarchy.closure(orgs, "id", "parent_organization_id"))
+    dim = catalog.prefectures(spark)
+    assert {tuple(r) for r in catalog.problems(orgs, roots, dim).collect()} == {("x", "type"), ("y", "no prefecture"), ("z", "unknown prefecture")}
+    shown = catalog.public_sources(orgs, sources, roots, dim)
+    assert [tuple(r) for r in catalog.search_view(shown, "ｏ.jp  FEED").collect()] == [("kanto", "prefecture", "O", 1, 1)] and catalog.search_view(shown, "nothing").count() == 0
+    with pytest.raises(ValueError):
+        sink.only_table(["a", "b"])

@@ -85,3 +85,52 @@ def test_documents(spark):
     assert [(x.url, x.text) for x in got[1].pdf_links] == [("https://h/files/a.PDF?x#page=2", "A")] and (str(got[1].published_at), got[1].published_at_source) == ("2026-07-30", "page_text")
     assert (str(got[2].published_at), got[2].published_at_source, got[2].used_fallback) == ("2026-08-05", "meta", True)
     assert got[3].error == "no title" and got[4].error == "no text" or got[4].title == "short"
+
+
+def test_feeds_that_cannot_be_read(spark):
+    item = "<item><title>A &amp; B</title><link>https://a/1</link><dc:title>other</dc:title><dc:date>2026-08-01</dc:date></item>"
+    rows = {
+        "comment": f"<rss><channel><!-- <item><title>no</title></item> -->{item}</channel></rss>", "cdata": "<rss><channel><item><title><![CDATA[<b> & c]]></title><link>https://a/2</link></item></channel></rss>", "open": "<rss><channel><item></channel></rss>",
+        "none": "<rss><channel></channel></rss>", "page": "<html><body></body></html>", "doctype": "<!DOCTYPE rss><rss/>", "null": None, "declared": f'<?xml version="1.0" encoding="Shift_JIS"?><rss><channel>{item}</channel></rss>',
+    }
+    df = spark.createDataFrame(list(rows.items()), "f string, xml string").selectExpr("*", "1 AS i", "2 AS error", "3 AS feed_")
+    got = {r.f: (r.pos, r.title, r.published_at, r.scan_error, r.i) for r in feeds.items(df, errors=True).collect()}
+    assert got["comment"] == got["declared"] == (0, "A & B", None, None, 1) and got["cdata"][1] == "<b> & c"
+    assert got["open"][3].startswith("not well formed") and [got[k][3] for k in ("none", "page", "doctype", "null")] == ["no items", "no channel", "document type", "empty"] and got["none"][0] is None
+    assert {r.f for r in feeds.items(df).collect()} == {"comment", "cdata", "declared"}
+
+
+def test_booleans_and_lists_of_a_registry(spark):
+    orgs, sources = registry.load(spark, REGISTRY.replace("official_domain: a.jp, enabled: true", "official_domain: a.jp, enabled: True"))
+    assert orgs.filter("id = 'pref-a'").first().enabled is True
+    for bad in ("enabled: yes", "enabled: 1", "enabled: [true]", "enabled: true, title_excludes: x", "enabled: true, name: [a]", "enabled: true, title_excludes: [[a]]"):
+        with pytest.raises(ValueError):
+            registry.load(spark, REGISTRY.replace("priority: high, enabled: true", f"priority: high, {bad}"))
+    _, sources = registry.load(spark, REGISTRY.replace("priority: high, enabled: true", 'priority: high, enabled: true, title_excludes: [a, " "], link_selector: "a\\0b"'))
+    assert {(r.field, r.issue) for r in registry.violations(orgs, sources).filter("coll = 'sources' AND pos = 0").collect()} == {("title_excludes", "blank"), ("link_selector", "blank")}
+
+
+def test_selections_of_a_registry(spark):
+    orgs, sources = registry.load(spark, REGISTRY)
+    assert [r.name for r in registry.organization_names(orgs).collect()] == ["A", "B", "O"] and registry.totals(orgs, sources).first().asDict() == {"organizations": 3, "sources": 3, "enabled_sources": 2}
+    assert [(r.id, r.place) for r in registry.selected(spark, orgs, sources, ids=["s3", "s1"]).orderBy("place").collect()] == [("s3", 0), ("s1", 1)] and [r.id for r in registry.selected(spark, orgs, sources, all_=True).collect()] == ["s1"]
+    for bad in ({}, {"all_": True, "ids": ["s1"]}, {"ids": ["s1", "s1"]}, {"ids": ["zz"]}, {"municipality": "nowhere"}):
+        with pytest.raises(ValueError):
+            registry.selected(spark, orgs, sources, **bad)
+
+
+def test_a_swap_that_was_cut_short(spark, tmp_path):
+    path = str(tmp_path / "state")
+    row = lambda v: spark.sql(f"SELECT 's' AS source_id, TIMESTAMP'{v}' AS last_successful_check_at")
+    files.upsert_state(spark, path, row("2026-08-01 00:00:00"))
+    (tmp_path / "state").rename(tmp_path / "state.old")  # the old state has been moved, the new one hasn't come
+    assert str(files.read_state(spark, path).first()[1]) == "2026-08-01 00:00:00"
+    files.upsert_state(spark, path, row("2026-08-02 00:00:00"))
+    assert str(files.read_state(spark, path).first()[1]) == "2026-08-02 00:00:00" and not (tmp_path / "state.old").exists()
+
+
+def test_headers(spark):
+    df = spark.createDataFrame([("rss", "text/xml"), ("rss", "text/html"), ("list_page", "Text/HTML; charset=x"), ("list_page", None), ("single_page", "application/pdf")], "kind string, content_type string")
+    assert [r.w for r in df.withColumn("w", files.content_type_warning(df.kind, df.content_type)).collect()] == [None, "content type", None, "no content type", "content type"]
+    got = spark.createDataFrame([(200, b"x", "application/pdf;a=b"), (200, b"x", "text/html"), (200, b"", None), (404, b"x", None)], "http_status int, content binary, content_type string")
+    assert [r.error for r in files.fetch_errors(got, media=["application/pdf"]).collect()] == [None, "content_type", "empty", "http_status"]
