@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import dates, text, urls
 from ..operators import analysis, dedup, hierarchy, report, rules, select, sink
 from ..sources import feeds, html, registry
+from ..tables import spread
 from . import catalog, collection, register
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,7 +30,7 @@ def query(sql: str | None = None):
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")) if name in ("documents", "pages") else spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]

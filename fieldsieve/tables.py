@@ -8,6 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A stored table of fewer files than cores, and few megabytes a core, dealt out to all cores; others are as they are.
+
+    A small file can be one row group, which is one task however many cores are idle. Large tables have splits enough.
+    """
+    cores, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution().optimizedPlan()
+    few = len(df._jdf.inputFiles()) < cores and int(str(plan.stats().sizeInBytes())) < cores << 24
+    return df.repartition(cores) if few else df
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that `df` doesn't have, in any case."""
     taken = {c.lower() for c in df.columns}
