@@ -1,46 +1,5 @@
-"""Cutting lineage through the folder that all executors share."""
+"""Tables in the folder that all executors share, and free column names; as the rest of the package has them."""
 
-from __future__ import annotations
+from ..tables import clean, cut, own_folder, shared_folder, unused
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder. Where none is set, one of our own on a single machine, and an error on a cluster."""
-    sc = spark.sparkContext
-    if not (named := spark.conf.get("spark.checkpoint.dir", None)):
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="fieldsieve-"))
-        named = sc._jsc.sc().getCheckpointDir().get()
-    return named.rstrip("/")
-
-
-def own_folder(spark: SparkSession) -> str:
-    """Where the tables of this application are; its owner is the application, and `clean` deletes it."""
-    return f"{shared_folder(spark)}/fieldsieve-{spark.sparkContext.applicationId}"
-
-
-def cut(df: DataFrame, what: str = "table") -> DataFrame:
-    """Writes `df` to the shared folder and reads it again: later stages survive a lost executor, and know its size."""
-    path = f"{own_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def clean(spark: SparkSession) -> bool:
-    """Deletes all tables that `cut` wrote for this application; results that still read them can't be read any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def unused(df: DataFrame, name: str) -> str:
-    """A column name that `df` doesn't have, in any case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+__all__ = ["clean", "cut", "own_folder", "shared_folder", "unused"]

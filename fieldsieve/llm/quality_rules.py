@@ -14,7 +14,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .lineage import cut
 
 _SPACE = "[ \\t-\\r]+"
-_SPACES = " \t\n\x0b\f\r"
+
+
+#: Bits of a packed number that tell a window's place; longer texts, and those where two windows' hashes meet in the other bits, are compared in full.
+_PLACE = 24
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -22,38 +25,50 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _covered(pairs: Column) -> Column:
-    """Words covered by 3-word windows that have an equal, of (hash, place) pairs in order.
+def _spread(places: Column) -> Column:
+    """Words that windows of three at these places, in order, cover: each covers min(gap to the one before, 3) more."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(-3).cast("long").alias("last"))
+    return F.aggregate(places, start, lambda a, p: F.struct((a["n"] + F.least(p - a["last"], F.lit(3)).cast("int")).alias("n"), p.alias("last")), lambda a: a["n"])
 
-    Equal windows are neighbours; in order of place each covers min(gap to the one before, 3) more words.
-    """
-    same = lambda p, i: (F.get(pairs, i - 1)["g"] == p["g"]) | (F.get(pairs, i + 1)["g"] == p["g"])
-    places = F.sort_array(F.transform(F.filter(pairs, lambda p, i: F.coalesce(same(p, i), F.lit(False))), lambda p: p["i"]))
-    start = F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last"))
-    return F.aggregate(places, start, lambda a, p: F.struct((a["n"] + F.least(p - a["last"], F.lit(3))).alias("n"), p.alias("last")), lambda a: a["n"])
 
+def _compared(grams: Column) -> Column:
+    """Words covered by windows that have an equal, by sorting (hash, place) pairs; equal windows are neighbours."""
+    same = lambda v, p, i: F.coalesce((F.get(v, i - 1)["g"] == p["g"]) | (F.get(v, i + 1)["g"] == p["g"]), F.lit(False))
+    pairs = F.sort_array(F.transform(grams, lambda x, i: F.struct(x.alias("g"), i.cast("long").alias("i"))))
+    return let(pairs, lambda v: _spread(F.sort_array(F.transform(F.filter(v, lambda p, i: same(v, p, i)), lambda p: p["i"]))))
 
-def _word_figures(words: Column) -> Column:
-    grams = lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
-    pairs = lambda g: F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
-    again = lambda g: F.when(F.size(g) > F.size(F.array_distinct(g)), let(pairs(g), _covered)).otherwise(F.lit(0))
-    return let(words, lambda w: F.struct(F.size(w).alias("n_words"), let(grams(w), again).alias("n_repeat_words")))
+
+def _repeat_words(rows: DataFrame) -> DataFrame:
+    """`rows` with `n_repeat_words` in place of `grams`, the hashes of all windows.
+
+    The upper bits of each hash are packed with the window's place into one number, so that sorting is one of plain numbers in compiled code.
+    Neighbours with equal upper bits are equal windows, unless their whole hashes differ; such texts are compared in full.
+    """
+    some, mask = F.size("grams") > F.size(F.array_distinct("grams")), (1 << _PLACE) - 1
+    packed = F.transform("grams", lambda x, i: x.bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long")))
+    small = some & (F.size("grams") <= mask)
+    rows = rows.withColumn("packed", F.when(small, packed).otherwise(F.array().cast("array<bigint>"))).withColumn("packed", F.sort_array("packed"))
+    upper = lambda x: F.shiftright(x, _PLACE)
+    meets = lambda p, q: F.coalesce(upper(p) == upper(q), F.lit(False))
+    twice = F.filter("packed", lambda p, i: meets(p, F.get("packed", i - 1)) | meets(p, F.get("packed", i + 1)))
+    rows = rows.withColumn("twice", twice)
+    whole = lambda p: F.get("grams", p.bitwiseAND(F.lit(mask)).cast("int"))
+    chance = F.exists(F.transform("twice", lambda p, i: meets(p, F.get("twice", i + 1)) & (whole(p) != whole(F.get("twice", i + 1)))), lambda x: F.coalesce(x, F.lit(False)))
+    fast = _spread(F.sort_array(F.transform("twice", lambda p: p.bitwiseAND(F.lit(mask)))))
+    return rows.withColumn("n_repeat_words", F.when(~some, 0).when(~small | chance, _compared(F.col("grams"))).otherwise(fast)).drop("grams", "packed", "twice")
 
 
 def base_figures(docs: DataFrame) -> DataFrame:
     """doc_id, source, and the base figures of every text; a null text has no words."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    blank = lambda x: F.translate(x, _SPACES, "")
-    words = F.filter(F.split(text, _SPACE), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: blank(x) != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit("[^ \\t-\\r]")))
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.length(blank(text)).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        _word_figures(words).alias("f"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.array_remove(F.split(text, _SPACE), "").alias("words"),
+        F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"), let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
-    return rows.select("doc_id", "source", F.col("f.n_words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("f.n_repeat_words").cast("long").alias("n_repeat_words"))
+    windows = F.transform(F.slice("words", 1, F.greatest(F.size("words") - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("words", i + 1), F.get("words", i + 2)))
+    rows = _repeat_words(rows.withColumns({"n_words": F.size("words").cast("long"), "word_chars": F.length(F.array_join("words", "")).cast("long"), "grams": windows}).drop("words"))
+    return rows.select("doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.col("n_repeat_words").cast("long").alias("n_repeat_words"))
 
 
 def normalised_lines(docs: DataFrame) -> DataFrame:
@@ -61,10 +76,12 @@ def normalised_lines(docs: DataFrame) -> DataFrame:
 
     Normalising lower-cases, makes each run of digits a 0, and drops everything but letters and digits.
     """
-    raw = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.explode(raw).alias("raw"))
-    norm = F.regexp_replace(F.regexp_replace(F.lower("raw"), r"\p{N}+", "0"), r"[^\p{L}0]+", " ")
-    rows = rows.select("doc_id", "source", F.trim(norm).alias("norm"), F.length("raw").cast("long").alias("chars")).filter("norm <> ''")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # the whole text is normalised at once, line ends apart, and then cut into the same lines
+    norm = F.regexp_replace(F.regexp_replace(F.lower(text), r"\p{N}+", "0"), r"[^\p{L}0\n]+", " ")
+    pairs = F.arrays_zip(F.split(text, "\n").alias("raw"), F.split(norm, "\n").alias("norm"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.explode(pairs).alias("x"))
+    rows = rows.select("doc_id", "source", F.trim("x.norm").alias("norm"), F.length("x.raw").cast("long").alias("chars")).filter("norm <> ''")
     return rows.select("doc_id", "source", F.xxhash64("norm").alias("line"), "chars").groupBy("doc_id", "source", "line").agg(F.sum("chars").alias("chars"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..tables import spread
 from . import language_id, toxicity
 from .bpe_codec import bpe_digests
 from .near_dedup import near_duplicates
@@ -16,7 +17,7 @@ from .topk_search import top_k
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -250,8 +250,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     # as many groups as hold the candidates, and one for each core at least
     groups = max(-(-size.numbers // GROUP), min(spark.sparkContext.defaultParallelism, -(-size.n // ROWS)), 1)
     blocks = data.mapInArrow(_pack(ROWS, 0), _PACKED).withColumn("part", F.monotonically_increasing_id() % groups)
-    spread = queries.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    dealt = blocks.unionByName(spread).repartition("part").sortWithinPartitions("part", "kind")
+    everywhere = queries.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    dealt = blocks.unionByName(everywhere).repartition(4 * groups, "part").sortWithinPartitions("part", "kind")
     found = cut(dealt.mapInArrow(_searched(k, scale), "query_id long, vec_id long, score long"), "found")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
