@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .lineage import unused
-from .words import row_slices
+from .words import new_lengths, row_slices
 
 KEY = b"fieldsieve surrogates"
 ROUNDS = 8
@@ -410,8 +410,7 @@ def replace_entities(docs: DataFrame, key: bytes = KEY, text_col: str = "text")
             new = [replaced(t, key)[0] for t in old]
             columns[at] = pa.array(new, part.schema.field(at).type)
             if size_at >= 0:
-                sizes = [len(y) if x is not None and str(n) == str(len(x)) else n for x, y, n in zip(old, new, part.column(size_at).to_pylist())]
-                columns[size_at] = pa.array(sizes, part.schema.field(size_at).type)
+                columns[size_at] = pa.array(new_lengths(old, new, part.column(size_at).to_pylist()), part.schema.field(size_at).type)
             yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
     return distinct(docs.mapInArrow(run, schema), docs, key, text_col)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from .fm_index import FMIndex
 from .lineage import cut, unused
 from .skew import with_value
-from .words import Ranges, column_bytes, gram_hashes, hashed_words, row_slices
+from .words import Ranges, column_bytes, gram_hashes, hashed_words, new_lengths, row_slices
 
 GRAM = 5
 CELLS = 1 << 18
@@ -361,19 +361,24 @@ def _cut_text(text: str | None, ranges) -> str | None:
 def drop_repeats(docs: DataFrame, window: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with repeated words cut out of the text; the columns stay as they are, and so do rows without repeats.
 
-    Nulls, repeated rows and short texts are as in `substring_digests`. No name of a column of `docs` is taken.
+    Nulls, repeated rows and short texts are as in `substring_digests`. No name of a column of `docs` is taken. A column n_chars is set to the
+    new text's length where it was the old one's.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     own, gone = unused(docs, "own"), unused(docs, "gone")
     ranges = ranges_by_document(base, window).select(F.col("doc_id").alias(own), F.col("gone").alias(gone))
     joined = docs.join(ranges, F.col(id_col).cast("long") == F.col(own), "left").drop(own)
     place, schema = docs.columns.index(text_col), docs.schema
+    size_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in row_slices(batches, text_col):
-            texts = [_cut_text(t, g) for t, g in zip(part.column(place).to_pylist(), part.column(part.num_columns - 1).to_pylist())]
+            old = part.column(place).to_pylist()
+            texts = [_cut_text(t, g) for t, g in zip(old, part.column(part.num_columns - 1).to_pylist())]
             columns = list(part.columns[:-1])
             columns[place] = pa.array(texts, part.schema.field(place).type)
+            if size_at >= 0:
+                columns[size_at] = pa.array(new_lengths(old, texts, part.column(size_at).to_pylist()), part.schema.field(size_at).type)
             yield pa.RecordBatch.from_arrays(columns, names=list(part.schema.names[:-1]))
 
     return joined.mapInArrow(run, schema)

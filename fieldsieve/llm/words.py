@@ -72,6 +72,11 @@ def row_slices(batches: Iterator[pa.RecordBatch], text: str = "text", rows: int
             row = to
 
 
+def new_lengths(old: list[str | None], new: list[str | None], sizes: list) -> list:
+    """`sizes` with the new text's length wherever it was the old one's."""
+    return [len(y) if x is not None and y is not None and n is not None and n == len(x) else n for x, y, n in zip(old, new, sizes)]
+
+
 def _next_cut(data: np.ndarray, offs: np.ndarray, hi: int) -> int:
     """The first place at or after hi where no word is cut."""
     k = int(np.searchsorted(offs, hi))
