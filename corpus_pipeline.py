@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fieldsieve.llm import lineage, near_dedup, packing, pii, queries, substring_dedup, toxicity
 from fieldsieve.shipping import ship
+from fieldsieve.tables import spread
 
 TOXIC = 0.7
 SHINGLE, NUM, DEN = 5, 80, 100
@@ -63,7 +64,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other, over the whole of documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES:
         docs = lineage.cut(stage(spark, docs, sf_dir), name)
     return docs
