@@ -485,3 +485,116 @@ def test_words_of_columns():
     assert np.diff(at).tolist() == [len(WORD.findall(t or "")) for t in texts] and h[1] == h[-1] and h[4] != h[5]
     low, _ = words.hashed_words(*words.column_bytes(pa.array(texts)), lower=True)
     assert low[4] == low[5]
+
+
+DATA = "/root/testdata/sf0.01"
+
+
+def test_distributed_fit_equals_the_plain_one(spark):
+    rng = random.Random(4)
+    plain = lambda: " ".join(rng.choice("the of and house river light stone window street".split()) for _ in range(40))
+    rows = [(k, plain() + (" Stupid zonk zonkers" if k % 3 == 0 else " zonk street" if k % 10 == 1 else "")) for k in range(240)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame([(k, int(k % 3 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    kept = [k for k, _ in rows if zlib.crc32(str(k).encode()) % 3 != 1]
+    want, got = toxicity.learn([rows[k][1] for k in kept], [int(k % 3 == 0) for k in kept]), toxicity.fit(docs, labels)
+    assert got.weights == pytest.approx(want.weights) and got.exceptions == want.exceptions and got.model == pytest.approx(want.model, rel=1e-6)
+    # matching against a scan of all patterns
+    automaton = got.automaton()
+    for _, text in rows[:60]:
+        t = toxicity.folded(text)
+        at = lambda p: [k for k in range(len(t)) if t.startswith(p, k)]
+        spared = [(k, k + len(p)) for p in got.exceptions for k in at(p)]
+        found = sorted((k, k + len(p), w) for p, w in got.weights.items() for k in at(p) if not any(a <= k and k + len(p) <= b for a, b in spared))
+        assert sorted(toxicity.hits(automaton, t)) == found
+
+
+def test_toxicity_of_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("documents", "labels"))
+    out = toxicity.toxicity_scores(docs, toxicity.fit(docs, labels))
+    rows = out.join(labels.select("doc_id", "toxic"), "doc_id").filter("held_out").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    hit, said, there = sum(r.predicted * r.toxic for r in rows), sum(r.predicted for r in rows), sum(r.toxic for r in rows)
+    assert there > 5 and hit / there >= 0.8 and hit / max(1, said) >= 0.8
+    assert out.filter("held_out").count() == docs.filter("crc32(CAST(doc_id AS STRING)) % 3 = 1").count()
+
+
+def test_languages_of_held_out_rows(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = language_id.fit(docs)
+    rows = language_id.predicted_languages(docs, model).join(docs.select("doc_id", "lang", "text"), "doc_id").filter("held_out AND lang IS NOT NULL AND text IS NOT NULL").collect()
+    known = [r for r in rows if r.lang_pred != "und"]
+    assert len(known) > 100 and sum(r.lang_pred == r.lang for r in known) / len(known) >= 0.97
+    # votes one by one
+    import pyarrow as pa
+
+    for r in known[:40]:
+        x = language_id.trigram_features(pa.array([r.text]))[0]
+
+        def duel(names, machines):
+            wins, sums = collections.Counter({n: 0 for n in names}), collections.Counter()
+            for (a, b), w in machines.items():
+                m = float(x @ w[:-1] + w[-1])
+                wins[a if m > 0 else b] += 1
+                sums[a] += np.tanh(m)
+                sums[b] -= np.tanh(m)
+            return max(names, key=lambda n: (wins[n] + sums[n] / (2 * len(names) + 2)))
+
+        family = duel(model.families, model.upper)
+        assert r.lang_pred == duel(model.langs[family], model.lower.get(family, {}))
+
+
+def test_languages_that_are_learnt_have_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST", 2)
+    rows = [(k, f"text of number {k}", f"x{k}" if k < 30 else "en" if k % 2 else "de") for k in range(200)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sum(model.langs.values(), []) == ["de", "en"]
+
+
+def test_frequent_pieces(spark):
+    from fieldsieve.llm import piece_counts
+
+    raw = bpe.load(tokenizer_path())
+    texts = ["the cat's hat, the cat <|endoftext|> the", None, "", "the " + "x" * 60, "the the hat"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, seen = bpe.WordBpe(raw), collections.Counter()
+    for t in texts:
+        seen.update(p for p in model.split(t or "")[0] if p not in model.special)
+    got = {r.piece: r.n for r in piece_counts.piece_counts(df, bpe.Shared(spark, (raw,))).collect()}
+    assert got == {p if len(p) <= 48 else None: n for p, n in seen.items()}
+    pieces, share = piece_counts.frequent_pieces(df, raw, 2)
+    assert pieces == [b"the"] and share == seen["the"] / sum(seen.values())  # one more level would hold more than two
+    assert piece_counts.frequent_pieces(df.limit(0), raw) == ([], 1.0)
+    lexicon = bpe.Lexicon(bpe.compile_lexicon(model, piece_counts.frequent_pieces(df, raw)[0]))
+    assert lexicon.ids([b"the", b"hat", b"hats"])[:2] == [model.merge("the"), model.merge("hat")] and lexicon.ids([b"hats"]) == [None]
+
+
+def test_shares_of_the_compiled_pieces(spark):
+    from fieldsieve.llm import piece_counts
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    pieces, share = piece_counts.frequent_pieces(docs, bpe.load(tokenizer_path()))
+    assert share >= 0.9 and any(len(bpe.WordBpe(bpe.load(tokenizer_path())).merge(p.decode())) > 1 for p in pieces)
+
+
+def test_packed_windows_equal_whole_ones(spark):
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 60)))) for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    want = {}
+    for k, t in rows:
+        w = WORD.findall(t)
+        g = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        want[k] = len({j for i in range(len(w) - 2) if g[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)})
+    for bits in (24, 4, 62):  # too few places, and too few bits of the hash
+        quality_rules._PLACE, was = bits, quality_rules._PLACE
+        try:
+            assert {r.doc_id: r.n_repeat_words for r in quality_rules.base_figures(df).collect()} == want, bits
+        finally:
+            quality_rules._PLACE = was
+
+
+def test_tables_are_cleaned(spark):
+    from fieldsieve.llm import lineage
+
+    spark_files = lineage.cut(spark.range(3), "x")
+    assert spark_files.count() == 3 and lineage.own_folder(spark) in spark_files.inputFiles()[0].replace("file://", "").replace("file:", "") and lineage.unused(spark_files, "ID") == "ID_"
