@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .components import connected_components
 from .lineage import cut, unused
 from .skew import with_value
-from .words import column_bytes, hashed_words, row_slices, shingle_sets
+from .words import column_bytes, give_back, hashed_words, row_slices, shingle_sets
 
 WIDTH = 5
 MISS = 1e-6
@@ -84,6 +84,7 @@ def _keys(places: int):
                         keys.append(key * np.uint64(0x9E3779B97F4A7C15) + np.uint64((c * WIDTH + out) * 0xD1342543DE82EF95 % 2**64))
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(ids, len(keys)))], names=["key", "doc"])
+        give_back()
 
     return run
 
@@ -113,6 +114,7 @@ def _confirm(num: int, den: int):
                     good.append(i)
             take = pa.array(good, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take)], names=["a", "b"])
+        give_back()
 
     return run
 
@@ -126,6 +128,7 @@ def _incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = np.array([len(x) for x in sets])
             wide = lambda k: pa.array(np.repeat(part.column(k).to_numpy(zero_copy_only=False), size))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), wide(0), wide(2), pa.array(np.repeat(size, size))], names=["shingle", "doc", "label", "n"])
+    give_back()
 
 
 def cross_candidates(sets: DataFrame, open_: DataFrame, num: int, den: int) -> DataFrame:

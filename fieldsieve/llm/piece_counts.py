@@ -16,7 +16,7 @@ from .words import row_slices
 MOST = 1 << 17
 LONGEST = 48
 #: Different pieces that a task holds before it hands their counts on.
-HELD = 300_000
+HELD = 200_000
 
 
 def piece_counts(docs: DataFrame, shared: Shared) -> DataFrame:

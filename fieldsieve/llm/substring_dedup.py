@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from .fm_index import FMIndex
 from .lineage import cut, unused
 from .skew import with_value
-from .words import Ranges, column_bytes, gram_hashes, hashed_words, new_lengths, row_slices
+from .words import Ranges, column_bytes, give_back, gram_hashes, hashed_words, new_lengths, row_slices
 
 GRAM = 5
 CELLS = 1 << 18
@@ -172,6 +172,7 @@ def _whole_keys(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Ta
         size = sum(b.nbytes for b in held)
     if held and (rows := pa.Table.from_batches(held)).num_rows:
         yield rows
+    give_back()
 
 
 _CANDIDATE = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("n", pa.int64()), ("first", pa.bool_()), ("frequent", pa.bool_())])

@@ -6,6 +6,7 @@ nothing but themselves, so no text is decoded. All work is done in blocks of bou
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -13,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK = 1 << 18
-ROWS_BYTES = 4 << 20
+ROWS_BYTES = 2 << 20
 #: Longer words, of which there are few, are hashed one by one.
 LONG = 256
 
@@ -61,6 +62,16 @@ def column_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return raw, at - at[0]
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Hands freed memory back to the system. Workers go from task to task, and a process that sits idle would keep what its largest task took."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def row_slices(batches: Iterator[pa.RecordBatch], text: str = "text", rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each part has about ROWS_BYTES of text and `rows` rows at most, or one row."""
     for batch in batches:
@@ -70,6 +81,7 @@ def row_slices(batches: Iterator[pa.RecordBatch], text: str = "text", rows: int
             to = min(row + rows, max(row + 1, int(np.searchsorted(at, at[row] + ROWS_BYTES, "right")) - 1))
             yield batch.slice(row, to - row)
             row = to
+    give_back()
 
 
 def new_lengths(old: list[str | None], new: list[str | None], sizes: list) -> list:
