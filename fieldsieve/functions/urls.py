@@ -103,6 +103,14 @@ def allowed(host_: Column, domains: Column) -> Column:
     return F.exists(domains, lambda d: (host_ == d) | F.endswith(host_, F.concat(F.lit("."), d)))
 
 
+def unsafe(normal: Column, domains: Column) -> Column:
+    """Why a URL, in its normal form, isn't fetched, before any name is resolved: scheme, credentials, an address for a host, a host outside the domains; null where nothing is against it."""
+    name = host(normal)
+    login = F.regexp_like(normal, F.lit("^[a-z]+://[^/?#]*@"))
+    number = F.startswith(name, F.lit("[")) | F.regexp_like(name, F.lit(r"^[0-9.]+$"))
+    return F.when(normal.isNull(), "scheme").when(login, "credentials").when(number, "address").when(~allowed(name, domains), "domain")
+
+
 @F.pandas_udf(T.StringType())
 def resolved(base: pd.Series, link: pd.Series) -> pd.Series:
     """The link against its base, http and https only; null where it is no URL."""

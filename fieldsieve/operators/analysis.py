@@ -187,6 +187,53 @@ def output_issues(analysis: DataFrame) -> Column:
     return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in checks]))
 
 
+#: What an analyzer has to give.
+ANALYSIS = T.StructType([
+    T.StructField("is_target", T.BooleanType()), *[T.StructField(n, T.StringType()) for n in ("document_type", "problem_summary", "desired_state", "request_to_private_sector")], T.StructField("categories", T.ArrayType(T.StringType())),
+    *[T.StructField(n, T.StringType()) for n in ("company_relevance", "contact_recommendation", "reason")],
+    T.StructField("evidence_quotes", T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("source_type", "source_url", "quote")]))),
+])
+
+
+def json_schema() -> dict:
+    """The JSON schema of ANALYSIS, with its closed vocabularies and bounds."""
+    words = {"document_type": DOCUMENT_TYPES, "company_relevance": list(RELEVANCE), "contact_recommendation": list(CONTACT)}
+
+    def of(name: str, kind: T.DataType) -> dict:
+        if isinstance(kind, T.StructType):
+            return {"type": "object", "properties": {f.name: of(f.name, f.dataType) for f in kind.fields}, "required": kind.names, "additionalProperties": False}
+        if isinstance(kind, T.ArrayType):
+            inner = {"enum": NEED_CATEGORIES, "type": "string"} if name == "categories" else of(name[:-1], kind.elementType)
+            return {"type": "array", "items": inner} | ({"maxItems": 3} if name == "categories" else {"minItems": 1, "maxItems": 5})
+        if isinstance(kind, T.BooleanType):
+            return {"type": "boolean"}
+        bounds = {"reason": (1, 2000), "quote": (1, 500)}.get(name, (0, 2000))
+        return {"type": "string", "enum": words[name]} if name in words else {"type": "string", "enum": ["html", "pdf"]} if name == "source_type" else {"type": "string", "minLength": bounds[0], "maxLength": bounds[1]}
+
+    return {"$schema": "https://json-schema.org/draft/2020-12/schema"} | of("analysis", ANALYSIS)
+
+
+def read_output(rows: DataFrame, envelope: str) -> DataFrame:
+    """`rows` with `analysis`, the struct inside an analyzer's envelope, `stage` and `issues`: stages are those of `envelope_stage`, and 8 where keys or rules are broken.
+
+    Columns of these names are replaced; where a stage fails, the analysis is null.
+    """
+    rows = rows.drop("analysis", "stage", "issues")
+    name = unused(rows, "inner")
+    inner = unfenced(F.try_variant_get(F.try_parse_json(F.col(envelope)), "$.result", "string"))
+    rows = rows.withColumns({name: inner, "stage": envelope_stage(F.col(envelope))}).withColumn("analysis", F.from_json(name, ANALYSIS, {"mode": "PERMISSIVE"}))
+    keys = F.coalesce(F.json_object_keys(name), F.array().cast("array<string>"))
+    strange = (F.size(F.array_except(keys, F.array(*[F.lit(n) for n in ANALYSIS.names]))) > 0) | (F.size(F.array_distinct(keys)) < len(ANALYSIS.names))
+    flat = rows.select("*", *[F.col(f"analysis.{n}").alias(n) for n in ANALYSIS.names]) if not set(ANALYSIS.names) & set(rows.columns) else None
+    if flat is None:
+        raise ValueError("the rows have columns of an analysis already")
+    rules = analysis_issues(F.coalesce("is_target", F.lit(False)), F.coalesce("categories", F.array().cast("array<string>")), F.coalesce("company_relevance", F.lit("")), F.coalesce("contact_recommendation", F.lit("")), F.coalesce("reason", F.lit("")))
+    issues = F.when(F.col("stage") != 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(F.when(strange, F.array(F.lit("keys"))).otherwise(F.array().cast("array<string>")), output_issues(flat), rules)))
+    flat = flat.withColumn("issues", issues)
+    stage = F.when((F.col("stage") == 0) & (F.size("issues") > 0), 8).otherwise(F.col("stage"))
+    return flat.withColumn("stage", stage).withColumn("analysis", F.when(F.col("stage") == 0, F.col("analysis"))).drop(name, *ANALYSIS.names)
+
+
 def unfenced(c: Column) -> Column:
     """What a code fence around the whole string holds; other strings trimmed."""
     t = F.trim(c)

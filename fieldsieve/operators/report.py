@@ -48,6 +48,11 @@ def outcome_counts(results: DataFrame, keys: list[str], status: str, outcomes: l
     return results.groupBy(*keys).agg(*[F.count_if(F.col(status) == o).alias(o) for o in outcomes])
 
 
+def issue_path(coll: Column, pos: Column, field: Column) -> Column:
+    """Where an issue is, as in sources[2].url."""
+    return F.concat(coll, F.lit("["), pos.cast("string"), F.lit("]."), field)
+
+
 def wide(s: str) -> int:
     return sum(2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
 
