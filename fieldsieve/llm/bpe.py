@@ -24,7 +24,7 @@ from collections.abc import Iterable
 import numpy as np
 import regex
 
-MEMO = 200_000
+MEMO = 300_000
 _NONE = 1 << 30
 _SPREAD, _MASK = 0x1E3779B97F4A7C15, (1 << 62) - 1
 #: Characters whose class is the same for every Unicode version: ASCII and Latin letters with marks.

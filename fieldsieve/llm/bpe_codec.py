@@ -20,6 +20,10 @@ from .piece_counts import frequent_pieces
 from .words import row_slices
 
 
+#: Bytes of text whose pieces are looked up together; the more, the fewer look-ups of one piece.
+TEXTS = 4 << 20
+
+
 class Codec:
     """Encodes and decodes with a model and the lexicon's arrays; one for each worker task."""
 
@@ -111,7 +115,7 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = live(Codec, shared)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for part in row_slices(batches):
+        for part in row_slices(batches, size=TEXTS):
             rows = codec.spelled([t or "" for t in part.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([sha(r[1]) for r in rows], pa.string()), pa.array([sha(r[2]) for r in rows], pa.string())],
@@ -132,7 +136,7 @@ def bpe_pieces(docs: DataFrame, path: str, size: int, end_id: int, id_col: str =
         from pyspark import TaskContext
 
         codec, part_id, seen = live(IdMemo, shared), TaskContext.get().partitionId(), [0] * (size + 1)
-        for part in row_slices(batches):
+        for part in row_slices(batches, size=TEXTS):
             rows = []
             for doc, ids in zip(part.column(0).to_pylist(), codec.id_arrays([t or "" for t in part.column(1).to_pylist()])):
                 ids = np.append(ids, np.array(end_id, "<u4"))

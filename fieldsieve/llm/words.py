@@ -72,13 +72,13 @@ def give_back() -> None:
         _trim(0)
 
 
-def row_slices(batches: Iterator[pa.RecordBatch], text: str = "text", rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each part has about ROWS_BYTES of text and `rows` rows at most, or one row."""
+def row_slices(batches: Iterator[pa.RecordBatch], text: str = "text", rows: int = 1 << 30, size: int = ROWS_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each part has about `size` bytes of text and `rows` rows at most, or one row."""
     for batch in batches:
         _, at = column_bytes(batch.column(batch.schema.get_field_index(text)))
         row = 0
         while row < batch.num_rows:
-            to = min(row + rows, max(row + 1, int(np.searchsorted(at, at[row] + ROWS_BYTES, "right")) - 1))
+            to = min(row + rows, max(row + 1, int(np.searchsorted(at, at[row] + size, "right")) - 1))
             yield batch.slice(row, to - row)
             row = to
     give_back()
