@@ -34,6 +34,8 @@ LEVELS = (1, 4, 16)
 LARGE = 1 << 24
 #: Pairs are judged one by one, not as a table, where fewer than one in so many is left.
 SPARSE = 16
+#: Products are made for all pairs of a block where one in so many is asked for.
+DENSE = 8
 
 
 class Statistics:
@@ -84,8 +86,12 @@ def whole(v: float, scale: int) -> int:
 
 
 def exact_products(q: Vectors, i: np.ndarray, c: Vectors, j: np.ndarray, scale: int) -> np.ndarray:
-    """Inner products of pairs; what 64 bits can't hold is clipped."""
-    out = np.concatenate([np.einsum("ij,ij->i", q.x[i[k : k + 65536]], c.x[j[k : k + 65536]]) for k in range(0, len(i), 65536)]) if len(i) else np.zeros(0, np.int64)
+    """Inner products of pairs; what 64 bits can't hold is clipped. Where most pairs are asked for, all are made at once, in doubles that hold every sum exactly."""
+    most = float(np.abs(q.x).max(initial=0)) * float(np.abs(c.x).max(initial=0)) * max(1, q.x.shape[1])
+    if len(i) * DENSE > len(q.ids) * len(c.ids) and most < 1 << 53:
+        out = (q.x.astype(np.float64) @ c.x.astype(np.float64).T)[i, j].astype(np.int64)
+    else:
+        out = _pair_products(q, i, c, j)
     top = np.iinfo(np.int64)
     for k in np.flatnonzero(q.large[i] | c.large[j]).tolist():
         total = sum(whole(a, scale) * whole(b, scale) for a, b in zip(q.raw[i[k]].tolist(), c.raw[j[k]].tolist()))
@@ -93,6 +99,10 @@ def exact_products(q: Vectors, i: np.ndarray, c: Vectors, j: np.ndarray, scale:
     return out
 
 
+def _pair_products(q: Vectors, i: np.ndarray, c: Vectors, j: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.einsum("ij,ij->i", q.x[i[k : k + 65536]], c.x[j[k : k + 65536]]) for k in range(0, len(i), 65536)]) if len(i) else np.zeros(0, np.int64)
+
+
 class Best:
     """The k best (score, id) of each query so far, and what each query's have to reach at least."""
 
