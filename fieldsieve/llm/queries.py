@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import spread
 from . import language_id, toxicity
 from .bpe_codec import bpe_digests
+from .collocations import collocations
+from .fingerprints import fingerprint_digests
+from .merkle_manifest import manifest_digests
 from .near_dedup import near_duplicates
 from .packing import packed_documents
 from .pii import pii_digests
@@ -79,6 +84,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digests(_table(spark, sf_dir, "documents"), window=20)
 
 
+def op11_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprint_digests(_table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of two to four words of each language."""
+    return collocations(_table(spark, sf_dir, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and checked proofs of all documents."""
+    return manifest_digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_segment_topk": op1_segment_topk,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -90,9 +110,64 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_merkle_fingerprints": op11_merkle_fingerprints,
+    "op12_collocations": op12_collocations,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')"
+#: Op11's patterns, once more for the SQL.
+_SECTION, _PARAGRAPH = r"(?:[^\n]+\n){0,15}(?:[^\n]*\n+|[^\n]+)", r"[^\n]*\n+|[^\n]+"
+_SENTENCE, _RUN, _FOURS = r"[^.!?\n]{0,200}[.!?\n]+ *|[^.!?\n]{1,200}", r"(?:[^ \n]{0,200}[ \n]+){1,3}|[^ \n]{1,200}", r"[^\n]{1,4}|\n+"
+
+
+def _fingerprint_sql(text: str) -> str:
+    def head(piece: str, rest: str) -> str:
+        return f"""list_transform([list_transform(regexp_extract_all({text}, '{_SECTION}'), lambda s: list_transform(regexp_extract_all(s, '{_PARAGRAPH}'), lambda p: list_transform(regexp_extract_all(p, '{piece}'), lambda x: sha256(x))))], lambda t:
+ sha256(array_to_string(list_transform(t, lambda s: sha256(array_to_string(list_transform(s, lambda p: sha256(array_to_string(p, ''))), ''))), ''))
+ || array_to_string(list_transform(t, lambda s: '/' || sha256(array_to_string(list_transform(s, lambda p: sha256(array_to_string(p, ''))), ''))[1:16] || array_to_string(list_transform(s, lambda p: '.' || sha256(array_to_string(p, ''))[1:12] || 'x' || len(p)), '')), '')
+ || '|' || {rest})[1]"""
+
+    leaves = "array_to_string(list_transform(flatten(flatten(t)), lambda x: x[1:8]), '')"
+    runs = f"array_to_string(list_transform(flatten(list_transform(regexp_extract_all({text}, '{_PARAGRAPH}'), lambda p: regexp_extract_all(p, '{_RUN}'))), lambda x: sha256(x)[1:8]), '')"
+    short = lambda piece: head(piece, leaves + " || '|'")
+    long = head(_SENTENCE, f"CASE WHEN length({text}) <= 2048 THEN {runs} ELSE '' END || '|' || {leaves}")
+    return f"CASE WHEN length({text}) <= 64 THEN {short(_FOURS)} WHEN length({text}) <= 1024 THEN {short(_RUN)} ELSE {long} END"
+
+
+def _likeness_sql(a: str, b: str) -> str:
+    def dice(part: Callable[[str], str]) -> str:
+        n = f"(len({part(a)}) + len({part(b)}))"
+        return f"CASE WHEN {n} > 0 THEN 2.0::DOUBLE * len(list_intersect({part(a)}, {part(b)})) / {n} ELSE 0.0 END"
+
+    leaves = lambda k: lambda v: f"list_distinct(regexp_extract_all(string_split({v}, '|')[{k}], '[0-9a-f]{{8}}'))"
+    paragraphs = lambda v: f"list_distinct(regexp_extract_all(string_split({v}, '|')[1], '\\.[0-9a-f]{{12}}'))"
+    has = lambda k: f"string_split({a}, '|')[{k}] <> '' AND string_split({b}, '|')[{k}] <> ''"
+    return f"CASE WHEN {a}[1:64] = {b}[1:64] THEN 1.0::DOUBLE WHEN {has(2)} THEN {dice(leaves(2))} WHEN {has(3)} THEN {dice(leaves(3))} ELSE {dice(paragraphs)} END"
+
+
+def _crc_parity_sql(text: str) -> str:
+    """Whether 2 divides the crc32 of a text of digits; two table steps a byte, the table by its rule."""
+
+    def entry(i: int) -> int:
+        for _ in range(4):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        return i
+
+    table = f"[{', '.join(str(entry(i)) for i in range(16))}]"
+    step = lambda c, b: f"xor({c} >> 4, {table}[CAST(xor({c}, {b}) & 15 AS BIGINT) + 1])"
+    whole = step(step("c", "b"), "(b >> 4)")
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: {whole}), 4294967295) % 2 = 0"
+
+
+def _leaf_sql(text: str) -> str:
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    return f"sha256({' || '.join(field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+_SHAPE, _PARS = "/[0-9a-f]{16}", r"\.[0-9a-f]{12}"
+_UP = "list_transform(range(0, len(row), 3), lambda i: sha256(array_to_string(row[i + 1:i + 3], '')))"
+_HOLE = "list_transform(range(i // CAST(pow(3, {t}.level) AS BIGINT) // 3 * 3, least(i // CAST(pow(3, {t}.level) AS BIGINT) // 3 * 3 + 3, len({t}.row))), lambda x: CASE WHEN x = i // CAST(pow(3, {t}.level) AS BIGINT) THEN '.' ELSE {t}.row[x + 1] END)"
 
 ORACLE_SQL: dict[str, str] = {
     "op1_segment_topk": """
@@ -142,4 +217,40 @@ x2 AS (SELECT doc_id, list(i) AS gone FROM x GROUP BY doc_id),
 k AS (SELECT w.doc_id, w, coalesce(gone, []) AS gone FROM w LEFT JOIN x2 ON x2.doc_id = w.doc_id),
 y AS (SELECT doc_id, w, gone, list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)) AS stay FROM k)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(list_select(w, stay), ' '), '')) AS kept_sha256 FROM y""",
+    "op11_merkle_fingerprints": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, length(text) AS n, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS next FROM d),
+e AS (SELECT doc_id, n, text, next, text[1:n - n // 2] || next[1:n // 2] AS edited FROM n),
+f AS (SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, {_fingerprint_sql("text")} AS fingerprint, {_fingerprint_sql("edited")} AS edited_fingerprint, {_fingerprint_sql("next")} AS of_next FROM e),
+s AS (SELECT *, string_split(fingerprint, '|')[1] AS a, string_split(edited_fingerprint, '|')[1] AS b FROM f)
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, {_likeness_sql("fingerprint", "edited_fingerprint")} AS near_edited, {_likeness_sql("fingerprint", "of_next")} AS near_next,
+ CASE WHEN a[1:64] = b[1:64] THEN 0 ELSE CAST(len(list_filter(flatten(list_transform(list_filter(regexp_extract_all(a, '/[^/|]*'), lambda x: NOT list_contains(regexp_extract_all(b, '{_SHAPE}'), x[1:17])), lambda x: regexp_extract_all(x, '{_PARS}'))), lambda p: NOT list_contains(regexp_extract_all(b, '{_PARS}'), p))) AS BIGINT) END AS n_edited
+FROM s""",
+    "op12_collocations": r"""
+WITH RECURSIVE t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM t),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+z AS (SELECT lang, unnest(list_zip(w, w[2:], w[3:], w[4:])) AS z FROM w),
+g AS (SELECT lang, unnest([z[1], z[1] || ' ' || z[2], z[1] || ' ' || z[2] || ' ' || z[3], z[1] || ' ' || z[2] || ' ' || z[3] || ' ' || z[4]]) AS phrase FROM z),
+f AS (SELECT lang, phrase, len(string_split(phrase, ' ')) AS size, count(*) AS f FROM g WHERE phrase IS NOT NULL GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w, size, unnest(range(1, size)) AS k FROM f WHERE size > 1),
+s AS (SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * a // (x.f + y.f) AS BIGINT) AS score FROM c
+      JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:], ' ')),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS j FROM s),
+i AS (SELECT lang, f, unnest(list_distinct(flatten(list_transform(range(2, size), lambda k: list_transform(range(1, size - k + 2), lambda i: array_to_string(string_split(phrase, ' ')[i:i + k - 1], ' ')))))) AS phrase FROM f WHERE size > 2),
+m AS (SELECT lang, phrase, max(f) AS most FROM i GROUP BY ALL),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN m ON m.lang = b.lang AND m.phrase = b.phrase WHERE j = 1 AND (most IS NULL OR 100 * most < 80 * a))
+SELECT o.lang, rank, phrase, a, l, r, n, score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000""",
+    "op13_merkle_manifest": f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, {_leaf_sql("text")} AS leaf, CASE WHEN {_crc_parity_sql("CAST(doc_id AS VARCHAR)")} THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END AS tampered FROM documents),
+x AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+t AS (SELECT source, 0 AS level, list(leaf ORDER BY i) AS row FROM x GROUP BY source UNION ALL SELECT source, level + 1, {_UP} FROM t WHERE len(row) > 1),
+o AS (SELECT source, level AS top, row[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i FROM t WHERE len(row) = 1),
+u AS (SELECT 0 AS level, list(subroot ORDER BY i) AS row FROM o UNION ALL SELECT level + 1, {_UP} FROM u WHERE len(row) > 1),
+r AS (SELECT row[1] AS root FROM u WHERE len(row) = 1),
+p AS (SELECT x.source, x.i, list(array_to_string({_HOLE.replace("{t}", "t").replace("i //", "x.i //").replace("x = x.i", "x = i")}, '') ORDER BY t.level) AS path FROM x JOIN t ON t.source IS NOT DISTINCT FROM x.source AND len(t.row) > 1 GROUP BY ALL),
+q AS (SELECT o.source, list(array_to_string({_HOLE.replace("{t}", "u")}, '') ORDER BY u.level) AS path FROM o JOIN u ON len(u.row) > 1 GROUP BY ALL),
+a AS (SELECT x.*, o.subroot, coalesce(p.path, []) || coalesce(q.path, []) AS path FROM x JOIN o ON o.source IS NOT DISTINCT FROM x.source LEFT JOIN p ON p.source IS NOT DISTINCT FROM x.source AND p.i = x.i LEFT JOIN q ON q.source IS NOT DISTINCT FROM x.source),
+b AS (SELECT *, list_reduce(list_prepend(tampered, path), lambda node, run: sha256(replace(run, '.', node))) AS folded_root FROM a)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(path, ''), '.', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM b, r""",
 }
