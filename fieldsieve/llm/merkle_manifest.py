@@ -215,6 +215,8 @@ def proofs(rows: DataFrame, order: list[str], kept: str, fan_out: int, above: Ca
         found = found.unionByName(x.select(found.columns))
     keyed = found.rdd.map(lambda r: (r.part, ((bytes(r.grp), r.level, r.idx), (r.up, r.subroot, r.root))))
     beside = keyed.partitionBy(shards.getNumPartitions(), int).mapPartitions(lambda it: [dict(x for _, x in it)])
+    if more := beside.getNumPartitions() - shards.getNumPartitions():  # a session may deal keyed rows to more partitions than it is asked for
+        shards = shards.union(spark.sparkContext.parallelize(range(more), more).map(lambda _: (-1, [])))
 
     def finished(pair) -> Iterator[tuple]:
         (part, blobs), known = pair
@@ -225,8 +227,7 @@ def proofs(rows: DataFrame, order: list[str], kept: str, fan_out: int, above: Ca
                 path, level, idx = paths[start + i]
                 yield *shard.kept[at + i], shard.leaf[at + i], *known[g, level, idx][1:], path
 
-    out = spark.createDataFrame(shards.zip(beside).flatMap(finished), f"{kept}, leaf string, subroot string, root string, proof array<string>", verifySchema=False)
-    return out
+    return spark.createDataFrame(shards.zip(beside).flatMap(finished), f"{kept}, leaf string, subroot string, root string, proof array<string>", verifySchema=False)
 
 
 def _one_tree(roots: DataFrame, fan_out: int) -> DataFrame:
