@@ -21,5 +21,5 @@ def with_value(rows: DataFrame, table: DataFrame, keys: list[str], value: str, n
     light = table.filter(F.col(n) <= limit).select(*[F.col(k).alias(o) for k, o in zip(keys, others)], F.col(value).alias("of_light"))
     known = F.col("of_heavy").isNotNull()
     out = rows.join(heavy, keys, "left")
-    out = out.withColumns({o: F.when(known, F.xxhash64(F.lit(k), *spread)).otherwise(F.col(k)) for k, o in zip(keys, others)})
+    out = out.withColumns({o: F.when(known, F.xxhash64(F.lit(k), *spread).cast(rows.schema[k].dataType)).otherwise(F.col(k)) for k, o in zip(keys, others)})
     return out.join(light, others, "left").withColumn(value, F.coalesce("of_heavy", "of_light")).drop(*others, "of_heavy", "of_light")
