@@ -38,14 +38,14 @@ def pieces(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", brea
     return rows.select("lang", F.trim("piece").alias("piece")).filter("piece <> ''").groupBy("lang", "piece").agg(F.count("*").alias("times"))
 
 
-def words_of(found: DataFrame, longest: int) -> DataFrame:
-    """(lang, words, own, times): the words of each piece, and how many of them n-grams may start at; long pieces in overlapping parts."""
-    words, n = F.split("piece", " "), F.size("words")
-    part = lambda at: F.struct(F.slice("words", at, F.lit(PART + longest - 1)).alias("words"), F.least(F.lit(PART), n - at + 1).alias("own"))
-    whole = F.array(F.struct(F.col("words"), n.alias("own")))
-    rows = found.select("lang", words.alias("words"), "times")
-    parts = F.when(n <= PART, whole).otherwise(F.transform(F.sequence(F.lit(1), n, F.lit(PART)), part))
-    return rows.select("lang", F.explode(parts).alias("part"), "times").select("lang", "part.words", "part.own", "times")
+def parts_of(found: DataFrame, longest: int) -> DataFrame:
+    """(lang, piece, own, times): how many words of each piece n-grams may start at, null for all; long pieces in overlapping parts."""
+    words = F.split("piece", " ")
+    n = F.size(words)
+    part = lambda at: F.struct(F.array_join(F.slice(words, at, F.lit(PART + longest - 1)), " ").alias("piece"), F.least(F.lit(PART), n - at + 1).alias("own"))
+    short = found.filter(F.length("piece") <= 2 * PART).select("lang", "piece", F.lit(None).cast("int").alias("own"), "times")
+    long = found.filter(F.length("piece") > 2 * PART).select("lang", F.explode(F.transform(F.sequence(F.lit(1), n, F.lit(PART)), part)).alias("part"), "times")
+    return short.unionByName(long.select("lang", "part.piece", "part.own", "times"))
 
 
 def _duck(sql: str, may: Broadcast | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -78,10 +78,10 @@ def _slot(phrase: str) -> str:
 
 def _grams_sql(sizes: range) -> str:
     """SQL for the phrases of these sizes that start at each place, with their weights; words and pairs in them have to be such that may() holds."""
-    n = sizes.stop - 1
+    n, split = sizes.stop - 1, "(SELECT lang, times, words, coalesce(own, len(words)) AS own FROM (SELECT lang, times, own, string_split(piece, ' ') AS words FROM rows))"
     if n == 1:
-        return "SELECT lang, phrase, CAST(sum(times) AS BIGINT) AS n FROM (SELECT lang, unnest(words[1:own]) AS phrase, times FROM rows) GROUP BY ALL"
-    zipped = f"SELECT lang, times, unnest(list_zip({', '.join(f'words[{k}:own + {k - 1}]' for k in range(1, n + 1))})) AS z FROM rows"
+        return f"SELECT lang, phrase, CAST(sum(times) AS BIGINT) AS n FROM (SELECT lang, unnest(words[1:own]) AS phrase, times FROM {split}) GROUP BY ALL"
+    zipped = f"SELECT lang, times, unnest(list_zip({', '.join(f'words[{k}:own + {k - 1}]' for k in range(1, n + 1))})) AS z FROM {split}"
     known = 1 if sizes.start == 2 else 2
     gram = lambda a, k: " || ' ' || ".join(f"z[{i}]" for i in range(a, a + k))
     seen = {a: f"(z[{a + known - 1}] IS NOT NULL AND may({_slot(gram(a, known))}))" for a in range(1, n - known + 2)}
@@ -115,12 +115,12 @@ def _may_hold(frequent: DataFrame) -> Broadcast:
 
 def frequent_phrases(found: DataFrame, longest: int, least: int) -> DataFrame:
     """(lang, phrase, size, f): every phrase of 1 to `longest` words that stands `least` times or more in the pieces, with its exact count."""
-    words, may, levels = words_of(found, longest), None, []
+    parts, may, levels = parts_of(found, longest), None, []
     total = f"SELECT lang, phrase, CAST(sum(n) AS BIGINT) AS f, {_slot('phrase')} AS slot FROM rows GROUP BY ALL HAVING sum(n) >= {least}"
     for sizes in (range(1, 2), range(2, 3), range(3, longest + 1)):
         if not len(sizes) or sizes.start > longest:
             break
-        sums = words.mapInArrow(_duck(_grams_sql(sizes), may), "lang string, phrase string, n long").repartition("lang", "phrase")
+        sums = parts.mapInArrow(_duck(_grams_sql(sizes), may), "lang string, phrase string, n long").repartition("lang", "phrase")
         level = cut(sums.mapInArrow(_duck(total), "lang string, phrase string, f long, slot long"), f"grams-{sizes.start}")
         levels.append(level)
         may = _may_hold(level) if sizes.start < 3 else None
