@@ -6,8 +6,9 @@ prescribes stays (a country code, an exchange of 555, valid check digits, octets
 reserved kind). A permutation has no collisions and this one no fixed points, so different entities keep different
 surrogates and one entity has the same everywhere, without a table of entities. Names are spelt in syllables of their
 script; a surname has one form whatever the honorific, a given name an ending of the gender that honorifics in the text
-tell. Other mentions of a name's words in the same text are replaced as well. Case doesn't tell addresses apart. The
-operators fail where two entities of a corpus share a surrogate (`distinct`); `collisions` lists such.
+tell. Other mentions of a name's words in the same text are replaced as well, in capitals too. Case doesn't tell addresses
+apart, nor the script of digits cards, accounts and phones. One pass makes the surrogates and stores what stands for what;
+where two entities of a corpus share a surrogate all the same, theirs are made anew under keys of their own (`distinct`).
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ import ipaddress
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from .lineage import unused
+from .lineage import cut, unused
 from .words import new_lengths, row_slices
 
 KEY = b"fieldsieve surrogates"
@@ -38,18 +41,17 @@ PATTERNS = {
     "key": r"(?<![\w-])(?P<prefix>AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|AIza)(?P<key>[A-Za-z0-9_-]{16,})(?!\w)",
     "secret": r"(?i:\b(?:api[_-]?key|access[_-]?key|token|secret|password|passwd|pwd)\b\s*[=:]\s*[\"']?)(?P<secret>[A-Za-z0-9+/_-]{8,})",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "card": r"(?<![\w.])(?:\d{16}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})(?!\w|\.\d)",
+    "card": r"(?<![\w.])(?:\d{16}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|3[47]\d{13}|3[47]\d{2}([ -])\d{6}\2\d{5})(?!\w|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
     "ip6": r"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])",
-    "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|(?<=[\d .-])\d{2,4}[ .-]\d{3,4}[ .-]\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w|\.\d)",
+    "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|(?<=[\d .-])\d{2,4}[ .-]\d{3,4}[ .-]\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4}|(?<=\+)\d{8,15}|0\d{1,4}[ /-]\d{5,8})(?!\w|\.\d)",
     "hex": r"(?<!\w)(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{32,64}(?!\w)",
-    "name": r"\b(?P<honorific>Mr|Mister|Mrs|Ms|Miss|Madam|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr)\b(?P<gap>\.? +)(?P<name>[^\W\d_a-z](?:\w|['’](?=[^\W\d_a-z]))+(?:[ -][^\W\d_a-z](?:\w|['’](?=[^\W\d_a-z]))+)?)",
+    "name": r"\b(?P<honorific>Mr|Mister|Mrs|Ms|Miss|Madam|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr)\b(?P<gap>\.? +)(?P<name>(?:[^\W\d_a-z]\. ?){0,3}(?:(?:van|von|der|den|de|del|della|di|da|du|la|le|ten|ter|zu|bin|ibn) ){0,3}[^\W\d_a-z](?:\w|['’](?=[^\W\d_a-z]))+(?:[ -][^\W\d_a-z](?:\w|['’](?=[^\W\d_a-z]))+)?)",
 }
 _EACH = {k: re.compile(p) for k, p in PATTERNS.items()}
 #: Every entity but a name or a key holds one of these; a name begins with a honorific.
-_MARKS = "0123456789@=:"
-_MARK = re.compile("[0-9@=:]+")
+_MARK, _ASCII_MARK = re.compile(r"[\d@=:]+"), re.compile("[0-9@=:]+")
 _HONORIFIC = [f"{x}{y}" for x in "Mr Mister Mrs Ms Miss Madam Dr Prof Herr Frau Monsieur Madame Mme Señora Señor Sra Sr".split() for y in " ."]
 #: Keys may hold no mark.
 _PREFIXES = ["AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox", "AIza"]
@@ -79,7 +81,7 @@ class Entity:
 
 def _places(text: str) -> list[tuple[int, int]]:
     """Parts of the text where an entity can be: _REACH characters around each mark or honorific, up to white space."""
-    at = [m.span() for m in _MARK.finditer(text)] if any(c in text for c in _MARKS) else []
+    at = [m.span() for m in (_ASCII_MARK if text.isascii() else _MARK).finditer(text)]
     for h in (*_HONORIFIC, *_PREFIXES):
         k = text.find(h)
         while k >= 0:
@@ -280,18 +282,18 @@ def _cased(pattern: str, value: str) -> str:
 def _name(key: bytes, value: str, gender: str) -> str:
     """Each word by itself; the last is the surname, which has no gender."""
     words = re.split(r"([ -])", value)
-    return "".join(w if w in (" ", "-", "") else _word_name(key, w, gender if k + 1 < len(words) else "") for k, w in enumerate(words))
+    return "".join(w if w in (" ", "-", "") or w.islower() else _word_name(key, w, gender if k + 1 < len(words) else "") for k, w in enumerate(words))
 
 
 def _iban(key: bytes, value: str) -> str:
-    """The account is permuted; check digits that are right stay so, and wrong ones stay as far from the right ones."""
-    flat = value.replace(" ", "")
+    """The account is permuted; check digits that are right stay so, and wrong ones stay as far from the right ones. Digits keep their scripts."""
+    flat = _ascii_digits(value.replace(" ", ""))
     right = lambda account: 98 - int("".join(str(int(c, 36)) for c in account + flat[:2] + "00")) % 97
     account, check = same_shape(key, "iban" + flat[:2], flat[4:]), int(flat[2:4])
     if 2 <= check <= 98:
         check = (right(account) - 2 + check - right(flat[4:])) % 97 + 2
     new = iter(f"{flat[:2]}{check:02d}{account}")
-    return "".join(c if c == " " else next(new) for c in value)
+    return _scripts("".join(c if c == " " else next(new) for c in value), value)
 
 
 def _small(value: str) -> str:
@@ -300,18 +302,23 @@ def _small(value: str) -> str:
 
 
 def _ascii_digits(value: str) -> str:
-    return re.sub(r"\d", lambda m: str(int(m[0])), value)
+    return value if value.isascii() else re.sub(r"\d", lambda m: str(int(m[0])), value)
+
+
+def _scripts(value: str, like: str) -> str:
+    """`value` with each digit in the script of the digit that `like` has there."""
+    return value if like.isascii() else "".join(chr(ord(c) - unicodedata.digit(c) + int(v)) if v.isdecimal() and c.isdecimal() else v for v, c in zip(value, like))
 
 
 def surrogate(e: Entity, key: bytes = KEY) -> str:
     """The replacement of an entity; equal values of one kind get equal ones, upper and lower case apart."""
     v = e.value
     if e.kind == "card":
-        digits = re.sub(r"\D", "", v)
+        digits = _ascii_digits(re.sub(r"\D", "", v))
         off = (int(digits[-1]) - _luhn(digits[:-1])) % 10
         body = same_shape(key, "card", digits[:-1])
         new = iter(body + str((_luhn(body) + off) % 10))
-        return re.sub(r"\d", lambda m: next(new), v)
+        return _scripts(re.sub(r"\d", lambda m: next(new), v), v)
     if e.kind == "ip":
         parts = moved(key, "ip", [int(x) for x in v.split(".")], [256] * 4)
         return ".".join(map(str, parts))
@@ -364,23 +371,37 @@ def _gendered(found: list[Entity]) -> list[Entity]:
     return [replace(e, gender=min(g)) if e.kind == "name" and not e.gender and len(g := known.get(surname(e), ())) == 1 else e for e in found]
 
 
+#: A word that can be a mention, with what may follow an apostrophe.
+_WORD = re.compile(r"(?<![\w@.-])[^\W\d_a-z]\w*(?:['’]\w+)*")
+_APOSTROPHE = re.compile("['’]")
+
+
 def _mentions(text: str, found: list[Entity], key: bytes) -> list[tuple[Entity, str]]:
-    """All entities with their surrogates, and other mentions of the words of names, in order; the first name that has a word tells its surrogate."""
+    """All entities with their surrogates, and other mentions of the words of names, in order; the first name that has a word tells its surrogate.
+
+    One pass over the words of the text, each looked up, so the time follows the text, however many names it has. A mention may be in capitals.
+    """
     pairs = [(e, surrogate(e, key)) for e in found]
     words: dict[str, str] = {}
     for e, s in pairs:
         if e.kind == "name":
             for w, x in zip(re.split("[ -]", e.value), re.split("[ -]", s)):
-                if len(w) > 1:
-                    words.setdefault(w, x)
+                if len(w) > 1 and not w.islower() and "." not in w:
+                    words.setdefault(w.casefold(), x)
     if not words:
         return pairs
     taken, at, out = [(e.begin, e.end) for e in found], 0, []
-    for m in re.finditer(r"(?<![\w@.-])(?:" + "|".join(map(re.escape, sorted(words, key=len, reverse=True))) + r")(?![\w@])", text):
+    for m in _WORD.finditer(text):
+        ends = [m.end(), *(m.start() + k.start() for k in reversed(list(_APOSTROPHE.finditer(m[0]))))]
+        end = next((k for k in ends if text[m.start() : k].casefold() in words), 0)
+        if not end or text[end : end + 1] == "@":
+            continue
         while at < len(taken) and taken[at][1] <= m.start():
             at += 1
-        if at == len(taken) or taken[at][0] >= m.end():
-            out.append((Entity("name", m.start(), m.end(), m[0]), words[m[0]]))
+        if at == len(taken) or taken[at][0] >= end:
+            w = text[m.start() : end]
+            new = words[w.casefold()]
+            out.append((Entity("name", m.start(), end, w), new.upper() if w.isupper() else new))
     return sorted(pairs + out, key=lambda x: x[0].begin)
 
 
@@ -396,24 +417,106 @@ def replaced(text: str | None, key: bytes = KEY) -> tuple[str | None, list[tuple
     return "".join(out), pairs
 
 
+def _plain(value: str) -> str:
+    return _ascii_digits(re.sub("[ -]", "", value))
+
+
+def _identity(e: Entity) -> bytes:
+    """What makes an entity: case doesn't count in names and mail addresses, leading zeros don't in addresses, nor the script of digits in phones, cards and accounts, nor gaps in the last two."""
+    same = {"name": str.casefold, "email": _small, "ip6": lambda v: ipaddress.IPv6Address(v).exploded, "ip": lambda v: ".".join(str(int(x)) for x in v.split(".")), "phone": _ascii_digits, "card": _plain, "iban": _plain}
+    v = same[e.kind](e.value) if e.kind in same else e.value
+    return v.encode("utf-8", "replace")
+
+
+def _spelling(e: Entity, s: str) -> str:
+    """A surrogate as far as it tells entities apart."""
+    return _small(s) if e.kind in ("email", "ip6", "name") else _plain(s) if e.kind in ("card", "iban") else _ascii_digits(s) if e.kind == "phone" else s
+
+
+def _marks(pairs: list[tuple[Entity, str]]) -> list[dict]:
+    """Where the surrogates stand in the new text, with a hash of each and one of its entity."""
+    out, moved_by = [], 0
+    for e, s in pairs:
+        begin = e.begin + moved_by
+        moved_by += len(s) - len(e.value)
+        name = hashlib.blake2b(f"{e.kind}\x1f{_spelling(e, s)}".encode("utf-8", "replace"), digest_size=16).digest()
+        entity = int.from_bytes(hashlib.blake2b(_identity(e), digest_size=8).digest(), "big", signed=True)
+        out.append({"kind": e.kind, "begin": begin, "end": begin + len(s), "name": name, "entity": entity})
+    return out
+
+
+_MARK_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int32()), ("end", pa.int32()), ("name", pa.binary()), ("entity", pa.int64())]))
+_MARK_SQL = "array<struct<kind:string,begin:int,end:int,name:binary,entity:bigint>>"
+#: How often surrogates that are shared are made anew before their kinds stand for them.
+TRIES = 4
+
+
+def _remade(text: str, marks: list[dict], shared: set[bytes], key: bytes, last: bool) -> tuple[str, list[dict]]:
+    """The text with the shared surrogates made anew, each under a key of its entity; by their kinds in the `last` try."""
+    pairs = []
+    for m in marks:
+        e = Entity(m["kind"], m["begin"], m["end"], text[m["begin"] : m["end"]])
+        pairs.append((e, (f"[{e.kind}]" if last else surrogate(e, key + m["entity"].to_bytes(8, "big", signed=True))) if m["name"] in shared else e.value))
+    out, at = [], 0
+    for e, s in pairs:
+        out += [text[at : e.begin], s]
+        at = e.end
+    new = [{**x, "entity": m["entity"]} for x, m in zip(_marks(pairs), marks) if not (last and m["name"] in shared)]
+    return "".join([*out, text[at:]]), new
+
+
+def distinct(rows: DataFrame, text_col: str, marks: str, key: bytes = KEY, size_col: str = "") -> DataFrame:
+    """`rows`, stored, with texts in which no surrogate stands for two entities of the table; the column `marks` tells where they are, and goes; `size_col` has lengths.
+
+    Surrogates differ by construction, so that one grouping of the stored hashes is all that is done. Should some be shared (a spelling that two
+    entities have), the rows that hold them are found by a join, and theirs are made anew from their entities' hashes; nothing fails.
+    """
+    own, size_at = unused(rows, "row"), rows.columns.index(size_col) if size_col else -1
+    table = cut(rows.withColumn(own, F.monotonically_increasing_id()), "surrogates")
+    for k in range(TRIES):
+        each = table.select(F.col(own).alias("r"), F.explode(marks).alias("m")).select("r", "m.name", "m.entity")
+        shared = each.groupBy("name").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi")).filter("lo <> hi").select("name")
+        shared = cut(shared, "shared")
+        if not shared.limit(1).count():
+            break
+        hit = cut(each.join(shared, "name", "left_semi").groupBy("r").agg(F.collect_set("name").alias("names")), "hit")
+        names = unused(table, "names")
+        joined = table.join(hit.select(F.col("r").alias(own), F.col("names").alias(names)), own, "left").select(*table.columns, names)
+        at, mark_at, last = table.columns.index(text_col), table.columns.index(marks), k == TRIES - 1
+
+        def run(batches: Iterator[pa.RecordBatch], at=at, mark_at=mark_at, last=last, k=k) -> Iterator[pa.RecordBatch]:
+            for part in row_slices(batches, text_col):
+                columns = list(part.columns)
+                texts, marked, shares = columns[at].to_pylist(), columns[mark_at].to_pylist(), columns.pop().to_pylist()
+                new = [_remade(t, m, set(x), key + bytes([k + 1]), last) if x else (t, m) for t, m, x in zip(texts, marked, shares)]
+                if size_at >= 0:
+                    columns[size_at] = pa.array(new_lengths(texts, [t for t, _ in new], columns[size_at].to_pylist()), part.schema.field(size_at).type)
+                columns[at], columns[mark_at] = pa.array([t for t, _ in new], part.schema.field(at).type), pa.array([m for _, m in new], _MARK_TYPE)
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names[:-1])
+
+        table = cut(joined.mapInArrow(run, table.schema), "surrogates")
+    return table.drop(marks, own)
+
+
 def replace_entities(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
     """`docs` with surrogates in the text; columns and rows stay as they are, nulls and empty texts too.
 
     A column n_chars of the table is set to the new text's length where it was the old one's. No name of a column of `docs` is taken.
     """
-    at, schema = docs.columns.index(text_col), docs.schema
+    at, schema, marks = docs.columns.index(text_col), docs.schema, unused(docs, "marks")
     size_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in row_slices(batches, text_col):
             columns, old = list(part.columns), part.column(at).to_pylist()
-            new = [replaced(t, key)[0] for t in old]
+            made = [replaced(t, key) for t in old]
+            new = [t for t, _ in made]
             columns[at] = pa.array(new, part.schema.field(at).type)
             if size_at >= 0:
                 columns[size_at] = pa.array(new_lengths(old, new, part.column(size_at).to_pylist()), part.schema.field(size_at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([_marks(p) for _, p in made], _MARK_TYPE)], names=[*part.schema.names, marks])
 
-    return distinct(docs.mapInArrow(run, schema), docs, key, text_col)
+    return distinct(docs.mapInArrow(run, StructType([*schema.fields, StructField(marks, _parse_datatype_string(_MARK_SQL))])), text_col, marks, key, "n_chars" if size_at >= 0 else "")
 
 
 def pii_digests(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -426,48 +529,14 @@ def pii_digests(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in row_slices(batches):
             rows = [replaced(t, key) for t in part.column(1).to_pylist()]
-            kinds = []
-            for _, pairs in rows:
-                seen: dict[str, int] = {}
-                for e, _ in pairs:
-                    seen[e.kind] = seen.get(e.kind, 0) + 1
-                kinds.append([f"{k}:{n}" for k, n in sorted(seen.items())])
+            kinds = [[f"{k}:{n}" for k, n in sorted(Counter(e.kind for e, _ in pairs).items())] for _, pairs in rows]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([t for t, _ in rows], pa.string()), pa.array([len(p) for _, p in rows], pa.int64()), pa.array(kinds, pa.list_(pa.string()))], names=["doc_id", "text", "n_entities", "kinds"]
+                [part.column(0), pa.array([t for t, _ in rows], pa.string()), pa.array([len(p) for _, p in rows], pa.int64()), pa.array(kinds, pa.list_(pa.string())), pa.array([_marks(p) for _, p in rows], _MARK_TYPE)],
+                names=["doc_id", "text", "n_entities", "kinds", "marks"],
             )
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return distinct(base.mapInArrow(run, "doc_id long, text string, n_entities long, kinds array<string>"), docs, key, text_col)
-
-
-def _identity(e: Entity) -> bytes:
-    """What makes an entity: case doesn't count in names and mail addresses, leading zeros don't in addresses, nor the script of digits in phones."""
-    same = {"name": str.casefold, "email": _small, "ip6": lambda v: ipaddress.IPv6Address(v).exploded, "ip": lambda v: ".".join(str(int(x)) for x in v.split(".")), "phone": _ascii_digits}
-    v = same[e.kind](e.value) if e.kind in same else e.value
-    return v.encode("utf-8", "replace")
-
-
-def _spelling(e: Entity, s: str) -> str:
-    """A surrogate as far as it tells entities apart."""
-    return _small(s) if e.kind in ("email", "ip6", "name") else s
-
-
-def distinct(out: DataFrame, docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
-    """`out`, which fails when it is read if a surrogate stands for more than one entity of `docs`.
-
-    A second pass over the texts; each surrogate is a 16-byte hash, with the least and the greatest hash of its entities.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in row_slices(batches):
-            rows = list({(hashlib.blake2b(f"{e.kind}\x1f{_spelling(e, s)}".encode("utf-8", "replace"), digest_size=16).digest(), int.from_bytes(hashlib.blake2b(_identity(e), digest_size=8).digest(), "big", signed=True)) for t in part.column(0).to_pylist() for e, s in replaced(t, key)[1]})
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64())], names=["_surrogate", "_entity"])
-
-    pairs = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "_surrogate binary, _entity long")
-    name = unused(out, "shared")
-    shared = pairs.groupBy("_surrogate").agg(F.min("_entity").alias("_least"), F.max("_entity").alias("_most")).filter("_least <> _most").agg(F.count("*").alias(name))
-    failed = F.concat(F.col(name).cast("string"), F.lit(" surrogates stand for more than one entity; pii.collisions lists them"))
-    return out.crossJoin(F.broadcast(shared)).filter(F.assert_true(F.col(name) == 0, failed).isNull()).drop(name)
+    return distinct(base.mapInArrow(run, f"doc_id long, text string, n_entities long, kinds array<string>, marks {_MARK_SQL}"), "text", "marks", key)
 
 
 def collisions(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:

@@ -28,9 +28,6 @@ STEMS = (4, 5, 6, 7, 8)
 LEAST_DOCS = 4
 LEAST_ODDS = 3.0
 LEAST_SPARED = 3
-#: Letters of a word that can be learnt, and patterns that are learnt at most.
-LONGEST = 64
-PATTERNS = 50_000
 
 # Letters that look like a Latin one, and signs written for letters.
 LOOK_ALIKES = {
@@ -75,15 +72,23 @@ class Lexicon:
 
 
 def hits(automaton, text: str) -> list[tuple[int, int, float]]:
-    """(begin, end, weight) of the lexicon's matches that no exception phrase covers."""
+    """(begin, end, weight) of the lexicon's matches that no exception phrase covers. One sweep over both by where they begin, so the time follows the text and its matches."""
     if not len(automaton):
         return []
     found, spared = [], []
     for end, (w, n) in automaton.iter(text):
         (found if w else spared).append((end - n + 1, end + 1, w))
-    if spared:
-        found = [x for x in found if not any(a <= x[0] and x[1] <= b for a, b, _ in spared)]
-    return found
+    if not spared:
+        return found
+    spared.sort()
+    out, at, reach = [], 0, 0
+    for x in sorted(found):
+        while at < len(spared) and spared[at][0] <= x[0]:
+            reach = max(reach, spared[at][1])
+            at += 1
+        if reach < x[1]:
+            out.append(x)
+    return out
 
 
 def _features(automaton, text: str) -> tuple[float, float]:
@@ -92,8 +97,8 @@ def _features(automaton, text: str) -> tuple[float, float]:
 
 
 def patterns_of(text: str) -> set[str]:
-    """Words and beginnings of words of a folded text, each once; words of more than LONGEST letters are left out."""
-    words = {w for w in text.split() if len(w) <= LONGEST}
+    """Words and beginnings of words of a folded text, each once."""
+    words = set(text.split())
     return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in STEMS if len(w) >= k}
 
 
@@ -107,7 +112,7 @@ def phrases_of(automaton, text: str) -> set[str]:
             out.add(text[before : word_end + 1])
         if after >= 0:
             out.add(text[a : after + 1])
-    return {p for p in out if len(p) <= 3 * LONGEST}
+    return out
 
 
 def _odds(c1: float, c0: float, n1: int, n0: int) -> float:
@@ -171,10 +176,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int
     """(text, toxic) of about `sample` labelled rows of each class at most, none of the held-out fold.
 
     Rows are chosen by a hash of their id, at a rate that the counts of labels give, so nothing is sorted. Rows
-    without an id, a label or a text teach nothing; where an id is labelled twice, each label counts.
+    without an id, a label or a text teach nothing; where an id has both labels each counts, and equal ones count once.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).filter("label_id IS NOT NULL AND toxic IN (0, 1)")
-    known = known.filter(F.crc32(F.col("label_id").cast("string")) % folds != held)
+    known = known.filter(F.crc32(F.col("label_id").cast("string")) % folds != held).distinct()
     n = {int(r.toxic): r["count"] for r in known.groupBy("toxic").count().collect()}
     part = F.pmod(F.xxhash64("label_id"), F.lit(1 << 20))
     rate = F.when(F.col("toxic") == 1, min(1.0, sample / max(1, n.get(1, 0)))).otherwise(min(1.0, sample / max(1, n.get(0, 0))))
@@ -202,7 +207,8 @@ def _counts(rows: DataFrame, of) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, sample: int = SAMPLE) -> Lexicon:
     """Learns as `learn` does, from a bounded sample of labelled rows, whose texts stay on the executors.
 
-    To the driver come patterns and phrases, PATTERNS of each at most (the strongest), and two numbers a row.
+    To the driver come the patterns that at least LEAST_DOCS of the sampled toxic texts hold and that are strong, phrases around their hits that
+    LEAST_SPARED harmless ones hold, and two numbers a row: the sample's size bounds them, not the table's.
     """
     rows = cut(training_rows(docs, labels, folds, held, sample), "training")
     n = {int(r.toxic): r["count"] for r in rows.groupBy("toxic").count().collect()}
@@ -211,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, sampl
         return _one_class(n1)
     strong = F.log((F.col("c1") + 0.5) / (n1 + 1)) - F.log((F.col("c0") + 0.5) / (n0 + 1))
     found = _counts(rows, lambda: patterns_of).filter(F.col("c1") >= LEAST_DOCS).withColumn("odds", strong).filter(F.col("odds") >= LEAST_ODDS - 1e-6)
-    found = found.orderBy(F.desc("odds"), "pattern").limit(PATTERNS).collect()
+    found = found.collect()
     lexicon = Lexicon(chosen_weights({r.pattern: _odds(r.c1, r.c0, n1, n0) for r in found}))
     bare = Lexicon(lexicon.weights)
 
@@ -219,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, sampl
         automaton = bare.automaton()
         return lambda text: phrases_of(automaton, text)
 
-    calm = _counts(rows, spared).filter((F.col("c0") >= LEAST_SPARED) & (F.col("c1") == 0)).orderBy(F.desc("c0"), "pattern").limit(PATTERNS)
+    calm = _counts(rows, spared).filter((F.col("c0") >= LEAST_SPARED) & (F.col("c1") == 0))
     lexicon.exceptions = sorted(r.pattern for r in calm.collect())
     whole = Lexicon(lexicon.weights, lexicon.exceptions)
 
