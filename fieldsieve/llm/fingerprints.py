@@ -120,7 +120,7 @@ def _range_of(value: Column, bounds: list[int]) -> tuple[Column, Column]:
     longs = lambda xs: F.array(*map(F.lit, xs)).cast("array<bigint>")
     reached = lambda xs: F.size(F.filter(xs, lambda x: x >= value))
     table, full = F.array(*map(longs, blocks)), reached(longs([b[-1] for b in blocks]))
-    at = let(full, lambda k: k * F.lit(width) + F.coalesce(reached(F.get(table, k)), F.lit(0)) - 1)
+    at = let(full, lambda k: F.least(k * F.lit(width) + F.coalesce(reached(F.get(table, k)), F.lit(0)), F.lit(len(bounds))) - 1)  # the last block may be short
     return at, let(at, lambda i: F.get(F.get(table, F.floor(i / width).cast("int")), i % width) == value)
 
 
