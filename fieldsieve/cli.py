@@ -14,6 +14,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .operators import analysis, hierarchy, report, sink
+from .operators.once import new_store
 from .plans import analyze, catalog, check, collection, pages as page_checks, register, site
 from .sources import config, files, registry
 from .tables import cut
@@ -62,7 +63,8 @@ def _one(sources: DataFrame, id_: str) -> DataFrame:
 
 def _show(df: DataFrame, a, kind: str) -> list[dict]:
     """Prints the rows and writes them where --output says."""
-    rows = [json.loads(x) for x in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).limit(1000).toPandas().iloc[:, 0]]
+    # a report for one reader, whole; partition by partition, so that it need not fit into one result of the driver's
+    rows = [json.loads(r.row) for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row")).toLocalIterator()]
     print(json.dumps(rows, ensure_ascii=False, indent=1) if a.json else report.text_table(df))
     if a.output is not None:
         files.write_json_atomic(a.output or files.default_output(kind, a.source or "all"), json.dumps(rows, ensure_ascii=False))
@@ -131,8 +133,9 @@ def _collect(spark, a, orgs, sources) -> int:
     named, candidates = collection.collected(chosen, orgs, spark.read.parquet(a.fetched), files.read_state(spark, a.state), known, at, manual)
     named, candidates = cut(named, "sources"), cut(candidates, "candidates")  # read once, whatever is asked of them
     # the mock analyzer's results are never written, so a run that writes fails for each new candidate
-    said = candidates.filter("is_new").select("source_id", "url", F.lit(not a.write).alias("ok"), F.lit(False).alias("limit_hit")).distinct()
-    out, code = collection.commit(spark, a.state, cut(collection.run(named, candidates, said, limit, a.write, manual is not None), "outcomes"), at)
+    said = lambda rows: rows.select("source_id", "url", F.lit(not a.write).alias("ok"), F.lit(False).alias("limit_hit"))
+    outcomes = collection.run_in_waves(named, candidates, said, limit, new_store(spark, "run"), 8 * spark.sparkContext.defaultParallelism, a.write, manual is not None)
+    out, code = collection.commit(spark, a.state, cut(outcomes, "outcomes"), at)
     _show(out.orderBy("place"), a, "collection")
     if a.command == "collect:batch":
         print(report.text_table(collection.batch_totals(named, out)))

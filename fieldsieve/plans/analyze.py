@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import fingerprint, for_match, head_tail, priority
 from ..operators.analysis import Analyzers, choose_text, evidence_found
+from ..operators.once import called_once, new_store
 from ..operators.select import drop_low_if_any, slot_selection, water_fill
 from ..sources.config import Limits
 
@@ -47,9 +48,12 @@ def prepared(docs: DataFrame, accepted: DataFrame, limits: Limits = Limits()) ->
     return rows.fillna(0, ["pdf_characters", "pdf_sent"]).withColumn("total_sent", F.length("text") + F.col("pdf_sent"))
 
 
-def analyzed(inputs: DataFrame, provider: str = "mock", analyzers: Analyzers | None = None) -> DataFrame:
-    """The provider's fields, and matched: how many quotes the named text holds."""
-    made = (analyzers or Analyzers()).get(provider)(inputs)
+def analyzed(inputs: DataFrame, provider: str = "mock", analyzers: Analyzers | None = None, path: str | None = None) -> DataFrame:
+    """The provider's fields, and matched: how many quotes the named text holds.
+
+    The provider is called once a document: its results are stored, at `path` if that is given, where a later run finds them, and read from there.
+    """
+    made = called_once(inputs, ["doc_id"], (analyzers or Analyzers()).get(provider), path or new_store(inputs.sparkSession, "analyses"))
     quotes = made.select("doc_id", F.posexplode("evidence_quotes").alias("n", "q")).select("doc_id", "n", "q.source_type", "q.source_url", "q.quote")
     page = inputs.select("doc_id", F.lit("html").alias("source_type"), F.col("url").alias("source_url"), "text")
     pdfs = inputs.select("doc_id", F.explode("pdfs").alias("p")).select("doc_id", F.lit("pdf").alias("source_type"), F.col("p.url").alias("source_url"), F.col("p.text").alias("text"))

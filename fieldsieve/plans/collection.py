@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.dates import effective_since
 from ..operators.dedup import first_wins
+from ..operators.once import Call, in_waves
 from ..operators.rules import NOT_ADVANCED, commit_reason, new_candidates, period_state
 from ..operators.select import breaker, group_breaker, limit_new
 from ..sources.files import upsert_state
@@ -21,15 +22,20 @@ def periods(sources: DataFrame, state: DataFrame, manual: Column | None = None)
     return sources.join(last, "source_id", "left").withColumn("since", since)
 
 
+def limited(candidates: DataFrame, limit: int) -> DataFrame:
+    """Candidates in the period, each URL of a source once, with period and state: known, processed (to be analysed) or remaining."""
+    rows = first_wins(candidates, ["source_id", "url"], ["pos"])
+    rows = rows.withColumn("period", period_state(F.col("published"), F.col("since"), F.col("run_date")))
+    return limit_new(rows.filter("period <> 'out'"), ["source_id"], ["pos"], F.col("is_new"), limit)
+
+
 def process(candidates: DataFrame, limit: int, place: str | None = None) -> DataFrame:
     """Candidates (source_id, pos, url, published, since, run_date, is_new, limit_hit) with period, state and started.
 
     The breaker looks at rows that are handed to the analyzer only. `place` names the column of the source's place in a
     batch: no source behind the first one that hits the limit is started. Without it each source is a run of its own.
     """
-    rows = first_wins(candidates, ["source_id", "url"], ["pos"])
-    rows = rows.withColumn("period", period_state(F.col("published"), F.col("since"), F.col("run_date")))
-    rows = limit_new(rows.filter("period <> 'out'"), ["source_id"], ["pos"], F.col("is_new"), limit)
+    rows = limited(candidates, limit)
     hit = (F.col("state") == "processed") & F.col("limit_hit")
     rows = breaker(rows, ["source_id"], ["pos"], hit)
     return rows if place is None else group_breaker(rows, place, hit & F.col("started"))
@@ -107,6 +113,19 @@ def run(sources: DataFrame, candidates: DataFrame, results: DataFrame, limit: in
     return batch(sources, rows, limit, F.col("bad"), write, manual).join(sources.select("source_id", "collected", "unique"), "source_id")
 
 
+def run_in_waves(sources: DataFrame, candidates: DataFrame, call: Call, limit: int, path: str, size: int, write: bool = True, manual: bool = False) -> DataFrame:
+    """`run`, where `call` is asked for candidates in the order of sources and places, `size` at once, and no longer after a used-up limit.
+
+    `call` maps rows (source_id, url, place, pos and what else candidates have) to (source_id, url, ok, limit_hit). What it said is at `path`, and a run
+    that was killed goes on from there. A null `limit_hit` is none, a null `ok` a failure.
+    """
+    places = sources.filter("failure IS NULL").select("source_id", "place")
+    work = limited(candidates, limit).filter("state = 'processed'").join(places, "source_id")
+    said = lambda rows: call(rows).select("source_id", "url", F.coalesce("ok", F.lit(False)).alias("ok"), F.coalesce("limit_hit", F.lit(False)).alias("limit_hit"))
+    results = in_waves(work, ["place", "pos"], ["source_id", "url"], said, path, size)
+    return run(sources, candidates, results.filter("started").select("source_id", "url", "ok", "limit_hit"), limit, write, manual)
+
+
 def commit(spark: SparkSession, path: str, outcomes: DataFrame, run_at: Column) -> tuple[DataFrame, int]:
     """Writes the start of the run as the state of advanced sources. Returns the outcomes and the exit code.
 

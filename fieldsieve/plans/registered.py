@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import dates, text, urls
-from ..operators import analysis, dedup, hierarchy, report, rules, select, sink
+from ..operators import analysis, dedup, hierarchy, once, report, rules, select, sink
 from ..sources import feeds, html, registry
 from ..tables import spread
 from . import catalog, collection, register
@@ -269,16 +269,20 @@ r AS (SELECT u.user_id AS source_id, coalesce(in_period, 0) AS in_period, coales
       FROM u LEFT JOIN g ON g.user_id = u.user_id WHERE u.user_id <= coalesce((SELECT last FROM e), u.user_id))"""
 
 
-def _batch(spark, d):
+def _candidates(spark, d):
     """Users as sources in the order of their ids, events as candidates."""
     events = t(spark, d, "events")
     sources = events.select(F.col("user_id").alias("source_id"), F.col("user_id").alias("place"), F.lit(None).cast("string").alias("failure")).distinct()
     kind = F.col("event_type")
-    rows = events.select(
+    return sources, events.select(
         F.col("user_id").alias("source_id"), F.col("event_id").alias("pos"), F.col("event_id").cast("string").alias("url"), F.col("ts").cast("date").alias("published"), F.expr("DATE'2024-01-10'").alias("since"), F.expr("DATE'2099-01-01'").alias("run_date"),
-        kind.isin("view", "purchase", "error").alias("is_new"), ((kind == "error") & (F.col("value") > 99) & (F.col("user_id") % 4 == 3)).alias("limit_hit"), (kind == "error").alias("bad"),
+        kind.isin("view", "purchase", "error").alias("is_new"), ((kind == "error") & (F.col("value") > 99) & (F.col("user_id") % 4 == 3)).alias("hits"), (kind == "error").alias("failing"),
     )
-    return sources, collection.batch(sources, rows, 20, F.col("bad"))
+
+
+def _batch(spark, d):
+    sources, rows = _candidates(spark, d)
+    return sources, collection.batch(sources, rows.withColumnsRenamed({"hits": "limit_hit", "failing": "bad"}), 20, F.col("bad"))
 
 
 @query(_BATCH + " SELECT source_id, in_period, new, processed, created, duplicates, failed, remaining, reason, reason IS NULL AS advanced FROM r")
@@ -287,6 +291,34 @@ def collection_run(spark, d):
     return _batch(spark, d)[1].select("source_id", "in_period", "new", "processed", "created", "duplicates", "failed", "remaining", "reason", "advanced")
 
 
+#: Rows of a wave in the queries below.
+_WAVE = 1024
+
+
+def _called(rows):
+    """The analyzer of these queries: what it says stands in the events."""
+    return rows.select("source_id", "url", (~F.col("failing")).alias("ok"), F.col("hits").alias("limit_hit"))
+
+
+@query(_BATCH + " SELECT source_id, in_period, new, processed, created, duplicates, failed, remaining, reason, reason IS NULL AS advanced FROM r")
+def collection_waves(spark, d):
+    """The same batch, where the analyzer is asked wave by wave and not after a used-up limit."""
+    sources, rows = _candidates(spark, d)
+    sources = sources.withColumns({"collected": F.lit(0), "unique": F.lit(0)})
+    out = collection.run_in_waves(sources, rows, _called, 20, once.new_store(spark, "waves"), _WAVE)
+    return out.select("source_id", "in_period", "new", "processed", "created", "duplicates", "failed", "remaining", "reason", "advanced")
+
+
+@query(_BATCH + f""", q AS (SELECT *, row_number() OVER (ORDER BY user_id, event_id) - 1 AS rank FROM l WHERE state = 'processed'),
+h AS (SELECT min(rank) AS first FROM q WHERE hit) SELECT user_id AS source_id, count(*) AS called, count(*) FILTER (first IS NULL OR rank <= first) AS started FROM q, h WHERE first IS NULL OR rank // {_WAVE} <= first // {_WAVE} GROUP BY user_id""")
+def wave_calls(spark, d):
+    """How many calls each source costs: all up to the first hit, and the rest of its wave."""
+    sources, rows = _candidates(spark, d)
+    work = collection.limited(rows, 20).filter("state = 'processed'").join(sources.select("source_id", "place"), "source_id")
+    done = once.in_waves(work, ["place", "pos"], ["source_id", "url"], _called, once.new_store(spark, "waves"), _WAVE)
+    return done.groupBy("source_id").agg(F.count("*").alias("called"), F.count_if("started").alias("started"))
+
+
 @query(_BATCH + """ SELECT (SELECT count(*) FROM u) AS selected, count(*) AS run, coalesce(bool_or(reason LIKE '%usage limit%'), false) AS stopped, coalesce(sum(created), 0) AS created, CAST(0 AS BIGINT) AS previewed, coalesce(sum(duplicates), 0) AS duplicates,
   coalesce(sum(failed), 0) AS failed, coalesce(sum(remaining), 0) AS remaining FROM r""")
 def batch_totals(spark, d):
