@@ -9,21 +9,21 @@ from urllib.parse import quote, urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from . import hosts
 from .text import decoded  # noqa: F401
 
-#: URLs in normal form already, of the common kind.
-_PLAIN = re.compile(r"(?!.*/\.)https?://[a-z0-9-]+(?:\.[a-z0-9-]+)*/[A-Za-z0-9._~!$&()*+,;=:@/-]*(?:\?[A-Za-z0-9._~!$&()*+,;=:@/?-]*)?")
+#: URLs in normal form already, of the common kind: their hosts end in a name, and none is an encoded one.
+PLAIN = r"(?!.*/\.)(?!https?://[^/]*xn--)(?:https?)://(?:[a-z0-9-]+\.)*(?![0-9]+/|0x[0-9a-f]*/)[a-z0-9-]+/[A-Za-z0-9._~!$&()*+,;=:@/-]*(?:\?[A-Za-z0-9._~!$&()*+,;=:@/?-]*)?"
+_PLAIN = re.compile(PLAIN)
 _PORTS = {"http": "80", "https": "443"}
 
 
 def domain_of(host: str) -> str:
-    """A host in lower case and ASCII, without a dot at its end; ValueError where it is none."""
-    host = host.strip().rstrip(".").lower()
-    if not host.isascii():
-        host = host.encode("idna").decode()
-    if not host or any(c in host for c in " \t\n\r#%/<>?@\\^|"):
-        raise ValueError(host)
-    return host
+    """A domain in its one form, without a dot at its end; an IPv6 address without brackets. ValueError where it is none."""
+    host = host.strip().removeprefix("[").removesuffix("]")
+    if ":" in host:
+        return hosts.ipv6(host)
+    return hosts.parsed(host.rstrip("."))
 
 
 def normal_url(url: str) -> str:
@@ -35,13 +35,9 @@ def normal_url(url: str) -> str:
     if not m:
         raise ValueError(url)
     scheme, (login, at, place) = m[1].lower(), m[2].rpartition("@")
-    if place.startswith("["):
-        host, _, port = place.partition("]")
-        host, port = host.lower() + "]", port.removeprefix(":")
-    else:
-        host, _, port = place.partition(":")
-        ended = host.endswith(".")
-        host = domain_of(re.sub("%([0-9A-Fa-f]{2})", lambda x: chr(int(x[1], 16)), host)) + ("." if ended else "")
+    host, bracket, port = place.partition("]") if place.startswith("[") else place.partition(":")
+    host, port = hosts.parsed(host + (bracket if bracket == "]" else "")), port.removeprefix(":")
+    login = quote(login, "!$&'()*+,%:~")
     if port and not (port.isdigit() and int(port) < 65536):
         raise ValueError(url)
     port = "" if not port or port.lstrip("0") == _PORTS[scheme] else ":" + str(int(port))
@@ -68,12 +64,18 @@ def _or_null(f, x):
 
 
 @F.pandas_udf(T.StringType())
-def canonical(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """An absolute http(s) URL in its normal form, without its fragment; null for what is none."""
+def _normal(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(lambda x: _or_null(normal_url, x))
 
 
+def canonical(c: Column) -> Column:
+    """An absolute http(s) URL in its normal form, without its fragment; null for what is none. Plain ones, told in the JVM, go to no Python."""
+    bare = F.substring_index(c, "#", 1)
+    plain = F.regexp_like(bare, F.lit(f"^(?:{PLAIN})$"))
+    return F.coalesce(F.when(plain, bare), _normal(F.when(~plain, c)))
+
+
 @F.pandas_udf(T.StringType())
 def normal_domain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """A domain in lower case and ASCII, without a dot at its end; null for what is none."""
@@ -95,7 +97,7 @@ def path(c: Column) -> Column:
 
 def https_of(c: Column) -> Column:
     """What an http URL is with https; null for others."""
-    return F.when(F.startswith(c, F.lit("http://")), F.concat(F.lit("https://"), F.substring(c, 8, 1 << 20)))
+    return F.when(F.startswith(c, F.lit("http://")), F.concat(F.lit("https://"), F.substr(c, F.lit(8))))
 
 
 def allowed(host_: Column, domains: Column) -> Column:

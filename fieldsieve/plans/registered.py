@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import dates, text, urls
 from ..operators import analysis, dedup, hierarchy, once, report, rules, select, sink
-from ..sources import feeds, html, registry
-from ..tables import spread
+from ..sources import feeds, fetching, html, registry
+from ..tables import cut, spread
 from . import catalog, collection, register
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -662,3 +662,28 @@ def rss_items(spark, d):
     rows = t(spark, d, "part").select(F.expr("p_partkey div 50").alias("feed"), F.struct("p_partkey", item.alias("x")).alias("s"))
     xml = rows.groupBy("feed").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["x"]), ""), F.lit("</channel></rss>")).alias("xml"))
     return feeds.items(xml).select("feed", "pos", "title", "url", F.col("published_at").cast("string").alias("published_at"), F.get("categories", F.lit(0)).alias("category"))
+
+
+@query("""
+WITH RECURSIVE b AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u, html FROM pages), k AS (SELECT min(page_id) AS page_id FROM b GROUP BY u),
+a AS (SELECT b.page_id, u, CASE WHEN page_id % 9 = 8 AND page_id % 2 = 0 THEN 200 WHEN page_id % 31 = 7 THEN 404 ELSE 302 END AS http_status, CASE WHEN page_id % 9 <> 8 THEN page_id + 1 WHEN page_id % 2 = 1 THEN page_id - 3 END AS after,
+        CASE WHEN page_id % 44 = 26 THEN 0 ELSE strlen(html) END AS size FROM b JOIN k USING (page_id)),
+r AS (SELECT a.u AS url, http_status, CASE WHEN page_id % 53 = 5 THEN NULL ELSE (SELECT u FROM b WHERE b.page_id = a.after) END AS location, size FROM a),
+w AS (SELECT page_id, u, 0 AS hops FROM b
+      UNION ALL SELECT page_id, location, hops + 1 FROM w JOIN r ON r.url = w.u WHERE http_status = 302 AND location IS NOT NULL AND hops < 5 AND regexp_matches(u, '^https?://[^/]*\\.example\\.(com|net)(/|$)')),
+l AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY hops DESC) AS k FROM w)
+SELECT page_id, u AS final_url, hops, CASE WHEN NOT regexp_matches(u, '^https?://[^/]*\\.example\\.(com|net)(/|$)') THEN 'domain' WHEN http_status = 302 AND location IS NULL THEN 'no_location' WHEN http_status = 302 THEN 'redirects'
+  WHEN http_status = 404 THEN 'http_status' WHEN size = 0 THEN 'empty' END AS error, CASE WHEN regexp_matches(u, '^https?://[^/]*\\.example\\.(com|net)(/|$)') THEN http_status END AS http_status, CASE WHEN regexp_matches(u, '^https?://[^/]*\\.example\\.(com|net)(/|$)') AND http_status = 200 AND size > 0 THEN size END AS response_bytes
+FROM l LEFT JOIN r ON r.url = l.u WHERE k = 1""")
+def redirect_chains(spark, d):
+    """All pages through redirects to the next one: up to eight hops, loops, hops to a domain that isn't allowed, failures and empty answers."""
+    pages, i = t(spark, d, "pages").withColumn("at", F.regexp_replace("url", "#.*$", "")), F.col("page_id")
+    first = pages.groupBy("at").agg(F.min("page_id").alias("page_id"))
+    to = F.when(i % 9 != 8, i + 1).when(i % 2 == 1, i - 3)
+    size = F.when(i % 44 == 26, 0).otherwise(F.octet_length("html")).cast("long")
+    answers = pages.join(first, ["page_id", "at"]).select("page_id", F.col("at").alias("url"), F.when((i % 9 == 8) & (i % 2 == 0), 200).when(i % 31 == 7, 404).otherwise(302).alias("http_status"), to.alias("to"), size.alias("response_bytes"))
+    answers = answers.join(pages.select(i.alias("to"), F.col("at").alias("location")), "to", "left").withColumn("location", F.when(i % 53 != 5, F.col("location")))
+    none = lambda kind: F.lit(None).cast(kind)
+    table = cut(answers.select("url", "http_status", "location", F.lit("text/html").alias("content_type"), none("binary").alias("content"), "response_bytes", none("long").alias("duration_ms"), none("long").alias("at_ms"), none("string").alias("error")), "responses")
+    asked = pages.select("page_id", "url", F.array(F.lit("example.com"), F.lit("example.net")).alias("domains"))
+    return fetching.follow(asked, fetching.from_table(table), ["page_id"]).select("page_id", "final_url", "hops", "error", "http_status", "response_bytes")

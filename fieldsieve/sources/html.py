@@ -357,10 +357,10 @@ def _resolved_all(base, hrefs, texts):
             for x, name in zip(links_, names):
                 try:
                     u = urljoin(root or "", x)
+                    if u.startswith(("http://", "https://")):
+                        seen.setdefault(urls.normal_url(u) + ("#" + u.partition("#")[2] if "#" in u else ""), name)
                 except ValueError:
                     continue
-                if u.startswith(("http://", "https://")):
-                    seen.setdefault(u, name)
             out.append([{"url": u, "text": n} for u, n in seen.items()])
         return pd.Series(out)
 

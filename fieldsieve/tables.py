@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -50,6 +50,22 @@ def cut(df: DataFrame, what: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hot_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", share: float = 1 / 1024) -> DataFrame:
+    """`rows` joined (inner or left) with a `table` that has each key once, where some keys have a great part of the rows.
+
+    Keys with more than `share` of the rows, 1 / share of them at most, are counted first; their rows of the table are broadcast, and the
+    rows that have them stay where they are. Both tables are read twice: store them.
+    """
+    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    limit = rows.count() * share
+    heavy = [r[0] for r in counts.filter(F.col("n") > limit).select(key).collect()]
+    if not heavy:
+        return rows.join(table, key, how)
+    is_heavy = F.coalesce(F.col(key).isin(heavy), F.lit(False))
+    light = rows.filter(~is_heavy).join(table.filter(~is_heavy), key, how)
+    return light.unionByName(rows.filter(is_heavy).join(F.broadcast(table.filter(is_heavy)), key, how))
+
+
 def clean(spark: SparkSession) -> bool:
     """Deletes all tables that `cut` wrote for this application; results that still read them can't be read any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_folder(spark))

@@ -91,6 +91,26 @@ def test_normal_urls(spark):
     assert values(spark, ["例え.JP.", "a.jp", ""], urls.normal_domain) == ["xn--r8jz45g.jp", "a.jp", None]
 
 
+def test_hosts_as_browsers_have_them(spark):
+    """Cases of the URL standard."""
+    rows = {
+        "http://0x7f.1/": "http://127.0.0.1/", "http://2130706433/": "http://127.0.0.1/", "http://0300.168.0.0xF0": "http://192.168.0.240/", "http://1.2.3.4./": "http://1.2.3.4/", "http://0x": "http://0.0.0.0/", "http://192.0x00A80001": "http://192.168.0.1/",
+        "http://faß.de/": "http://xn--fa-hia.de/", "http://FAẞ.de/": "http://xn--fa-hia.de/", "http://βόλος.com/": "http://xn--nxasmm1c.com/", "http://Ｇｏ.com": "http://go.com/", "http://ab­c.de/": "http://abc.de/", "http://日本語。jp/": "http://xn--wgv71a119e.jp/",
+        "http://%30%78%63%30%2e%30%32%35%30.01": "http://192.168.0.1/", "http://[1:2::3]:80/": "http://[1:2::3]/", "http://[2001:DB8:0:0:1:0:0:1]/": "http://[2001:db8::1:0:0:1]/", "http://[::127.0.0.1]": "http://[::7f00:1]/", "http://[1:0::]": "http://[1::]/",
+        "http://[0:1:0:1:0:1:0:1]": "http://[0:1:0:1:0:1:0:1]/", "http://xn--fa-hia.de/": "http://xn--fa-hia.de/", "http://host%41.com/": "http://hosta.com/", "http://a_b.com/": "http://a_b.com/", "http://user:p\"w@h.com/": "http://user:p%22w@h.com/", "http://foo.0x": None,
+        "http://256.256.256.256/": None, "http://1.2.3.4.5/": None, "http://4294967296/": None, "http://1.2.3.08/": None, "http://a.b.c.d.2e/": "http://a.b.c.d.2e/", "http://xn--/": None, "http://xn--a/": None, "http://a%00b/": None, "http://[::1%25eth0]/": None, "http://[1::2::3]/": None,
+        "http://́a.com/": None, "http://a b.com/": None, "http://foo.1": None, "http://a..b/": "http://a..b/", "http://example.com./x": "http://example.com./x", "https://a.example/x#y": "https://a.example/x", "http://1e5.example/": "http://1e5.example/",
+    }
+    got = dict(zip(rows, values(spark, list(rows), urls.canonical)))
+    assert {k: (got[k], v) for k, v in rows.items() if got[k] != v} == {}
+    assert values(spark, ["faß.de.", "[::1]", "0x7f.1", "::FFFF:1.2.3.4", "a b"], urls.normal_domain) == ["xn--fa-hia.de", "::1", "127.0.0.1", "::ffff:102:304", None]
+    domains = F.array(F.lit("127.0.0.1"), F.lit("a.example"))
+    normal = values(spark, ["http://0x7f.1/", "http://a.example/", "http://017700000001/", "http://2130706433/", "http://user@a.example/"], urls.canonical)
+    assert values(spark, normal, lambda c: urls.unsafe(c, domains)) == ["address", None, "address", "address", "credentials"]
+    long = "http://a.example/" + "x" * (3 << 20)
+    assert values(spark, [long, "ftp://x"], urls.https_of) == ["https" + long[4:], None]
+
+
 def test_labels_bytes_and_secrets(spark):
     from fieldsieve.operators import analysis
     from fieldsieve.sources import files
