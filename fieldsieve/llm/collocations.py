@@ -27,6 +27,8 @@ from .skew import with_value
 PART = 1024
 #: Bits of a bitmap of what is frequent: 8 MB.
 SLOTS = 1 << 26
+#: Parts of a language whose best phrases are found apart.
+SALTS = 64
 #: Memory of a task's DuckDB; beyond it DuckDB writes to a folder of the task, which ends with it.
 MEMORY = "256MB"
 
@@ -159,5 +161,9 @@ def collocations(docs: DataFrame, longest: int = 4, least: int = 30, inside_pct:
     inner = F.flatten(F.transform(F.sequence(F.lit(2), F.col("size") - 1), lambda k: F.transform(F.sequence(F.lit(1), F.col("size") - k + 1), lambda at: F.array_join(F.slice("words", at, k), " "))))
     longer = many.filter("size > 2").select("lang", words.alias("words"), "size", "f").select("lang", F.explode(F.array_distinct(inner)).alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("most"))
     left = weakest.join(longer, ["lang", "phrase"], "left").filter(f"most IS NULL OR CAST(most AS DECIMAL(19,0)) * 100 < CAST(a AS DECIMAL(19,0)) * {inside_pct}")
-    ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))).filter(F.col("rank") <= top)
+    order = (F.desc("score"), F.desc("a"), F.col("phrase"))
+    # the best of each of SALTS parts of a language first, so that what meets in one task has a bound
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).orderBy(*order)
+    best = left.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= top).drop("rank")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
     return ranked.join(n_words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("n").cast("long").alias("n"), F.col("score").cast("long").alias("score"), "cut")
