@@ -103,7 +103,7 @@ def _sink_urls(spark, a) -> tuple[DataFrame, DataFrame]:
     """(official_url) and (option) of the sink."""
     if not a.sink:
         return spark.createDataFrame([], "official_url string"), spark.createDataFrame([(c,) for c in analysis.NEED_CATEGORIES], "option string")
-    table = spark.read.parquet(a.sink)
+    table = sink.stored(spark, a.sink)
     return table.select(F.col("公式URL").alias("official_url")), spark.createDataFrame([(c,) for c in analysis.NEED_CATEGORIES], "option string")
 
 
@@ -190,7 +190,7 @@ def _run(a, spark: SparkSession, parser) -> int:
     if a.command == "sink:check":
         _need(a, "sink")
         kinds = {"array<string>": ("rich_text", "multi_select"), "string": ("title", "url", "select"), "timestamp": ("created_time",)}
-        actual = [(n, sink.COLUMNS[n] if sink.COLUMNS.get(n) in kinds.get(k, ()) else k) for n, k in spark.read.parquet(a.sink).dtypes]
+        actual = [(n, sink.COLUMNS[n] if sink.COLUMNS.get(n) in kinds.get(k, ()) else k) for n, k in sink.stored(spark, a.sink).dtypes]
         wrong = sink.mismatches(spark.createDataFrame(actual, "name string, kind string"))
         print(report.text_table(wrong))
         return int(wrong.limit(1).count() > 0)

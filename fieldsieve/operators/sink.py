@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import chunks
 from .analysis import CONTACT, DOCUMENT_LABELS, DOCUMENT_TYPES, RELEVANCE
@@ -18,6 +18,8 @@ COLUMNS = {
     "分野": "multi_select", "自社関連度": "select", "コンタクト推奨度": "select", "判断理由": "rich_text", "根拠引用": "rich_text", "確認状態": "select", "登録日時": "created_time",
 }
 
+_SINK = ", ".join(f"`{n}` {'timestamp' if k == 'created_time' else 'array<string>' if k in ('rich_text', 'multi_select') else 'string'}" for n, k in COLUMNS.items())
+
 
 def label(code: Column, table: dict[str, str]) -> Column:
     """The label of a code; an unknown code is an error of the job."""
@@ -59,19 +61,27 @@ def appendable(new: DataFrame, sink: DataFrame, key: str = "公式URL") -> DataF
     return first_wins(new, [key], new.columns).join(sink.select(key).distinct(), key, "left_anti").select(new.columns)
 
 
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a sink: the last version of one in versions, or a folder of Parquet files that something else writes."""
+    from ..sources.versions import VersionedTable, is_versioned
+
+    return VersionedTable(spark, path, _SINK, "公式URL").read() if is_versioned(spark, path) else spark.read.parquet(path)
+
+
 def append(new: DataFrame, path: str, options: DataFrame | None = None) -> int:
-    """Appends new rows to a Parquet sink; refused where a category isn't among the sink's `options` (option). Returns the number of rows."""
+    """Appends new rows to the sink in versions at a path; refused where a category isn't among the sink's `options` (option). Returns the number of rows.
+
+    Runs that append at once never write a URL twice: of two that began together the later one leaves out what the other has written.
+    """
+    from ..sources.versions import VersionedTable
+
     spark = new.sparkSession
     if options is not None:
         missing = missing_options(new.select(F.explode("分野").alias("option")), options)
         if names := [r.option for r in missing.limit(20).collect()]:
             raise ValueError(f"options are missing: {names}")
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    rows = appendable(new, spark.read.parquet(path) if there else new.limit(0)).withColumn("登録日時", F.current_timestamp())
-    written = Observation()
-    rows.observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
-    return written.get["n"]
+    rows = new.withColumn("登録日時", F.current_timestamp())
+    return VersionedTable(spark, path, rows.schema, "公式URL").append(rows)
 
 
 def analysis_stage(error: Column, message: Column) -> Column:

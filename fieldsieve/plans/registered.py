@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import dates, text, urls
 from ..operators import analysis, dedup, hierarchy, once, report, rules, select, sink
-from ..sources import feeds, fetching, html, registry
+from ..sources import feeds, fetching, html, registry, versions
 from ..tables import cut, spread
 from . import catalog, collection, register
 
@@ -687,3 +687,19 @@ def redirect_chains(spark, d):
     table = cut(answers.select("url", "http_status", "location", F.lit("text/html").alias("content_type"), none("binary").alias("content"), "response_bytes", none("long").alias("duration_ms"), none("long").alias("at_ms"), none("string").alias("error")), "responses")
     asked = pages.select("page_id", "url", F.array(F.lit("example.com"), F.lit("example.net")).alias("domains"))
     return fetching.follow(asked, fetching.from_table(table), ["page_id"]).select("page_id", "final_url", "hops", "error", "http_status", "response_bytes")
+
+
+@query("""
+WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/:?#]*)', 1) AS host FROM pages),
+b AS (SELECT 1 AS version, page_id, host FROM p WHERE page_id % 3 = 0 UNION ALL SELECT 2, page_id, host FROM p WHERE page_id % 2 = 0 UNION ALL SELECT 3, page_id, host FROM p),
+f AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY version, page_id) AS k FROM b)
+SELECT v.version, host, page_id, f.version AS since FROM f JOIN (SELECT unnest([1, 2, 3]) AS version) v ON f.version <= v.version WHERE k = 1""")
+def sink_versions(spark, d):
+    """Three appends of pages by host, of which the second begins before the first is committed: what each version has, and since which."""
+    pages = t(spark, d, "pages").select(F.regexp_extract("url", "^https?://([^/:?#]*)", 1).alias("host"), "page_id")
+    table = versions.VersionedTable(spark, once.new_store(spark, "sink"), pages.schema, "host")
+    one, two = table.begin(pages.filter("page_id % 3 = 0")), table.begin(pages.filter("page_id % 2 = 0"))
+    one.commit()
+    two.commit()
+    table.append(pages)
+    return table.history()

@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .versions import VersionedTable, is_versioned
+
 STATE = "source_id string, last_successful_check_at timestamp"
 
 
@@ -29,25 +31,39 @@ def _paths(spark: SparkSession, *names: str):
     return paths[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), *paths
 
 
+def _state_table(spark: SparkSession, path: str) -> VersionedTable:
+    return VersionedTable(spark, path, STATE, "source_id")
+
+
 def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """The state table; a path that isn't there is an empty state, a broken one an error. A swap that was cut short left the old state beside its place."""
+    """The state table: the last version of one in versions, or a folder of JSON files; a path that isn't there is an empty state, a broken one an error. A swap that was cut short left the old state beside its place."""
     fs, at, old = _paths(spark, path, path + ".old")
     there = path if fs.exists(at) else path + ".old" if fs.exists(old) else None
-    return spark.createDataFrame([], STATE) if there is None else spark.read.schema(STATE).option("mode", "FAILFAST").json(there)
+    if there is None:
+        return spark.createDataFrame([], STATE)
+    if is_versioned(spark, there):
+        return _state_table(spark, there).read()
+    return spark.read.schema(STATE).option("mode", "FAILFAST").json(there)
 
 
 def upsert_state(spark: SparkSession, path: str, new: DataFrame) -> None:
-    """Rows of `new` replace those of their source. Written beside, then the old state is renamed away and the new one into place, for a single writer; at no time is there no whole state."""
-    old = read_state(spark, path)
-    merged = old.join(new.select("source_id"), "source_id", "left_anti").unionByName(new.select("source_id", "last_successful_check_at"))
-    merged.coalesce(1).write.mode("overwrite").json(path + ".new")
+    """Rows of `new` replace those of their source, in a new version: runs that write at once both come to stand, the later one's rows last.
+
+    A state in JSON files becomes the first version of one in versions, which is made beside it and renamed into its place.
+    """
     fs, at, made, aside = _paths(spark, path, path + ".new", path + ".old")
-    if fs.exists(at):
-        fs.delete(aside, True)
-        if not fs.rename(at, aside):
-            raise OSError(f"{path} can't be moved")
-    if not fs.rename(made, at):
-        raise OSError(f"{path}.new can't be moved into place")
+    if not fs.exists(at) and fs.exists(aside) and not fs.rename(aside, at):
+        raise OSError(f"{path}.old can't be moved back")
+    rows = new.select("source_id", F.col("last_successful_check_at").cast("timestamp").alias("last_successful_check_at"))
+    if not fs.exists(at) or is_versioned(spark, path):
+        _state_table(spark, path).upsert(rows)
+        return
+    fs.delete(made, True)
+    old = read_state(spark, path)
+    _state_table(spark, path + ".new").upsert(old.join(rows.select("source_id"), "source_id", "left_anti").unionByName(rows))
+    fs.delete(aside, True)
+    if not fs.rename(at, aside) or not fs.rename(made, at):
+        raise OSError(f"{path} can't be replaced")
     fs.delete(aside, True)
 
 

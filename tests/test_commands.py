@@ -75,7 +75,7 @@ def test_checks_of_pages_and_attachments(spark, files, capsys, tmp_path):
 def test_sink_and_collection_commands(spark, files, capsys, tmp_path):
     made = analysis.mock_analysis(spark.createDataFrame([("https://top.jp/b", "A line that is long enough", "T", "O", "S")], "url string, text string, title string, organization string, source string"))
     sink.append(sink.sink_rows(made), str(tmp_path / "sink"))
-    spark.read.parquet(str(tmp_path / "sink")).drop("分野").write.parquet(str(tmp_path / "less"))
+    sink.stored(spark, str(tmp_path / "sink")).drop("分野").write.parquet(str(tmp_path / "less"))
     assert run(spark, files, "sink:check", "--sink", str(tmp_path / "sink")) == 0 and run(spark, files, "sink:check", "--sink", str(tmp_path / "less")) == 1
     assert run(spark, files, "sink:register", "--source", "list", "--pages", "--url", "https://top.jp/a", "--write") == 1  # the mock is never written
     (tmp_path / "urls.txt").write_text("# list\nhttps://top.jp/a\nhttps://top.jp/a\nhttps://top.jp/b\n")
