@@ -19,6 +19,11 @@ MEDIUM = "概要 説明資料 参考資料 計画 ガイドライン".split()
 LOW = "申込書 申請書 応募様式 様式 チラシ フライヤー アクセスマップ 地図 料金表 評価基準 審査基準 採点表 評価項目 契約書 契約約款 入札書 委任状 質問 特記事項 見積書 見積額 配置図 作成要領".split()
 
 
+def let(value: Column, body) -> Column:
+    """`body` of a value that is computed once, where it names it more than once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 @F.pandas_udf(T.StringType())
 def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:

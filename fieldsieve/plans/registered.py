@@ -9,8 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import dates, text, urls
-from ..operators import analysis, dedup, hierarchy, once, report, rules, select, sink
+from ..functions import addresses, dates, text, urls
+from ..operators import analysis, dedup, hierarchy, masking, once, patterns, report, rules, select, sink
 from ..sources import feeds, fetching, html, registry, versions
 from ..tables import cut, spread
 from . import catalog, collection, register
@@ -703,3 +703,77 @@ def sink_versions(spark, d):
     two.commit()
     table.append(pages)
     return table.history()
+
+
+_TITLES = "SELECT doc_id AS id, source AS grp, lower(left(text, 120)) AS text FROM documents"
+
+
+@query(f"""
+WITH x AS ({_TITLES}), p AS (SELECT doc_id * 10 + k AS pattern_id, lower(substr(text, 1 + k * 9, 4 + (doc_id + k) % 6)) AS pattern FROM documents, (SELECT unnest(range(10)) AS k))
+SELECT id, count(*) AS n, min(pattern_id) AS first FROM x JOIN p ON p.pattern <> '' AND contains(x.text, p.pattern) GROUP BY id""")
+def pattern_index(spark, d):
+    """Ten patterns from the beginning of every document, each looked up in the beginnings of all documents."""
+    docs = t(spark, d, "documents")
+    x = docs.select(F.col("doc_id").alias("id"), F.lit(0).alias("grp"), F.lower(F.left("text", F.lit(120))).alias("text"))
+    some = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"))
+    p = some.select((F.col("doc_id") * 10 + F.col("k")).alias("pattern_id"), F.lit(0).alias("grp"), F.lower(F.substr("text", 1 + F.col("k") * 9, (4 + (F.col("doc_id") + F.col("k")) % 6).cast("int"))).alias("pattern"))
+    return patterns.matches(x, p).groupBy("id").agg(F.count("*").alias("n"), F.min("pattern_id").alias("first"))
+
+
+@query(f"""
+WITH x AS ({_TITLES}), p AS (SELECT doc_id AS pattern_id, source AS grp, lower(substr(text, 3, 3 + doc_id % 4)) AS pattern, doc_id % 4 = 0 AS excludes FROM documents WHERE doc_id % 3 <> 1),
+m AS (SELECT id, bool_or(excludes) AS out, bool_or(NOT excludes) AS inc FROM x JOIN p ON p.grp = x.grp AND p.pattern <> '' AND contains(x.text, p.pattern) GROUP BY id), a AS (SELECT DISTINCT grp FROM p WHERE NOT excludes AND pattern <> '')
+SELECT x.id, CASE WHEN out THEN '{rules.EXCLUDED}' WHEN a.grp IS NOT NULL AND NOT coalesce(inc, false) THEN '{rules.NOT_INCLUDED}' END AS reason FROM x LEFT JOIN m ON m.id = x.id LEFT JOIN a ON a.grp = x.grp""")
+def title_reasons(spark, d):
+    """Verdicts on titles where every source has hundreds of patterns."""
+    docs, i = t(spark, d, "documents"), F.col("doc_id")
+    x = docs.select(i.alias("id"), F.col("source").alias("grp"), F.lower(F.left("text", F.lit(120))).alias("text"))
+    p = docs.filter("doc_id % 3 <> 1").select(i.alias("pattern_id"), F.col("source").alias("grp"), F.lower(F.substr("text", F.lit(3), (3 + i % 4).cast("int"))).alias("pattern"), (i % 4 == 0).alias("excludes"))
+    return patterns.title_reasons(x, p)
+
+
+@query("""
+WITH q AS (SELECT doc_id AS query_id, lower(substr(text, 1, 5)) AS a, lower(substr(text, 7, 3 + doc_id % 4)) AS b, lower(right(text, 4)) AS c FROM documents), x AS (SELECT doc_id AS id, lower(text) AS text FROM documents)
+SELECT query_id, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM q JOIN x ON contains(x.text, a) AND contains(x.text, b) AND contains(x.text, c) WHERE a <> '' GROUP BY query_id""")
+def search_many(spark, d):
+    """A search of three terms from every document, all answered together over whole texts."""
+    docs = t(spark, d, "documents")
+    low = F.lower("text")
+    q = docs.select(F.col("doc_id").alias("query_id"), F.array(F.left(low, F.lit(5)), F.substr(low, F.lit(7), (3 + F.col("doc_id") % 4).cast("int")), F.right(low, F.lit(4))).alias("terms"))
+    return patterns.search_many(docs.select(F.col("doc_id").alias("id"), low.alias("text")), q).groupBy("query_id").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+@query("""
+WITH n AS (SELECT DISTINCT CASE WHEN c_custkey % 3 = 0 THEN 48 WHEN c_custkey % 3 = 1 THEN 64 ELSE 40 END AS bits, c_custkey AS k FROM customer),
+a AS (SELECT o_orderkey, o_custkey % 65536 AS g3, o_orderkey % 7 AS g4 FROM orders)
+SELECT o_orderkey, o_orderkey % 11 = 0 AND o_orderkey % 5 <> 0 AS is_v4, CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN o_orderkey % 5 = 0 ELSE
+  EXISTS (SELECT 1 FROM n WHERE bits = 48 AND k = g3) OR EXISTS (SELECT 1 FROM n WHERE bits = 64 AND k = g3 AND g4 = 1) OR EXISTS (SELECT 1 FROM n WHERE bits = 40 AND k // 256 = g3 // 256) END AS in_network FROM a""")
+def network_index(spark, d):
+    """Addresses of all orders against a network for each customer, of three lengths; some are IPv4, some spelt long, some none at all."""
+    i, c = F.col("o_orderkey"), F.col("c_custkey")
+    net = F.concat(F.lit("2001:db8:"), F.lower(F.hex(c)), F.when(c % 3 == 0, "::/48").when(c % 3 == 1, ":1::/64").otherwise("::/40"))
+    nets = t(spark, d, "customer").select(net.alias("cidr")).union(spark.createDataFrame([("10.0.0.0/8",), ("10.1.0.0/16",)], "cidr string"))
+    third = F.lower(F.hex(F.col("o_custkey") % 65536))
+    v6 = F.when(i % 2 == 0, F.concat(F.lit("2001:DB8:"), third, F.lit(":"), i % 7, F.lit("::"), F.hex(i % 9999))).otherwise(F.concat(F.lit("2001:0db8:"), F.lpad(third, 4, "0"), F.lit(":000"), i % 7, F.lit(":0:0:1.2.3."), i % 250))
+    address = F.when(i % 13 == 0, F.concat(F.lit("2001:db8::1::"), i)).when((i % 11 == 0) & (i % 5 == 0), F.concat(F.lit("10.2.3."), i % 256)).when(i % 11 == 0, F.concat(F.lit("11.2.3."), i % 256)).otherwise(v6)
+    out = addresses.in_networks(t(spark, d, "orders").select("o_orderkey", address.alias("address")), "address", nets)
+    return out.select("o_orderkey", ((i % 11 == 0) & (i % 5 != 0)).alias("is_v4"), "in_network")
+
+
+def _masking_sql() -> str:
+    """One step a pattern, with the word edges of DuckDB's patterns."""
+    steps, was = [r"s0 AS (SELECT doc_id, regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', chr(65533), 'g') AS m FROM documents)"], "s0"
+    for k, (pattern, kept) in enumerate(masking.SECRETS, 1):
+        p = pattern.replace(masking._EDGE, r"\b").replace("'", "''")
+        stays = f"regexp_extract_all(m, '{p}', 1)" if kept else f"list_transform(regexp_extract_all(m, '{p}'), lambda x: '')"
+        steps.append(f"z{k} AS (SELECT doc_id, m, regexp_split_to_array(m, '{p}') AS cut, regexp_extract_all(m, '{p}') AS whole, {stays} AS stays FROM {was})")
+        steps.append(f"s{k} AS (SELECT doc_id, CASE WHEN len(whole) = 0 THEN m ELSE array_to_string(list_transform(range(1, len(cut) + 1), lambda i: cut[i] || coalesce(stays[i] || repeat('{masking.MASK}', length(whole[i]) - length(stays[i])), '')), '') END AS m FROM z{k})")
+        was = f"s{k}"
+    return f"WITH {', '.join(steps)} SELECT doc_id, md5(m) AS masked_md5, length(m) AS n, CAST(len(regexp_extract_all(m, '{masking.MASK}+')) AS INTEGER) AS n_spans FROM {was}"
+
+
+@query(_masking_sql())
+def masked_secrets(spark, d):
+    """Secrets of all documents masked by as many characters."""
+    rows = masking.masked(t(spark, d, "documents").select("doc_id", "text"), "text")
+    return rows.select("doc_id", F.md5("masked").alias("masked_md5"), F.length("masked").cast("long").alias("n"), F.size(masking.spans(F.col("masked"))).alias("n_spans"))
