@@ -185,8 +185,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, num: int = 85, den: int = 1
     classes = cut(known.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "classes")
     reps = known.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     keys = reps.select("doc_id", "sig").mapInArrow(_keys(places), "key long, doc long")
-    lead = keys.groupBy("key").agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).filter("lead < last").select("key", "lead")
-    members = cut(keys.join(lead, "key"), "members")
+    lead = keys.groupBy("key").agg(F.min("doc").alias("lead"), F.max("doc").alias("last"), F.count("*").alias("times")).filter("lead < last")
+    # a template's copies share keys: those that many documents have are broadcast with their lead, and the documents stay where they are
+    lead = cut(lead.select("key", "lead", "times"), "leads")
+    members = cut(with_value(keys, lead, ["key"], "lead", "times", ["doc"]).filter("lead IS NOT NULL"), "members")
     star = cut(members.filter("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), "star")
     near = members.select(F.col("doc").alias("doc_id")).distinct()
     sets = cut(base.join(near, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(words), "doc_id long, shingles binary"), "sets")
@@ -202,9 +204,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, num: int = 85, den: int = 1
         labels = connected_components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     of_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    of_class = of_class.select("h1", "h2", "n_shingles", F.coalesce("label", "rep").alias("component"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     # the component's smallest id can be a copy's only where a class holds it, and a class is named by its smallest id
-    out = sig.select("doc_id", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2", "n_shingles"], "left")
+    told = F.struct(F.coalesce("label", "rep").alias("component"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of_class = cut(of_class.select("h1", "h2", "n_shingles", told.alias("told"), "n_copies"), "told")
+    # exact copies share a class, which is broadcast where they are very many; rows without shingles or an id are in none and meet nothing
+    rows = sig.select("doc_id", "n_shingles", "h1", "h2")
+    classed = with_value(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL"), of_class, ["h1", "h2", "n_shingles"], "told", "n_copies", ["doc_id"])
+    alone = rows.filter("n_shingles = 0 OR doc_id IS NULL").withColumn("told", F.lit(None).cast(of_class.schema["told"].dataType))
+    out = classed.unionByName(alone).select("doc_id", "n_shingles", "told.*")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),

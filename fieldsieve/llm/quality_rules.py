@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .lineage import cut
+from .skew import with_value
 
 _SPACE = "[ \\t-\\r]+"
 
@@ -95,10 +96,10 @@ def line_frequency_rules(docs: DataFrame, max_docs: int = 20, least_left: float
     Other columns of `docs` are not looked at.
     """
     lines = normalised_lines(docs.filter("doc_id IS NOT NULL"))
-    lines = cut(lines, "lines")
+    lines = cut(lines.withColumn("source", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))), "lines")  # a null source is one of its own
     often = lines.groupBy("source", "line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter(F.col("n") > max_docs)
-    often = often.select(F.col("source").alias("s"), F.col("line").alias("l"), "first")
-    met = lines.join(often, F.col("source").eqNullSafe(F.col("s")) & (F.col("line") == F.col("l"))).filter("doc_id <> first")
+    # a line that every document of a source has is what the rule is for: such lines are broadcast, others meet by key
+    met = with_value(lines, cut(often, "often"), ["source", "line"], "first", "n", ["doc_id"]).filter("doc_id <> first")
     gone = met.groupBy("doc_id").agg(F.sum("chars").alias("removed_chars"))
     total = lines.join(gone.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.sum("chars").alias("line_chars"))
     judged = gone.join(total, "doc_id").select(F.col("doc_id").alias("_d"), "removed_chars", (F.col("line_chars") - F.col("removed_chars") < F.col("line_chars") * least_left).alias("depleted"))
