@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .analysis import SECRET_NAMES
+from ..functions.text import let
+from .analysis import SECRET_NAMES, error_context
 
 MASK = "█"
 
@@ -33,15 +34,16 @@ def _masked(text: Column, pattern: str, kept: int) -> Column:
     return F.when(F.regexp_like(text, F.lit(pattern)), F.array_join(parts, "")).otherwise(text)
 
 
-def masked(rows: DataFrame, text: str, out: str = "masked") -> DataFrame:
-    """`rows` with `out`: the text with control characters as U+FFFD and secrets as runs of MASK, one for each code point.
-
-    Patterns go one after the other, as what one has masked is no letter for the next; each is a projection, so none is computed twice. Nulls stay.
-    """
-    rows = rows.withColumn(out, F.regexp_replace(F.col(text), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "�"))
+def masked_column(text: Column) -> Column:
+    """The text with control characters as U+FFFD and secrets as runs of MASK, one for each code point. Patterns go one after the other, as what one has masked is no letter for the next; a null stays."""
+    c = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "\ufffd")
     for pattern, kept in SECRETS:
-        rows = rows.withColumn(out, _masked(F.col(out), pattern, kept))
-    return rows
+        c = let(c, lambda x, pattern=pattern, kept=kept: _masked(x, pattern, kept))
+    return c
+
+
+def masked(rows: DataFrame, text: str, out: str = "masked") -> DataFrame:
+    return rows.withColumn(out, masked_column(F.col(text)))
 
 
 def spans(masked_text: Column) -> Column:
@@ -56,3 +58,8 @@ def spans(masked_text: Column) -> Column:
         return F.struct(end.alias("at"), F.when(x["size"] > 0, F.concat(a["found"], F.array(F.struct(begin.alias("begin"), end.alias("end"))))).otherwise(a["found"]).alias("found"))
 
     return F.aggregate(sized, begun, step, lambda a: a["found"])
+
+
+def masked_context(text: str, at: Column, around: int = 200) -> Column:
+    """What stands around a place of a text, for a report: cut from the masked text, so that a secret at its edge isn't half shown."""
+    return error_context(masked_column(F.col(text)), at, around)
