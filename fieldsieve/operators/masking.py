@@ -37,8 +37,9 @@ def _masked(text: Column, pattern: str, kept: int) -> Column:
 def masked_column(text: Column) -> Column:
     """The text with control characters as U+FFFD and secrets as runs of MASK, one for each code point. Patterns go one after the other, as what one has masked is no letter for the next; a null stays."""
     c = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "\ufffd")
+    step = lambda pattern, kept: lambda x: _masked(x, pattern, kept)
     for pattern, kept in SECRETS:
-        c = let(c, lambda x, pattern=pattern, kept=kept: _masked(x, pattern, kept))
+        c = let(c, step(pattern, kept))
     return c
 
 
