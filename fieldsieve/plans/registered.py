@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import addresses, dates, text, urls
-from ..operators import analysis, dedup, hierarchy, masking, once, patterns, report, rules, select, sink
+from ..operators import analysis, dedup, hierarchy, masking, once, patterns, quotes, report, rules, select, sink
 from ..sources import feeds, fetching, html, registry, versions
 from ..tables import cut, spread
 from . import catalog, collection, register
@@ -777,3 +777,16 @@ def masked_secrets(spark, d):
     """Secrets of all documents masked by as many characters."""
     rows = masking.masked(t(spark, d, "documents").select("doc_id", "text"), "text")
     return rows.select("doc_id", F.md5("masked").alias("masked_md5"), F.length("masked").cast("long").alias("n"), F.size(masking.spans(F.col("masked"))).alias("n_spans"))
+
+
+@query("""
+WITH q AS (SELECT doc_id, text, unnest([0, 1, 2]) AS n, unnest([regexp_extract(text, '[A-Za-z]{7,}'), regexp_extract(substr(text, length(text) // 2 + 1), '[A-Za-z]{7,}'), regexp_extract(reverse(text), '[A-Za-z]{5,}')]) AS quote FROM documents)
+SELECT doc_id, n, CASE WHEN quote <> '' AND contains(text, quote) THEN CAST(instr(text, quote) - 1 AS INTEGER) END AS "begin", CASE WHEN quote <> '' AND contains(text, quote) THEN CAST(instr(text, quote) - 1 + length(quote) AS INTEGER) END AS "end" FROM q""")
+def quote_spans(spark, d):
+    """Where words from the beginning and the middle of every document stand in it, and one that is spelt backwards."""
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    word = lambda c, n: F.regexp_extract(c, f"[A-Za-z]{{{n},}}", 0)
+    text_ = F.col("text")
+    some = F.array(word(text_, 7), word(F.substr(text_, F.expr("length(text) div 2 + 1").cast("int")), 7), word(F.reverse(text_), 5))
+    asked = docs.select("doc_id", F.posexplode(some).alias("n", "quote"))
+    return quotes.quote_places(asked, docs, ["doc_id"]).select("doc_id", "n", "begin", "end")
