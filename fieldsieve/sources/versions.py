@@ -150,9 +150,9 @@ class VersionedTable:
     def begin(self, new: DataFrame, replace: bool = False) -> Draft:
         return Draft(self, new, replace)
 
-    def append(self, new: DataFrame) -> int:
+    def append(self, new: DataFrame, empty: bool = False) -> int:
         """Adds the rows of `new` whose key isn't there, of each key the first in order of all columns. The number of rows added."""
-        return self.begin(new).commit()
+        return self.begin(new).commit(empty=empty)
 
     def upsert(self, new: DataFrame) -> int:
         return self.begin(new, True).commit()
@@ -183,10 +183,11 @@ class Draft:
         known = self.table._of(folders).select(F.col(self.table.key).alias("known_key")).distinct()
         return rows.join(known, F.col(self.table.key).eqNullSafe(F.col("known_key")), "left_anti") if folders else rows
 
-    def commit(self, before: Callable[[], None] = lambda: None) -> int:
+    def commit(self, before: Callable[[], None] = lambda: None, empty: bool = False) -> int:
         """Puts the version in place and tells how many rows it has that were not there; where another has come first, rows that it has are left out again.
 
-        `before` is called before each try. A draft without rows makes no version.
+        `before` is called before each try. A draft without rows makes no version,
+        or with `empty` one that has what the version before has.
         """
         t = self.table
         for _ in range(TRIES):
@@ -195,9 +196,10 @@ class Draft:
             if others and not self.replace and self.rows:
                 self.name, self.rows = t.write(self._unknown(t._of([self.name]), others))
             self.base = latest
-            if not self.rows:
+            if not self.rows and not empty:
                 return 0
-            folders, added = [*latest.folders, self.name], [self.name]
+            added = [self.name] if self.rows else []
+            folders = [*latest.folders, *added]
             if self.replace and len(folders) > FOLDERS:
                 folders = [t.write(t.newest(folders))[0]]
             made = Manifest(latest.version + 1, folders, added, self.rows, time.time())
