@@ -38,6 +38,16 @@ def sink_rows(results: DataFrame) -> DataFrame:
     return results.select(*[(chunks(text[n]) if n in text else one[n]).alias(n) for n in COLUMNS if n != "登録日時"])
 
 
+def kinds(rows: DataFrame) -> DataFrame:
+    """(name, kind, n_values) of the columns of `rows`, of an empty table too, with how many values each has.
+
+    The kinds are declared by one file of a table; all rows of all files are read by them, which fails where a file holds another kind.
+    """
+    n = rows.agg(*[F.count(F.col(f"`{name}`")).alias(f"n{k}") for k, name in enumerate(rows.columns)])
+    each = [F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.col(f"n{k}").alias("n_values")) for k, (name, kind) in enumerate(rows.dtypes)]
+    return n.select(F.inline(F.array(*each)))
+
+
 def mismatches(actual: DataFrame, expected: dict[str, str] = COLUMNS) -> DataFrame:
     """(name, expected, actual) where (name, kind) of a sink differ from what is expected."""
     want = actual.sparkSession.createDataFrame(list(expected.items()), "name string, expected string")
