@@ -24,3 +24,21 @@ def test_patterns_that_are_alike_send_one_row(spark):
     """What moves between tasks are texts and patterns; joins moved a row for each gram, and one for each pattern and text."""
     plan = registered.pattern_index(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Join" not in plan and plan.count("MapInArrow") > 0
+
+
+def test_totals_of_searches(spark, monkeypatch):
+    random.seed(4)
+    texts = [(k * 3 - 100, "".join(random.choice("abcd ") for _ in range(random.randint(0, 30)))) for k in range(300)] + [(5000, None)]
+    asked = [["a"], ["b", "cd"], ["a", "b", "c", "d"], ["zz", "a"], [], None, ["", "dd"], ["cd", "b", "b"]] * 3
+    monkeypatch.setattr(patterns, "TOGETHER", 2)
+    t, q = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(list(enumerate(asked)), "query_id long, terms array<string>")
+    want = {}
+    for k, terms in enumerate(asked):
+        some = [w for w in terms or [] if w]
+        ids = [i for i, x in texts if x and some and all(w in x for w in some)]
+        want |= {k: (len(ids), sum(ids))} if ids else {}
+    assert {r.query_id: (r.n, r.total) for r in patterns.search_totals(t, q).collect()} == want and len(want) == 15
+    pairs = {}
+    for r in patterns.search_many(t, q).collect():
+        pairs.setdefault(r.query_id, []).append(r.id)
+    assert {k: (len(x), sum(x)) for k, x in pairs.items()} == want
