@@ -42,3 +42,11 @@ def test_totals_of_searches(spark, monkeypatch):
     for r in patterns.search_many(t, q).collect():
         pairs.setdefault(r.query_id, []).append(r.id)
     assert {k: (len(x), sum(x)) for k, x in pairs.items()} == want
+
+
+def test_titles_are_compared_once_with_patterns_that_are_alike(spark, monkeypatch):
+    asked, whole = [], patterns.matches
+    monkeypatch.setattr(patterns, "matches", lambda texts, some: asked.append(some) or whole(texts, some))
+    p = spark.createDataFrame([(k, "s", "the", False) for k in range(50)] + [(99, "s", "no", True)], "pattern_id long, grp string, pattern string, excludes boolean")
+    got = patterns.title_reasons(spark.createDataFrame([(1, "s", "the one"), (2, "s", "no, the"), (3, "s", "x"), (4, "t", "x")], "id long, grp string, text string"), p)
+    assert asked[0].count() == 2 and [r.reason for r in got.orderBy("id").collect()] == [None, patterns.EXCLUDED, patterns.NOT_INCLUDED, None]
