@@ -143,6 +143,27 @@ class Pairs:
         return iter(())
 
 
+class Bits:
+    """(id, bits) of texts (id, grp, text) that hold patterns (bits, grp, text): the bits of all that a text holds, in one row."""
+
+    def __init__(self, asked: pa.Table):
+        number, once = _numbered(zip(asked["grp"].to_pylist(), asked["text"].to_pylist()))
+        self.finder, self.bits = Finder([p for _, p in once], [g for g, _ in once]), np.zeros(len(once), np.int64)
+        np.bitwise_or.at(self.bits, number, asked["bits"].to_numpy())
+
+    def feed(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts, groups, ids = batch["text"].to_pylist(), batch["grp"].to_pylist(), batch["id"]
+        for piece in _pieces(texts, 1 << 16):
+            text, pattern = self.finder.find(texts[piece], groups[piece])
+            held = np.zeros(piece.stop - piece.start, np.int64)
+            np.bitwise_or.at(held, text, self.bits[pattern])
+            some = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(some + piece.start)), pa.array(held[some])], ["id", "bits"])
+
+    def finish(self) -> Iterator[pa.RecordBatch]:
+        return iter(())
+
+
 class Searches:
     """(query_id, id) of queries (query_id, terms) all of whose terms stand in a text (id, text), 64 texts in a word."""
 
@@ -207,7 +228,7 @@ class Totals(Searches):
         yield pa.RecordBatch.from_arrays([self.ids.take(pa.array(some)), pa.array(self.n[some]), pa.array(self.total[some])], ["query_id", "n", "total"])
 
 
-def by_cell(make: Callable[[pa.Table], Pairs | Searches]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def by_cell(make: Callable[[pa.Table], Pairs | Bits | Searches]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Goes through rows in order of (cell, side): what is asked in a cell (side 0), which `make` takes as a table, then its texts (side 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,8 @@
 """Many patterns in many texts at once: texts are dealt to parts, patterns go to each part, and a task looks all of them up in one pass.
 
 A text meets every pattern's hash, never the pattern: the time of a part follows the characters of its texts and the number of different
-lengths of patterns, and only what is found makes rows. More patterns than TOGETHER go in slices, and texts to each of them.
+lengths of patterns, and only what is found makes rows. Groups are dealt apart, so texts and patterns move only to where their group is;
+more patterns of a group than TOGETHER go in slices, and its texts to each of them.
 """
 
 from __future__ import annotations
@@ -16,15 +17,55 @@ from .rules import EXCLUDED, NOT_INCLUDED
 PARTS, PART, TOGETHER = 32, 100, 1 << 18
 
 
+def _grid(n: int, m: int, share: float, parts: int, together: int) -> tuple[int, int]:
+    """Parts of n texts, which are a share of all, and slices of what is asked of them."""
+    return min(max(1, round(parts * share)), max(1, -(-n // PART))), max(1, -(-m // together))
+
+
+def _as_one(texts: DataFrame, asked: DataFrame, n: int, m: int, deal: list[str], parts: int, together: int) -> tuple[DataFrame, DataFrame, int]:
+    """Both, of n and m rows, with `cells`, and how many cells there are: parts of the texts by slices of what is asked."""
+    a, b = _grid(n, m, 1, parts, together)
+    part, piece = F.pmod(F.xxhash64("id"), F.lit(a)), F.pmod(F.xxhash64(*deal), F.lit(b))
+    each = lambda k, cell: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), cell)
+    return texts.withColumn("cells", each(b, lambda k: k * F.lit(a).cast("long") + part)), asked.withColumn("cells", each(a, lambda k: piece * F.lit(a).cast("long") + k)), a * b
+
+
+def _by_group(texts: DataFrame, asked: DataFrame, deal: list[str], parts: int, together: int) -> tuple[DataFrame, DataFrame, int]:
+    """As `_as_one` where there is one group; else a large group has a grid of its own, and the others are laid together by their hash.
+
+    What comes to the driver is the large groups, which their shares bound: a row for 4 * parts and for the slices, 8 each, at most.
+    """
+    sizes = texts.groupBy("grp").agg(F.count("*").alias("n")).join(asked.groupBy("grp").agg(F.count("*").alias("m")), "grp", "full").fillna(0, ["n", "m"])
+    sizes = cut(sizes, "groups")
+    n, m, groups = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0)), F.count("*")).first()
+    if groups < 2:
+        return _as_one(texts, asked, n, m, deal, parts, together)
+    large = sizes.filter((F.col("n") * (4 * parts) > n) | (F.col("m") * 8 > together)).collect()
+    rows, cells = [], 0
+    for r in large:
+        a, b = _grid(r.n, r.m, r.n / max(1, n), parts, together)
+        rows.append((r.grp, cells, a, b, r.n > 0 and r.m > 0))
+        cells += a * b * rows[-1][-1]
+    few, asks = n - sum(r.n for r in large), m - sum(r.m for r in large)
+    rest = max(1, min(max(1, -(-few // PART)), round(parts * few / max(1, n))), -(-2 * asks // together))
+    table = F.broadcast(texts.sparkSession.createDataFrame(rows, "grp string, base long, a long, b long, finds boolean"))
+    other = F.lit(cells) + F.pmod(F.xxhash64("grp"), F.lit(rest))
+    up_to = lambda k: F.sequence(F.lit(0).cast("long"), F.col(k) - 1)
+    part, piece = F.pmod(F.xxhash64("id"), F.col("a")), F.pmod(F.xxhash64(*deal), F.col("b"))
+    placed = lambda df, own: df.join(table, "grp", "left").filter("coalesce(finds, true)").withColumn("cells", F.when(F.col("b").isNull(), F.array(other)).otherwise(own)).drop("base", "a", "b", "finds")
+    of = placed(texts, F.transform(up_to("b"), lambda k: F.col("base") + k * F.col("a") + part))
+    return of, placed(asked, F.transform(up_to("a"), lambda k: F.col("base") + piece * F.col("a") + k)), cells + rest
+
+
 def _in_cells(texts: DataFrame, asked: DataFrame, deal: list[str], make, kind: T.StructType, together: int) -> DataFrame:
-    """What `make` of `lookup` finds: each row of `texts` (id and others) with each of `asked`, slice by slice; rows with equal `deal` are in one slice."""
+    """What `make` of `lookup` finds: each row of `texts` (id and others) with each of `asked`, of its `grp` where they have one; rows with equal `deal` are in one slice."""
     most = max(PARTS, 3 * texts.sparkSession.sparkContext.defaultParallelism)
-    parts, slices = min(most, max(1, -(-texts.count() // PART))), max(1, -(-asked.count() // together))
-    part, piece = F.pmod(F.xxhash64("id"), F.lit(parts)), F.pmod(F.xxhash64(*deal), F.lit(slices))
-    each = lambda n, cell: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), cell))
-    of = texts.withColumn("side", F.lit(1)).withColumn("cell", each(slices, lambda k: k * F.lit(parts).cast("long") + part))
-    to = asked.withColumn("side", F.lit(0)).withColumn("cell", each(parts, lambda k: piece * F.lit(parts).cast("long") + k))
-    dealt = of.unionByName(to, allowMissingColumns=True).repartition(parts * slices, "cell").sortWithinPartitions("cell", "side")
+    if "grp" in asked.columns:
+        of, to, cells = _by_group(texts, asked, deal, most, together)
+    else:
+        of, to, cells = _as_one(texts, asked, texts.count(), asked.count(), deal, most, together)
+    both = of.withColumn("side", F.lit(1)).unionByName(to.withColumn("side", F.lit(0)), allowMissingColumns=True)
+    dealt = both.withColumn("cell", F.explode("cells")).drop("cells").repartition(cells, "cell").sortWithinPartitions("cell", "side")
     return dealt.mapInArrow(lookup.by_cell(make), kind)
 
 
@@ -37,12 +78,15 @@ def matches(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 
     Groups meet by equality, null with null; for patterns that go for all texts give both one group. Null and empty patterns match nothing; texts
     and patterns are compared as they are, so normalise both before. Ids are of any type. Patterns that are alike give a row each: where there
-    are many, make one of them, whose pattern_id is a struct that has their number, or what else is asked of them.
+    are many, make one of them, whose pattern_id is a struct that has their number, or what else is asked of them. Patterns that have `bits`, a
+    long, in place of pattern_id give (id, bits): the bits of all that are part of a text or-ed, in a row for it and a slice.
     """
-    group = F.coalesce(F.col("grp").cast("string"), F.lit("\0")).alias("grp")
-    asked = cut(patterns.filter("pattern <> ''").select("pattern_id", group, F.col("pattern").alias("text")), "patterns")
+    group, what, make = F.coalesce(F.col("grp").cast("string"), F.lit("\0")).alias("grp"), "pattern_id", lookup.Pairs
+    if "bits" in patterns.columns:
+        what, make = "bits", lookup.Bits
+    asked = cut(patterns.filter("pattern <> ''").select(what, group, F.col("pattern").alias("text")), "patterns")
     of = texts.filter("text <> ''").select("id", group, "text")
-    return _in_cells(of, asked, ["grp", "text"], lookup.Pairs, T.StructType(_named(of, "id") + _named(asked, "pattern_id")), TOGETHER)
+    return _in_cells(of, asked, ["grp", "text"], make, T.StructType(_named(of, "id") + _named(asked, what)), TOGETHER)
 
 
 def title_reasons(titles: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -50,8 +94,9 @@ def title_reasons(titles: DataFrame, patterns: DataFrame) -> DataFrame:
 
     For registries whose sources have so many patterns that comparing each with each title doesn't end. Both are normalised.
     """
-    found = matches(titles, patterns.select(F.struct("excludes").alias("pattern_id"), "grp", "pattern").distinct()).select("id", "pattern_id.excludes")
-    flags = found.groupBy("id").agg(F.max("excludes").alias("out"), F.max(~F.col("excludes")).alias("in"))
+    side = F.when(F.col("excludes"), 1).when(~F.col("excludes"), 2).otherwise(0).cast("long")
+    found = matches(titles, patterns.groupBy("grp", "pattern").agg(F.bit_or(side).alias("bits")))
+    flags = found.groupBy("id").agg(F.bit_or("bits").alias("bits")).select("id", (F.col("bits") % 2 == 1).alias("out"), (F.col("bits") >= 2).alias("in"))
     asks = patterns.filter("NOT excludes AND pattern <> ''").select(F.col("grp").alias("asking")).distinct().withColumn("asks", F.lit(True))
     rows = titles.select("id", "grp").join(flags, "id", "left").join(asks, F.col("grp").eqNullSafe(F.col("asking")), "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from fieldsieve.operators import lookup, patterns
 from fieldsieve.plans import registered
@@ -50,3 +51,46 @@ def test_titles_are_compared_once_with_patterns_that_are_alike(spark, monkeypatc
     p = spark.createDataFrame([(k, "s", "the", False) for k in range(50)] + [(99, "s", "no", True)], "pattern_id long, grp string, pattern string, excludes boolean")
     got = patterns.title_reasons(spark.createDataFrame([(1, "s", "the one"), (2, "s", "no, the"), (3, "s", "x"), (4, "t", "x")], "id long, grp string, text string"), p)
     assert asked[0].count() == 2 and [r.reason for r in got.orderBy("id").collect()] == [None, patterns.EXCLUDED, patterns.NOT_INCLUDED, None]
+
+
+def test_texts_go_to_the_patterns_of_their_group_alone(spark, monkeypatch):
+    """Every text went to every slice of the patterns of all groups, and every pattern to every part of the texts."""
+    def arrived(make):
+        return lambda batches: (b.select(["id", "pattern_id"]) for b in batches)
+
+    monkeypatch.setattr(patterns, "TOGETHER", 50)
+    texts = spark.range(4000).selectExpr("id", "concat('g', IF(id % 2 = 0, 0, id % 40)) AS grp", "'abcdef' AS text")
+    asked = spark.range(1000).selectExpr("id AS pattern_id", "concat('g', id % 40) AS grp", "concat('x', id) AS pattern")
+    nobody = spark.range(2000).selectExpr("id AS pattern_id", "'nobody' AS grp", "concat('x', id) AS pattern")
+    with monkeypatch.context() as m:
+        m.setattr(lookup, "by_cell", arrived)
+        sent = patterns.matches(texts, asked.union(nobody)).selectExpr("count(id) AS n", "count(pattern_id) AS m").first()
+    assert sent.n == 4000 and 500 < sent.m < 1000
+    found = patterns.matches(texts, asked.union(nobody).union(spark.createDataFrame([(9001, "g0", "cd"), (9002, "g1", "abcdef"), (9003, "g1", "zz")], asked.schema)))
+    assert {(r.pattern_id, r.n) for r in found.groupBy("pattern_id").agg(F.count("*").alias("n")).collect()} == {(9001, 2000), (9002, 100)}
+
+
+def test_bits_of_all_patterns_make_one_row(spark):
+    random.seed(8)
+    word = lambda n: "".join(random.choice("abc") for _ in range(n))
+    texts = [(k, random.choice(["g", "h", None]), word(random.randint(0, 12))) for k in range(400)]
+    asked = [(1 << k % 5, random.choice(["g", "h", None]), word(random.randint(0, 4))) for k in range(40)]
+    want = {}
+    for i, g, x in texts:
+        for b, h, p in asked:
+            if p and g == h and p in x:
+                want[i] = want.get(i, 0) | b
+    rows = patterns.matches(spark.createDataFrame(texts, "id long, grp string, text string"), spark.createDataFrame(asked, "bits long, grp string, pattern string")).collect()
+    assert {r.id: r.bits for r in rows} == want and len(rows) == len(want) > 200
+
+
+def test_small_and_large_groups_equal_a_plain_loop(spark, monkeypatch):
+    random.seed(11)
+    monkeypatch.setattr(patterns, "TOGETHER", 60)
+    word = lambda n: "".join(random.choice("abc") for _ in range(n))
+    group = lambda: random.choice([None, "", "big", "big", "texts only", *(f"g{k}" for k in range(300))]) if random.random() < 0.5 else f"g{random.randrange(300)}"
+    texts, asked = [(k, group(), word(8)) for k in range(1500)], [(k, g, word(random.randint(1, 4))) for k in range(900) if (g := group()) != "texts only"]
+    for of in (texts, [t for t in texts if (t[1] or "").startswith("g")]):
+        want = {(i, k) for i, g, x in of for k, h, p in asked if g == h and p in x}
+        rows = patterns.matches(spark.createDataFrame(of, "id long, grp string, text string"), spark.createDataFrame(asked, "pattern_id long, grp string, pattern string")).collect()
+        assert len(rows) == len(want) > 500 and {(r.id, r.pattern_id) for r in rows} == want
