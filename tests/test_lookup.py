@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,47 @@ def test_small_and_large_groups_equal_a_plain_loop(spark, monkeypatch):
         want = {(i, k) for i, g, x in of for k, h, p in asked if g == h and p in x}
         rows = patterns.matches(spark.createDataFrame(of, "id long, grp string, text string"), spark.createDataFrame(asked, "pattern_id long, grp string, pattern string")).collect()
         assert len(rows) == len(want) > 500 and {(r.id, r.pattern_id) for r in rows} == want
+
+
+def test_a_text_is_looked_up_once_for_all_searches(spark, monkeypatch):
+    """Texts went to every slice of the queries and were looked up in each, however few different terms these had."""
+    monkeypatch.setattr(patterns, "TOGETHER", 2)
+    seen, whole = [], patterns._as_one
+    monkeypatch.setattr(patterns, "_as_one", lambda *a: seen.append(whole(*a)) or seen[-1])
+    texts = spark.range(300).selectExpr("id", "concat('ab', id % 7, 'cd', id % 5) AS text")
+    asked = spark.range(60).selectExpr("id AS query_id", "array('ab', concat('b', id % 4), concat('d', id % 3)) AS terms")
+    got = {r.query_id: (r.n, r.total) for r in patterns.search_totals(texts, asked).collect()}
+    want = {}
+    for q in range(60):
+        ids = [k for k in range(300) if k % 7 == q % 4 and k % 5 == q % 3]
+        want |= {q: (len(ids), sum(ids))} if ids else {}
+    assert got == want and len(got) == 60
+    of, _, cells = seen[0]
+    assert of.selectExpr("max(size(cells))").first()[0] == 1
+    many = spark.range(60).selectExpr("id AS query_id", "array(concat('ab', id % 7), concat('d', id), concat('x', id)) AS terms")
+    assert patterns.search_totals(texts, many).count() == 0 and seen[-1][0].selectExpr("max(size(cells))").first()[0] > 10
+
+
+@pytest.mark.parametrize("words", [1, 4, 16])
+def test_counts_by_words_equal_a_plain_loop(monkeypatch, words):
+    random.seed(words)
+    monkeypatch.setattr(lookup, "WORDS", words)
+    monkeypatch.setattr(lookup, "AT_ONCE", 40)
+    monkeypatch.setattr(lookup, "CHARACTERS", 300)
+    word = lambda n: "".join(random.choice("abé😀") for _ in range(n))
+    texts = [word(random.choice([1, 9, 40, 200])) for _ in range(701)]
+    ids = [random.choice([-1, 1]) * random.randrange(1 << 62) >> random.choice([0, 60]) for _ in texts]
+    asked = [sorted({word(random.randint(1, 4)) for _ in range(random.randint(1, 4))}) for _ in range(80)] + [["zz", "a"], ["a" * 30]]
+    work = lookup.Totals()
+    rows = pa.RecordBatch.from_pydict({"query_id": list(range(len(asked))), "terms": asked})
+    for k in range(0, len(asked), 30):
+        work.ask(rows.slice(k, 30))
+    work.begin()
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "text": texts})
+    for k in (0, 1, 70, 300):
+        end = {0: 1, 1: 70, 70: 300, 300: 701}[k]
+        assert not list(work.feed(batch.slice(k, end - k)))
+    found = {q: [i for i, x in zip(ids, texts) if all(w in x for w in terms)] for q, terms in enumerate(asked)}
+    wrapped = lambda n: (n + (1 << 63)) % (1 << 64) - (1 << 63)
+    got = pa.Table.from_batches(work.finish()).to_pylist()
+    assert {r["query_id"]: (r["n"], r["total"]) for r in got} == {q: (len(x), wrapped(sum(x))) for q, x in found.items() if x} and 40 < len(got) < 82
